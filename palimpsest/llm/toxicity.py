@@ -1,16 +1,18 @@
 """Toxicity scores from a lexicon that tolerates misspellings.
 
 Terms are learned from labelled rows: stems whose documents are toxic so much
-more often than by chance that it can't be one. A trie of the terms is
-intersected with Levenshtein automata; the product is built state by state as
-tokens walk it. A term is met exactly as the beginning of a word, or within its
-edit distance as a whole word. A window of words around each hit separates
+more often than by chance that it can't be one. Strong terms are all but absent
+from clean texts; weak stems also occur there, though rarely, and are counted
+apart. A trie of the strong terms is intersected with Levenshtein automata; the
+product is built state by state as tokens walk it. A term is met exactly as the
+beginning of a word, or, if it is strong, within its edit distance as a whole
+word. A window of words around each hit separates
 quotation (quotation marks on both sides, or a reporting word before) from
 abuse. A logistic regression over the hits gives the score.
 
 Bounds: terms and weights are fitted on at most ``sample`` labelled rows of each
 class (the smallest hashes of doc_id); what leaves the executors for that are
-counts of at most ``max_terms`` terms and four numbers a row. All texts are
+counts of at most 100 * ``max_terms`` stems and five numbers a row. All texts are
 scored whole.
 
 Edge cases: a null or empty text has the score of a text without hits; without
@@ -39,8 +41,11 @@ REPORTING = frozenset("said says say wrote writes called calls quote quoted quot
 class ToxicityParams:
     sample: int = 6000
     max_terms: int = 400
-    min_docs: int = 5
-    chance: float = 1e-6
+    min_docs: int = 4
+    chance: float = 1e-4
+    #: a term's rate in clean texts, as a share of its rate in toxic ones
+    strong: float = 0.005
+    weak: float = 0.16
     window: int = 6
     quoted_weight: float = 0.2
     stem_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8, 9, 10, 11, 12)
@@ -126,7 +131,8 @@ class LexiconAutomaton:
 class ToxicityModel:
     terms: list[str]
     vetoed: frozenset[str] = frozenset()  # near spellings that clean texts use
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(5))
+    weak: frozenset[str] = frozenset()
+    weights: np.ndarray = field(default_factory=lambda: np.array([-30.0, 0, 0, 0, 0, 0]))
     window: int = 6
     quoted_weight: float = 0.2
 
@@ -134,19 +140,22 @@ class ToxicityModel:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def lookup(self, token: str) -> tuple[int, str]:
-        """0 exact, 1 near, -1 none; the word without its edges."""
+        """0 exact, 1 near, 2 weak, -1 none; the word without its edges."""
         word = token.strip(_EDGE)
         found = self._automaton.match(word)
+        if found and any(word[:k] in self.weak for k in self._weak_lengths if k <= len(word)):
+            return 2, word
         if found > 0 and word in self.vetoed:
             found = -1
-        return (min(found, 1), word)
+        return min(found, 1), word
 
     def hits(self, text: str | None) -> list[tuple[int, int, str, bool]]:
         """(position in words, kind, word, quoted) of each hit."""
-        if not text or not self.terms:
+        if not text or not (self.terms or self.weak):
             return []
         if not hasattr(self, "_automaton"):
             self._automaton, self._known = LexiconAutomaton(self.terms), {}
+            self._weak_lengths = sorted({len(t) for t in self.weak})
         if len(self._known) > 400_000:
             self._known = {}
         tokens = text.lower().split()
@@ -168,22 +177,21 @@ class ToxicityModel:
         closed = own.rstrip(".,;:!?")[-1:] in _QUOTES or any(t.rstrip(".,;:!?")[-1:] in _QUOTES for t in after)
         return opened and closed or any(t.strip(_EDGE) in REPORTING for t in before[-3:]) and (opened or closed)
 
-    def features(self, text: str | None) -> list[float]:
-        """Hits and near hits as logarithms, the most in ten words, the share of quoted ones."""
-        found = self.hits(text)
+    def features(self, found: list[tuple[int, int, str, bool]]) -> list[float]:
+        """Logarithms of the hits, the near hits, the most in ten words and the weak hits; the share of quoted ones."""
         if not found:
-            return [0.0] * 4
+            return [0.0] * 5
         weight = [self.quoted_weight if q else 1.0 for _, _, _, q in found]
-        exact = sum(w for w, h in zip(weight, found) if h[1] == 0)
-        near = sum(w for w, h in zip(weight, found) if h[1] == 1)
+        by_kind = [sum(w for w, h in zip(weight, found) if h[1] == kind) for kind in range(3)]
         most, k, sum_in = 0.0, 0, 0.0
+        worth = [w * (1.0, 0.5, 0.5)[h[1]] for w, h in zip(weight, found)]
         for i, h in enumerate(found):
-            sum_in += weight[i]
+            sum_in += worth[i]
             while found[k][0] < h[0] - 9:
-                sum_in -= weight[k]
+                sum_in -= worth[k]
                 k += 1
-            most = max(most, sum_in * (1.0 if h[1] == 0 else 0.5))
-        return [math.log1p(exact), math.log1p(near), math.log1p(most), sum(w < 1 for w in weight) / len(found)]
+            most = max(most, sum_in)
+        return [*(math.log1p(x) for x in (*by_kind, most)), sum(w < 1 for w in weight) / len(found)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)
@@ -195,23 +203,44 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int, p: ToxicityParams) -> list[str]:
-    """Stems that hardly occur in clean texts, each as long as nearly all of its documents allow."""
+def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int, p: ToxicityParams) -> tuple[list[str], list[str]]:
+    """Strong and weak stems, each as long as nearly all of its toxic documents allow."""
     base = pos / max(pos + neg, 1)
     have = {t: (a, b) for t, a, b in counts}
 
-    def pure(t: str) -> bool:
-        a, b = have[t]
-        return a >= p.min_docs and b * pos <= 0.02 * a * neg and (a + b) * math.log(max(base, 1e-9)) + b * 5 < math.log(p.chance)
+    def telling(a: int, b: int, most: float) -> bool:
+        if a < p.min_docs or b * pos > most * a * neg:
+            return False
+        q = a / (a + b)
+        gain = q * math.log(q / base) + ((1 - q) * math.log((1 - q) / (1 - base)) if b else 0.0)
+        return -(a + b) * gain < math.log(p.chance)
 
-    chosen = set()
-    for t in have:
-        if not pure(t) or any(t[:k] in have and pure(t[:k]) for k in range(1, len(t))):
-            continue
-        while longer := [x for x in have if len(x) == len(t) + 1 and x.startswith(t) and have[x][0] >= 0.9 * have[t][0]]:
+    def grown(t: str) -> str:
+        while longer := [x for x in below.get(t, ()) if have[x][0] >= 0.9 * have[t][0]]:
             t = longer[0]
-        chosen.add(t)
-    return sorted(chosen, key=lambda t: (-have[t][0], t))[: p.max_terms]
+        return t
+
+    below: dict[str, list[str]] = {}
+    for t in sorted(have):
+        below.setdefault(t[:-1], []).append(t)
+    order = sorted(have, key=lambda t: (len(t), t))
+    strong: dict[str, str] = {}
+    for t in order:
+        if telling(*have[t], p.strong) and not any(t[:k] in strong for k in range(1, len(t))):
+            strong[t] = grown(t)
+    weak: dict[str, str] = {}
+    for t in order:
+        if any(t[:k] in strong or t[:k] in weak for k in range(1, len(t) + 1)):
+            continue
+        a, b = have[t]
+        own = [x for x in strong if x.startswith(t)]
+        # a strong stem below that explains most of it stays; many small ones are chance picks of a weak one
+        if telling(a, b, p.weak) and all(1.5 * have[x][0] < a for x in own):
+            weak[t] = grown(t)
+            for x in own:
+                del strong[x]
+    rank = lambda t: (-have[t][0], t)
+    return sorted(set(strong.values()), key=rank)[: p.max_terms], sorted(set(weak.values()), key=rank)[: p.max_terms]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -241,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
         top = own.where(F.col("toxic") == toxic).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
         picked += [(r.doc_id, r.toxic) for r in top.collect()]  # at most 2 * sample pairs of numbers
     if not any(t for _, t in picked) or all(t for _, t in picked):
-        return ToxicityModel([], weights=np.array([-30.0, 0, 0, 0, 0]))
+        return ToxicityModel([])
     ids = spark.createDataFrame(picked, "doc_id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
 
@@ -263,13 +292,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     # a stem that stands in fewer toxic texts than ``min_docs``, or in more clean than toxic ones, can't be a term
     rows = [(r.term, r.pos, r.neg) for r in counts.where((F.col("term") == "") | ((F.col("pos") >= p.min_docs) & (F.col("neg") * 10 <= F.col("pos")))).orderBy(F.col("pos").desc(), "term").limit(100 * p.max_terms).collect()]
     pos, neg = next(((a, b) for t, a, b in rows if not t), (0, 0))
-    model = ToxicityModel(choose_terms([r for r in rows if r[0]], pos, neg, p), window=p.window, quoted_weight=p.quoted_weight, weights=np.array([-30.0, 0, 0, 0, 0]))
-    if not model.terms:
-        return model
+    terms, weak = choose_terms([r for r in rows if r[0]], pos, neg, p)
+    model = ToxicityModel(terms, weak=frozenset(weak), window=p.window, quoted_weight=p.quoted_weight)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, near = [], []
+            near = []
             for text in batch.column("text"):
                 near.append(sorted({w for _, kind, w, _ in model.hits(text.as_py()) if kind == 1}))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(near, pa.list_(pa.string()))], names=["doc_id", "toxic", "near"])
@@ -281,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.features(t.as_py()) for t in batch.column("text")]
+            x = [model.features(model.hits(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     found = texts.where((F.col("toxic") == 1) | ~half).mapInArrow(featured, "doc_id long, toxic int, x array<double>").select("doc_id", "toxic", "x").collect()
@@ -292,20 +320,20 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, score, predicted, and the hits that the score rests on."""
-    names = ["doc_id", "score", "n_exact", "n_near", "n_quoted"]
+    names = ["doc_id", "score", "n_exact", "n_near", "n_weak", "n_quoted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, exact, near, quoted = [], [], [], []
+            x, exact, near, weak, quoted = [], [], [], [], []
             for text in batch.column(1):
-                t = text.as_py()
-                found = model.hits(t)
-                x.append(model.features(t) if found else [0.0] * 4)
+                found = model.hits(text.as_py())
+                x.append(model.features(found))
                 exact.append(sum(h[1] == 0 for h in found))
                 near.append(sum(h[1] == 1 for h in found))
+                weak.append(sum(h[1] == 2 for h in found))
                 quoted.append(sum(h[3] for h in found))
-            s = model.score(np.array(x).reshape(-1, 4))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *(pa.array(v, pa.int64()) for v in (exact, near, quoted))], names=names)
+            s = model.score(np.array(x).reshape(-1, 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), *(pa.array(v, pa.int64()) for v in (exact, near, weak, quoted))], names=names)
 
-    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_exact long, n_near long, n_quoted long")
-    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_exact", "n_near", "n_quoted")
+    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, n_exact long, n_near long, n_weak long, n_quoted long")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_exact", "n_near", "n_weak", "n_quoted")
