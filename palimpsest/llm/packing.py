@@ -185,8 +185,9 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                rows.extend(packer.add(doc.as_py(), own.encode(text.as_py()) + end))
+            texts = (x.as_py() for x in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode_all(texts), strict=True):
+                rows.extend(packer.add(doc, ids + end))
                 if len(rows) >= 2048:
                     yield flush()
         rows.extend(packer.end())

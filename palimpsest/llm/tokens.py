@@ -12,17 +12,21 @@ outside the text raise ``ValueError``; an edit may join, split, empty or append
 chunks; memory holds one text and its tree; repeated rows are independent.
 """
 
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKENIZER = "word_bpe_49k.json"
 #: str.split() also parts at these, which the tokenizer doesn't take as white space
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: letters beyond Latin, and the dotted capital I whose lower case is two characters
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _SPACES = re.compile("[ \t\n\r\v\f]+")
 
 
@@ -39,7 +43,8 @@ class ChunkEncoder:
     which is dropped; it changes the speed, never the ids.
     """
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,6 +52,9 @@ class ChunkEncoder:
         self.keep = keep
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.marks = {x: array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for x in ".,"}
 
     def learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The memory, with all of ``chunks`` in it."""
@@ -54,22 +62,76 @@ class ChunkEncoder:
             if 2 * (len(self.known) + len(missing)) > self.keep:
                 self.older, self.known = self.known, {}
                 missing = chunks
-            for chunk in missing & self.older.keys() if self.older else ():
-                self.known[chunk] = self.older[chunk]
-            missing = [x for x in missing if x not in self.known]
-            for chunk, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[chunk] = array("I", e.ids).tobytes()
+            if self.older:
+                older, known = self.older, self.known
+                for chunk in missing:
+                    if chunk in older:
+                        known[chunk] = older[chunk]
+                missing = missing.difference(known)
+            words, marked, rest = set(), [], []
+            for chunk in missing:
+                if chunk.isalpha():
+                    words.add(chunk)
+                elif chunk[-1] in ".," and chunk[:-1].isalpha():
+                    marked.append(chunk)  # letters and one mark: two pre-tokens
+                    words.add(chunk[:-1])
+                else:
+                    rest.append(chunk)
+            words = words.difference(self.known)
+            self._learn_words(sorted(words))
+            for chunk in marked:
+                self.known[chunk] = self.known[chunk[:-1]] + self.marks[chunk[-1]]
+            self._learn_each(rest)
         return self.known
 
-    def encode(self, text: str | None) -> bytes:
+    def _learn_each(self, chunks: list[str]) -> None:
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            self.known[chunk] = array("I", e.ids).tobytes()
+
+    def _learn_words(self, words: list[str], together: int = 512) -> None:
+        """Words of letters are one pre-token each, and only its last token ends a word: so many are encoded in one text and parted there."""
+        groups = [words[k : k + together] for k in range(0, len(words), together)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(group) or 4 * len(ids) != ends[-1]:
+                self._learn_each(group)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(group, ends):
+                self.known[word] = data[start:end]
+                start = end
+
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
+        if text.isascii() or not _NOT_PLAIN.search(text):
+            text = text.lower()  # as the tokenizer does; for these letters no rule depends on their neighbours
         if _ODD_SPACE.search(text):
-            chunks = [x for x in _SPACES.split(text) if x]
-        else:
-            chunks = text.split()
+            return [x for x in _SPACES.split(text) if x]
+        return text.split()
+
+    def encode(self, text: str | None) -> bytes:
+        chunks = self.chunks(text)
         return b"".join(map(self.learn(set(chunks)).__getitem__, chunks))
 
+    def encode_all(self, texts: Iterable[str | None], together: int = 1 << 20) -> Iterator[bytes]:
+        """``encode`` for each text; what is new in about ``together`` characters is encoded at once."""
+        waiting, size = [], 0
+        for text in texts:
+            waiting.append(self.chunks(text))
+            size += len(text or "")
+            if size >= together:
+                yield from self._joined(waiting)
+                waiting, size = [], 0
+        yield from self._joined(waiting)
+
+    def _joined(self, waiting: list[list[str]]) -> Iterator[bytes]:
+        get = self.learn(set().union(*waiting)).__getitem__
+        for chunks in waiting:
+            yield b"".join(map(get, chunks))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
