@@ -12,12 +12,14 @@ group signatures: two sets of a bounded difference agree in all but so many
 groups, hence they share the hash of a whole group. For small sets there are
 more groups than differences, so that sharing is certain; large sets use the
 first 62 groups of a finer division, where the chance to share none is below
-1e-12. Connected classes of shared signatures form clusters, and all links lie
-inside clusters. A cluster is one cell, or, if it is large, is dealt to many
-cells; each of these also holds the cluster's central sets, which links most
-of a group of copies at once, and what stays apart is then compared with all
-other cells of its cluster. So each link's two ends become connected, whatever
-the size of a group, and neither pairs nor groups are gathered in one place.
+1e-12. Of classes that share a signature, those are joined whose points let
+them link; joined classes form clusters, and all links lie inside clusters. A
+cluster is one cell, or, if it is large, is dealt to many cells; each of these
+also holds the cluster's central sets, which links most of a group of copies at
+once, and what stays apart is then compared with all other cells of its
+cluster. So each link's two ends become connected, whatever the size of a
+group, and neither pairs nor groups are gathered in one place. A signature that
+more than ``LONG_RUN`` classes share joins them without a look at their points.
 
 Links are only established as far as components need them. Edge cases: null
 texts and texts without words have an empty set, link with nothing and are
@@ -41,7 +43,9 @@ from . import textscan as ts
 from .components import connected_components
 from .storage import materialize
 
-GROUPS = 32  # coordinates of the count vectors
+GROUPS = 64  # coordinates of the count vectors
+LONG_RUN = 100_000  # classes with one signature whose points one task holds
+SMALL_RUN = 64  # the same, up to which all pairs of points are compared without a tree
 MOST_SIGNATURES = 62
 CELL = 192  # classes in a cell
 CELL_SHINGLES = 400_000
@@ -70,7 +74,15 @@ def class_of(s: np.ndarray) -> int:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=GROUPS)
+    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+
+
+def packed_vector(v: np.ndarray) -> bytes:
+    return v.astype("u1" if v.max() < 256 else "<u4").tobytes()
+
+
+def unpacked_vectors(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(x, dtype="u1" if len(x) == GROUPS else "<u4") for x in column.to_pylist()], dtype=np.int32).reshape(-1, GROUPS)
 
 
 @lru_cache(maxsize=8)
@@ -151,7 +163,7 @@ class CountVectorTree:
     @staticmethod
     def _may(vector, size, t, high, low, large) -> np.ndarray:
         p, q = t.numerator, t.denominator
-        overlap = np.minimum(vector, high).sum(axis=1)
+        overlap = np.minimum(vector, high).sum(axis=-1)
         # linked sets a, b overlap in at least t / (1 + t) * (|a| + |b|), and t * |larger| <= |smaller|
         return (overlap * (p + q) >= p * (size + low)) & (q * large >= p * size) & (p * low <= q * size)
 
@@ -196,55 +208,146 @@ def cell_links(sets: list[np.ndarray], ask: np.ndarray, give: np.ndarray, group:
 
 
 def _profile(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """In one pass: (0, doc_id, class, size) of each row, (1, signature, class) and links (2, class, class) of rows in one batch."""
-    names = ["kind", "a", "b", "n"]
+    """In one pass: (0, doc_id, class, size, point) of each row and (1, signature, class)."""
+    names = ["kind", "a", "b", "n", "v"]
+
+    def rows(kind: int, a: pa.Array, b: pa.Array, size=None, v=None) -> pa.RecordBatch:
+        m = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), a, b, pa.nulls(m, pa.int64()) if size is None else size, pa.nulls(m, pa.binary()) if v is None else v], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, own, sigs, of = [], [], [], []
+            size, own, points, sigs, of = [], [], [], [], []
             seen = set()
             for _, _, buf, offsets in ts.slices(batch.column(1)):
                 for s in shingle_sets(buf, offsets, n):
                     c = class_of(s) if len(s) else None
                     size.append(len(s))
                     own.append(c)
-                    if c is not None and c not in seen:
+                    new = c is not None and c not in seen
+                    points.append(packed_vector(count_vector(s)) if new else None)
+                    if new:
                         seen.add(c)
                         x = signatures(s, t)
                         sigs.append(x)
                         of.append(np.full(len(x), c, dtype=np.int64))
-            none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(own), np.int8)), batch.column(0).cast(pa.int64()), pa.array(own, pa.int64()) if own else none, pa.array(size, pa.int64())], names=names)
+            yield rows(0, batch.column(0).cast(pa.int64()), pa.array(own, pa.int64()), pa.array(size, pa.int64()), pa.array(points, pa.binary()))
             if sigs:
                 a, b = np.concatenate(sigs).view(np.int64), np.concatenate(of)
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                begins = np.concatenate(([True], a[1:] != a[:-1]))
-                leader = b[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
-                pairs = np.unique(np.stack((leader[~begins], b[~begins]), axis=1), axis=0) if not begins.all() else np.zeros((0, 2), np.int64)
-                for kind, x, y in ((1, a[begins], b[begins]), (2, pairs[:, 0], pairs[:, 1])):
-                    for k in range(0, len(x), 50_000):
-                        m = len(x[k : k + 50_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), pa.array(x[k : k + m].copy()), pa.array(y[k : k + m].copy()), pa.nulls(m, pa.int64())], names=names)
-
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "kind byte, a long, b long, n long")
-
-
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by signature: each class with the first class of its signature. Holds one batch and one leader."""
-    last_sig, leader = None, None
+                for k in range(0, len(a), 50_000):
+                    yield rows(1, pa.array(a[k : k + 50_000].copy()), pa.array(b[k : k + 50_000].copy()))
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "kind byte, a long, b long, n long, v binary")
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by signature and class, those whose signature two classes have, once each. Holds one batch and one row."""
+    held = None  # the first row of a signature that may have no other class
+    last = None
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.concatenate(([last is None or (a[0], b[0]) != last], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+        a, b = a[new], b[new]
         if not len(a):
             continue
-        begins = np.concatenate(([last_sig is None or a[0] != last_sig], a[1:] != a[:-1]))
-        at = np.cumsum(begins) - 1
-        firsts = b[begins]
-        lead = np.where(at >= 0, firsts[np.maximum(at, 0)] if len(firsts) else 0, leader if leader is not None else 0)
-        last_sig, leader = a[-1], lead[-1]
-        apart = lead != b
-        if apart.any():
-            yield pa.RecordBatch.from_arrays([pa.array(lead[apart]), pa.array(b[apart])], names=["a", "b"])
+        keep = np.zeros(len(a), dtype=bool)
+        same = a[1:] == a[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        if last is not None and a[0] == last[0]:
+            keep[0] = True
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["a", "c"])
+        last = (a[-1], b[-1])
+        held = None if keep[-1] else last
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "c"])
+
+
+def _least_reached(may: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that it hangs together with."""
+    label = np.arange(len(may))
+    while True:
+        best = np.minimum(label, np.where(may, label[None, :], len(may)).min(axis=1))
+        best = best[best]
+        if (best == label).all():
+            return label
+        label = best
+
+
+def _reach(v: np.ndarray, n: np.ndarray, t: Fraction) -> np.ndarray:
+    """For each point the first one that it hangs together with, where points hang together that may link."""
+    if len(v) <= SMALL_RUN:
+        return _least_reached(np.array([CountVectorTree._may(v[k], n[k], t, v, n, n) for k in range(len(v))]))
+    label = np.arange(len(v))
+    near = CountVectorTree._may(v[0], n[0], t, v, n, n)
+    label[near] = 0
+    tree = CountVectorTree(v, n)
+    for k in np.flatnonzero(~near).tolist():  # all pairs but those of two points near the first
+        met = np.unique(label[tree.search(v[k], int(n[k]), t)])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label
+
+
+def _joined(t: Fraction):
+    """From rows (signature, class, point) sorted by signature: pairs that connect the classes whose points let them link."""
+
+    def pairs(c: np.ndarray, v: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        size = v.sum(axis=1)
+        lengths = ends - starts
+        two = starts[lengths == 2]
+        ok = CountVectorTree._may(v[two], size[two], t, v[two + 1], size[two + 1], size[two + 1])
+        yield c[two[ok]], c[two[ok] + 1]
+        for lo, hi in zip(starts[lengths > 2].tolist(), ends[lengths > 2].tolist()):
+            top = _reach(v[lo:hi], size[lo:hi], t)
+            other = np.flatnonzero(top != np.arange(hi - lo))
+            yield c[lo:hi][top[other]], c[lo:hi][other]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, c, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.int32)
+        over = None  # (signature, leader) of a run that is too long to hold
+
+        def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        def closed(a, c, v) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+            ends = np.append(starts[1:], len(a))
+            few = ends - starts <= LONG_RUN
+            found = list(pairs(c, v, starts[few], ends[few]))
+            found += [(np.full(hi - lo, c[lo]), c[lo:hi]) for lo, hi in zip(starts[~few].tolist(), ends[~few].tolist())]
+            x, y = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
+            if len(x):
+                p = np.unique(np.stack((x, y), axis=1), axis=0)
+                yield out(p[:, 0].copy(), p[:, 1].copy())
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = np.concatenate((a, batch.column(0).to_numpy()))
+            c = np.concatenate((c, batch.column(1).to_numpy()))
+            v = np.concatenate((v, unpacked_vectors(batch.column(2))))
+            if over is not None:
+                own = int(np.searchsorted(a, over[0], side="right"))
+                if own:
+                    yield out(np.full(own, over[1]), c[:own])
+                a, c, v = a[own:], c[own:], v[own:]
+                if not len(a):
+                    continue
+                over = None
+            last = int(np.searchsorted(a, a[-1]))
+            if last:
+                yield from closed(a[:last], c[:last], v[:last])
+            a, c, v = a[last:], c[last:], v[last:]
+            if len(a) > LONG_RUN:
+                over = (a[0], c[0])
+                yield out(np.full(len(a), c[0]), c)
+                a, c, v = a[:0], c[:0], v[:0]
+        if len(a):
+            yield from closed(a, c, v)
+
+    return run
 
 
 def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
@@ -252,10 +355,13 @@ def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame
     t = Fraction(threshold)
     profile = materialize(_profile(docs, n, t), "profile")
     rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), F.col("n").alias("n_shingles"))
-    posted = profile.where("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(_chain, "a long, b long")
-    clusters = connected_components(posted.unionByName(profile.where("kind = 2").select("a", "b")))
-    # one document of each class that shares a signature, with its text
-    held = rows.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n")).join(clusters.withColumnRenamed("node", "c"), "c")
+    classes = profile.where("kind = 0 and b is not null").groupBy("b").agg(F.min("a").alias("id"), F.max("n").alias("n"), F.min("v").alias("v"))
+    classes = materialize(classes.withColumnRenamed("b", "c"), "classes")
+    shared = profile.where("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(_shared, "a long, c long")
+    met = shared.join(classes.select("c", "v"), "c").select("a", "c", "v").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_joined(t), "a long, b long")
+    clusters = connected_components(met)
+    # one document of each class in a cluster, with its text
+    held = classes.select("c", "id", "n").join(clusters.withColumnRenamed("node", "c"), "c")
     sizes = held.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
     cells = F.greatest(F.ceil(F.col("many") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
     held = held.join(sizes.select("component", cells.alias("cells")), "component").withColumn("cell", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int"))
@@ -263,14 +369,15 @@ def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A doc_id can stand at several texts: keep the one of the class. Adds the count vector."""
         for batch in batches:
-            keep, vectors = [], []
             c = batch.column("c").to_pylist()
             for lo, _, buf, offsets in ts.slices(batch.column("text")):
+                keep, vectors = [], []
                 for k, s in enumerate(shingle_sets(buf, offsets, n)):
                     if len(s) and class_of(s) == c[lo + k]:
                         keep.append(lo + k)
                         vectors.append(count_vector(s).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(vectors, pa.list_(pa.int64()))], names=[*batch.schema.names, "vector"])
+                if keep:
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(vectors, pa.list_(pa.int64()))], names=[*batch.schema.names, "vector"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"))
     held = held.join(texts, F.col("id").eqNullSafe(F.col("own_id"))).select("component", "cells", "cell", "c", "text")
@@ -303,9 +410,10 @@ def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame
     if any_large:
         edges = edges.unionByName(_across(large, edges, links))
     joined = connected_components(edges).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    rows = rows.join(joined, "c", "left").withColumn("top", F.coalesce("top", "c"))
-    least = rows.where("c is not null").groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "top", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "c")
+    tops = classes.select("c", "id").join(joined, "c", "left").select("c", "id", F.coalesce("top", "c").alias("top"))
+    least = tops.groupBy("top").agg(F.min("id").alias("component_id"))
+    named = materialize(tops.join(least, "top").select("c", "component_id"), "named")
+    return rows.join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "c")
 
 
 def _across(large: DataFrame, edges: DataFrame, links) -> DataFrame:
@@ -332,10 +440,13 @@ def _across(large: DataFrame, edges: DataFrame, links) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
     """``docs`` with one document, the one of the smallest doc_id, of each component; empty texts all stay."""
     found = components(docs, n, threshold)
-    own = found.where("c is not null and doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_id")
+    own = found.where("c is not null and doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    own = materialize(own.withColumnRenamed("doc_id", "_id"), "kept")
     empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     joined = docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
     single = joined.where(empty | (F.col("_rows") == 1)).select(*docs.columns)
+    if own.where("_rows > 1").isEmpty():
+        return single
     # the same document given twice: one of the rows, whose texts link with each other
     again = joined.where(~empty & (F.col("_rows") > 1)).dropDuplicates(["_id"]).select(*docs.columns)
     return single.unionByName(again)

@@ -8,7 +8,7 @@ simply run again.
 Edge cases: a null text counts as empty; a text without words has zero counts
 and fails the base rule; lines and n-grams compare byte by byte, so case
 matters; repeated rows each get their own row; other columns are ignored.
-Memory is bounded by one Arrow batch plus 2 MB slices of it, or one longer text.
+Memory is bounded by one Arrow batch plus 512 KB slices of it, or one longer text.
 """
 
 from collections.abc import Iterator
@@ -140,12 +140,10 @@ def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
             for lo, hi, buf, offsets in ts.slices(batch.column(at)):
                 m = measure(buf, offsets, rules)
                 judge(m, rules)
-                keep[lo:hi] = m["kept"]
-            if keep.any():
-                yield batch.filter(pa.array(keep))
+                if m["kept"].any():
+                    yield batch.slice(lo, hi - lo).filter(pa.array(m["kept"]))
 
     return docs.mapInArrow(run, schema)

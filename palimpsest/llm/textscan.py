@@ -27,7 +27,7 @@ def _power(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if n <= 1 << 23:  # a longer one would stay in memory for the sake of one text
+        if n <= 1 << 21:  # a longer one would stay in memory for the sake of one text
             _powers[base] = have
     return have[:n]
 
@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = 512 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a text column into runs of rows of at most ``limit`` bytes, or one longer row.
 
     Yields (first row, row after the last, bytes, offsets into these). Null is
