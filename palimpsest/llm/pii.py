@@ -147,8 +147,23 @@ def _spans(docs: DataFrame, p: PiiParams) -> DataFrame:
     found = materialize(found.select("doc_id", F.xxhash64("_text").alias("h"), "base", F.transform("tokens", _trimmed).alias("tokens")), "pii-found")
     overlap = lambda t: F.filter("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
     usable = F.filter("tokens", lambda t: (t["word"] != "") & (t["token"] != ""))
-    labelled = F.transform(usable, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["word"].alias("word"), t["token"].alias("token"), F.get(overlap(t), F.lit(0))["kind"].alias("kind")))
-    each = found.where(F.size("tokens") > 0).select("doc_id", "h", F.inline(labelled))
+
+    def label(t: Column) -> Column:
+        """A candidate with its kind; one that begins a base span stands for all tokens of that span."""
+        b = F.get(overlap(t), F.lit(0))
+        parts = F.filter("tokens", lambda x: (x["start"] < b["end"]) & (b["start"] < x["end"]))
+        whole = F.array_join(F.transform(parts, lambda x: x["token"]), " ")
+        return F.struct(
+            t["start"].alias("start"),
+            t["end"].alias("end"),
+            t["word"].alias("word"),
+            F.when(b.isNull(), t["token"]).otherwise(whole).alias("token"),
+            b["kind"].alias("kind"),
+            (b.isNull() | (F.array_min(F.transform(parts, lambda x: x["start"])) == t["start"])).alias("begins"),
+        )
+
+    labelled = F.filter(F.transform(usable, label), lambda t: t["begins"])
+    each = found.where(F.size("tokens") > 0).select("doc_id", "h", F.inline(labelled)).drop("begins")
     patterns = _trusted(each.select("word", "token", "kind"), p)
     if patterns.isEmpty():
         return found.select("doc_id", "h", "base", F.col("base").alias("spans"))
