@@ -16,6 +16,8 @@ record larger than a shard keeps its shard nearly to itself; an empty table
 gives no rows; other columns are ignored.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,10 @@ def _range_of(key: Column, bounds: list[tuple[str, int | None]]) -> Column:
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
-
-    def among(part: list[tuple[str, int | None]]) -> Column:
-        return F.array(*(F.struct(F.lit(h).alias("h"), F.lit(i).cast("long").alias("id")) for h, i in part))
-
-    heads = F.size(F.filter(among(bounds[::step]), lambda b: b <= key))  # at least one head is at most key, or none is
-    blocks = F.array(*(among(bounds[k : k + step]) for k in range(0, len(bounds), step)))
+    keys = [{"h": h, "id": i} for h, i in bounds]
+    written = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)  # noqa: E731  a constant, folded by the optimizer
+    heads = F.size(F.filter(written(keys[::step], "array<struct<h:string,id:bigint>>"), lambda b: b <= key))
+    blocks = written([keys[k : k + step] for k in range(0, len(keys), step)], "array<array<struct<h:string,id:bigint>>>")
     inside = F.size(F.filter(F.element_at(blocks, F.greatest(heads, F.lit(1))), lambda b: b <= key))
     return F.when(heads == 0, 0).otherwise((heads - 1) * step + inside)
 
