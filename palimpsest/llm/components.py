@@ -20,6 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        hooks = materialize(hooks, "hooks")  # so that both sides of the join below are dealt out for it alone, and a hub's side can be split
         further = hooks.select(F.col("node").alias("up"), F.col("up").alias("above"))
         hooks = materialize(hooks.join(further, "up", "left").select("node", F.coalesce("above", "up").alias("up")), "hooks")
         if labels is None:
