@@ -1,17 +1,38 @@
 """Similarity buckets: chains by hash, buckets of ``bucket_size`` in arrival order, chains drained in a defined order.
 
-Rows are numbered inside their chain only. What is known of the chains, a row
-for each of at most 64, gives every chain its place, so no window spans the
-table: bucket = buckets before the chain + (number in chain - 1) / size.
+Rows are numbered inside blocks of neighbouring arrivals of their chain; running
+sums over the counts of the blocks carry the numbers on, so a chain that holds
+most rows is shared by many tasks. What is known of the chains, a row for each
+of at most 64, gives every chain its place, so no window spans the table:
+bucket = buckets before the chain + (number in chain - 1) / size.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK_BITS = 20  # a block has at most 2 ** 20 arrivals
 
-def chain_table(numbered: DataFrame, bucket_size: int, order: str = "longest", seed: int = 0) -> DataFrame:
+
+def _blocks(reads: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """``reads`` with its block, and rows of each chain's block with the rows of the chain before it. Rows without an arrival come first."""
+    rows = reads.withColumn("_block", F.coalesce(F.shiftright(F.col("arrival").cast("long"), bits), F.lit(-(1 << 63) >> bits)))
+    before = Window.partitionBy("chain").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("chain", "_block").agg(F.count("*").alias("_n"))
+    return rows, blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+
+def _numbered(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Add rn, a row's number in its chain from 1."""
+    own = F.row_number().over(Window.partitionBy("chain", "_block").orderBy("arrival"))
+    return rows.join(blocks.select("chain", "_block", "_before"), ["chain", "_block"]).withColumn("rn", (own + F.col("_before")).cast("long"))
+
+
+def chain_table(rows: DataFrame, blocks: DataFrame, bucket_size: int, order: str = "longest", seed: int = 0) -> DataFrame:
     """chain, n_buckets, cord (its turn from 1), buckets and rows before it."""
-    chains = numbered.groupBy("chain").agg(F.count("*").alias("n_rows"), F.min(F.when(F.col("rn") == bucket_size, F.col("arrival"))).alias("filled"))
+    fills = F.col("_before").between(bucket_size - F.col("_n"), bucket_size - 1)
+    filling = blocks.where(fills)  # at most one block of each chain
+    filled = _numbered(rows.select("chain", "_block", "arrival"), F.broadcast(filling)).where(F.col("rn") == bucket_size).select("chain", F.col("arrival").alias("filled"))
+    chains = blocks.groupBy("chain").agg(F.sum("_n").alias("n_rows")).join(F.broadcast(filled), "chain", "left")
     chains = chains.withColumn("n_buckets", F.ceil(F.col("n_rows") / bucket_size).cast("long"))
     # the chain whose first bucket is full first starts; without a full bucket the longest does
     first = F.row_number().over(Window.orderBy(F.col("filled").asc_nulls_last(), F.col("n_buckets").desc(), "chain")) == 1
@@ -27,14 +48,15 @@ def chain_table(numbered: DataFrame, bucket_size: int, order: str = "longest", s
     )
 
 
-def assign_buckets(reads: DataFrame, bucket_size: int, order: str = "longest", seed: int = 0) -> DataFrame:
+def assign_buckets(reads: DataFrame, bucket_size: int, order: str = "longest", seed: int = 0, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Add cb (the bucket's number in its chain from 0), bucket and pos (from 1, in the order in which buckets are handed out).
 
     ``reads`` has arrival and chain. With one chain and arrivals without gaps,
     ``assign_arrival_buckets`` needs no window.
     """
-    numbered = reads.withColumn("rn", F.row_number().over(Window.partitionBy("chain").orderBy("arrival")).cast("long"))
-    chains = chain_table(numbered, bucket_size, order, seed)
+    rows, blocks = _blocks(reads, block_bits)
+    numbered = _numbered(rows, blocks)
+    chains = chain_table(rows, blocks, bucket_size, order, seed)
     cb = F.floor((F.col("rn") - 1) / bucket_size).cast("long")
     joined = numbered.join(F.broadcast(chains), "chain")
     return joined.withColumn("cb", cb).select(

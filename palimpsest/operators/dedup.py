@@ -1,7 +1,10 @@
 """Routes of rows: taken from the cache, a duplicate inside the bucket, or unique work.
 
 A bucket sees the results of buckets at least two before it. Without eviction
-the cache's state follows from the rows alone, so hits are window expressions.
+the cache's state follows from the rows alone: from the bucket that admits a key.
+That bucket is found by an aggregate or a row limit that starts before the
+shuffle and is joined back, so that a hot key's rows never meet in one task;
+windows are over equal keys of one bucket at most.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -17,15 +20,20 @@ def mark_hits(rows: DataFrame, policy: str = "lru", bloom: bool = False, mode: s
     """
     if policy == "none":
         return rows.withColumn("hit", F.lit(False))
-    key = Window.partitionBy("key")
-    if not bloom:
-        return rows.withColumn("hit", F.col("bucket") >= F.min("bucket").over(key) + LAG)
-    if mode == "wired":
-        admitted = F.min(F.when(F.col("pos") > 1, F.col("bucket"))).over(key)
-        return rows.withColumn("hit", F.coalesce(F.col("bucket") >= admitted + LAG, F.lit(False)))
-    ordered = rows.withColumn("nth", F.row_number().over(key.orderBy("pos")))
-    second = F.min(F.when(F.col("nth") == 2, F.col("bucket"))).over(key)
-    return ordered.withColumn("hit", F.coalesce(F.col("bucket") >= second + LAG, F.lit(False))).drop("nth")
+    if bloom and mode != "wired":
+        # a limit by rank is taken before the shuffle too: two rows of a key leave each task
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
+        admitted = rows.select("key", "pos", "bucket").withColumn("nth", nth).where("nth = 2").select("key", F.col("bucket").alias("_from"))
+    else:
+        admits = F.when(F.col("pos") > 1, F.col("bucket")) if bloom else F.col("bucket")
+        admitted = rows.groupBy("key").agg(F.min(admits).alias("_from"))
+    return _with_key(rows, admitted).withColumn("hit", F.coalesce(F.col("bucket") >= F.col("_from") + LAG, F.lit(False))).drop("_from")
+
+
+def _with_key(rows: DataFrame, of_key: DataFrame) -> DataFrame:
+    """Add what is known of each row's key. ``of_key`` has one row for a key."""
+    of_key = of_key.withColumnRenamed("key", "_key")
+    return rows.join(of_key, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def mark_routes(rows: DataFrame, compression: str = "none", mode: str = "intended") -> DataFrame:
@@ -61,8 +69,8 @@ def counters(routed: DataFrame, compression: str = "none", bloom: bool = False,
         routed = routed.withColumn("first", F.min("pos").over(Window.partitionBy("bucket", "key")))
         asked = asked & (F.col("pos") == F.col("first"))
     if bloom:
-        known = F.col("bucket") >= F.min("bucket").over(Window.partitionBy("key")) + LAG
-        routed = routed.withColumn("known", known)
+        routed = _with_key(routed, routed.groupBy("key").agg(F.min("bucket").alias("_from")))
+        routed = routed.withColumn("known", F.col("bucket") >= F.col("_from") + LAG)
         asked = asked & F.col("known")
     return routed.withColumn("asked", asked).groupBy("bucket").agg(
         F.count("*").alias("n_rows"),

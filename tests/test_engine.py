@@ -104,8 +104,26 @@ def sequences(n, pool, seed):
 def test_buckets_equal_the_simulator(spark, size, seed):
     s = sequences(301, 40, seed)
     df = reads(spark, s).withColumn("chain", keys.chain_hash(F.col("sequence"), "double"))
-    got = {r.arrival: (r.bucket, r.pos) for r in bucketing.assign_buckets(df, size).collect()}
-    assert got == simulate_buckets([4 * CODE.get(x[0], 3) + CODE.get(x[1], 3) for x in s], size)
+    want = simulate_buckets([4 * CODE.get(x[0], 3) + CODE.get(x[1], 3) for x in s], size)
+    for bits in (bucketing.BLOCK_BITS, 2, 4):  # one block for all rows, and many
+        assert {r.arrival: (r.bucket, r.pos) for r in bucketing.assign_buckets(df, size, block_bits=bits).collect()} == want
+
+
+def test_one_chain_and_no_arrival(spark):
+    df = spark.createDataFrame([(0, None), (0, 9), (0, 70), (0, 71), (0, -3)], "chain int, arrival long")
+    got = {r.arrival: (r.cb, r.bucket, r.pos) for r in bucketing.assign_buckets(df, 2, block_bits=3).collect()}
+    assert got == {None: (0, 1, 1), -3: (0, 1, 2), 9: (1, 2, 3), 70: (1, 2, 4), 71: (2, 3, 5)}
+
+
+def test_no_window_spans_a_key(spark):
+    df = spark.createDataFrame([("A", 1, 1), (None, 1, 2), (None, 3, 3), ("A", 2, 4), ("A", 4, 5)], "key string, bucket long, pos long")
+    for bloom, want in ((False, {1: False, 2: False, 3: True, 4: False, 5: True}), (True, {1: False, 2: False, 3: False, 4: False, 5: True})):
+        marked = dedup.mark_hits(df, "lru", bloom)
+        assert {r.pos: r.hit for r in marked.collect()} == want
+        plan = marked._jdf.queryExecution().sparkPlan().toString().replace("WindowGroupLimit", "Limit")
+        # the only window over a key's rows gets two of them from each task
+        assert (plan.count("Window ["), plan.count(", 2, Partial"), plan.count(", 2, Final")) == (int(bloom),) * 3
+        assert "Limit [key" in plan or not bloom
 
 
 def test_drain_order(spark):
