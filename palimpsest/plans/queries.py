@@ -226,6 +226,12 @@ def _numbered(s: SparkSession, d: str) -> DataFrame:
     return event_reads(s, d).select("file_id", F.col("arrival").alias("event_id"), (F.row_number().over(own) - 1).cast("long").alias("rec_idx"))
 
 
+def _even(s: SparkSession, d: str) -> DataFrame:
+    """All events dealt to five files of equal length."""
+    event = F.col("event_id")
+    return _table(s, d, "events").select(event, F.pmod(event, F.lit(5)).cast("int").alias("file_id"), F.floor(event / 5).cast("long").alias("rec_idx"))
+
+
 _rec_sql = f"with {EVENTS_SQL}, n as (select file_id, arrival as event_id, row_number() over (partition by file_id order by arrival) - 1 as rec_idx from reads)"
 register(
     "interleave_seq",
@@ -234,8 +240,8 @@ register(
 )
 register(
     "interleave_equal",
-    lambda s, d: with_arrival(_numbered(s, d).where("rec_idx < 100"), 5).select("event_id", "arrival"),
-    f"{_rec_sql} select event_id, row_number() over (order by rec_idx, file_id) - 1 as arrival from n where rec_idx < 100",
+    lambda s, d: with_arrival(_even(s, d), 5).select("event_id", "arrival"),
+    "select event_id, row_number() over (order by event_id // 5, event_id % 5) - 1 as arrival from events",
 )
 register("interleave_general", lambda s, d: with_arrival(_numbered(s, d), 3).select("event_id", "arrival"))
 for _policy, _dir in (("lru", "desc"), ("mru", "asc")):
