@@ -284,15 +284,18 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
                     if word.isalpha():
                         stems.update(word[:k] for k in p.stem_lengths if k <= len(word))
                 seen[toxic.as_py()].update(stems)
-                seen[toxic.as_py()][""] += 1
             names = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], names=["term", "pos", "neg"])
 
     counts = texts.mapInArrow(count, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # a stem that stands in fewer toxic texts than ``min_docs``, or in more clean than toxic ones, can't be a term
-    rows = [(r.term, r.pos, r.neg) for r in counts.where((F.col("term") == "") | ((F.col("pos") >= p.min_docs) & (F.col("neg") * 10 <= F.col("pos")))).orderBy(F.col("pos").desc(), "term").limit(100 * p.max_terms).collect()]
-    pos, neg = next(((a, b) for t, a, b in rows if not t), (0, 0))
-    terms, weak = choose_terms([r for r in rows if r[0]], pos, neg, p)
+    sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    # a stem that stands in fewer toxic texts than ``min_docs``, or whose rate in clean ones is above ``weak``, can't be a
+    # term; each letter that a term grows by may take a tenth of its toxic texts, so the limit leaves room for these
+    most = p.weak / 0.9 ** len(p.stem_lengths)
+    can_be = (F.col("pos") >= p.min_docs) & (F.col("neg") * float(pos) <= most * F.col("pos") * float(neg))
+    rows = [(r.term, r.pos, r.neg) for r in counts.where(can_be).orderBy(F.col("pos").desc(), "term").limit(100 * p.max_terms).collect()]
+    terms, weak = choose_terms(rows, pos, neg, p)
     model = ToxicityModel(terms, weak=frozenset(weak), window=p.window, quoted_weight=p.quoted_weight)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -389,6 +389,21 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def labelled(spark, rows):
+    """Documents and labels of (text, toxic), with ids that are learned from."""
+    ids = (i for i in range(10**6) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(i, *r) for i, r in zip(ids, rows, strict=False)]
+    return spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+
+
+def test_weak_terms_are_told_by_rates(spark):
+    rng = random.Random(3)
+    rows = [(" ".join([*words(rng, 12), *(["you", "grumblex"] if i < 20 else [])]), 1) for i in range(40)]
+    rows += [(" ".join([*words(rng, 12), *(["grumblex"] if i < 6 else [])]), 0) for i in range(400)]
+    model = toxicity.fit(*labelled(spark, rows))
+    assert any(t.startswith("gru") for t in model.weak)  # 20 of 40 toxic and 6 of 400 clean texts: 0.03 of the rate
+
+
 def test_shared_folder_is_the_sessions(spark, tmp_path):
     old = spark.conf.get("spark.checkpoint.dir", None)
     folder = storage.shared_folder(spark)
