@@ -243,14 +243,18 @@ def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int, p: Toxi
     return sorted(set(strong.values()), key=rank)[: p.max_terms], sorted(set(weak.values()), key=rank)[: p.max_terms]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton steps with a small ridge, which keeps separable classes finite."""
+def _logistic(x: np.ndarray, y: np.ndarray, worth: np.ndarray) -> np.ndarray:
+    """Newton steps with a small ridge, which keeps separable classes finite; a row counts ``worth`` times."""
     a = np.hstack((np.ones((len(x), 1)), x))
     w = np.zeros(a.shape[1])
     ridge = np.diag([1e-3] + [0.05] * x.shape[1])
-    for _ in range(50):
+    loss = lambda w: worth @ np.logaddexp(0, np.where(y > 0.5, -1, 1) * (a @ w)) + w @ ridge @ w / 2
+    for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + ridge, a.T @ (y - q) - ridge @ w)
+        step = np.linalg.solve((a * (worth * q * (1 - q))[:, None]).T @ a + ridge, a.T @ (worth * (y - q)) - ridge @ w)
+        now = loss(w)
+        while loss(w + step) > now and np.abs(step).max() >= 1e-8:
+            step = step / 2
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -265,6 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
         .where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
+    labelled = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
     picked = []
     for toxic in (0, 1):
         top = own.where(F.col("toxic") == toxic).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
@@ -317,7 +322,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
 
     found = texts.where((F.col("toxic") == 1) | ~half).mapInArrow(featured, "doc_id long, toxic int, x array<double>").select("doc_id", "toxic", "x").collect()
     found.sort(key=lambda r: (r.doc_id, r.toxic))
-    model.weights = _logistic(np.array([r.x for r in found]), np.array([r.toxic for r in found], dtype=float))
+    # each row stands for those of its class that the cap or the vetoes keep from the fit, so that neither moves the scores
+    fitted, chosen = Counter(r.toxic for r in found), Counter(t for _, t in picked)
+    worth = {t: labelled[t] / chosen[t] * sizes[t] / n for t, n in fitted.items()}
+    model.weights = _logistic(np.array([r.x for r in found]), np.array([r.toxic for r in found], dtype=float), np.array([worth[r.toxic] for r in found]))
     return model
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -404,6 +405,28 @@ def test_weak_terms_are_told_by_rates(spark):
     assert any(t.startswith("gru") for t in model.weak)  # 20 of 40 toxic and 6 of 400 clean texts: 0.03 of the rate
 
 
+def test_scores_do_not_depend_on_the_cap(spark):
+    rng = random.Random(4)
+    rows = [(" ".join([*words(rng, 12), *(["grumblex"] if i < 70 else [])]), 1) for i in range(100)]
+    rows += [(" ".join([*words(rng, 12), *(["grumblex"] if i % 25 == 0 else [])]), 0) for i in range(1600)]
+    docs, labels = labelled(spark, rows)
+    whole, capped = (toxicity.fit(docs, labels, toxicity.ToxicityParams(sample=k)) for k in (6000, 100))
+    assert whole.weak and whole.weak == capped.weak
+    assert abs(whole.weights[0] - math.log(30 / 1536)) < 0.5  # what all labels say of a text without hits
+    assert abs(whole.weights[0] - capped.weights[0]) < 0.5
+
+
+def test_logistic_ends_where_classes_are_apart():
+    x, y = np.zeros((60, 5)), np.arange(60.0) < 20
+    x[:20, 0] = 3
+    for many in (1.0, 1e4, 1e9):
+        worth = np.where(y, 1.0, many)
+        w = toxicity._logistic(x, y.astype(float), worth)
+        p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+        slope = np.array([(worth * (y - p)).sum() - 1e-3 * w[0], (worth * (y - p)) @ x[:, 0] - 0.05 * w[1]])
+        assert np.isfinite(w).all() and (np.abs(slope) < 1e-3).all()
+
+
 def test_shared_folder_is_the_sessions(spark, tmp_path):
     old = spark.conf.get("spark.checkpoint.dir", None)
     folder = storage.shared_folder(spark)
