@@ -36,7 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
@@ -208,12 +208,12 @@ def cell_links(sets: list[np.ndarray], ask: np.ndarray, give: np.ndarray, group:
 
 
 def _profile(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """In one pass: (0, doc_id, class, size, point) of each row and (1, signature, class)."""
-    names = ["kind", "a", "b", "n", "v"]
+    """In one pass: (0, doc_id, class, size, point, hash of the text) of each row and (1, signature, class)."""
+    names = ["kind", "a", "b", "n", "v", "h"]
 
-    def rows(kind: int, a: pa.Array, b: pa.Array, size=None, v=None) -> pa.RecordBatch:
+    def rows(kind: int, a: pa.Array, b: pa.Array, size=None, v=None, h=None) -> pa.RecordBatch:
         m = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), a, b, pa.nulls(m, pa.int64()) if size is None else size, pa.nulls(m, pa.binary()) if v is None else v], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), a, b, pa.nulls(m, pa.int64()) if size is None else size, pa.nulls(m, pa.binary()) if v is None else v, pa.nulls(m, pa.int64()) if h is None else h], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,13 +231,19 @@ def _profile(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
                         x = signatures(s, t)
                         sigs.append(x)
                         of.append(np.full(len(x), c, dtype=np.int64))
-            yield rows(0, batch.column(0).cast(pa.int64()), pa.array(own, pa.int64()), pa.array(size, pa.int64()), pa.array(points, pa.binary()))
+            yield rows(0, batch.column(0).cast(pa.int64()), pa.array(own, pa.int64()), pa.array(size, pa.int64()), pa.array(points, pa.binary()), batch.column(2))
             if sigs:
                 a, b = np.concatenate(sigs).view(np.int64), np.concatenate(of)
                 for k in range(0, len(a), 50_000):
                     yield rows(1, pa.array(a[k : k + 50_000].copy()), pa.array(b[k : k + 50_000].copy()))
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "kind byte, a long, b long, n long, v binary")
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "kind byte, a long, b long, n long, v binary, h long")
+
+
+def _least(doc_id: str, h: str) -> Column:
+    """The row of the smallest doc_id, one without any last, then of the smallest hash of the text."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(h).alias("h")))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,37 +356,39 @@ def _joined(t: Fraction):
     return run
 
 
-def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id. Sets link at a Jaccard similarity of ``threshold`` or more."""
-    t = Fraction(threshold)
+def _components(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, c, n_shingles), the component of each class (c, top), and the least row of each component (top, id, h)."""
     profile = materialize(_profile(docs, n, t), "profile")
-    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("c"), F.col("n").alias("n_shingles"))
-    classes = profile.where("kind = 0 and b is not null").groupBy("b").agg(F.min("a").alias("id"), F.max("n").alias("n"), F.min("v").alias("v"))
-    classes = materialize(classes.withColumnRenamed("b", "c"), "classes")
+    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "h", F.col("b").alias("c"), F.col("n").alias("n_shingles"))
+    classes = profile.where("kind = 0 and b is not null").groupBy("b").agg(_least("a", "h").alias("least"), F.max("n").alias("n"), F.min("v").alias("v"))
+    classes = materialize(classes.select(F.col("b").alias("c"), "least.id", "least.h", "n", "v"), "classes")
     shared = profile.where("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(_shared, "a long, c long")
     met = shared.join(classes.select("c", "v"), "c").select("a", "c", "v").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_joined(t), "a long, b long")
     clusters = connected_components(met)
     # one document of each class in a cluster, with its text
-    held = classes.select("c", "id", "n").join(clusters.withColumnRenamed("node", "c"), "c")
+    held = classes.select("c", "id", "h", "n").join(clusters.withColumnRenamed("node", "c"), "c")
     sizes = held.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
     cells = F.greatest(F.ceil(F.col("many") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
     held = held.join(sizes.select("component", cells.alias("cells")), "component").withColumn("cell", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A doc_id can stand at several texts: keep the one of the class. Adds the count vector."""
+        """A row can be given several times: keep one for the class. Adds the count vector."""
+        seen = set()
         for batch in batches:
             c = batch.column("c").to_pylist()
             for lo, _, buf, offsets in ts.slices(batch.column("text")):
                 keep, vectors = [], []
                 for k, s in enumerate(shingle_sets(buf, offsets, n)):
-                    if len(s) and class_of(s) == c[lo + k]:
+                    if len(s) and c[lo + k] not in seen and class_of(s) == c[lo + k]:
+                        seen.add(c[lo + k])
                         keep.append(lo + k)
                         vectors.append(count_vector(s).tolist())
                 if keep:
                     yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(vectors, pa.list_(pa.int64()))], names=[*batch.schema.names, "vector"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("text"))
-    held = held.join(texts, F.col("id").eqNullSafe(F.col("own_id"))).select("component", "cells", "cell", "c", "text")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text.alias("text"), F.xxhash64(text).alias("own_h"))
+    held = held.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))).select("component", "cells", "cell", "c", "text")
     held = materialize(held.mapInArrow(check, "component long, cells int, cell int, c long, text string, vector array<long>"), "held")
 
     def sets_of(table: pa.Table) -> list[np.ndarray]:
@@ -410,9 +418,15 @@ def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame
     if any_large:
         edges = edges.unionByName(_across(large, edges, links))
     joined = connected_components(edges).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    tops = classes.select("c", "id").join(joined, "c", "left").select("c", "id", F.coalesce("top", "c").alias("top"))
-    least = tops.groupBy("top").agg(F.min("id").alias("component_id"))
-    named = materialize(tops.join(least, "top").select("c", "component_id"), "named")
+    tops = classes.select("c", "id", "h").join(joined, "c", "left").select("c", "id", "h", F.coalesce("top", "c").alias("top"))
+    least = tops.groupBy("top").agg(_least("id", "h").alias("least")).select("top", "least.id", "least.h")
+    return rows, tops.select("c", "top"), least
+
+
+def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id. Sets link at a Jaccard similarity of ``threshold`` or more."""
+    rows, tops, least = _components(docs, n, Fraction(threshold))
+    named = materialize(tops.join(least, "top").select("c", F.col("id").alias("component_id")), "named")
     return rows.join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "c")
 
 
@@ -438,15 +452,18 @@ def _across(large: DataFrame, edges: DataFrame, links) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
-    """``docs`` with one document, the one of the smallest doc_id, of each component; empty texts all stay."""
-    found = components(docs, n, threshold)
-    own = found.where("c is not null and doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    own = materialize(own.withColumnRenamed("doc_id", "_id"), "kept")
-    empty = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    joined = docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    """``docs`` with one document of each component, the one of the smallest doc_id and then hash of its text; empty texts all stay."""
+    rows, _, least = _components(docs, n, Fraction(threshold))
+    given = rows.where("c is not null").groupBy("doc_id", "h").agg(F.count("*").alias("_rows"))
+    least = least.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    own = given.join(least, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    own = materialize(own.select("_id", "_h", "_rows"), "kept")
+    text = F.col("text").cast("string")
+    empty = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    joined = docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
     single = joined.where(empty | (F.col("_rows") == 1)).select(*docs.columns)
     if own.where("_rows > 1").isEmpty():
         return single
-    # the same document given twice: one of the rows, whose texts link with each other
-    again = joined.where(~empty & (F.col("_rows") > 1)).dropDuplicates(["_id"]).select(*docs.columns)
+    # the same doc_id and text given more than once: one of the rows
+    again = joined.where(~empty & (F.col("_rows") > 1)).dropDuplicates(["_id", "_h"]).select(*docs.columns)
     return single.unionByName(again)

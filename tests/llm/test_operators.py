@@ -88,6 +88,21 @@ def test_keep_one(spark, texts):
     assert ngram_join.keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_of_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(8)
+    base = [words(rng, 60, 10**6) for _ in range(6)]
+    text = [" ".join(w) for w in base]
+    near = [" ".join([*w[:-1], "other"]) for w in base]
+    rows = [(None, text[0]), (None, text[1]), (None, near[1]), (None, text[2]), (None, text[2]), (None, " "), (None, None)]
+    rows += [(7, text[3]), (7, text[4]), (7, text[4]), (7, near[4]), (None, near[3]), (9, text[5]), (8, near[5]), (None, text[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(df, 5, "0.8").collect()]
+    # of each component one row, of the smallest id; empty texts all stay
+    assert sorted(i or 0 for i, t in kept if t and t.strip()) == [0, 0, 0, 7, 7, 8]
+    found = [k for _, t in kept for k in range(6) if t in (text[k], near[k])]
+    assert sorted(found) == list(range(6)) and len(kept) == 8 and set(kept) <= set(rows)
+
+
 def test_signatures_meet_and_tree_finds():
     rng = np.random.default_rng(2)
     for t in (Fraction("0.9"), Fraction("0.8")):
