@@ -12,7 +12,7 @@ abuse. A logistic regression over the hits gives the score.
 
 Bounds: terms and weights are fitted on at most ``sample`` labelled rows of each
 class (the smallest hashes of doc_id); what leaves the executors for that are
-counts of at most 100 * ``max_terms`` stems and five numbers a row. All texts are
+counts of the stems that can be terms, near spellings, and five numbers a row. All texts are
 scored whole.
 
 Edge cases: a null or empty text has the score of a text without hits; without
@@ -22,6 +22,7 @@ doc_id are scored but not learned from; other columns are ignored.
 """
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +41,6 @@ REPORTING = frozenset("said says say wrote writes called calls quote quoted quot
 @dataclass(frozen=True)
 class ToxicityParams:
     sample: int = 6000
-    max_terms: int = 400
     min_docs: int = 4
     chance: float = 1e-4
     #: a term's rate in clean texts, as a share of its rate in toxic ones
@@ -228,19 +228,21 @@ def choose_terms(counts: list[tuple[str, int, int]], pos: int, neg: int, p: Toxi
     for t in order:
         if telling(*have[t], p.strong) and not any(t[:k] in strong for k in range(1, len(t))):
             strong[t] = grown(t)
-    weak: dict[str, str] = {}
+    names, weak = sorted(strong), {}
     for t in order:
         if any(t[:k] in strong or t[:k] in weak for k in range(1, len(t) + 1)):
             continue
         a, b = have[t]
-        own = [x for x in strong if x.startswith(t)]
+        if not telling(a, b, p.weak):
+            continue
+        own = [x for x in names[bisect_left(names, t) : bisect_left(names, t + "\U0010ffff")] if x in strong]
         # a strong stem below that explains most of it stays; many small ones are chance picks of a weak one
-        if telling(a, b, p.weak) and all(1.5 * have[x][0] < a for x in own):
+        if all(1.5 * have[x][0] < a for x in own):
             weak[t] = grown(t)
             for x in own:
                 del strong[x]
     rank = lambda t: (-have[t][0], t)
-    return sorted(set(strong.values()), key=rank)[: p.max_terms], sorted(set(weak.values()), key=rank)[: p.max_terms]
+    return sorted(set(strong.values()), key=rank), sorted(set(weak.values()), key=rank)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, worth: np.ndarray) -> np.ndarray:
@@ -299,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     # term; each letter that a term grows by may take a tenth of its toxic texts, so the limit leaves room for these
     most = p.weak / 0.9 ** len(p.stem_lengths)
     can_be = (F.col("pos") >= p.min_docs) & (F.col("neg") * float(pos) <= most * F.col("pos") * float(neg))
-    rows = [(r.term, r.pos, r.neg) for r in counts.where(can_be).orderBy(F.col("pos").desc(), "term").limit(100 * p.max_terms).collect()]
+    rows = [(r.term, r.pos, r.neg) for r in counts.where(can_be).collect()]
     terms, weak = choose_terms(rows, pos, neg, p)
     model = ToxicityModel(terms, weak=frozenset(weak), window=p.window, quoted_weight=p.quoted_weight)
 
@@ -313,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     # near spellings of one half of the clean texts are vetoed, weights come from the other half
     half = F.xxhash64("doc_id", F.lit(1)) % 2 == 0
     near = texts.where((F.col("toxic") == 0) & half).mapInArrow(measure, "doc_id long, toxic int, near array<string>")
-    model.vetoed = frozenset(r.w for r in near.select(F.explode("near").alias("w")).distinct().orderBy("w").limit(100_000).collect())
+    model.vetoed = frozenset(r.w for r in near.select(F.explode("near").alias("w")).distinct().collect())
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -420,6 +420,13 @@ def test_weak_terms_are_told_by_rates(spark):
     assert any(t.startswith("gru") for t in model.weak)  # 20 of 40 toxic and 6 of 400 clean texts: 0.03 of the rate
 
 
+def test_no_term_is_left_out():
+    stems = [a + b + c for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh"]
+    counts = [(t, 30, 0) for t in stems] + [(t[::-1] + "z", 10, 0) for t in stems] + [("x" + t, 30, 20) for t in stems]
+    strong, weak = toxicity.choose_terms(counts, 100, 1000, toxicity.ToxicityParams())
+    assert set(strong) == set(stems) and set(weak) == {"x" + t for t in stems}
+
+
 def test_scores_do_not_depend_on_the_cap(spark):
     rng = random.Random(4)
     rows = [(" ".join([*words(rng, 12), *(["grumblex"] if i < 70 else [])]), 1) for i in range(100)]
