@@ -22,8 +22,8 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def reads(spark: SparkSession, d: str) -> DataFrame:
     """Documents as reads: equal texts are equal sequences; files are the sources by name."""
     docs = _table(spark, d, "documents").select("doc_id", "text", "lang", "source")
-    names = docs.select("source").distinct().withColumn("file_id", (F.dense_rank().over(Window.orderBy("source")) - 1).cast("int"))
-    return docs.join(F.broadcast(names), "source").select(
+    names = docs.select(F.col("source").alias("name")).distinct().withColumn("file_id", (F.dense_rank().over(Window.orderBy(F.col("name").asc_nulls_last())) - 1).cast("int"))
+    return docs.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name"))).select(
         "file_id",
         F.concat(F.lit("@d"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang")).alias("header"),
         F.translate(F.md5("text"), "0123456789abcdef", "ACGTNACGTNACGTNA").alias("sequence"),
@@ -36,9 +36,9 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 def event_reads(spark: SparkSession, d: str) -> DataFrame:
     """Events as reads with much repetition: the key is the user."""
     rows = _table(spark, d, "events").select("event_id", "user_id", "event_type")
-    names = rows.select("event_type").distinct().withColumn("file_id", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("int"))
+    names = rows.select(F.col("event_type").alias("name")).distinct().withColumn("file_id", (F.dense_rank().over(Window.orderBy(F.col("name").asc_nulls_last())) - 1).cast("int"))
     user = F.col("user_id").cast("string")
-    return rows.join(F.broadcast(names), "event_type").select(
+    return rows.join(F.broadcast(names), F.col("event_type").eqNullSafe(F.col("name"))).select(
         "file_id",
         F.concat(F.lit("@e"), F.col("event_id").cast("string")).alias("header"),
         F.translate(F.md5(user), "0123456789abcdef", "ACGTNACGTNACGTNA").alias("sequence"),

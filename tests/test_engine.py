@@ -9,7 +9,7 @@ from palimpsest.config import ConfigError, EngineConfig, get_bool, get_float, ge
 from palimpsest.functions import keys
 from palimpsest.operators import bucketing, dedup, mapper
 from palimpsest.operators.cache import MemoCache, trim
-from palimpsest.plans import engine, metrics
+from palimpsest.plans import engine, metrics, queries
 from palimpsest.sources import fastq, sinks
 from palimpsest.streaming import buckets as stream
 
@@ -328,3 +328,13 @@ def test_wired_modes(spark):
     header, value = F.lit("@t1 z"), F.lit("x\ty")
     df = spark.range(1).select(keys.retag(header, value).alias("a"), keys.retag(header, value, "wired").alias("b"))
     assert tuple(df.first()) == ("t1\ty", "t1\t\ty")
+
+
+def test_rows_without_a_source_are_a_file_of_their_own(spark, tmp_path):
+    docs = [(i, f"text {i}", "en", (None, "b", "a")[i % 3]) for i in range(9)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(i, i % 2, (None, "view")[i % 2]) for i in range(8)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.arrival: r.file_id for r in queries.reads(spark, str(tmp_path)).collect()}
+    assert got == {i: (2, 1, 0)[i % 3] for i in range(9)}
+    assert {r.arrival: r.file_id for r in queries.event_reads(spark, str(tmp_path)).collect()} == {i: 1 - i % 2 for i in range(8)}
