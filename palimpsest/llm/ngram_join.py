@@ -1,7 +1,9 @@
 """N-gram Jaccard self-join with a count-vector R-tree.
 
 A text's set holds its distinct word shingles as 64-bit hashes. Texts with
-equal sets are one class. The hash space is cut into groups; how many shingles
+equal sets, told by 128-bit digests, are one class; a class is known by the
+first half of its digest, or by another number where several classes share
+that half. The hash space is cut into groups; how many shingles
 fall in each group is a point, and the sum over the groups of the smaller of
 two counts bounds the overlap of two sets. Points are indexed in R-trees, whose
 nodes are skipped by that bound, and the pairs that survive are verified on
@@ -16,10 +18,12 @@ first 62 groups of a finer division, where the chance to share none is below
 them link; joined classes form clusters, and all links lie inside clusters. A
 cluster is one cell, or, if it is large, is dealt to many cells; each of these
 also holds the cluster's central sets, which links most of a group of copies at
-once, and what stays apart is then compared with all other cells of its
-cluster. So each link's two ends become connected, whatever the size of a
-group, and neither pairs nor groups are gathered in one place. A signature that
-more than ``LONG_RUN`` classes share joins them without a look at their points.
+once, and what stays apart is then compared with those other cells of its
+cluster in which a class shares a signature with it. So each link's two ends
+become connected, whatever the size of a group, and neither pairs nor groups
+are gathered in one place. A signature's classes are counted by an aggregate
+that starts before the shuffle; if more than ``LONG_RUN`` share it, they are
+joined with the first of them without a look at their points, where they lie.
 
 Links are only established as far as components need them. Edge cases: null
 texts and texts without words have an empty set, link with nothing and are
@@ -40,11 +44,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .columns import own_names
 from .components import connected_components
 from .storage import materialize
 
 GROUPS = 64  # coordinates of the count vectors
-LONG_RUN = 100_000  # classes with one signature whose points one task holds
+LONG_RUN = 100_000  # rows (signature, class) of one signature whose points one task holds
 SMALL_RUN = 64  # the same, up to which all pairs of points are compared without a tree
 MOST_SIGNATURES = 62
 CELL = 192  # classes in a cell
@@ -56,7 +61,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
     """The sorted distinct shingle hashes of each row."""
     buf = ts.LOWER[buf]
     starts, ends, first = ts.words(buf, offsets)
-    hashes = ts.span_hash(ts.running(buf), starts, ends)
+    hashes = ts.span_hash(buf, starts, ends)
     every = ts.windows(hashes, n)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -66,11 +71,11 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
     return out
 
 
-def class_of(s: np.ndarray) -> int:
-    """A set's class: equal for equal sets, different else but for a chance of 2**-64."""
-    with np.errstate(over="ignore"):
-        total = ts.mix(s + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(ts.mix(np.array([total]))[0].astype(np.int64))
+def class_of(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A set's digest: equal for equal sets, different else but for a chance of 2**-128. ``bits`` of its first half count."""
+    both = np.array([ts.mix(s + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64), ts.mix(s ^ np.uint64(0x6A09E667F3BCC908)).sum(dtype=np.uint64)])
+    first, second = ts.mix(both + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64).tolist()
+    return first >> (64 - bits), second
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
@@ -207,13 +212,14 @@ def cell_links(sets: list[np.ndarray], ask: np.ndarray, give: np.ndarray, group:
     return out
 
 
-def _profile(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """In one pass: (0, doc_id, class, size, point, hash of the text) of each row and (1, signature, class)."""
-    names = ["kind", "a", "b", "n", "v", "h"]
+def _profile(docs: DataFrame, n: int, t: Fraction, bits: int) -> DataFrame:
+    """In one pass: (0, doc_id, both halves of the digest, size, point, hash of the text) of each row and (1, signature, first half)."""
+    names = ["kind", "a", "b", "b2", "n", "v", "h"]
 
-    def rows(kind: int, a: pa.Array, b: pa.Array, size=None, v=None, h=None) -> pa.RecordBatch:
+    def rows(kind: int, a: pa.Array, b: pa.Array, b2=None, size=None, v=None, h=None) -> pa.RecordBatch:
         m = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), a, b, pa.nulls(m, pa.int64()) if size is None else size, pa.nulls(m, pa.binary()) if v is None else v, pa.nulls(m, pa.int64()) if h is None else h], names=names)
+        none = lambda x, kind: pa.nulls(m, kind) if x is None else x
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), a, b, none(b2, pa.int64()), none(size, pa.int64()), none(v, pa.binary()), none(h, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,24 +227,25 @@ def _profile(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
             seen = set()
             for _, _, buf, offsets in ts.slices(batch.column(1)):
                 for s in shingle_sets(buf, offsets, n):
-                    c = class_of(s) if len(s) else None
+                    c = class_of(s, bits) if len(s) else (None, None)
                     size.append(len(s))
                     own.append(c)
-                    new = c is not None and c not in seen
+                    new = len(s) > 0 and c not in seen
                     points.append(packed_vector(count_vector(s)) if new else None)
                     if new:
                         seen.add(c)
                         x = signatures(s, t)
                         sigs.append(x)
-                        of.append(np.full(len(x), c, dtype=np.int64))
-            yield rows(0, batch.column(0).cast(pa.int64()), pa.array(own, pa.int64()), pa.array(size, pa.int64()), pa.array(points, pa.binary()), batch.column(2))
+                        of.append(np.full(len(x), c[0], dtype=np.int64))
+            first, second = (pa.array([c[k] for c in own], pa.int64()) for k in (0, 1))
+            yield rows(0, batch.column(0).cast(pa.int64()), first, second, pa.array(size, pa.int64()), pa.array(points, pa.binary()), batch.column(2))
             if sigs:
                 a, b = np.concatenate(sigs).view(np.int64), np.concatenate(of)
                 for k in range(0, len(a), 50_000):
                     yield rows(1, pa.array(a[k : k + 50_000].copy()), pa.array(b[k : k + 50_000].copy()))
 
     text = docs["text"].cast("string")
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "kind byte, a long, b long, n long, v binary, h long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "kind byte, a long, b long, b2 long, n long, v binary, h long")
 
 
 def _least(doc_id: str, h: str) -> Column:
@@ -246,30 +253,6 @@ def _least(doc_id: str, h: str) -> Column:
     return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(h).alias("h")))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature and class, those whose signature two classes have, once each. Holds one batch and one row."""
-    held = None  # the first row of a signature that may have no other class
-    last = None
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.concatenate(([last is None or (a[0], b[0]) != last], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        a, b = a[new], b[new]
-        if not len(a):
-            continue
-        keep = np.zeros(len(a), dtype=bool)
-        same = a[1:] == a[:-1]
-        keep[1:] |= same
-        keep[:-1] |= same
-        if last is not None and a[0] == last[0]:
-            keep[0] = True
-            if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["a", "c"])
-        last = (a[-1], b[-1])
-        held = None if keep[-1] else last
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "c"])
-
-
 def _least_reached(may: np.ndarray) -> np.ndarray:
     """For each row of a symmetric matrix the first row that it hangs together with."""
     label = np.arange(len(may))
@@ -312,21 +295,16 @@ def _joined(t: Fraction):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, c, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.int32)
-        over = None  # (signature, leader) of a run that is too long to hold
-
-        def out(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
         def closed(a, c, v) -> Iterator[pa.RecordBatch]:
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))  # a class comes once for each batch that holds a copy
+            a, c, v = a[new], c[new], v[new]
             starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-            ends = np.append(starts[1:], len(a))
-            few = ends - starts <= LONG_RUN
-            found = list(pairs(c, v, starts[few], ends[few]))
-            found += [(np.full(hi - lo, c[lo]), c[lo:hi]) for lo, hi in zip(starts[~few].tolist(), ends[~few].tolist())]
+            found = list(pairs(c, v, starts, np.append(starts[1:], len(a))))
             x, y = np.concatenate([p[0] for p in found]), np.concatenate([p[1] for p in found])
             if len(x):
                 p = np.unique(np.stack((x, y), axis=1), axis=0)
-                yield out(p[:, 0].copy(), p[:, 1].copy())
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -334,39 +312,51 @@ def _joined(t: Fraction):
             a = np.concatenate((a, batch.column(0).to_numpy()))
             c = np.concatenate((c, batch.column(1).to_numpy()))
             v = np.concatenate((v, unpacked_vectors(batch.column(2))))
-            if over is not None:
-                own = int(np.searchsorted(a, over[0], side="right"))
-                if own:
-                    yield out(np.full(own, over[1]), c[:own])
-                a, c, v = a[own:], c[own:], v[own:]
-                if not len(a):
-                    continue
-                over = None
             last = int(np.searchsorted(a, a[-1]))
             if last:
                 yield from closed(a[:last], c[:last], v[:last])
             a, c, v = a[last:], c[last:], v[last:]
-            if len(a) > LONG_RUN:
-                over = (a[0], c[0])
-                yield out(np.full(len(a), c[0]), c)
-                a, c, v = a[:0], c[:0], v[:0]
         if len(a):
             yield from closed(a, c, v)
 
     return run
 
 
-def _components(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, h, c, n_shingles), the component of each class (c, top), and the least row of each component (top, id, h)."""
-    profile = materialize(_profile(docs, n, t), "profile")
-    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "h", F.col("b").alias("c"), F.col("n").alias("n_shingles"))
-    classes = profile.where("kind = 0 and b is not null").groupBy("b").agg(_least("a", "h").alias("least"), F.max("n").alias("n"), F.min("v").alias("v"))
-    classes = materialize(classes.select(F.col("b").alias("c"), "least.id", "least.h", "n", "v"), "classes")
-    shared = profile.where("kind = 1").select("a", "b").repartition("a").sortWithinPartitions("a", "b").mapInArrow(_shared, "a long, c long")
-    met = shared.join(classes.select("c", "v"), "c").select("a", "c", "v").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_joined(t), "a long, b long")
+def _classes(profile: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """A row for each class (c, c0, c2, id, h, n, v), and the first halves that several classes share, if there are any.
+
+    c is the first half of the digest but for all classes except one of those that share it.
+    """
+    classes = profile.where("kind = 0 and b is not null").groupBy("b", "b2").agg(_least("a", "h").alias("least"), F.max("n").alias("n"), F.min("v").alias("v"))
+    classes = materialize(classes.select(F.col("b").alias("c0"), F.col("b2").alias("c2"), "least.id", "least.h", "n", "v"), "classes")
+    twice = classes.groupBy("c0").agg(F.min("c2").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    if twice.isEmpty():
+        return classes.withColumn("c", F.col("c0")), None
+    twice = materialize(twice, "twice")
+    c = F.when(F.col("first").isNull() | (F.col("first") == F.col("c2")), F.col("c0")).otherwise(F.xxhash64("c0", "c2"))
+    return materialize(classes.join(twice, "c0", "left").withColumn("c", c).drop("first"), "classes"), twice
+
+
+def _components(docs: DataFrame, n: int, t: Fraction, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, c0, c2, n_shingles), the component of each class (c0, c2, top), and the least row of each component (top, id, h)."""
+    profile = materialize(_profile(docs, n, t, bits), "profile")
+    rows = profile.where("kind = 0").select(F.col("a").alias("doc_id"), "h", F.col("b").alias("c0"), F.col("b2").alias("c2"), F.col("n").alias("n_shingles"))
+    classes, twice = _classes(profile)
+    signed = profile.where("kind = 1").select("a", F.col("b").alias("c0"))
+    runs = signed.groupBy("a").agg(F.min("c0").alias("lead"), F.max("c0").alias("last"), F.count("*").alias("many"))
+    if twice is None:
+        runs = runs.where("lead <> last")
+    else:
+        runs = runs.join(twice.select(F.col("c0").alias("lead"), F.lit(True).alias("more")), "lead", "left").where("lead <> last or more")
+    # lead stands for a class: the one that is known by this number itself
+    shared = materialize(signed.join(runs.select("a", "lead", "many"), "a"), "shared")
+    shared = shared.join(classes.select("c0", "c", "v"), "c0")
+    met = shared.where(F.col("many") <= LONG_RUN).select("a", "c", "v").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_joined(t), "a long, b long")
+    met = met.unionByName(shared.where(F.col("many") > LONG_RUN).select(F.col("lead").alias("a"), F.col("c").alias("b")))
+    shared = shared.select("a", "c")
     clusters = connected_components(met)
     # one document of each class in a cluster, with its text
-    held = classes.select("c", "id", "h", "n").join(clusters.withColumnRenamed("node", "c"), "c")
+    held = classes.select("c", "c0", "c2", "id", "h", "n").join(clusters.withColumnRenamed("node", "c"), "c")
     sizes = held.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
     cells = F.greatest(F.ceil(F.col("many") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
     held = held.join(sizes.select("component", cells.alias("cells")), "component").withColumn("cell", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int"))
@@ -375,11 +365,11 @@ def _components(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFr
         """A row can be given several times: keep one for the class. Adds the count vector."""
         seen = set()
         for batch in batches:
-            c = batch.column("c").to_pylist()
+            c = list(zip(batch.column("c0").to_pylist(), batch.column("c2").to_pylist(), strict=True))
             for lo, _, buf, offsets in ts.slices(batch.column("text")):
                 keep, vectors = [], []
                 for k, s in enumerate(shingle_sets(buf, offsets, n)):
-                    if len(s) and c[lo + k] not in seen and class_of(s) == c[lo + k]:
+                    if len(s) and c[lo + k] not in seen and class_of(s, bits) == c[lo + k]:
                         seen.add(c[lo + k])
                         keep.append(lo + k)
                         vectors.append(count_vector(s).tolist())
@@ -388,8 +378,8 @@ def _components(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFr
 
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text.alias("text"), F.xxhash64(text).alias("own_h"))
-    held = held.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))).select("component", "cells", "cell", "c", "text")
-    held = materialize(held.mapInArrow(check, "component long, cells int, cell int, c long, text string, vector array<long>"), "held")
+    held = held.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))).select("component", "cells", "cell", "c", "c0", "c2", "text")
+    held = materialize(held.mapInArrow(check, "component long, cells int, cell int, c long, c0 long, c2 long, text string, vector array<long>").drop("c0", "c2"), "held")
 
     def sets_of(table: pa.Table) -> list[np.ndarray]:
         return [s for _, _, buf, offsets in ts.slices(table.column("text")) for s in shingle_sets(buf, offsets, n)]
@@ -416,31 +406,42 @@ def _components(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFr
         inside = inside.unionByName(pivots)
     edges = materialize(inside.groupBy("component", "cell").applyInArrow(within, "a long, b long"), "links")
     if any_large:
-        edges = edges.unionByName(_across(large, edges, links))
+        edges = edges.unionByName(_across(large, shared, edges, links))
     joined = connected_components(edges).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    tops = classes.select("c", "id", "h").join(joined, "c", "left").select("c", "id", "h", F.coalesce("top", "c").alias("top"))
+    tops = classes.select("c", "c0", "c2", "id", "h").join(joined, "c", "left").select("c0", "c2", "id", "h", F.coalesce("top", "c").alias("top"))
     least = tops.groupBy("top").agg(_least("id", "h").alias("least")).select("top", "least.id", "least.h")
-    return rows, tops.select("c", "top"), least
+    return rows, tops.select("c0", "c2", "top"), least
 
 
-def components(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id. Sets link at a Jaccard similarity of ``threshold`` or more."""
-    rows, tops, least = _components(docs, n, Fraction(threshold))
-    named = materialize(tops.join(least, "top").select("c", F.col("id").alias("component_id")), "named")
-    return rows.join(named, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "c")
+def components(docs: DataFrame, n: int = 5, threshold: str = "0.8", bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id. Sets link at a Jaccard similarity of ``threshold`` or more.
 
+    ``bits`` of a digest's first half are used to tell classes apart at first; it never changes the result.
+    """
+    rows, tops, least = _components(docs, n, Fraction(threshold), bits)
+    named = materialize(tops.join(least, "top").select("c0", "c2", F.col("id").alias("component_id")), "named")
+    return rows.join(named, ["c0", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-def _across(large: DataFrame, edges: DataFrame, links) -> DataFrame:
-    """Links between the cells of a cluster, for the classes that aren't connected with most of it."""
+
+def _across(large: DataFrame, shared: DataFrame, edges: DataFrame, links) -> DataFrame:
+    """Links between the cells of a cluster, for the classes that aren't connected with most of it.
+
+    Two linked sets share a signature, so such a class is given to the cells
+    that hold one of its signatures, however many of their classes do.
+    """
     known = connected_components(edges).select(F.col("node").alias("c"), F.col("component").alias("top"))
     large = large.select("component", "cells", "cell", "c", "text").join(known, "c", "left").withColumn("top", F.coalesce("top", "c"))
     large = materialize(large, "large")
     main = large.groupBy("component", "top").count().groupBy("component").agg(F.max(F.struct("count", "top")).alias("best")).select("component", F.col("best.top").alias("main"))
-    apart = large.join(main, "component").where(F.col("top") != F.col("main")).drop("main")
-    asked = apart.select("component", F.col("cell").alias("from")).distinct()
-    ask = apart.select("component", "c", "text", "top", F.col("cell").alias("from"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("ask"))
-    give = large.select("component", "c", "text", "top", "cell", F.lit(False).alias("ask")).join(asked, "component")
-    pairs = ask.unionByName(give).where(F.col("from") != F.col("cell"))
+    apart = large.join(main, "component").where(F.col("top") != F.col("main")).select("component", "c", "text", "top", F.col("cell").alias("from"))
+    signed = shared.join(large.select("c", "component", "cell"), "c")
+    cells = signed.select("a", "component", "cell").distinct()
+    to = shared.join(apart.select("c", "component", "from"), "c").join(cells, ["a", "component"]).where(F.col("cell") != F.col("from")).select("c", "component", "from", "cell").distinct()
+    to = materialize(to, "asked")
+    ask = apart.drop("from", "component").join(to, "c").select("component", "c", "text", "top", "from", "cell", F.lit(True).alias("ask"))
+    asked = to.select("component", "cell", "from").distinct()
+    give = large.select("component", "c", "text", "top", "cell").join(asked, ["component", "cell"]).select("component", "c", "text", "top", "from", "cell", F.lit(False).alias("ask"))
+    pairs = ask.unionByName(give)
 
     def between(table: pa.Table) -> pa.Table:
         asks = table.column("ask").to_numpy(zero_copy_only=False)
@@ -454,16 +455,17 @@ def _across(large: DataFrame, edges: DataFrame, links) -> DataFrame:
 def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest doc_id and then hash of its text; empty texts all stay."""
     rows, _, least = _components(docs, n, Fraction(threshold))
-    given = rows.where("c is not null").groupBy("doc_id", "h").agg(F.count("*").alias("_rows"))
-    least = least.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    own = given.join(least, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    own = materialize(own.select("_id", "_h", "_rows"), "kept")
-    text = F.col("text").cast("string")
+    given = rows.where("c0 is not null").groupBy("doc_id", "h").agg(F.count("*").alias("many"))
+    least = least.select(F.col("id").alias("l_id"), F.col("h").alias("l_h"))
+    own_id, own_h, many = own_names(docs, "id", "h", "rows")
+    kept = given.join(least, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")))
+    kept = materialize(kept.select(F.col("l_id").alias(own_id), F.col("l_h").alias(own_h), F.col("many").alias(many)), "kept")
+    text = docs["text"].cast("string")
     empty = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    joined = docs.join(own, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
-    single = joined.where(empty | (F.col("_rows") == 1)).select(*docs.columns)
-    if own.where("_rows > 1").isEmpty():
+    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[own_id]) & (F.xxhash64(text) == kept[own_h]), "left")
+    single = joined.where(empty | (F.col(many) == 1)).select(*docs.columns)
+    if kept.where(F.col(many) > 1).isEmpty():
         return single
     # the same doc_id and text given more than once: one of the rows
-    again = joined.where(~empty & (F.col("_rows") > 1)).dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    again = joined.where(~empty & (F.col(many) > 1)).dropDuplicates([own_id, own_h]).select(*docs.columns)
     return single.unionByName(again)

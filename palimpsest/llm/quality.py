@@ -62,7 +62,6 @@ def measure(buf: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[s
     """The counts of each row of one slice."""
     rows = len(offsets) - 1
     starts, ends, first = ts.words(buf, offsets)
-    sums = ts.running(buf)
     chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80, dtype=np.int64)))  # code points before each byte
     word_chars = chars[ends] - chars[starts]
     out = {
@@ -70,7 +69,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[s
         "word_chars": _per_row(word_chars, first),
         "n_symbols": _per_row(SYMBOLS[buf], offsets),
     }
-    hashes = ts.span_hash(sums, starts, ends)
+    hashes = ts.span_hash(buf, starts, ends)
     row = ts.row_of(first, len(starts))
     salt = ts.mix(np.arange(rows, dtype=np.uint64) + np.uint64(0x51ED2701))  # keeps equal windows of different rows apart
     at = np.arange(len(starts), dtype=np.int64)
@@ -98,7 +97,7 @@ def measure(buf: np.ndarray, offsets: np.ndarray, rules: QualityRules) -> dict[s
     end = end - closed
     filled = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, line_row = begin[filled], end[filled], line_row[filled]
-    keys = ts.span_hash(sums, begin, end) ^ salt[line_row] if len(begin) else np.zeros(0, np.uint64)
+    keys = ts.span_hash(buf, begin, end) ^ salt[line_row] if len(begin) else np.zeros(0, np.uint64)
     order = np.lexsort((begin, keys))
     later = np.zeros(len(keys), dtype=bool)
     if len(order):

@@ -1,8 +1,9 @@
 """Vectorised scanning of Arrow text columns with numpy.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` on UTF-8 bytes. Hashes are polynomial modulo
-2**64 over bytes, taken from one running sum, then mixed; two different spans
-collide with a probability near 2**-64.
+Words are ``[^\\x20\\x09-\\x0D]+`` on UTF-8 bytes. A span's hash takes eight bytes
+after another into a 64-bit state and mixes it after each step, so no algebraic
+relation between bytes survives; spans of more than ``LONG`` bytes are hashed
+by XXH3. Two given different spans collide with a probability near 2**-64.
 """
 
 from collections.abc import Iterator
@@ -10,26 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if n <= 1 << 21:  # a longer one would stay in memory for the sake of one text
-            _powers[base] = have
-    return have[:n]
+LONG = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: keeps the first bytes of a little-endian word of eight
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,20 +72,29 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def running(buf: np.ndarray) -> np.ndarray:
-    """Running sums from which ``span_hash`` takes the hash of any span."""
-    out = np.empty(len(buf) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(buf)), out=out[1:])
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the bytes of each span."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    lengths = ends - starts
+    out = mix(mix(lengths.astype(np.uint64) * _STEP + _STEP) ^ (eight[starts] & _FIRST[np.minimum(lengths, 8)]))
+    own = np.flatnonzero((lengths > 8) & (lengths <= LONG))
+    done = 8
+    while len(own):
+        left = lengths[own] - done
+        out[own] = mix((out[own] + _STEP) ^ (eight[starts[own] + done] & _FIRST[np.minimum(left, 8)]))
+        own = own[left > 8]
+        done += 8
+    for k in np.flatnonzero(lengths > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes(), seed=0x51ED)
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(sums))[starts])
-
-
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of ``n`` word hashes; runs that cross rows are the caller's to drop."""
+    """Hash of each run of ``n`` word hashes, ``n`` up to a few dozen; runs that cross rows are the caller's to drop."""
     count = max(len(hashes) - n + 1, 0)
     out = np.zeros(count, dtype=np.uint64)
     for k in range(n):

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, components, embed_dedup, mixing, ngram_join, packing, pii, quality, sharding, storage, tokens, toxicity
+from palimpsest.llm import chat, components, embed_dedup, mixing, ngram_join, packing, pii, quality, sharding, storage, textscan, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -41,7 +41,7 @@ def odd_docs(spark, texts, extra=False):
     rows = [(i * 3 % 101 + 1000 * (i // 101), t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
     rows += [rows[-1], rows[-1]]  # repeated rows
     df = spark.createDataFrame(rows, DOCS).repartition(3)
-    return (df.withColumn("c", F.lit(1)).withColumn("a", F.lit("x")).withColumn("component_id", F.lit(5)), rows) if extra else (df, rows)
+    return (df.withColumn("c", F.lit(1)).withColumn("a", F.lit("x")).withColumn("component_id", F.lit(5)).withColumn("_ID", F.lit(6)).withColumn("_h", F.lit("h")).withColumn("_spans", F.lit(7)).withColumn("_rows", F.lit(8)), rows) if extra else (df, rows)
 
 
 def empty(spark):
@@ -77,6 +77,37 @@ def test_large_cluster_is_dealt_to_cells(spark, monkeypatch):
     assert got == brute.ngram_components(list(enumerate(texts)), 3, 90)
 
 
+def thue_morse(n, flip=0):
+    """Words of two letters that sums of powers modulo 2**64 can't tell apart, whatever the base."""
+    return "".join("ab"[(k.bit_count() + flip) % 2] for k in range(n))
+
+
+def test_hashes_have_no_algebra(spark):
+    for n in (64, 200, 250, 1024, 4096):
+        text = f"{thue_morse(n)} {thue_morse(n, 1)} {thue_morse(n)}".encode()
+        buf = np.frombuffer(text, np.uint8)
+        a, b, c = textscan.span_hash(buf, *textscan.words(buf, np.array([0, len(text)]))[:2])
+        assert a == c != b
+    rows = [(k, thue_morse(1024, k) + "\n" + thue_morse(1024, 1 - k)) for k in (0, 1)] + [(k, thue_morse(1024, k)) for k in (2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.components(df, 3, "0.9").collect()} == {k: k for k in range(4)}
+    assert {r.n_dup_lines for r in quality.quality(df).collect()} == {0}
+
+
+def test_classes_whose_digests_begin_alike(spark, texts):
+    df, rows = odd_docs(spark, texts)
+    got = sorted((tuple(r) for r in ngram_join.components(df, 3, "0.9", bits=3).collect()), key=repr)
+    assert got == brute.ngram_components([(r[0], r[1]) for r in rows], 3, 90)
+
+
+def test_signatures_of_many_classes(spark, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LONG_RUN", 2)
+    monkeypatch.setattr(ngram_join, "CELL", 3)
+    df, rows = odd_docs(spark, texts)
+    got = sorted((tuple(r) for r in ngram_join.components(df, 5, "0.8").collect()), key=repr)
+    assert got == brute.ngram_components([(r[0], r[1]) for r in rows], 5, 80)
+
+
 def test_keep_one(spark, texts):
     df, rows = odd_docs(spark, texts, extra=True)
     kept = ngram_join.keep_one(df, 5, "0.8")
