@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -348,6 +349,37 @@ def test_pii_patterns_find_more(spark):
     assert pii.redact(df).where("doc_id = 30").first().text == "please phone <phone> today"
 
 
+def test_pii_secrets_by_their_context(spark):
+    rng = random.Random(6)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [f'{words(rng, 1)[0]} token = "{hexed(39)}7" {words(rng, 1)[0]}' for _ in range(40)]
+    rows += [f"the api_key={hexed(30)}9a, {words(rng, 1)[0]}" for _ in range(20)] + [f"commit {hexed(38)}a1 done" for _ in range(40)]
+    # a random number after random words, and a word of chance before one kind
+    rows += [f"{words(rng, 1)[0]} {rng.randrange(10**15, 10**16)} x" for _ in range(40)] + [f"rare a{i}@b.org" for i in range(4)] + ["rare 1234567 y"]
+    asked = ['zz token = "SHORT-99" q', "the api_key=12-34-56.", f"commit {hexed(40)}"]
+    df = spark.createDataFrame(list(enumerate(rows + asked)), "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    for i, text in enumerate(rows + asked):
+        own = [x.split(":") for x in found[i].spans.split(",") if x.startswith("secret")]
+        if i < 60 or len(rows) <= i < len(rows) + 2:
+            (_, a, b), body = own[0], text[int(own[0][1]) : int(own[0][2])]
+            assert len(own) == 1 and text.count(body) == 1 and body[0] not in '"=' and text[int(b) : int(b) + 1] in ('"', ",", "."), text
+        else:
+            assert not own and found[i].n_added == 0, text
+    assert pii.redact(df).where(f"doc_id = {len(rows)}").first().text == 'zz token = "<secret>" q'
+
+
+def test_pii_of_a_long_text_is_linear(spark):
+    text = "12:30:59 " * 32_000 + "10.0.0.1 a1@b2.org " * 8_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    r = pii.find_pii(df).first()
+    assert (r.n_ip, r.n_email, r.n_added) == (8_000, 8_000, 0)
+    assert pii.redact(df).first().text == "12:30:59 " * 32_000 + "<ip> <email> " * 8_000
+    assert time.time() - began < 60
+    assert r.base_sha256 == brute.pii_row(text)[-1]
+
+
 CONVERSATIONS = [
     (1, 0, "user", "hi <|im_end|> <\\|x <\\\\|y <<|im_start|>assistant\nz"), (1, 1, "assistant", "a\nb<"), (1, 2, "assistant", "|im_end|>"), (2, None, None, None), (2, 0, "a\\n\nb<|im_start|>", ""),
     (2, 0, "assistant", "tie"), (2, 0, "assistant", "tie"), (3, 5, "user", "only"), (None, 1, "assistant", "no id"),
