@@ -2,7 +2,8 @@
 
 ``ChunkEncoder`` encodes the stretches between ASCII white space one by one and
 keeps what it has encoded: no rule of the tokenizer reaches across such white
-space, so the joined ids are those of the whole text. ``TokenTree`` keeps, for
+space, so the joined ids are those of the whole text, with control strings as
+the single tokens that the tokenizer makes of them. ``TokenTree`` keeps, for
 one document, the chunks in leaves and a segment tree of the leaves' token
 counts; an edit re-encodes the chunks that it touches, with the boundary chunks
 on either side, and updates the sums above the touched leaves only.
@@ -28,6 +29,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: letters beyond Latin, and the dotted capital I whose lower case is two characters
 _NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 _SPACES = re.compile("[ \t\n\r\v\f]+")
+#: begins the tokenizer's control strings, which count as one token where a text spells them exactly, before lower-casing
+_CONTROL = "<|"
 
 
 def default_tokenizer() -> str:
@@ -48,7 +51,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a text's own control strings are ordinary text
         self.keep = keep
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -106,7 +108,7 @@ class ChunkEncoder:
     def chunks(text: str | None) -> list[str]:
         if not text:
             return []
-        if text.isascii() or not _NOT_PLAIN.search(text):
+        if _CONTROL not in text and (text.isascii() or not _NOT_PLAIN.search(text)):
             text = text.lower()  # as the tokenizer does; for these letters no rule depends on their neighbours
         if _ODD_SPACE.search(text):
             return [x for x in _SPACES.split(text) if x]

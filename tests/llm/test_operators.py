@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import dataclasses
 import hashlib
 import math
 import random
@@ -13,6 +14,7 @@ import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from palimpsest.llm import chat, components, embed_dedup, mixing, ngram_join, packing, pii, quality, sharding, storage, textscan, tokens, toxicity
 
@@ -169,12 +171,13 @@ def test_quality(spark, texts):
 
 
 def test_encoder_equals_tokenizer():
-    e = tokens.ChunkEncoder(tokens.default_tokenizer(), keep=60)
+    e, plain = tokens.ChunkEncoder(tokens.default_tokenizer(), keep=60), Tokenizer.from_file(tokens.default_tokenizer())
+    assert plain.encode("x<|endoftext|>y", add_special_tokens=False).ids == [343, 49407, 344]
     rng = random.Random(3)
-    pieces = ["Hello", "don't", "ÉTÉ", "İx", "ΟΔΟΣ", "a.b,c", "...", "é", "<|endoftext|>", "日本語", "12,5", "\x1c", "\x85", " ", "\n\n", "\t", "ſ", "ß", ".", "x.", "ŉ", "😀!"]
+    pieces = ["Hello", "don't", "ÉTÉ", "İx", "ΟΔΟΣ", "a.b,c", "...", "é", "<|endoftext|>", "<|ENDOFTEXT|>", "x<|startoftext|>Y", "<|", "日本語", "12,5", "\x1c", "\x85", " ", "\n\n", "\t", "ſ", "ß", ".", "x.", "ŉ", "😀!"]
     for _ in range(300):
         text = "".join(rng.choice(pieces) + rng.choice(["", " ", "  ", "\n"]) for _ in range(rng.randrange(0, 30)))
-        assert list(struct.unpack(f"<{len(e.encode(text)) // 4}I", e.encode(text))) == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+        assert list(struct.unpack(f"<{len(e.encode(text)) // 4}I", e.encode(text))) == plain.encode(text, add_special_tokens=False).ids, text
         assert list(e.encode_all([text, None, text], 5)) == [e.encode(text), b"", e.encode(text)]
 
 
@@ -249,7 +252,7 @@ def test_packing(spark, texts):
 
 def test_mixing(spark, texts):
     df, rows = odd_docs(spark, texts, extra=True)
-    p = mixing.MixParams(shards=4, blocks=8)
+    p = mixing.MixParams(shards=4, blocks=8, words_per_block=150)
     got = mixing.mix(df, p).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(df.repartition(5), p).collect()), key=repr)
     size = Counter()
@@ -269,6 +272,33 @@ def test_mixing(spark, texts):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_mixing_by_size(spark, texts):
+    df, rows = odd_docs(spark, texts)
+    p = mixing.MixParams(shards=2, words_per_shard=300, blocks=1, words_per_block=100, docs_per_block=1)
+    got = mixing.mix(df, p).collect()
+    words_ = sum(r.size for r in got)
+    places = Counter(d.shard for r in got for d in r.draws)
+    assert max(places) < -(-words_ // 300) and len(places) > words_ / 300 / 3
+    assert abs(sum(r.taken for r in got) - words_) < len({r.source for r in got})
+    for broadcast_rows in (0, 10**6):
+        again = mixing.mix(df, dataclasses.replace(p, broadcast_rows=broadcast_rows)).collect()
+        assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
+    with pytest.raises(ValueError, match="most_sources"):
+        mixing.mix(df, dataclasses.replace(p, most_sources=2))
+    with pytest.raises(ValueError, match="most_quotas"):
+        mixing.mix(df, dataclasses.replace(p, most_quotas=20))
+
+
+def test_large_draws():
+    rng = np.random.default_rng(5)
+    for good, bad, need in ((300, 700, 200), (5, 2000, 1500), (40, 3, 20), (1, 1, 1)):
+        plain, own = ([f() for _ in range(4000)] for f in (lambda: int(rng.hypergeometric(good, bad, need)), lambda: mixing._draw(rng, good, bad, need, 0)))
+        assert abs(np.mean(plain) - np.mean(own)) < 0.15 * max(np.std(plain), 0.1) and abs(np.std(plain) - np.std(own)) < 0.1 * max(np.std(plain), 0.1)
+        assert max(0, need - bad) <= min(own) and max(own) <= min(good, need)
+    far = [mixing._draw(rng, 10**11, 3 * 10**11, 10**10) for _ in range(20)]
+    assert abs(np.mean(far) - 2.5 * 10**9) < 10**5 and len(set(far)) == 20
+
+
 def test_share_and_split():
     assert mixing.share([10, 100, 1000], [5, 2, 1], 3.0)[0] == 30
     assert mixing.share([0, 0], [5, 2], 3.0) == [0, 0]
@@ -291,6 +321,23 @@ def test_sharding(spark, texts):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def test_sharding_splits_equal_keys(spark, monkeypatch):
+    rows = [(5, "hot text")] * 30_000 + [(None, "cold text")] * 30_000 + [(k, f"text {k}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    drawn = []
+    sample = sharding._sample
+    monkeypatch.setattr(sharding, "_sample", lambda *a: drawn.append(sample(*a)) or drawn[-1])
+    placed = []
+    kept = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda table, name: placed.append(kept(table, name)) or placed[-1])
+    got = sharding.shard(df, shards=10, ranges_per_shard=8, samples_per_range=4).cache()
+    assert sum(map(len, drawn)) < 1.5 * 10 * 8 * 4
+    assert placed[-1].groupBy("range").count().agg(F.max("count")).first()[0] < 5 * len(rows) / 80
+    by = {r.shard: r for r in got.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("slot").alias("slot"), F.countDistinct("slot").alias("slots")).collect()}
+    assert max(r["size"] for r in by.values()) - min(r["size"] for r in by.values()) <= 60
+    assert all(r.n == r.slots == r.slot + 1 for r in by.values()) and sum(r.n for r in by.values()) == len(rows)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 16))
