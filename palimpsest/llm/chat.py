@@ -5,7 +5,8 @@ turns text into escaped text and an image, audio or document part into a
 placeholder, and says how many tokens a model puts in the placeholder's place.
 All of it is column expressions. Turns are first joined in blocks of turns and
 then to the conversation, so a very long conversation is formatted by many
-tasks; only its finished string is one row.
+tasks; only its finished string is one row. Places come from one walk over the
+turns, so the cost is linear also where many rows have one turn or none.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. In texts and
 roles every ``<``, backslashes, ``|`` gets one more backslash, so no control
@@ -24,7 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .columns import cut, scan
+
 START, END = "<|im_start|>", "<|im_end|>"
+SPANS = "array<struct<start:int,end:int>>"
 
 #: content parts: text has ``text``; image has width and height in pixels, audio seconds, document pages in ``size``
 PARTS = T.ArrayType(
@@ -116,7 +120,7 @@ def format_chat(messages: DataFrame, visitor: PartVisitor = PartVisitor(), loss_
     ).select(
         "conv_id",
         "turn",
-        F.floor(F.col("turn") / block).alias("block"),
+        F.expr(f"turn div {block}").alias("block"),
         F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"),
         F.array_join(F.transform("seen", lambda x: x["piece"]), "").alias("body"),
         F.col("role").isin(*loss_roles).alias("trained"),
@@ -129,41 +133,27 @@ def format_chat(messages: DataFrame, visitor: PartVisitor = PartVisitor(), loss_
     blocks = turns.groupBy("conv_id", "block").agg(
         F.sort_array(F.collect_list(F.struct("turn", "head", "body", whole.alias("text"), F.length("head").alias("skip"), F.length("body").alias("size"), F.length(whole).alias("length"), "trained", "attached"))).alias("turns")
     )
-    lengths = F.transform("turns", lambda x: x["length"])
-    placed = F.transform(
-        "turns",
-        lambda x, i: F.struct(
-            x["trained"].alias("trained"),
-            (F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, b: a + b) + x["skip"]).alias("start"),
-            x["size"].alias("size"),
-        ),
-    )
+
+    def trained(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["skip"]
+        return at + x["length"], F.when(x["trained"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end")))).otherwise(F.array().cast(SPANS))
+
+    def moved(at: Column, x: Column) -> tuple[Column, Column]:
+        return at + x["length"], F.transform(x["loss"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
+
     parts = blocks.select(
         "conv_id",
         "block",
         F.array_join(F.transform("turns", lambda x: x["text"]), "").alias("text"),
-        F.transform(F.filter(placed, lambda x: x["trained"]), lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["size"]).alias("end"))).alias("loss"),
+        scan(F.col("turns"), F.lit(0), trained, SPANS).alias("loss"),
         F.flatten(F.transform("turns", lambda x: x["attached"])).alias("attached"),
         F.size("turns").alias("n"),
     )
     joined = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "text", F.length("text").alias("length"), "loss", "attached", "n"))).alias("blocks"))
-    before = F.transform("blocks", lambda x: x["length"])
-    moved = F.flatten(
-        F.transform(
-            "blocks",
-            lambda x, i: F.transform(
-                x["loss"],
-                lambda s: F.struct(
-                    (s["start"] + F.aggregate(F.slice(before, F.lit(1), i), F.lit(0), lambda a, b: a + b)).alias("start"),
-                    (s["end"] + F.aggregate(F.slice(before, F.lit(1), i), F.lit(0), lambda a, b: a + b)).alias("end"),
-                ),
-            ),
-        )
-    )
     return joined.select(
         "conv_id",
         F.array_join(F.transform("blocks", lambda x: x["text"]), "").alias("formatted"),
-        moved.alias("loss"),
+        scan(F.col("blocks"), F.lit(0), moved, SPANS).alias("loss"),
         F.flatten(F.transform("blocks", lambda x: x["attached"])).alias("attachments"),
         F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("n_turns"),
     ).withColumn("extra_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]))
@@ -175,4 +165,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
     body = lambda x: F.substr(x, F.instr(x, "\n") + F.lit(1), F.length(x) - F.instr(x, "\n") - F.lit(len(END) + 1))
     return formatted.withColumn(
         "turns", F.transform(pieces, lambda x: F.struct(unescape_role(F.substring_index(x, "\n", 1)).alias("role"), unescape(body(x)).alias("text")))
-    ).withColumn("loss_text", F.array_join(F.transform("loss", lambda s: unescape(F.substr("formatted", s["start"] + F.lit(1), s["end"] - s["start"]))), ""))
+    ).withColumn("loss_text", F.array_join(F.transform(cut(F.col("formatted"), F.col("loss")), unescape), ""))

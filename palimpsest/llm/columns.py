@@ -43,3 +43,27 @@ def scan(items: Column, state: Column, step, made: str, block: int = 64) -> Colu
         return F.flatten(F.aggregate(cuts, start, each)["out"])
 
     return F.when(F.size(items) > 0, let(items, blocks)).otherwise(F.array().cast(made))
+
+
+def cut(text: Column, spans: Column, widths: tuple[int, ...] = (4096, 64)) -> Column:
+    """The pieces of ``text`` at sorted ``spans`` (start, end) that don't overlap, as an array.
+
+    A cut counts code points from the beginning of what it cuts; runs of spans are first cut off
+    together, wide ones and then narrow ones, so that the cost stays near the text's length.
+    """
+
+    def level(t: Column, base: Column, own: Column, left: tuple[int, ...]) -> Column:
+        if not left:
+            return F.transform(own, lambda s: F.substr(t, s["start"] - base + 1, s["end"] - s["start"]))
+
+        def run(k: Column) -> Column:
+            def stretch(part: Column) -> Column:
+                first = F.get(part, F.lit(0))["start"]
+                inside = F.substr(t, first - base + 1, F.element_at(part, -1)["end"] - first)
+                return let(F.struct(inside.alias("t"), first.alias("b")), lambda x: level(x["t"], x["b"], part, left[1:]))
+
+            return let(F.slice(own, k * left[0] + 1, F.lit(left[0])), stretch)
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / left[0]).cast("int")), run))
+
+    return F.when(F.size(spans) > 0, let(spans, lambda own: level(text, F.lit(0), own, widths))).otherwise(F.array().cast("array<string>"))

@@ -1,12 +1,15 @@
 """Near duplicates among embeddings.
 
 Equal vectors are one class. Classes get sign codes under random hyperplanes in
-several tables; classes that share a code in a table are compared by exact
-cosine in double precision. A pair is counted in the first table in which it
+several tables. Codes are counted without their vectors; only classes that share
+a code in a table are given their vectors and compared by exact cosine in double
+precision, scaled by a power of two first, so that no square overflows. A pair is counted in the first table in which it
 meets, so counts need no list of pairs. Inside a bucket only a spanning forest
 of the links is kept, and distributed connected components joins the forests.
 A bucket of more than ``bucket`` classes is cut into parts whose pairs are
-separate tasks, so no task holds more than two parts.
+separate tasks, so no task holds more than two parts; as every direct link of a
+vector is counted, a group of near copies takes as many comparisons as it has
+pairs.
 
 Bits grow with the logarithm of the number of vectors; the number of tables
 follows from the bits, so that a pair exactly at the threshold is met with the
@@ -26,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .storage import materialize
@@ -37,6 +41,12 @@ def tables_for(bits: int, threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - one)))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row as doubles, times the power of two that brings its largest component below 1."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _forest(linked: np.ndarray) -> np.ndarray:
     """For each row the smallest row that it hangs together with in the symmetric matrix ``linked``."""
     n = len(linked)
@@ -53,16 +63,15 @@ def _forest(linked: np.ndarray) -> np.ndarray:
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.98, per_bucket: int = 48, bucket: int = 1024, seed: int = 7) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    usable = F.coalesce(F.size("v") > 0, F.lit(False)) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & (norm > 0)
-    usable = F.coalesce(usable, F.lit(False))
-    text = F.col("v").cast("string")
-    rows = rows.select("vec_id", F.when(usable, F.col("v").cast("array<float>")).alias("v"), F.when(usable, F.struct(F.xxhash64("v").alias("x"), F.crc32(text).alias("y"), F.size("v").alias("d"))).alias("k"))
-    rows = materialize(rows.select("vec_id", "k", F.when(F.col("k").isNotNull(), F.col("v")).alias("v")), "vectors")
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"  # floats are doubles as they are
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(kind).alias("v"))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = F.coalesce((F.size("v") > 0) & ~odd & F.exists("v", lambda x: x != 0), F.lit(False))
+    digest = F.struct(F.xxhash64("v").alias("x"), F.crc32(F.col("v").cast("string")).alias("y"), F.size("v").alias("d"))
+    rows = materialize(rows.select("vec_id", F.when(usable, digest).alias("k"), F.when(usable, F.col("v")).alias("v")), "vectors")
     # a class is known by its smallest vec_id; repeated rows of that id are one of its vectors each
     classes = rows.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"), F.min("v").alias("v"))
-    classes = materialize(classes.select(F.xxhash64("k").alias("c"), "k", "id", "many", "v"), "classes")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("c"), "k", "id", "many", "v"), "classes")
     n = classes.count()
     bits = max(6, math.ceil(math.log2(max(n, 1) / per_bucket))) if n else 6
     tables = tables_for(bits, threshold, recall)
@@ -81,16 +90,16 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((d, tables * bits))
                 own = np.flatnonzero(lengths == d)
                 for part in np.array_split(own, -(-len(own) // 2048)):
-                    x = flat[starts[part][:, None] + np.arange(d)]
+                    x = _scaled(flat[starts[part][:, None] + np.arange(d)])
                     codes[part] = ((x @ planes[d] > 0).reshape(len(part), tables, bits) @ power).astype(np.int64)
             out = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables), pa.int32()), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("many"), v, out], names=names)
 
-    coded = materialize(classes.select("c", "many", "v").mapInArrow(encode, "c long, many long, v array<float>, codes array<long>"), "codes")
-    posted = coded.select("c", "many", "v", "codes", F.posexplode("codes").alias("t", "code")).withColumn("d", F.size("v"))
+    coded = materialize(classes.select("c", "many", "v").mapInArrow(encode, f"c long, many long, v {kind}, codes array<long>"), "codes")
     key = ["t", "code", "d"]
-    large = coded.select(F.posexplode("codes").alias("t", "code"), F.size("v").alias("d")).groupBy(*key).count().where(F.col("count") > bucket)
-    posted = posted.join(large.withColumnRenamed("count", "n"), key, "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / bucket), F.lit(1)).cast("int"))
+    posted = coded.select("c", F.size("v").alias("d"), F.posexplode("codes").alias("t", "code"))
+    shared = posted.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    posted = posted.join(shared, key).join(coded, "c").withColumn("parts", F.ceil(F.col("n") / bucket).cast("int"))
     posted = posted.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     posted = posted.withColumn("other", other).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
@@ -101,8 +110,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
         order = np.argsort(c, kind="stable")
         c, many, part = c[order], many[order], part[order]
         d = table.column("d")[0].as_py()
-        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)[order]
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)[order]
         codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, tables)[order]
+        x = _scaled(x)
         x = x / np.sqrt((x * x).sum(1))[:, None]
         across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         links = np.zeros(len(c), dtype=np.int64)

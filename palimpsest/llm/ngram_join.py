@@ -74,7 +74,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarra
 def class_of(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
     """A set's digest: equal for equal sets, different else but for a chance of 2**-128. ``bits`` of its first half count."""
     both = np.array([ts.mix(s + np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64), ts.mix(s ^ np.uint64(0x6A09E667F3BCC908)).sum(dtype=np.uint64)])
-    first, second = ts.mix(both + np.uint64(len(s)) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64).tolist()
+    first, second = ts.mix(both + np.full(2, len(s), np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64).tolist()
     return first >> (64 - bits), second
 
 
@@ -349,11 +349,12 @@ def _components(docs: DataFrame, n: int, t: Fraction, bits: int = 64) -> tuple[D
     else:
         runs = runs.join(twice.select(F.col("c0").alias("lead"), F.lit(True).alias("more")), "lead", "left").where("lead <> last or more")
     # lead stands for a class: the one that is known by this number itself
-    shared = materialize(signed.join(runs.select("a", "lead", "many"), "a"), "shared")
-    shared = shared.join(classes.select("c0", "c", "v"), "c0")
-    met = shared.where(F.col("many") <= LONG_RUN).select("a", "c", "v").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_joined(t), "a long, b long")
+    shared = signed.join(runs.select("a", "lead", "many"), "a")
+    shared = shared.withColumnRenamed("c0", "c") if twice is None else shared.join(classes.select("c0", "c"), "c0").drop("c0")
+    shared = materialize(shared, "shared")
+    near = shared.where(F.col("many") <= LONG_RUN).join(classes.select("c", "v"), "c")
+    met = near.select("a", "c", "v").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_joined(t), "a long, b long")
     met = met.unionByName(shared.where(F.col("many") > LONG_RUN).select(F.col("lead").alias("a"), F.col("c").alias("b")))
-    shared = shared.select("a", "c")
     clusters = connected_components(met)
     # one document of each class in a cluster, with its text
     held = classes.select("c", "c0", "c2", "id", "h", "n").join(clusters.withColumnRenamed("node", "c"), "c")
@@ -406,7 +407,7 @@ def _components(docs: DataFrame, n: int, t: Fraction, bits: int = 64) -> tuple[D
         inside = inside.unionByName(pivots)
     edges = materialize(inside.groupBy("component", "cell").applyInArrow(within, "a long, b long"), "links")
     if any_large:
-        edges = edges.unionByName(_across(large, shared, edges, links))
+        edges = edges.unionByName(_across(large, shared.select("a", "c"), edges, links))
     joined = connected_components(edges).select(F.col("node").alias("c"), F.col("component").alias("top"))
     tops = classes.select("c", "c0", "c2", "id", "h").join(joined, "c", "left").select("c0", "c2", "id", "h", F.coalesce("top", "c").alias("top"))
     least = tops.groupBy("top").agg(_least("id", "h").alias("least")).select("top", "least.id", "least.h")
@@ -434,9 +435,9 @@ def _across(large: DataFrame, shared: DataFrame, edges: DataFrame, links) -> Dat
     large = materialize(large, "large")
     main = large.groupBy("component", "top").count().groupBy("component").agg(F.max(F.struct("count", "top")).alias("best")).select("component", F.col("best.top").alias("main"))
     apart = large.join(main, "component").where(F.col("top") != F.col("main")).select("component", "c", "text", "top", F.col("cell").alias("from"))
-    signed = shared.join(large.select("c", "component", "cell"), "c")
-    cells = signed.select("a", "component", "cell").distinct()
-    to = shared.join(apart.select("c", "component", "from"), "c").join(cells, ["a", "component"]).where(F.col("cell") != F.col("from")).select("c", "component", "from", "cell").distinct()
+    asking = materialize(shared.join(apart.select("c", "component", "from"), "c"), "asking")
+    cells = shared.join(asking.select("a").distinct(), "a", "left_semi").join(large.select("c", "component", "cell"), "c").select("a", "component", "cell").distinct()
+    to = asking.join(cells, ["a", "component"]).where(F.col("cell") != F.col("from")).select("c", "component", "from", "cell").distinct()
     to = materialize(to, "asked")
     ask = apart.drop("from", "component").join(to, "c").select("component", "c", "text", "top", "from", "cell", F.lit(True).alias("ask"))
     asked = to.select("component", "cell", "from").distinct()

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import let, own_names, scan
+from .columns import cut, let, own_names, scan
 from .storage import materialize
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -249,34 +249,19 @@ def find_pii(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
-def _replaced(text: Column, spans: Column, block: int = 64) -> Column:
-    """``text`` with each span replaced by its kind; overlapping spans are one, of the first's kind.
-
-    A run of spans is cut from its own stretch of the text, so that no cut counts from the text's beginning.
-    """
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each span replaced by its kind; overlapping spans are one, of the first's kind."""
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
+    kind = "array<struct<start:int,end:int,kind:int>>"
 
-    def merged(far: Column, s: Column) -> tuple[Column, Column]:
-        # (where the text before the span begins, where the span starts, its kind); what lies inside an earlier span only moves the end
-        piece = F.struct(far.alias("far"), s["start"].alias("start"), s["kind"].alias("kind"))
-        return F.greatest(far, s["end"]), F.when(s["start"] >= far, F.array(piece)).otherwise(F.array().cast("array<struct<far:int,start:int,kind:int>>"))
-
-    def cut(pieces: Column) -> Column:
-        def run(k: Column) -> Column:
-            def stretch(own: Column) -> Column:
-                first = F.get(own, F.lit(0))["far"]
-                inside = F.substr(text, first + 1, F.element_at(own, -1)["start"] - first)
-                return let(
-                    F.struct(inside.alias("text"), first.alias("at")),
-                    lambda x: F.array_join(F.transform(own, lambda q: F.concat(F.substr(x["text"], q["far"] - x["at"] + 1, q["start"] - q["far"]), F.get(names, q["kind"]))), ""),
-                )
-
-            return let(F.slice(pieces, k * block + 1, F.lit(block)), stretch)
-
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / block).cast("int")), run), "")
+    def before(far: Column, s: Column) -> tuple[Column, Column]:
+        """The text before the span; what starts inside an earlier span only moves the end."""
+        piece = F.struct(far.alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))
+        return F.greatest(far, s["end"]), F.when(s["start"] >= far, F.array(piece)).otherwise(F.array().cast(kind))
 
     end = F.array_max(F.transform(spans, lambda s: s["end"]))
-    return F.concat(let(scan(spans, F.lit(0), merged, "array<struct<far:int,start:int,kind:int>>"), cut), F.substr(text, end + 1))
+    joined = let(scan(spans, F.lit(0), before, kind), lambda own: F.array_join(F.zip_with(cut(text, own), own, lambda x, s: F.concat(x, F.get(names, s["kind"]))), ""))
+    return F.concat(joined, F.substr(text, end + 1))
 
 
 def redact(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:

@@ -363,6 +363,36 @@ def test_embeddings(spark):
     assert embed_dedup.embedding_links(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_double_precision(spark):
+    near = 1 + 1e-9  # a cosine that floats can't tell from the threshold
+    at = lambda c: [c, (1 - c * c) ** 0.5]
+    rows = [(1, [1.0, 0.0]), (2, at(0.95 * near)), (3, at(0.95 / near)), (4, [1e200, 1e200, 0.0]), (5, [1e200, 1.1e200, 0.0]), (6, [3e-200, 3e-200, 0.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.embedding_links(df, recall=0.999999).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (2, 4), 5: (2, 4), 6: (2, 4), 7: (0, 7)}
+
+
+def test_embeddings_recall_as_shipped(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = rng.uniform(0.945, 0.97, len(x))[:, None]  # pairs near the threshold, the hardest to meet
+    x = np.concatenate((x, c * x + np.sqrt(1 - c * c) * side))
+    ids = list(range(len(x)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = Counter()
+    for k in range(0, len(x), 1000):
+        near = x[k : k + 1000] @ x.T >= 0.95
+        want.update({ids[k + i]: int(n) - 1 for i, n in enumerate(near.sum(1)) if n > 1})
+    got = {r.vec_id: r.n_links for r in embed_dedup.embedding_links(df).collect()}
+    assert all(got[i] <= want[i] for i in got)  # none wrong
+    assert sum(want.values()) > 2000 and sum(got.values()) >= 0.97 * sum(want.values())
+
+
 PII = [
     "mail a.b@c.org, d@e.f.g.c_d@h.i and @x.y z@w", "1.2.3.4.5.6.7.8 999.1.1.1 01.02.003.4 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 49927398716000", "+1 (555) 123-4567 +12 ++49 30 1234567890123 +1.....2",
     "é😀 a@b.c é 10.0.0.1", "a@b" * 50, "1" * 20000, "a" * 20000, "+" + "1(" * 5000, "1.1." * 3000, "- 4111111111111111 -", "٣.1.1.1.1",
@@ -448,6 +478,16 @@ def test_chat(spark):
     assert chat.format_chat(df.limit(0).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))).count() == 0
 
 
+def test_chat_of_many_equal_turns(spark):
+    n = 50_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.when(F.col("id") % 2 == 0, 3).alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("é <|x|> "), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    r = chat.read_back(chat.format_chat(rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", chat.text_part(F.col("text")).alias("parts")))).first()
+    said = [f"é <|x|> {k}" for half in (1, 0) for k in sorted(map(str, range(half, n, 2)))]
+    assert r.n_turns == n and [t.text for t in r.turns] == said and r.loss_text == "".join(said)
+    assert time.time() - began < 60
+
+
 def test_chat_parts(spark):
     parts = [("text", "see <|image|> ", None, None), ("image", None, "i.png", [56.0, 30.0]), ("audio", None, "a.wav", [2.0]), ("document", None, "d.pdf", [3.0]), None]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,size:array<double>>>")
