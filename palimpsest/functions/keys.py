@@ -1,5 +1,8 @@
 """Keys, chain hashers and output text, as column expressions."""
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,15 @@ WIDTHS = {"none": 1, "cache_aware": 16, "single": 4, "double": 16, "triple": 64,
 # fixed values: three-bit codes of the packed key, in the order of the alphabet
 ALPHABET, PACKED = "ACGTN", "13746"
 
+# fixed values: codes of the admission filter's hash, G before T; any other letter, or none at that place, is 7
+BLOOM_CODES = {"A": 0, "C": 1, "G": 2, "T": 3, "N": 4}
+BLOOM_OTHER = 7
+
+#: hashers, keys and outputs of one's own, as column expressions, by the name that options give them
+HASHERS: dict[str, Callable[[Column], Column]] = {}
+KEYS: dict[str, Callable[[Column], Column]] = {}
+OUTPUTS: dict[str, Callable[[Column, Column], Column]] = {}
+
 
 def base_code(sequence: Column, at: int) -> Column:
     """The code of the base at 1-based position ``at``."""
@@ -26,7 +38,9 @@ def gc_count(sequence: Column) -> Column:
 
 def chain_hash(sequence: Column, hasher: str = "none", bins: int = 4, mode: str = "intended") -> Column:
     """The chain of a sequence. ``gc``: an empty sequence goes to the first bin."""
-    if hasher == "none":
+    if hasher in HASHERS:
+        out = HASHERS[hasher](sequence)
+    elif hasher == "none":
         out = F.lit(0)
     elif hasher == "cache_aware":
         out = F.pmod(F.conv(F.substring(F.md5(sequence), 1, 8), 16, 10).cast("long"), F.lit(16))
@@ -76,3 +90,27 @@ def ratio(part: Column, whole: Column) -> Column:
 def output_path(path: Column, ext: str = "_out") -> Column:
     """The input's path with its extension replaced."""
     return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(ext))
+
+
+def bloom_positions(bits: int, functions: int, length: int, seed: int = 1234) -> list[list[int]]:
+    """The places of a key that each of the filter's functions samples: as many as octal digits cover ``bits``, from a fixed seed."""
+    digits = -(-(bits - 1).bit_length() // 3)
+    return np.random.default_rng(seed).integers(0, length, (functions, digits)).tolist()
+
+
+def bloom_hash(key: Column, places: list[int], bits: int) -> Column:
+    """The bit that one function sets: three bits for each sampled letter, the first lowest."""
+    out = F.lit(0).cast("long")
+    for i, p in enumerate(places):
+        c = F.substring(key, p + 1, 1)
+        code = F.lit(BLOOM_OTHER)
+        for base, value in BLOOM_CODES.items():
+            code = F.when(c == base, value).otherwise(code)
+        out = out + F.shiftleft(code.cast("long"), 3 * i)
+    return F.pmod(out, F.lit(bits))
+
+
+def hit_rate(hits: Column, misses: Column, mode: str = "intended") -> Column:
+    """Null where nothing was asked. Wired, the division is of whole numbers."""
+    rate = F.try_divide(hits.cast("double"), (hits + misses).cast("double"))
+    return F.floor(rate).cast("double") if mode == "wired" else rate

@@ -4,12 +4,15 @@ Rows are numbered inside blocks of neighbouring arrivals of their chain; running
 sums over the counts of the blocks carry the numbers on, so a chain that holds
 most rows is shared by many tasks. What is known of the chains, a row for each
 of at most 64, gives every chain its place, so no window spans the table:
-bucket = buckets before the chain + (number in chain - 1) / size.
+bucket = buckets before the chain + (number in chain - 1) / size. In random order a
+row for each bucket says when it is handed out.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.storage import materialize, numbered
+
 BLOCK_BITS = 20  # a block has at most 2 ** 20 arrivals
 
 
@@ -27,8 +30,8 @@ def _numbered(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.join(blocks.select("chain", "_block", "_before"), ["chain", "_block"]).withColumn("rn", (own + F.col("_before")).cast("long"))
 
 
-def chain_table(rows: DataFrame, blocks: DataFrame, bucket_size: int, order: str = "longest", seed: int = 0) -> DataFrame:
-    """chain, n_buckets, cord (its turn from 1), buckets and rows before it."""
+def chain_table(rows: DataFrame, blocks: DataFrame, bucket_size: int) -> DataFrame:
+    """chain, n_buckets, cord (its turn from 1), buckets and rows before it, whether it is first. At most 64 rows; they pass the driver."""
     fills = F.col("_before").between(bucket_size - F.col("_n"), bucket_size - 1)
     filling = blocks.where(fills)  # at most one block of each chain
     filled = _numbered(rows.select("chain", "_block", "arrival"), F.broadcast(filling)).where(F.col("rn") == bucket_size).select("chain", F.col("arrival").alias("filled"))
@@ -36,32 +39,56 @@ def chain_table(rows: DataFrame, blocks: DataFrame, bucket_size: int, order: str
     chains = chains.withColumn("n_buckets", F.ceil(F.col("n_rows") / bucket_size).cast("long"))
     # the chain whose first bucket is full first starts; without a full bucket the longest does
     first = F.row_number().over(Window.orderBy(F.col("filled").asc_nulls_last(), F.col("n_buckets").desc(), "chain")) == 1
-    turn = [F.col("n_buckets").desc(), F.col("chain")] if order == "longest" else [F.xxhash64("chain", F.lit(seed)), F.col("chain")]
-    by = Window.orderBy(F.col("first").desc(), *turn)
+    by = Window.orderBy(F.col("first").desc(), F.col("n_buckets").desc(), F.col("chain"))
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    return chains.withColumn("first", first.cast("int")).select(
+    chains = chains.withColumn("first", first.cast("int")).select(
         "chain",
         "n_buckets",
         F.row_number().over(by).cast("long").alias("cord"),
         F.coalesce(F.sum("n_buckets").over(before), F.lit(0)).cast("long").alias("buckets_before"),
         F.coalesce(F.sum("n_rows").over(before), F.lit(0)).cast("long").alias("rows_before"),
+        F.col("n_rows").cast("long").alias("n_rows"),
+        "first",
+    )
+    return rows.sparkSession.createDataFrame(chains.collect(), chains.schema)
+
+
+def random_turns(chains: DataFrame, bucket_size: int, seed: int) -> DataFrame:
+    """chain, cb, bucket and rows_before: after each bucket the next one is of any chain that has some left, all alike, in the chain's own order.
+
+    A chain's buckets come at the times of a Poisson process, all chains at one rate until they end, so at each time every
+    chain that isn't empty is equally likely to be next. The starting chain gives the first bucket. A row for each bucket.
+    """
+    each = chains.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_buckets") - 1)).alias("cb"))
+    draw = (F.pmod(F.xxhash64("chain", "cb", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    own = Window.partitionBy("chain").orderBy("cb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gap = F.when((F.col("first") == 1) & (F.col("cb") == 0), F.lit(0.0)).otherwise(-F.log(draw))
+    each = each.withColumn("size", F.least(F.lit(bucket_size).cast("long"), F.col("n_rows") - F.col("cb") * bucket_size)).withColumn("time", F.sum(gap).over(own))
+    turn = Window.orderBy("time", "chain", "cb")
+    return each.select(
+        "chain",
+        "cb",
+        F.row_number().over(turn).cast("long").alias("bucket"),
+        F.coalesce(F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"),
     )
 
 
 def assign_buckets(reads: DataFrame, bucket_size: int, order: str = "longest", seed: int = 0, block_bits: int = BLOCK_BITS) -> DataFrame:
     """Add cb (the bucket's number in its chain from 0), bucket and pos (from 1, in the order in which buckets are handed out).
 
-    ``reads`` has arrival and chain. With one chain and arrivals without gaps,
-    ``assign_arrival_buckets`` needs no window.
+    ``reads`` has arrival and chain and is read three times, twice for these two
+    columns. With one chain and arrivals without gaps, ``assign_arrival_buckets``
+    needs no window.
     """
     rows, blocks = _blocks(reads, block_bits)
-    numbered = _numbered(rows, blocks)
-    chains = chain_table(rows, blocks, bucket_size, order, seed)
-    cb = F.floor((F.col("rn") - 1) / bucket_size).cast("long")
-    joined = numbered.join(F.broadcast(chains), "chain")
-    return joined.withColumn("cb", cb).select(
-        *reads.columns, "cb", (F.col("buckets_before") + F.col("cb") + 1).alias("bucket"), (F.col("rows_before") + F.col("rn")).alias("pos")
-    )
+    blocks = materialize(blocks, "blocks")
+    chains = chain_table(rows, blocks, bucket_size)
+    numbered_rows = _numbered(rows, blocks).withColumn("cb", F.floor((F.col("rn") - 1) / bucket_size).cast("long"))
+    if order == "random":
+        joined = numbered_rows.join(random_turns(chains, bucket_size, seed), ["chain", "cb"])
+        return joined.select(*reads.columns, "cb", "bucket", (F.col("rows_before") + F.col("rn") - F.col("cb") * bucket_size).alias("pos"))
+    joined = numbered_rows.join(F.broadcast(chains), "chain")
+    return joined.select(*reads.columns, "cb", (F.col("buckets_before") + F.col("cb") + 1).alias("bucket"), (F.col("rows_before") + F.col("rn")).alias("pos"))
 
 
 def assign_arrival_buckets(reads: DataFrame, bucket_size: int) -> DataFrame:
@@ -71,7 +98,6 @@ def assign_arrival_buckets(reads: DataFrame, bucket_size: int) -> DataFrame:
 
 
 def sorted_chain(reads: DataFrame, mode: str = "intended") -> DataFrame:
-    """One bucket per chain, sorted: by sequence, or wired by the whole row. bucket follows the chain, pos the order."""
+    """One bucket per chain, sorted: by sequence, or wired by the whole row. bucket follows the chain, pos the order; a chain is shared by many tasks."""
     by = ["sequence", "file_id", "header"] if mode == "intended" else ["file_id", "header", "sequence", "plus", "quality"]
-    ranked = reads.withColumn("pos", F.row_number().over(Window.partitionBy("chain").orderBy(*by, "arrival")).cast("long"))
-    return ranked.withColumn("bucket", F.col("chain").cast("long") + 1)
+    return numbered(reads, ["chain"], [*by, "arrival"], "pos").withColumn("bucket", F.col("chain").cast("long") + 1)

@@ -1,18 +1,35 @@
-"""The cache between buckets: bounded LRU and MRU with an optional admission filter, one bucket at a time.
+"""The cache between buckets: bounded LRU and MRU with an optional admission filter.
 
-State is a table (key, value, t, row). A bucket is probed against the state
-before the results of the bucket before it are written, so its own lag is two.
-Recency is (t, row): t = 2 (b - 1) for a probe of bucket b that hits, 2 b + 1 for
-its write. Trimming leaves capacity - 1 entries: LRU drops the oldest, MRU the newest.
+A bucket is probed against the state before the results of the bucket before it
+are written, so its own lag is two. An entry is as recent as its last hit, or
+its write. Trimming happens after a bucket's writes, once there are more than
+``capacity`` entries, and leaves ``capacity - 1``: LRU drops the oldest, MRU the
+newest.
+
+Hits and evictions depend on keys alone, not on what they are mapped to. So
+``walk`` finds for a whole table which keys of which buckets are hits and whose
+results these are: different keys of each bucket come from an aggregate, one
+task takes them in the order of the buckets with the cache's keys as its only
+state, and the mapper can then run on all buckets at once. ``MemoCache`` keeps
+state and values in tables, a version for each bucket, for streams whose buckets
+come one after another; a stream that was stopped goes on from them.
 """
 
-from dataclasses import dataclass, field
-from pathlib import PurePosixPath
-from uuid import uuid4
+import json
+from collections import OrderedDict
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.config import BloomBits
+from palimpsest.functions.keys import BLOOM_CODES, BLOOM_OTHER, bloom_positions
+from palimpsest.operators import dedup
+from palimpsest.storage import remove
+
 STATE = "key string, value string, t long, row long"
 
 
@@ -24,6 +41,125 @@ def trim(state: DataFrame, capacity: int, policy: str = "lru") -> DataFrame:
     return state.orderBy(*side).limit(capacity - 1)
 
 
+class BloomFilter:
+    """Bits that keys set. A key is possibly known if all of its bits are set."""
+
+    def __init__(self, size: BloomBits = BloomBits()):
+        self.size = size
+        self.places = bloom_positions(size.bits, size.functions, size.length, size.seed)
+        self.clear()
+
+    def clear(self) -> None:
+        self.set = np.zeros(self.size.bits, dtype=bool)
+
+    def _bits(self, key: str) -> list[int]:
+        codes = lambda p: BLOOM_CODES.get(key[p], BLOOM_OTHER) if p < len(key) else BLOOM_OTHER
+        return [sum(codes(p) << (3 * i) for i, p in enumerate(own)) % self.size.bits for own in self.places]
+
+    def add(self, key: str) -> None:
+        self.set[self._bits(key)] = True
+
+    def possibly(self, key: str) -> bool:
+        return bool(self.set[self._bits(key)].all())
+
+
+class Recency:
+    """The keys of a bounded cache from the oldest to the newest, each with what it is mapped to."""
+
+    def __init__(self, capacity: int, policy: str = "lru"):
+        self.capacity, self.policy, self.order = capacity, policy, OrderedDict()
+
+    def find(self, key) -> bool:
+        """Whether the key is there; that alone doesn't make it recent."""
+        return key in self.order
+
+    def at(self, key):
+        """The value of a key, which becomes the newest."""
+        self.order.move_to_end(key)
+        return self.order[key]
+
+    def insert_no_evict(self, key, value) -> None:
+        """Add as the newest what is absent; what is there keeps its value and place."""
+        self.order.setdefault(key, value)
+
+    def insert(self, key, value) -> None:
+        """Add what is absent and make room at once: the key itself may be the victim."""
+        if key not in self.order:
+            self.order[key] = value
+            self._evict()
+
+    def trim(self) -> None:
+        if len(self.order) > self.capacity:
+            self._evict()
+
+    def _evict(self) -> None:
+        while len(self.order) >= self.capacity:
+            self.order.popitem(last=self.policy == "mru")
+
+    def clear(self) -> None:
+        self.order.clear()
+
+
+def walk(rows: DataFrame, capacity: int, policy: str = "lru", bloom: bool | BloomBits = False, mode: str = "intended", compression: str = "none") -> DataFrame:
+    """Add to rows (bucket, key, pos, for cross file_id) ``hit``, ``_by`` and ``_asks``, as ``dedup.mark_hits`` does, for a cache that evicts."""
+    bits = bloom if isinstance(bloom, BloomBits) else None
+    rows = dedup.firsts(rows, compression, mode)
+    keyed = rows
+    if bloom and not bits:
+        known = rows.groupBy("key").agg(F.min("pos").alias("_p1"), F.min("bucket").alias("_seen")).withColumnRenamed("key", "_key")
+        keyed = rows.join(known, F.col("key").eqNullSafe(F.col("_key")))
+        new, seen = (F.min("pos") == 1, F.lit(1)) if mode == "wired" else (F.min("pos") == F.min("_p1"), F.min("_seen"))
+    else:
+        new, seen = F.lit(False), F.lit(0)
+    # the first two rows of a key in a bucket are all that its write depends on; a bucket's rows are a bounded group
+    two = F.slice(F.sort_array(F.collect_list(F.struct("pos", "_work"))), 1, 2)
+    each = keyed.groupBy("bucket", "key").agg(two.alias("two"), F.max("pos").alias("last"), new.alias("new"), seen.cast("long").alias("seen"))
+    each = each.select("bucket", "key", F.transform("two", lambda x: x["pos"]).alias("pos"), F.transform("two", lambda x: x["_work"]).alias("work"), "last", "new", "seen")
+    names = ["_bucket", "_key", "hit", "_by", "_asks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, bloomed = Recency(capacity, policy), BloomFilter(bits) if bits else None
+        waiting: list[tuple] = []  # (pos, key, work, kept out) of the bucket before that missed
+        bucket, own = None, []
+
+        def closed() -> pa.RecordBatch:
+            nonlocal waiting
+            made, missed, touched = [], [], []
+            for _, key, pos, work, last, new, seen in own:
+                asks = bloomed.possibly(key or "") if bloomed else not bloom or bucket >= seen + dedup.LAG
+                hit = asks and cache.find(key)
+                if hit:
+                    touched.append((last, key))
+                else:
+                    missed += [(p, key, w, new and k == 0) for k, (p, w) in enumerate(zip(pos, work, strict=True))]
+                made.append([bucket, key, hit, cache.order[key] if hit else None, asks])
+            for _, key in sorted(touched, key=lambda x: x[0]):
+                cache.at(key)
+            for _, key, w, out in sorted(waiting, key=lambda x: x[0]):
+                if bloomed and not bloomed.possibly(key or ""):
+                    bloomed.add(key or "")
+                elif not out:
+                    cache.insert_no_evict(key, w)
+            cache.trim()
+            waiting = missed
+            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != bucket:
+                    if own:
+                        yield closed()
+                    bucket, own = row[0], []
+                own.append(row)
+        if own:
+            yield closed()
+
+    marks = each.withColumn("bucket", F.col("bucket").cast("long")).withColumn("key", F.col("key").cast("string"))
+    marks = marks.repartition(1).sortWithinPartitions("bucket").mapInArrow(run, "_bucket long, _key string, hit boolean, _by long, _asks boolean")
+    return rows.join(marks, (F.col("bucket") == F.col("_bucket")) & F.col("key").eqNullSafe(F.col("_key"))).drop("_bucket", "_key")
+
+
 @dataclass
 class CacheStats:
     hits: int = 0
@@ -33,15 +169,23 @@ class CacheStats:
     def __str__(self) -> str:
         return f"Hits: {self.hits} Misses: {self.misses} Size: {self.size}"
 
-    @property
-    def hit_rate(self) -> float | None:
+    def hit_rate(self, mode: str = "intended") -> float | None:
+        """Wired, the division is of whole numbers."""
         asked = self.hits + self.misses
-        return self.hits / asked if asked else None
+        if not asked:
+            return None
+        return self.hits // asked * 1.0 if mode == "wired" else self.hits / asked
 
 
 @dataclass
 class MemoCache:
-    """State lives as Parquet under ``folder``, a version for each bucket, so a run can go on where it stopped."""
+    """State, admission filter and results that wait, as Parquet under ``folder`` with a version for each bucket.
+
+    Bucket b starts from what version b - 1 holds, whether it was made by this
+    object or before a restart; a bucket that is run again starts from there
+    again. A version counts once its manifest is there, which is written last;
+    older ones are deleted when no bucket can start from them any more.
+    """
 
     spark: SparkSession
     folder: str
@@ -51,54 +195,120 @@ class MemoCache:
     stats: CacheStats = field(default_factory=CacheStats)
 
     def __post_init__(self):
+        self.folder = self.folder.rstrip("/")
+        self.clear(keep_stats=True)
+        self.bucket = 0
+
+    def clear(self, keep_stats: bool = True) -> None:
+        """Forget all entries and known keys; the counters stay unless asked otherwise."""
         self.state = self.spark.createDataFrame([], STATE)
         self.seen = self.spark.createDataFrame([], "key string")
         self.pending: DataFrame | None = None
-        self.pending_bucket = 0
+        if not keep_stats:
+            self.stats = CacheStats()
+
+    def _path(self, bucket: int, name: str = "") -> str:
+        return f"{self.folder}/version={bucket}" + f"/{name}" * bool(name)
+
+    def keep(self, df: DataFrame, bucket: int, name: str) -> DataFrame:
+        """A table of a bucket's version."""
+        df.write.mode("overwrite").parquet(self._path(bucket, name))
+        return self.spark.read.schema(df.schema).parquet(self._path(bucket, name))
+
+    def last(self) -> int:
+        """The newest bucket whose version is complete; 0 without any."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version=*/manifest")
+        found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place)
+        return max((int(x.getPath().getParent().getName().split("=")[1]) for x in found or []), default=0)
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = str(PurePosixPath(self.folder) / f"{name}-{uuid4().hex}") if "://" not in self.folder else f"{self.folder}/{name}-{uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def start(self, bucket: int) -> None:
+        """Take up the version before ``bucket``, unless it is the one at hand."""
+        if self.bucket == bucket - 1:
+            return
+        if bucket == 1:
+            self.__post_init__()
+            self.stats = CacheStats()
+            return
+        self.bucket = bucket - 1
+        if self.policy == "none":
+            return
+        manifest = json.loads(self.spark.read.text(self._path(bucket - 1, "manifest")).first()[0])
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(self._path(bucket - 1, name))
+        self.state = read("state", STATE)
+        self.seen = read("seen", "key string") if self.bloom else self.seen
+        self.pending = read("pending", "key string, value string, pos long")
+        self.stats = CacheStats(**manifest["stats"])
 
     def probe(self, rows: DataFrame, bucket: int) -> DataFrame:
         """Add hit and value to a bucket's rows (key, pos), count, touch what was hit, then write the bucket before."""
+        self.start(bucket)
         if self.policy == "none":
             return rows.withColumn("hit", F.lit(False)).withColumn("value", F.lit(None).cast("string"))
-        found = rows.join(self.state.select("key", "value"), "key", "left").withColumn("hit", F.col("value").isNotNull())
-        found = self._keep(found, "probed")
-        self.stats.hits += found.where("hit").count()
-        missed = found.where("not hit")
-        self.stats.misses += (missed.join(self.seen, "key", "left_semi") if self.bloom else missed).count()
+        found = rows.join(self.state.select("key", F.col("value")).withColumn("_in", F.lit(True)), "key", "left").withColumn("hit", F.coalesce("_in", F.lit(False))).drop("_in")
+        if self.bloom:
+            found = found.join(self.seen.withColumn("_asks", F.lit(True)), "key", "left").withColumn("_asks", F.coalesce("_asks", F.lit(False)))
+        else:
+            found = found.withColumn("_asks", F.lit(True))
+        found = self.keep(found, bucket, "probed")
+        hits, misses = found.agg(F.count_if("hit"), F.count_if(~F.col("hit") & F.col("_asks"))).first()
+        self.stats = replace(self.stats, hits=self.stats.hits + hits, misses=self.stats.misses + misses)
         touched = found.where("hit").groupBy("key").agg(F.max("pos").alias("last"))
         moved = self.state.join(touched, "key", "left").select(
             "key", "value", F.when(F.col("last").isNotNull(), F.lit(2 * (bucket - 1))).otherwise(F.col("t")).alias("t"), F.coalesce("last", "row").alias("row")
         )
-        self.state = self._keep(moved, "state")
-        self._write_pending()
-        return found
+        self._write_pending(moved, bucket)
+        return found.drop("_asks")
 
     def write(self, results: DataFrame, bucket: int) -> None:
-        """Hold a bucket's results (key, value, pos) until the next bucket has been probed."""
-        self.pending, self.pending_bucket = self._keep(results.select("key", "value", "pos"), "pending"), bucket
+        """Hold a bucket's results (key, value, pos) until the next bucket has been probed; that ends the bucket's version."""
+        self.pending = self.keep(results.select("key", "value", "pos"), bucket, "pending")
+        self.bucket = bucket
+        text = json.dumps({"stats": asdict(self.stats)})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self._path(bucket, "manifest"))
+        remove(self.spark, self._path(bucket - 2))
 
-    def _write_pending(self) -> None:
-        if self.pending is None or self.policy == "none":
-            return
-        new, t = self.pending, 2 * self.pending_bucket + 1
-        self.pending = None
-        if self.bloom:
-            nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-            known = self.seen.withColumn("known", F.lit(True))
-            ranked = new.withColumn("nth", nth).join(known, "key", "left")
-            again = ranked.where("known or nth > 1").select("key", "value", "pos")
-            self.seen = self._keep(self.seen.unionByName(new.select("key")).distinct(), "seen")
-            new = again
-        first = new.join(self.state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("pos").alias("row"), F.min_by("value", "pos").alias("value"))
-        grown = self.state.unionByName(first.select("key", "value", F.lit(t).cast("long").alias("t"), "row"))
-        self.state = self._keep(trim(self._keep(grown, "grown"), self.capacity, self.policy), "state")
-        self.stats.size = self.state.count()
+    def _write_pending(self, state: DataFrame, bucket: int) -> None:
+        """The state after the probe of ``bucket`` and the writes of the bucket before it: one table, and a smaller one where it has to be trimmed."""
+        if self.pending is not None:
+            new = self.pending
+            if self.bloom:
+                nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
+                ranked = new.withColumn("nth", nth).join(self.seen.withColumn("known", F.lit(True)), "key", "left")
+                self.seen = self.keep(self.seen.unionByName(new.select("key")).distinct(), bucket, "seen")
+                new = ranked.where("known or nth > 1").select("key", "value", "pos")
+            first = new.join(state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("pos").alias("row"), F.min_by("value", "pos").alias("value"))
+            state = state.unionByName(first.select("key", "value", F.lit(2 * (bucket - 1) + 1).cast("long").alias("t"), "row"))
+        elif self.bloom:
+            self.seen = self.keep(self.seen, bucket, "seen")
+        grown = self.keep(state, bucket, "state")
+        size = grown.count()
+        if size > self.capacity:
+            grown = self.keep(trim(grown, self.capacity, self.policy), bucket, "trimmed")
+            size = self.capacity - 1
+            remove(self.spark, self._path(bucket, "state"))
+            self._rename(bucket, "trimmed", "state")
+            grown = self.spark.read.schema(STATE).parquet(self._path(bucket, "state"))
+        self.state, self.stats = grown, replace(self.stats, size=size)
+
+    def _rename(self, bucket: int, old: str, new: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        place = path(self._path(bucket, old))
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(place, path(self._path(bucket, new)))
+
+    def insert(self, entries: DataFrame, bucket: int) -> None:
+        """Add entries (key, value, pos) at once, with eviction: at most ``capacity - 1`` stay."""
+        first = entries.join(self.state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("pos").alias("row"), F.min_by("value", "pos").alias("value"))
+        grown = self.state.unionByName(first.select("key", "value", F.lit(2 * bucket + 1).cast("long").alias("t"), "row"))
+        self.state = self.keep(trim(grown, self.capacity - 1, self.policy) if grown.count() >= self.capacity else grown, bucket, "inserted")
+        self.stats = replace(self.stats, size=self.state.count())
+
+    def fetch(self, keys: DataFrame) -> DataFrame:
+        """The entries of the keys that are there; nothing is counted or touched."""
+        return self.state.join(keys.select("key").distinct(), "key", "left_semi").select("key", "value")
 
     def close(self) -> CacheStats:
-        self._write_pending()
+        """Apply the last bucket's writes, in a version of their own that no bucket starts from."""
+        if self.pending is not None and self.policy != "none":
+            self._write_pending(self.state, self.bucket + 1)
+        self.bucket = -1  # whatever bucket comes next starts from its version
         return self.stats

@@ -1,10 +1,12 @@
 """Routes of rows: taken from the cache, a duplicate inside the bucket, or unique work.
 
-A bucket sees the results of buckets at least two before it. Without eviction
-the cache's state follows from the rows alone: from the bucket that admits a key.
-That bucket is found by an aggregate or a row limit that starts before the
-shuffle and is joined back, so that a hot key's rows never meet in one task;
-windows are over equal keys of one bucket at most.
+A bucket sees the results of buckets at least two before it. While the different
+keys fit the cache, its state follows from the rows alone: from the row whose
+write stores the key. What is known of each key comes from one aggregate, or a
+row limit, that starts before the shuffle and is joined back, so that a hot
+key's rows never meet in one task; windows are over equal keys of one bucket at
+most. A smaller cache is walked through bucket by bucket (``cache.walk``); both
+ways end in the same columns.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -13,82 +15,97 @@ from pyspark.sql import functions as F
 LAG = 2
 
 
-def mark_hits(rows: DataFrame, policy: str = "lru", bloom: bool = False, mode: str = "intended") -> DataFrame:
-    """Add ``hit``. Valid while the different keys fit the cache: nothing is evicted.
+def admissions(rows: DataFrame, compression: str = "none", bloom: bool = False, mode: str = "intended") -> DataFrame:
+    """One row for each key: _key, _seen (its first bucket), _from (the bucket whose write stores it) and _by (the pos whose result that is).
 
-    ``bloom``: a key is admitted at its second row; wired, the filter swallows the very first row only.
+    ``bloom``: a key is stored at its second row; wired, the filter swallows the very first row only.
     """
-    if policy == "none":
-        return rows.withColumn("hit", F.lit(False))
-    if bloom and mode != "wired":
+    if not bloom:
+        out = rows.groupBy("key").agg(F.min("bucket").alias("_seen"), F.min("pos").alias("_by")).withColumn("_from", F.col("_seen"))
+    elif mode == "wired":
+        stored = lambda c: F.min(F.when(F.col("pos") > 1, F.col(c)))
+        out = rows.groupBy("key").agg(F.min("bucket").alias("_seen"), stored("pos").alias("_by"), stored("bucket").alias("_from"))
+    else:
+        file = "file_id" if "file_id" in rows.columns else "pos"
         # a limit by rank is taken before the shuffle too: two rows of a key leave each task
         nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-        admitted = rows.select("key", "pos", "bucket").withColumn("nth", nth).where("nth = 2").select("key", F.col("bucket").alias("_from"))
-    else:
-        admits = F.when(F.col("pos") > 1, F.col("bucket")) if bloom else F.col("bucket")
-        admitted = rows.groupBy("key").agg(F.min(admits).alias("_from"))
-    return _with_key(rows, admitted).withColumn("hit", F.coalesce(F.col("bucket") >= F.col("_from") + LAG, F.lit(False))).drop("_from")
+        two = rows.select("key", "pos", "bucket", F.col(file).alias("_file")).withColumn("_nth", nth).where("_nth <= 2")
+        of = lambda k, c: F.max(F.when(F.col("_nth") == k, F.col(c)))
+        out = two.groupBy("key").agg(F.min("bucket").alias("_seen"), of(2, "bucket").alias("_from"), of(1, "pos").alias("_p1"), of(2, "pos").alias("_p2"), of(1, "_file").alias("_f1"), of(2, "_file").alias("_f2"))
+        same = F.col("_from") == F.col("_seen")  # a duplicate in its own bucket has the first row's result
+        repeated = {"none": F.lit(False), "full": same, "cross": same & (F.col("_f1") != F.col("_f2"))}[compression]
+        out = out.withColumn("_by", F.when(repeated, F.col("_p1")).otherwise(F.col("_p2")))
+    return out.select(F.col("key").alias("_key"), "_seen", "_from", "_by")
 
 
-def _with_key(rows: DataFrame, of_key: DataFrame) -> DataFrame:
-    """Add what is known of each row's key. ``of_key`` has one row for a key."""
-    of_key = of_key.withColumnRenamed("key", "_key")
-    return rows.join(of_key, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")
+def mark_hits(rows: DataFrame, policy: str = "lru", bloom: bool = False, mode: str = "intended", compression: str = "none", known: DataFrame | None = None) -> DataFrame:
+    """Add ``hit``, ``_by`` (the pos that a hit's result comes from) and ``_asks`` (whether a miss would be counted).
 
+    Valid while the different keys fit the cache: nothing is evicted. ``known``: ``admissions``, where they are made already.
+    """
+    if policy == "none":
+        return rows.withColumn("hit", F.lit(False)).withColumn("_by", F.lit(None).cast("long")).withColumn("_asks", F.lit(False))
+    known = admissions(rows, compression, bloom, mode) if known is None else known
+    joined = rows.join(known, F.col("key").eqNullSafe(F.col("_key")), "left")
+    # the filter knows a key from its first write on; wired, its only bit is set by the first write of all
+    asks = F.col("bucket") >= (F.lit(1) if mode == "wired" else F.col("_seen")) + LAG if bloom else F.lit(True)
+    return joined.withColumn("hit", F.coalesce(F.col("bucket") >= F.col("_from") + LAG, F.lit(False))).withColumn("_asks", asks).drop("_key", "_seen", "_from")
 
-def mark_routes(rows: DataFrame, compression: str = "none", mode: str = "intended") -> DataFrame:
-    """Add ``route`` (cache, dup, unique) and ``rep``: the pos of the row whose result a row takes; null from the cache.
+
+def firsts(rows: DataFrame, compression: str, mode: str = "intended") -> DataFrame:
+    """Add ``_first`` (the pos of the first row of the key in the bucket) and ``_work`` (the pos whose result a row has unless it is a hit).
 
     full: of equal keys in a bucket the first is work. cross: rows from the
     first one's file are work too, only rows of other files are duplicates.
     Wired, both do what none does.
     """
-    same = Window.partitionBy("bucket", "key").orderBy("pos")
     if mode == "wired" or compression == "none":
-        work = ~F.col("hit")
-        first = F.col("pos")
-        rows = rows.withColumn("first", first)
-    else:
-        rows = rows.withColumn("first", F.first("pos").over(same)).withColumn("first_file", F.first("file_id").over(same))
-        work = ~F.col("hit") & ((F.col("pos") == F.col("first")) if compression == "full" else (F.col("file_id") == F.col("first_file")))
-    route = F.when(F.col("hit"), "cache").when(work, "unique").otherwise("dup")
-    rep = F.when(route == "unique", F.col("pos")).when(route == "dup", F.col("first"))
-    return rows.withColumn("route", route).withColumn("rep", rep).drop("first", "first_file")
+        return rows.withColumn("_first", F.col("pos")).withColumn("_work", F.col("pos"))
+    same = Window.partitionBy("bucket", "key").orderBy("pos")
+    rows = rows.withColumn("_first", F.first("pos").over(same))
+    if compression == "full":
+        return rows.withColumn("_work", F.col("_first"))
+    file = F.first("file_id").over(same)
+    return rows.withColumn("_work", F.when(F.col("file_id") == file, F.col("pos")).otherwise(F.col("_first")))
 
 
-def counters(routed: DataFrame, compression: str = "none", bloom: bool = False, mode: str = "intended") -> DataFrame:
-    """Per bucket: rows, unique, dup, hits, misses, ratio.
+def mark_routes(rows: DataFrame, compression: str = "none", mode: str = "intended") -> DataFrame:
+    """Rows with ``hit``, ``_by`` and ``_asks`` to rows with
 
-    Each row from the cache is a hit. Misses are the rows that asked: all that
-    weren't hits without compression, else the first of each key in a bucket.
-    With a Bloom filter a key that it doesn't know isn't counted.
+    route: cache, dup or unique. rep: the pos of the row of the same bucket whose
+    result a row takes, null from the cache. src: the pos of the row whose result
+    it has, also from the cache. asked: whether the row counts as a miss; without
+    compression each row asks, else the first of equal keys.
     """
-    asked = ~F.col("hit")
-    if compression != "none" and mode == "intended":
-        # of equal keys only the first row asks; its own pos is its key's smallest in the bucket
-        routed = routed.withColumn("first", F.min("pos").over(Window.partitionBy("bucket", "key")))
-        asked = asked & (F.col("pos") == F.col("first"))
-    if bloom:
-        routed = _with_key(routed, routed.groupBy("key").agg(F.min("bucket").alias("_from")))
-        routed = routed.withColumn("known", F.col("bucket") >= F.col("_from") + LAG)
-        asked = asked & F.col("known")
-    return routed.withColumn("asked", asked).groupBy("bucket").agg(
+    columns = [c for c in rows.columns if c not in ("_by", "_asks", "_first", "_work")]
+    if "_work" not in rows.columns:
+        rows = firsts(rows, compression, mode)
+    hit, work = F.col("hit"), F.col("_work")
+    route = F.when(hit, "cache").when(work == F.col("pos"), "unique").otherwise("dup")
+    return rows.select(
+        *columns,
+        route.alias("route"),
+        F.when(~hit, work).alias("rep"),
+        F.when(hit, F.col("_by")).otherwise(work).alias("src"),
+        (~hit & F.col("_asks") & (F.col("_first") == F.col("pos"))).alias("asked"),
+    )
+
+
+def counters(routed: DataFrame) -> DataFrame:
+    """Per bucket: rows, unique, dup, hits, misses, ratio. Each row from the cache is a hit; misses are the rows that asked in vain.
+
+    A key that the admission filter doesn't know isn't counted; without a cache nothing is.
+    """
+    counted = routed.groupBy("bucket").agg(
         F.count("*").alias("n_rows"),
         F.count_if(F.col("route") == "unique").alias("n_unique"),
         F.count_if(F.col("route") == "dup").alias("n_dup"),
         F.count_if("hit").alias("hits"),
         F.count_if("asked").alias("misses"),
-    ).withColumn("compression_ratio", F.try_divide(F.col("n_rows").cast("double"), F.col("n_unique").cast("double")))
+    )
+    return counted.withColumn("compression_ratio", F.try_divide(F.col("n_rows").cast("double"), F.col("n_unique").cast("double")))
 
 
 def fan_out(routed: DataFrame, results: DataFrame) -> DataFrame:
-    """Give every row its value: its own, that of the row it repeats, or the first one written for its key.
-
-    ``results``: pos and value of the unique rows.
-    """
-    known = routed.where("route = 'unique'").select("key", F.col("pos").alias("p")).join(results.withColumnRenamed("pos", "p"), "p")
-    own = results.select(F.col("pos").alias("rep"), "value")
-    worked = routed.where("route <> 'cache'").join(own, "rep", "left")
-    first = known.groupBy("key").agg(F.min_by("value", "p").alias("value"))
-    cached = routed.where("route = 'cache'").join(first, "key", "left")
-    return worked.unionByName(cached)
+    """Give every row its value by one join. ``results``: pos and value of the unique rows."""
+    return routed.join(results.select(F.col("pos").alias("_pos"), "value"), F.col("src") == F.col("_pos"), "left").drop("_pos")

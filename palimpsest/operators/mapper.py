@@ -1,13 +1,17 @@
 """The expensive external function, run on unique rows only.
 
 A row's result is found by its own pos, and the numbers of lines in and out
-must agree, so Arrow's batches don't matter. A task that is run again calls
-the function again: it has to be idempotent.
+must agree, so Arrow's batches don't matter: they are gathered until ``batch``
+records are there. A task that is run again calls the function again: it has to
+be idempotent.
 """
 
 import shlex
 import subprocess
+import threading
+import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.keys import record_text
 
+Function = Callable[[list[str]], list[str]]
+
 
 def _checked(values: list[str], n: int) -> list[str]:
     if len(values) != n:
@@ -22,31 +28,99 @@ def _checked(values: list[str], n: int) -> list[str]:
     return values
 
 
-def map_unique(unique: DataFrame, function: Callable[[list[str]], list[str]], batch: int = 50_000) -> DataFrame:
-    """pos and value for each row; ``function`` takes the texts of up to ``batch`` records."""
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of ``size`` rows, the last one smaller, whatever the batches' sizes are."""
+    waiting, n = [], 0
+    for rows in batches:
+        while rows.num_rows:
+            took = rows.slice(0, size - n)
+            waiting.append(took)
+            n += took.num_rows
+            rows = rows.slice(took.num_rows)
+            if n == size:
+                yield pa.Table.from_batches(waiting)
+                waiting, n = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def map_unique(unique: DataFrame, function: Function, batch: int = 50_000) -> DataFrame:
+    """pos, value and seconds for each row; ``function`` takes the texts of up to ``batch`` records.
+
+    seconds: the row's share of the time of the call that it was in, so that a
+    bucket's sum is its map time, whichever calls its rows were in. A function
+    that has ``session`` is opened once for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for k in range(0, rows.num_rows, batch):
-                own = rows.slice(k, batch)
-                values = _checked(function(own.column(1).to_pylist()), own.num_rows)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(values, pa.string())], names=["pos", "value"])
+        @contextmanager
+        def plain():
+            yield function
+
+        with getattr(function, "session", plain)() as call:
+            for own in _gathered(batches, batch):
+                began = time.monotonic()
+                values = _checked(call(own.column(1).to_pylist()), own.num_rows)
+                share = (time.monotonic() - began) / own.num_rows
+                yield from pa.table({"pos": own.column(0), "value": pa.array(values, pa.string()), "seconds": pa.array([share] * own.num_rows)}).to_batches(10_000)
 
     text = record_text(*(F.col(c) for c in ("header", "sequence", "plus", "quality")))
-    return unique.select("pos", text.alias("text")).mapInArrow(run, "pos long, value string")
+    return unique.select("pos", text.alias("text")).mapInArrow(run, "pos long, value string, seconds double")
 
 
-def process_function(command: str, encoding: str = "utf-8") -> Callable[[list[str]], list[str]]:
-    """A function that hands records to a process and reads a line for each; a failed process is an error."""
-    words = shlex.split(command)
+class ProcessFunction:
+    """Hands records to a process and reads a line for each; a failed process is an error.
 
-    def run(texts: list[str]) -> list[str]:
-        done = subprocess.run(words, input="\n".join([*texts, ""]).encode(encoding), capture_output=True, check=False)
-        if done.returncode:
-            raise RuntimeError(f"{words[0]} ended with {done.returncode}: {done.stderr[-500:].decode(encoding, 'replace')}")
-        return done.stdout.decode(encoding).splitlines()
+    One process for each call, or, ``interactive``, one that lives as long as
+    the task and answers each record with one line before its input ends.
+    """
 
-    return run
+    def __init__(self, command: str, interactive: bool = False, encoding: str = "utf-8"):
+        self.words, self.interactive, self.encoding = shlex.split(command), interactive, encoding
+
+    def __call__(self, texts: list[str]) -> list[str]:
+        done = subprocess.run(self.words, input="\n".join([*texts, ""]).encode(self.encoding), capture_output=True, check=False)
+        if done.returncode:
+            self._failed(done.returncode, done.stderr)
+        lines = done.stdout.decode(self.encoding).split("\n")  # no other character ends a line
+        return lines[:-1] if lines[-1] == "" else lines
+
+    def _failed(self, code: int | None, said: bytes) -> None:
+        raise RuntimeError(f"{self.words[0]} ended with {code}: {said[-500:].decode(self.encoding, 'replace')}")
+
+    @contextmanager
+    def session(self) -> Iterator[Function]:
+        if not self.interactive:
+            yield self
+            return
+        with subprocess.Popen(self.words, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as process:
+
+            def call(texts: list[str]) -> list[str]:
+                def give() -> None:
+                    try:
+                        process.stdin.write("\n".join([*texts, ""]).encode(self.encoding))
+                        process.stdin.flush()
+                    except BrokenPipeError:
+                        pass  # noticed below, as there will be too few lines
+
+                writer = threading.Thread(target=give)  # so that neither side waits for a full pipe
+                writer.start()
+                lines = [line for _ in texts if (line := process.stdout.readline())]
+                writer.join()
+                if len(lines) < len(texts):
+                    self._failed(process.poll(), b"too few lines")
+                return [line.decode(self.encoding).removesuffix("\n") for line in lines]
+
+            yield call
+            process.stdin.close()
+            if process.stdout.read():
+                self._failed(process.wait(), b"more lines than records")
+            if process.wait():
+                self._failed(process.returncode, b"")
+
+
+def process_function(command: str, interactive: bool = False, encoding: str = "utf-8") -> ProcessFunction:
+    return ProcessFunction(command, interactive, encoding)
 
 
 def aligner_command(options: dict[str, str]) -> str:

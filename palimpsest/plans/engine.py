@@ -1,8 +1,12 @@
-"""The engine: from reads to mapped output, as one logical plan.
+"""The engine: from reads to mapped output.
 
-scan, key, chain, bucket, route, map the unique rows, fan out, write. Nothing
-is collected; the bounded cache, whose evictions depend on the order of
-buckets, lives in ``palimpsest.streaming``.
+scan, key, chain, bucket, route, map the unique rows, fan out, write. Tables
+that several of these steps read are written once to the shared folder, so that
+inputs are scanned once and the mapper is called once for each unique row,
+whatever the optimizer does with what reads them; only the counts of at most 64
+chains and the number of different keys reach the driver. A cache that is
+smaller than the keys that it would hold is walked through bucket by bucket
+(``operators.cache.walk``); mapping and fan-out are the same then.
 """
 
 from collections.abc import Callable
@@ -13,33 +17,61 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import EngineConfig
 from palimpsest.functions import keys
-from palimpsest.operators import bucketing, dedup, mapper
+from palimpsest.operators import bucketing, cache, dedup, mapper
+from palimpsest.storage import materialize
 
 
 @dataclass(frozen=True)
 class Run:
+    """routed: each row with its route. output: file_id, pos, bucket, route, line. counters: a row per bucket. seconds: map time by bucket."""
+
     routed: DataFrame
     output: DataFrame
     counters: DataFrame
+    seconds: DataFrame | None = None
 
 
 def prepare(reads: DataFrame, config: EngineConfig) -> DataFrame:
     """Add chain, key, cb, bucket and pos to reads (file_id, header, sequence, plus, quality, arrival)."""
-    key = keys.packed_key(F.col("sequence"), config.mode) if config.packed_key else F.col("sequence")
-    chained = reads.withColumn("chain", keys.chain_hash(F.col("sequence"), config.hasher, mode=config.mode)).withColumn("key", key)
-    return bucketing.assign_buckets(chained, config.bucket_size, config.chain_order)
+    sequence = F.col("sequence")
+    key = keys.KEYS[config.key](sequence) if config.key else keys.packed_key(sequence, config.mode) if config.packed_key else sequence
+    chained = materialize(reads.withColumn("chain", keys.chain_hash(sequence, config.hasher, mode=config.mode)).withColumn("key", key), "reads")
+    if config.max_chain == 1:
+        sorted_rows = bucketing.sorted_chain(chained, config.mode)
+        before = sorted_rows.groupBy("chain").agg(F.count("*").alias("n"))  # a row for each of at most 64 chains
+        n = {r.chain: r.n for r in before.collect()}
+        table = [(c, sum(v for k, v in n.items() if k < c), sorted(n).index(c) + 1) for c in n]
+        starts = reads.sparkSession.createDataFrame(table, "chain int, before long, turn long")
+        placed = sorted_rows.join(F.broadcast(starts), "chain")
+        return placed.select(*chained.columns, F.lit(0).cast("long").alias("cb"), F.col("turn").alias("bucket"), (F.col("before") + F.col("pos")).alias("pos"))
+    return bucketing.assign_buckets(chained, config.bucket_size, config.chain_order, config.seed)
 
 
 def route(prepared: DataFrame, config: EngineConfig) -> DataFrame:
-    marked = dedup.mark_hits(prepared, config.cache_policy, config.bloom, config.mode)
+    """Add hit, route, rep, src and asked, as ``dedup.mark_routes`` says, for a cache of ``config.cache_capacity`` keys."""
+    if config.cache_policy == "none":
+        return dedup.mark_routes(dedup.mark_hits(prepared, "none"), config.compression, config.mode)
+    prepared = materialize(prepared, "prepared")
+    if config.bloom_bits:
+        marked = cache.walk(prepared, config.cache_capacity, config.cache_policy, config.bloom_bits, config.mode, config.compression)
+    else:
+        known = materialize(dedup.admissions(prepared, config.compression, config.bloom, config.mode), "keys")
+        if known.where("_from is not null").count() <= config.cache_capacity:
+            marked = dedup.mark_hits(prepared, config.cache_policy, config.bloom, config.mode, config.compression, known)
+        else:  # keys will be evicted
+            marked = cache.walk(prepared, config.cache_capacity, config.cache_policy, config.bloom, config.mode, config.compression)
     return dedup.mark_routes(marked, config.compression, config.mode)
 
 
 def run(reads: DataFrame, config: EngineConfig, function: Callable[[list[str]], list[str]] | None = None) -> Run:
     """``function`` maps record texts to lines; without one, the stand-in expression does."""
-    routed = route(prepare(reads, config), config)
+    routed = materialize(route(prepare(reads, config), config), "routed")
     unique = routed.where("route = 'unique'")
-    results = mapper.map_unique(unique, function) if function else unique.select("pos", mapper.stand_in(F.col("sequence")).alias("value"))
-    line = keys.retag(F.col("header"), F.col("value"), config.mode) if config.retag else F.col("value")
+    if function:
+        results = materialize(mapper.map_unique(unique, function, config.bucket_size), "results")
+        seconds = routed.select("pos", "bucket").join(results.select("pos", "seconds"), "pos").groupBy("bucket").agg(F.sum("seconds").alias("seconds"))
+    else:
+        results, seconds = unique.select("pos", mapper.stand_in(F.col("sequence")).alias("value")), None
+    line = keys.OUTPUTS[config.output](F.col("header"), F.col("value")) if config.output else keys.retag(F.col("header"), F.col("value"), config.mode) if config.retag else F.col("value")
     output = dedup.fan_out(routed, results).select("file_id", "pos", "bucket", "route", line.alias("line"))
-    return Run(routed, output, dedup.counters(routed, config.compression, config.bloom, config.mode))
+    return Run(routed, output, dedup.counters(routed), seconds)

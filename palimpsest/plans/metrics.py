@@ -3,33 +3,69 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.keys import hit_rate
+
+
+# fixed values: the log's columns, and those of its shorter form
+LOG = ("Batch", "Batch_Time", "Throughput", "Hits", "Misses", "Reads_Aligned", "Compression_Ratio")
+SHORT_LOG = tuple(c for c in LOG if c != "Misses")
+
+
+def running_sums(df: DataFrame, at: str, columns: list[str], block: int = 4096) -> DataFrame:
+    """``columns`` as sums of all rows up to each one in the order of ``at``, by blocks of it: a row for each block meets in one task."""
+    blocked = df.withColumn("_block", F.floor(F.col(at) / block))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy("_block").agg(*(F.sum(c).alias(f"_s_{c}") for c in columns))
+    sums = sums.select("_block", *(F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in columns))
+    inside = Window.partitionBy("_block").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return blocked.join(sums, "_block").select(*(c for c in df.columns if c not in columns), *((F.col(f"_s_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(c) for c in columns))
+
 
 def batch_metrics(counted: DataFrame, bucket_size: int, seconds: DataFrame | None = None) -> DataFrame:
     """A row per bucket in the log's columns; counters run on. ``seconds`` (bucket, seconds) gives times and throughput."""
-    run = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per bucket
     if seconds is not None:
         counted = counted.join(seconds, "bucket", "left")
     else:
         counted = counted.withColumn("seconds", F.lit(None).cast("double"))
-    return counted.select(
+    return running_sums(counted, "bucket", ["hits", "misses", "n_unique"]).select(
         F.col("bucket").alias("Batch"),
         F.col("seconds").alias("Batch_Time"),
         F.try_divide(F.lit(float(bucket_size)), F.col("seconds")).alias("Throughput"),
-        F.sum("hits").over(run).cast("long").alias("Hits"),
-        F.sum("misses").over(run).cast("long").alias("Misses"),
-        F.sum("n_unique").over(run).cast("long").alias("Reads_Aligned"),
+        F.col("hits").cast("long").alias("Hits"),
+        F.col("misses").cast("long").alias("Misses"),
+        F.col("n_unique").cast("long").alias("Reads_Aligned"),
         F.col("compression_ratio").alias("Compression_Ratio"),
     )
 
 
-def summary(counted: DataFrame, seconds: float | None = None) -> DataFrame:
-    """One row: rows seen, rows mapped, hits, misses, hit rate, average throughput."""
+def summary(counted: DataFrame, seconds: float | None = None, mode: str = "intended") -> DataFrame:
+    """One row: rows seen, rows mapped, hits, misses, hit rate, average throughput (rows seen by seconds of mapping)."""
     total = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("n_rows", "n_unique", "n_dup", "hits", "misses")))
-    return total.withColumn("hit_rate", F.try_divide(F.col("hits").cast("double"), (F.col("hits") + F.col("misses")).cast("double"))).withColumn(
+    return total.withColumn("hit_rate", hit_rate(F.col("hits"), F.col("misses"), mode)).withColumn(
         "avg_throughput", F.lit(None).cast("double") if not seconds else F.col("n_rows") / F.lit(seconds)
     )
 
 
+def log_lines(metrics: DataFrame, files: list[str], config: str, total_reads: int, runtime: float) -> DataFrame:
+    """The log as lines (n, value): comments on the inputs, the columns' names, a row for each bucket, a comment on the run."""
+    head = [f"# Num_Files:{len(files)}", "# File_Names:" + "".join(f + "," for f in files), ",".join(LOG)]
+    foot = f"# config:{config} total_reads:{total_reads} runtime:{runtime:g}"
+    return _lines(metrics, head, LOG, F.col("Batch").cast("string"), foot)
+
+
+def short_log_lines(metrics: DataFrame, bucket_size: int, cache: str, total_reads: int, runtime: float, manager: str = "buckets") -> DataFrame:
+    """The log without misses, its batches counted from 0, and what the run was in the first line."""
+    head = [f"# batch_size:{bucket_size} manager_type:{manager} cache_type:{cache} total_reads:{total_reads} runtime:{runtime:g}", ",".join(SHORT_LOG)]
+    return _lines(metrics, head, SHORT_LOG, (F.col("Batch") - 1).cast("string"), None)
+
+
+def _lines(metrics: DataFrame, head: list[str], columns: tuple[str, ...], batch: Column, foot: str | None) -> DataFrame:
+    cells = [batch, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns[1:])]
+    rows = metrics.select(F.col("Batch").cast("long").alias("n"), F.concat_ws(",", *cells).alias("value"))
+    around = [(k - len(head), x) for k, x in enumerate(head)] + ([((1 << 62), foot)] if foot else [])
+    return rows.unionByName(metrics.sparkSession.createDataFrame(around, "n long, value string"))
+
+
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, comment="#")
 

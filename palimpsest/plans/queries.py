@@ -1,15 +1,22 @@
 """Registered queries of the engine's own operators, each with the SQL that it has to equal."""
 
+import glob
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest import config as conf
 from palimpsest.config import EngineConfig
 from palimpsest.functions import keys
-from palimpsest.operators import bucketing, cache, dedup
-from palimpsest.plans import engine, metrics
+from palimpsest.operators import bucketing, cache, dedup, mapper
+from palimpsest.plans import engine, metrics, runner
+from palimpsest.sources import fastq
 from palimpsest.sources.fastq import with_arrival
+from palimpsest.storage import numbered, shared_folder
+from palimpsest.streaming import buckets
 
 Query = Callable[[SparkSession, str], DataFrame]
 B, EVENT_B = 20, 100
@@ -94,6 +101,30 @@ routed as (select *, case when hit then 'cache' when file_id = ff then 'unique'
 }
 
 
+def bounded_sql(capacity: int, policy: str = "lru", hasher: str = "single", size: int = EVENT_B) -> str:
+    """Events and whether each is a hit (``hits``) of a cache that evicts, by recursion over the buckets: ``st`` has the state that bucket b is probed against."""
+    side = "desc" if policy == "lru" else "asc"
+    return f"""with recursive {buckets_sql(EVENTS_SQL, hasher, size)},
+own as materialized (select bucket, key, min(pos) as lo, max(pos) as hi from bucketed group by 1, 2),
+st as (
+  select cast(1 as bigint) as b, 'none' as kind, cast(null as varchar) as key, cast(0 as bigint) as t, cast(0 as bigint) as row
+  union all
+  select b, kind, key, t, row from (
+    with now as (select b, kind, key, t, row from st),
+    cur as (select max(b) as b from now),
+    mine as (select own.* from own join cur on own.bucket = cur.b),
+    kept as (select s.key, case when m.key is null then s.t else 2 * (s.b - 1) end as t, coalesce(m.hi, s.row) as row
+      from now s left join mine m on s.key = m.key where s.kind = 'state'),
+    grown as (select key, t, row from kept
+      union all select w.key, 2 * (w.b - 1) + 1, w.row from now w where w.kind = 'wait' and w.key not in (select key from kept)),
+    ranked as (select *, row_number() over (order by t {side}, row {side}) as rank, count(*) over () as n from grown)
+    select cur.b + 1 as b, 'none' as kind, null as key, 0 as t, 0 as row from cur where cur.b <= (select max(bucket) from own) + 1
+    union all select cur.b + 1, 'state', key, t, row from ranked, cur where (n <= {capacity} or rank < {capacity}) and cur.b <= (select max(bucket) from own) + 1
+    union all select cur.b + 1, 'wait', m.key, 0, m.lo from mine m, cur where m.key not in (select key from now where kind = 'state')
+  )
+), hits as (select p.*, s.key is not null as hit from bucketed p left join st s on s.b = p.bucket and s.key = p.key and s.kind = 'state')"""
+
+
 def routed_sql(compression: str, policy: str = "lru", source: str = READS_SQL, size: int = B) -> str:
     return f"with {buckets_sql(source, 'double', size)}, {HIT_SQL[policy]}, {ROUTE_SQL[compression]}"
 
@@ -164,7 +195,7 @@ for _c in ("none", "full", "cross"):
         _first = "true" if _c == "none" else "pos = min(pos) over (partition by bucket, key)"
         register(
             f"counters_{_c}" + "_bloom" * (_p == "bloom"),
-            lambda s, d, c=_c, p=_p: dedup.counters(_routed(s, d, c, p, event_reads, EVENT_B), c, p == "bloom"),
+            lambda s, d, c=_c, p=_p: dedup.counters(_routed(s, d, c, p, event_reads, EVENT_B)),
             f"""{routed_sql(_c, _p, EVENTS_SQL, EVENT_B)}, asked as (select *, not hit and {_first} and {_asked} as asked from routed)
 select cast(bucket as bigint) as bucket, count(*) as n_rows, count(*) filter (where route = 'unique') as n_unique, count(*) filter (where route = 'dup') as n_dup,
 count(*) filter (where hit) as hits, count(*) filter (where asked) as misses,
@@ -200,12 +231,12 @@ for _mode, _tabs in (("intended", "chr(9)"), ("wired", "chr(9) || chr(9)")):
     )
 register(
     "compression_ratio",
-    lambda s, d: metrics.summary(dedup.counters(_routed(s, d, "full"), "full")).select("n_rows", "n_unique", keys.ratio(F.col("n_rows"), F.col("n_unique")).alias("ratio")),
+    lambda s, d: metrics.summary(dedup.counters(_routed(s, d, "full"))).select("n_rows", "n_unique", keys.ratio(F.col("n_rows"), F.col("n_unique")).alias("ratio")),
     f"{routed_sql('full')} select count(*) as n_rows, count(*) filter (where route = 'unique') as n_unique, count(*) / cast(count(*) filter (where route = 'unique') as double) as ratio from routed",
 )
 register(
     "metrics_log",
-    lambda s, d: metrics.batch_metrics(dedup.counters(_routed(s, d, "full"), "full"), B).select("Batch", "Hits", "Misses", "Reads_Aligned", "Compression_Ratio"),
+    lambda s, d: metrics.batch_metrics(dedup.counters(_routed(s, d, "full")), B).select("Batch", "Hits", "Misses", "Reads_Aligned", "Compression_Ratio"),
     f"""{routed_sql('full')}, asked as (select *, not hit and pos = min(pos) over (partition by bucket, key) as asked from routed),
 c as (select bucket, count(*) as n, count(*) filter (where hit) as h, count(*) filter (where asked) as m, count(*) filter (where route = 'unique') as u from asked group by bucket)
 select cast(bucket as bigint) as Batch, cast(sum(h) over w as bigint) as Hits, cast(sum(m) over w as bigint) as Misses, cast(sum(u) over w as bigint) as Reads_Aligned,
@@ -213,7 +244,7 @@ n / nullif(cast(u as double), 0) as Compression_Ratio from c window w as (order
 )
 register(
     "run_summary",
-    lambda s, d: metrics.summary(dedup.counters(_routed(s, d, "cross", "lru", event_reads, EVENT_B), "cross")).drop("avg_throughput"),
+    lambda s, d: metrics.summary(dedup.counters(_routed(s, d, "cross", "lru", event_reads, EVENT_B))).drop("avg_throughput"),
     f"""{routed_sql('cross', 'lru', EVENTS_SQL, EVENT_B)}, asked as (select *, not hit and pos = min(pos) over (partition by bucket, key) as asked from routed)
 select count(*) as n_rows, count(*) filter (where route = 'unique') as n_unique, count(*) filter (where route = 'dup') as n_dup, count(*) filter (where hit) as hits,
 count(*) filter (where asked) as misses, count(*) filter (where hit) / cast(count(*) filter (where hit) + count(*) filter (where asked) as double) as hit_rate from asked""",
@@ -269,7 +300,7 @@ register("mean5", lambda s, d: metrics.group_means(_log(s, d), "v", "i", 5, True
 register("clamp", lambda s, d: metrics.clamp_outliers(_log(s, d), "v", 50.0).select("i", F.round("v", 6).alias("v")), "select event_id as i, round(case when value > avg(value) over () + 50 then avg(value) over () else value end, 6) as v from events")
 register(
     "sorted_output",
-    lambda s, d: engine.run(reads(s, d), _config()).output.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("pos")).cast("long")).select("file_id", "n", "line"),
+    lambda s, d: numbered(engine.run(reads(s, d), _config()).output.select("file_id", "pos", "line"), ["file_id"], ["pos"], "n").select("file_id", "n", "line"),
     f"{routed_sql('full')} select file_id, row_number() over (partition by file_id order by pos) as n, {_value_sql} as line from routed",
 )
 register(
@@ -277,3 +308,226 @@ register(
     lambda s, d: reads(s, d).select("arrival", keys.record_text(F.col("header"), F.col("sequence"), F.col("plus"), F.col("quality")).alias("text")),
     f"with {READS_SQL} select arrival, header || chr(10) || sequence || chr(10) || '+' || chr(10) || '=' as text from reads",
 )
+
+
+# caches that are not there, or evict, or err
+register(
+    "cache_none",
+    lambda s, d: dedup.counters(_routed(s, d, "full", "none", event_reads, EVENT_B)),
+    f"""{routed_sql('full', 'none', EVENTS_SQL, EVENT_B)} select cast(bucket as bigint) as bucket, count(*) as n_rows, count(*) filter (where route = 'unique') as n_unique,
+count(*) filter (where route = 'dup') as n_dup, cast(0 as bigint) as hits, cast(0 as bigint) as misses, count(*) / cast(count(*) filter (where route = 'unique') as double) as compression_ratio
+from routed group by bucket""",
+)
+
+
+def _wired(s: SparkSession, d: str) -> DataFrame:
+    c = _config("full", "bloom", EVENT_B, mode="wired")
+    return engine.route(engine.prepare(event_reads(s, d), c), c)
+
+
+_wired_sql = f"""with {buckets_sql(EVENTS_SQL, 'double', EVENT_B)},
+hits as (select *, coalesce(bucket >= min(case when pos > 1 then bucket end) over (partition by key) + 2, false) as hit from bucketed)"""
+register(
+    "bloom_wired",
+    lambda s, d: _wired(s, d).select("arrival", "bucket", "route", "asked"),
+    f"{_wired_sql} select arrival, cast(bucket as bigint) as bucket, case when hit then 'cache' else 'unique' end as route, not hit and bucket >= 3 as asked from hits",
+)
+CAPACITY = 30
+
+
+def _bounded(s: SparkSession, d: str, policy: str, compression: str = "none") -> DataFrame:
+    c = EngineConfig(bucket_size=EVENT_B, hasher="single", compression=compression, cache_policy=policy, cache_capacity=CAPACITY)
+    return engine.route(engine.prepare(event_reads(s, d), c), c)
+
+
+for _policy in ("lru", "mru"):
+    register(
+        f"{_policy}_bounded",
+        lambda s, d, p=_policy: _bounded(s, d, p).select("arrival", "bucket", "hit"),
+        f"{bounded_sql(CAPACITY, _policy)} select arrival, cast(bucket as bigint) as bucket, hit from hits",
+    )
+    register(
+        f"{_policy}_bounded_full",
+        lambda s, d, p=_policy: dedup.counters(_bounded(s, d, p, "full")).drop("compression_ratio"),
+        f"""{bounded_sql(CAPACITY, _policy)}, f as (select *, pos = min(pos) over (partition by bucket, key) as first from hits)
+select cast(bucket as bigint) as bucket, count(*) as n_rows, count(*) filter (where not hit and first) as n_unique, count(*) filter (where not hit and not first) as n_dup,
+count(*) filter (where hit) as hits, count(*) filter (where not hit and first) as misses from f group by bucket""",
+    )
+PLACES = keys.bloom_positions(1 << 16, 2, 32)
+_code_sql = "(case substr(sequence, {}, 1) when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 when 'N' then 4 else 7 end) * cast({} as bigint)"
+register(
+    "bloom_hash",
+    lambda s, d: reads(s, d).select("arrival", *(keys.bloom_hash(F.col("sequence"), p, 1 << 16).alias(f"bit{k}") for k, p in enumerate(PLACES))),
+    f"with {READS_SQL} select arrival, " + ", ".join("(" + " + ".join(_code_sql.format(x + 1, 8**i) for i, x in enumerate(p)) + f") % {1 << 16} as bit{k}" for k, p in enumerate(PLACES)) + " from reads",
+)
+register(
+    "hit_rate_wired",
+    lambda s, d: metrics.summary(dedup.counters(_wired(s, d)), 2.0, "wired").select("hits", "misses", "hit_rate", "avg_throughput"),
+    f"""{_wired_sql} select count(*) filter (where hit) as hits, count(*) filter (where not hit and bucket >= 3) as misses,
+floor(count(*) filter (where hit) / cast(count(*) filter (where hit or bucket >= 3) as double)) as hit_rate, count(*) / 2.0 as avg_throughput from hits""",
+)
+register(
+    "log_throughput",
+    lambda s, d: metrics.batch_metrics(
+        (c := dedup.counters(_routed(s, d, "none"))), B, c.select("bucket", (F.col("bucket") / 8).alias("seconds"))
+    ).select("Batch", "Batch_Time", "Throughput"),
+    f"with {buckets_sql()} select distinct cast(bucket as bigint) as Batch, bucket / 8 as Batch_Time, {B} / (bucket / 8) as Throughput from bucketed",
+)
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """Six buckets as six files, one micro-batch each, through the cache that lives in tables: its counters at the end."""
+    rows = event_reads(s, d).select(F.col("sequence").alias("key"), (F.col("arrival") + 1).alias("pos"))
+    size = -(-rows.count() // 6)
+    folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    for b in range(6):
+        rows.where((F.col("pos") > b * size) & (F.col("pos") <= (b + 1) * size)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    cache_ = cache.MemoCache(s, f"{folder}/cache", CAPACITY, "lru")
+    mapping = lambda r: r.select("pos", mapper.stand_in(F.col("key")).alias("value"))
+    stats = buckets.run_stream(s, f"{folder}/in", "key string, pos long", cache_, mapping, f"{folder}/out", f"{folder}/checkpoint")
+    done = s.read.parquet(f"{folder}/out").agg(F.count("value").alias("answered"), F.count_distinct("pos").alias("rows"))
+    return done.select("answered", "rows", F.lit(stats.hits).cast("long").alias("hits"), F.lit(stats.misses).cast("long").alias("misses"), F.lit(stats.size).cast("long").alias("size"))
+
+
+register(
+    "lru_stream",
+    _stream,
+    bounded_sql(CAPACITY, "lru", "none", EVENT_B).replace(f"(rn - 1) // {EVENT_B}", "(rn - 1) // (select cast(ceil(count(*) / 6) as bigint) from reads)").replace(f"count(*) / {EVENT_B}", "count(*) / (select ceil(count(*) / 6) from reads)")
+    + """ select count(*) as answered, count(*) as rows, count(*) filter (where hit) as hits, count(*) filter (where not hit) as misses,
+(select count(*) from st where kind = 'state' and b = (select max(b) from st)) as size from hits""",
+)
+
+
+# files: written by the query, read again
+def _fastq_folder(s: SparkSession, d: str, kind: str = "fastq") -> str:
+    """The documents' reads as a file for each source, named by its number, in a new folder."""
+    rows = reads(s, d)
+    folder = f"{shared_folder(s)}/inputs-{uuid.uuid4().hex}"
+    four = [F.col(c) for c in ("header", "sequence", "plus", "quality")]
+    text = keys.record_text(*(four if kind == "fastq" else four[:2]))
+    one = rows.repartition("file_id").sortWithinPartitions("file_id", "arrival").select("file_id", text.alias("line"))  # one part for each file
+    one.write.partitionBy("file_id").text(f"{folder}/parts")
+    local = folder.removeprefix("file://").removeprefix("file:")  # a folder that all nodes see by one path
+    for part in sorted(glob.glob(f"{local}/parts/file_id=*/part-*")):
+        os.rename(part, f"{local}/f{int(part.split('file_id=')[1].split('/')[0]):03d}.{kind}")
+    return local
+
+
+def _scan(s: SparkSession, d: str, kind: str = "fastq", **options) -> DataFrame:
+    s.dataSource.register(fastq.ReadsDataSource)
+    return s.read.format("reads").options(path=_fastq_folder(s, d, kind), format=kind, **options).load()
+
+
+_rec = "cast(row_number() over (partition by file_id order by arrival) - 1 as bigint) as rec_idx"
+register("scan_fastq", _scan, f"with {READS_SQL} select file_id, {_rec}, header, sequence, '+' as plus, '=' as quality from reads")
+register(
+    "scan_fasta",
+    lambda s, d: _scan(s, d, "fasta").select("file_id", "rec_idx", "header", "sequence", F.col("plus").isNull().alias("no_plus")),
+    f"with {READS_SQL} select file_id, {_rec}, header, sequence, true as no_plus from reads",
+)
+register(
+    "scan_splits",
+    lambda s, d: with_arrival(_scan(s, d, split_bytes="1000"), 1).select("file_id", "rec_idx", "arrival", "header", "sequence"),
+    f"with {READS_SQL} select file_id, {_rec}, row_number() over (order by file_id, arrival) - 1 as arrival, header, sequence from reads",
+)
+
+
+def _stdin(s: SparkSession, d: str) -> DataFrame:
+    """The first file by standard input's way: copied from a stream, then read as the only input."""
+    folder = _fastq_folder(s, d)
+    with open(f"{folder}/f000.fastq", "rb") as f:
+        fastq.spool(f"{folder}/stdin", "fastq", f)
+    s.dataSource.register(fastq.ReadsDataSource)
+    return s.read.format("reads").option("path", f"{folder}/stdin").load().select("file_id", "rec_idx", "header", "sequence")
+
+
+register("scan_stdin", _stdin, f"with {READS_SQL} select 0 as file_id, {_rec}, header, sequence from reads where file_id = 0")
+register(
+    "list_inputs",
+    lambda s, d: fastq.files_table(s, _fastq_folder(s, d), r"f[0-9]+\.fastq", ".sam").select("file_id", F.substring_index("path", "/", -1).alias("name"), F.substring_index("output_path", "/", -1).alias("output")),
+    f"with {READS_SQL} select distinct file_id, 'f' || lpad(cast(file_id as varchar), 3, '0') || '.fastq' as name, 'f' || lpad(cast(file_id as varchar), 3, '0') || '.sam' as output from reads",
+)
+_INI = "# a comment\nbucket_size = 20\nhash func=double\nflag\nbucket_size=2 5\nratio=1.5e1x\nretag = YES\n"
+
+
+def _options(s: SparkSession, d: str) -> DataFrame:
+    """What a control file says, as it stands there and as typed values."""
+    found = conf.read_options(_INI)
+    typed = {"bucket_size": conf.get_int(found, "bucket_size", -1), "ratio": conf.get_float(found, "ratio", 0.0), "retag": conf.get_bool(found, "retag")}
+    return s.createDataFrame([(k, v, str(typed.get(k, v))) for k, v in found.items()], "name string, value string, typed string")
+
+
+register(
+    "config_options",
+    _options,
+    "select * from (values ('bucket_size', '25', '25'), ('hashfunc', 'double', 'double'), ('flag', 'flag', 'flag'), ('ratio', '1.5e1x', '15.0'), ('retag', 'YES', 'True')) t(name, value, typed)",
+)
+_AWK = """awk 'NR%4==2{print "ref\\t" length($0) "\\t" $0; fflush()}'"""
+_awk_sql = "'ref' || chr(9) || length(sequence) || chr(9) || sequence"
+for _name, _live in (("mapper_process", False), ("mapper_interactive", True)):
+    register(
+        _name,
+        lambda s, d, live=_live: mapper.map_unique(reads(s, d).withColumn("pos", F.col("arrival")), mapper.process_function(_AWK, live), 64).select("pos", "value"),
+        f"with {READS_SQL} select arrival as pos, {_awk_sql} as value from reads",
+    )
+
+
+def _control_run(s: SparkSession, d: str, **more) -> tuple[runner.Report, str]:
+    """A control file for the documents' files, run with a process; the report and the folder."""
+    folder = _fastq_folder(s, d)
+    with open(f"{folder}/run.ini", "w") as f:
+        f.write(f"data_dir={folder}\ninput_pattern=(.*)\\.fastq\nbucket_size={B}\nhash_func=double\ncompression=full\ncache_policy=lru\noutput_ext=.sam\nmetrics={folder}/log\n")
+        f.write("".join(f"{k}={v}\n" for k, v in more.items()))
+    return runner.run_file(s, f"{folder}/run.ini", mapper.process_function(_AWK)), folder
+
+
+def _control_output(s: SparkSession, d: str) -> DataFrame:
+    report, _ = _control_run(s, d)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"f([0-9]+)\.sam/", 1).cast("int")
+    # lines in the order of the parts and in them
+    rows = s.read.text(list(report.outputs.values())).select(name.alias("file_id"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    return numbered(rows, ["file_id"], ["path", "id"], "n").select("file_id", "n", "line")
+
+
+_FILES_SQL = READS_SQL.replace("reads as", "unordered as") + ", reads as (select file_id, header, sequence, row_number() over (order by file_id, arrival) - 1 as arrival from unordered)"
+register(
+    "run_control_file",
+    _control_output,
+    f"{routed_sql('full', 'lru', _FILES_SQL)} select file_id, row_number() over (partition by file_id order by pos) as n, {_awk_sql} as line from routed",
+)
+_log_sql = f"""{routed_sql('full', 'lru', _FILES_SQL)}, asked as (select *, not hit and pos = min(pos) over (partition by bucket, key) as asked from routed),
+c as (select bucket, count(*) as n, count(*) filter (where hit) as h, count(*) filter (where asked) as m, count(*) filter (where route = 'unique') as u from asked group by bucket)"""
+
+
+def _log_file(s: SparkSession, d: str) -> DataFrame:
+    """The log of such a run, read back without its comments; times are there for each bucket that has been mapped."""
+    _, folder = _control_run(s, d)
+    schema = "Batch long, Batch_Time double, Throughput double, Hits long, Misses long, Reads_Aligned long, Compression_Ratio double"
+    timed = ((F.col("Batch_Time") > 0) & (F.col("Throughput") > 0)).alias("timed")
+    return metrics.read_log(s, f"{folder}/log", schema).select("Batch", F.coalesce(timed, F.lit(False)).alias("timed"), "Hits", "Misses", "Reads_Aligned", F.round("Compression_Ratio", 6).alias("Compression_Ratio"))
+
+
+register(
+    "log_file",
+    _log_file,
+    f"""{_log_sql} select cast(bucket as bigint) as Batch, u > 0 as timed, cast(sum(h) over w as bigint) as Hits, cast(sum(m) over w as bigint) as Misses,
+cast(sum(u) over w as bigint) as Reads_Aligned, round(n / nullif(cast(u as double), 0), 6) as Compression_Ratio from c window w as (order by bucket)""",
+)
+register(
+    "log_comments",
+    lambda s, d: s.read.text(f"{_control_run(s, d)[1]}/log").where("value like '#%'").select(F.regexp_extract("value", r"^# (\w+):", 1).alias("what"), F.coalesce(F.regexp_extract("value", r"(?:Num_Files|total_reads):([0-9]+)", 1).try_cast("long"), F.size(F.split("value", ",")) - 1).cast("long").alias("n")),
+    "select 'Num_Files' as what, (select count(distinct coalesce(source, '')) from documents) as n union all select 'File_Names', (select count(distinct coalesce(source, '')) from documents) union all select 'config', (select count(*) from documents)",
+)
+register(
+    "short_log",
+    lambda s, d: metrics.short_log_lines(metrics.batch_metrics(dedup.counters(_routed(s, d, "full")), B), B, "lru", 7, 1.5).where("n > 0").select("n", F.substring_index("value", ",", 5).alias("value")),
+    f"""{_log_sql.replace(_FILES_SQL, READS_SQL)} select cast(bucket as bigint) as n, (bucket - 1) || ',,,' || cast(sum(h) over w as bigint) || ',' || cast(sum(u) over w as bigint) as value from c window w as (order by bucket)""",
+)
+
+
+def _suppressed(s: SparkSession, d: str) -> DataFrame:
+    report, _ = _control_run(s, d, suppress_sam="false")  # that it is there is enough
+    return report.summary.select("n_rows", F.lit(sum(map(os.path.exists, report.outputs.values()))).cast("long").alias("n_outputs"))
+
+
+register("suppressed_output", _suppressed, "select count(*) as n_rows, cast(0 as bigint) as n_outputs from documents")

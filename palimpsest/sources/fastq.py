@@ -1,25 +1,46 @@
-"""FASTQ and FASTA files as a Spark data source, one partition per file, and the inputs' arrival order.
+"""FASTQ and FASTA files as a Spark data source, and the inputs' arrival order.
 
     spark.dataSource.register(ReadsDataSource)
     spark.read.format("reads").option("path", folder).option("pattern", r".*\\.fastq").load()
 
 Options: path (a folder that all nodes see), pattern (matched against the whole
 file name), format (fastq or fasta), require_trailing_newline (true drops a
-last record whose last line isn't ended). Files are numbered by name.
+last record whose last line isn't ended), split_bytes (a file is read by one
+task for each so many bytes). Files are numbered by name. A task reads the
+records whose first line begins in its stretch of the file; rec_idx holds the
+stretch's number in its upper bits, so it is the record's number in a file of
+one stretch and grows with the file in any. ``with_arrival`` takes both.
 """
 
 import os
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 SCHEMA = "file_id int, rec_idx long, header string, sequence string, plus string, quality string"
-LINES = {"fastq": 4, "fasta": 2}
+SPLIT_BITS = 40
+
+
+class Parser:
+    """Records of ``lines`` lines each. ``begins``: whether a record can begin at the first of these lines (without their ends)."""
+
+    def __init__(self, lines: int, begins: Callable[[list[bytes]], bool], fields: Callable[[list[str]], tuple] | None = None):
+        self.lines, self.begins = lines, begins
+        self.fields = fields or (lambda own: (*own, *[None] * (4 - len(own))))
+
+
+#: a quality line can begin with @ too, but then the next line but one is a sequence
+PARSERS = {
+    "fastq": Parser(4, lambda x: x[0][:1] == b"@" and len(x) > 2 and x[2][:1] == b"+"),
+    "fasta": Parser(2, lambda x: x[0][:1] == b">"),
+}
 
 
 def list_inputs(path: str, pattern: str) -> list[str]:
@@ -31,35 +52,60 @@ def list_inputs(path: str, pattern: str) -> list[str]:
     return [os.path.join(path, x) for x in found]
 
 
-def parse(lines: Iterator[str], kind: str, require_newline: bool = False) -> Iterator[tuple]:
-    """Records (header, sequence, plus, quality); an incomplete last record is dropped."""
-    n, own = LINES[kind], []
-    for line in lines:
-        ended = line.endswith("\n")
-        own.append(line.rstrip("\r\n") if ended else line)
-        if len(own) == n:
-            if ended or not require_newline:
-                yield (*own, *[None] * (4 - n))
-            own = []
-
-
-class _File(InputPartition):
-    def __init__(self, file_id: int, path: str):
-        self.file_id, self.path = file_id, path
+def _first_record(f: BinaryIO, start: int, parser: Parser) -> int:
+    """Where the first record begins whose first line begins at ``start`` or later."""
+    if not start:
+        return 0
+    f.seek(start - 1)
+    f.readline()  # to the end of the line that reaches into the stretch, or that ends right before it
+    places, lines = [f.tell()], []
+    while len(lines) < 2 * parser.lines and (line := f.readline()):
+        lines.append(line.rstrip(b"\r\n"))
+        places.append(f.tell())
+    for k in range(len(lines)):
+        if parser.begins(lines[k:]):
+            return places[k]
+    if len(lines) == 2 * parser.lines:
+        raise ValueError(f"{f.name}: no record begins near byte {start}")
+    return places[-1]  # the file's end: what is left belongs to the record before
+
+
+def parse(f: BinaryIO, kind: str | Parser, require_newline: bool = False, start: int = 0, end: int | None = None) -> Iterator[tuple]:
+    """Records (header, sequence, plus, quality) that begin from ``start`` on and before ``end``; an incomplete last record is dropped."""
+    parser = PARSERS[kind] if isinstance(kind, str) else kind
+    at = _first_record(f, start, parser) if start else 0
+    f.seek(at)
+    while end is None or at < end:
+        own = [f.readline() for _ in range(parser.lines)]
+        if not own[-1] or require_newline and not own[-1].endswith(b"\n"):
+            return
+        at += sum(map(len, own))
+        yield parser.fields([x.decode().rstrip("\r\n") if x.endswith(b"\n") else x.decode() for x in own])
+
+
+class _Stretch(InputPartition):
+    def __init__(self, file_id: int, path: str, number: int, start: int, end: int | None):
+        self.file_id, self.path, self.number, self.start, self.end = file_id, path, number, start, end
 
 
 class ReadsReader(DataSourceReader):
     batch = 20_000
 
-    def __init__(self, options: dict):
-        self.kind = options.get("format", "fastq")
-        if self.kind not in LINES:
-            raise ValueError(f"format={self.kind}: fastq or fasta")
+    def __init__(self, options: dict, parser: Parser | None = None):
+        kind = options.get("format", "fastq")
+        if parser is None and kind not in PARSERS:
+            raise ValueError(f"format={kind}: fastq or fasta")
+        self.parser = parser or PARSERS[kind]
         self.require = options.get("require_trailing_newline", "false").lower() == "true"
-        self.paths = list_inputs(options["path"], options.get("pattern", r".*\." + self.kind))
+        self.split = int(options.get("split_bytes", 128 << 20))
+        self.paths = list_inputs(options["path"], options.get("pattern", r".*\." + kind))
 
     def partitions(self):
-        return [_File(k, p) for k, p in enumerate(self.paths)]
+        out = []
+        for k, path in enumerate(self.paths):
+            starts = range(0, max(os.path.getsize(path), 1), self.split)
+            out += [_Stretch(k, path, n, x, x + self.split if n + 1 < len(starts) else None) for n, x in enumerate(starts)]
+        return out
 
     def read(self, partition):
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -71,9 +117,10 @@ class ReadsReader(DataSourceReader):
             rows.clear()
             return made
 
-        with open(partition.path, encoding="utf-8", newline="\n") as f:
-            for k, record in enumerate(parse(f, self.kind, self.require)):
-                rows.append((partition.file_id, k, *record))
+        base = partition.number << SPLIT_BITS
+        with open(partition.path, "rb") as f:
+            for k, record in enumerate(parse(f, self.parser, self.require, partition.start, partition.end)):
+                rows.append((partition.file_id, base + k, *record))
                 if len(rows) == self.batch:
                     yield out()
         if rows:
@@ -81,6 +128,8 @@ class ReadsReader(DataSourceReader):
 
 
 class ReadsDataSource(DataSource):
+    parser: Parser | None = None
+
     @classmethod
     def name(cls) -> str:
         return "reads"
@@ -89,7 +138,31 @@ class ReadsDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ReadsReader(self.options)
+        return ReadsReader(self.options, self.parser)
+
+
+def reads_source(source_name: str, own_parser: Parser) -> type[DataSource]:
+    """A data source of one's own format: register it and read it by ``source_name``."""
+
+    class Own(ReadsDataSource):
+        parser = own_parser
+
+        @classmethod
+        def name(cls) -> str:
+            return source_name
+
+    return Own
+
+
+def spool(folder: str, kind: str = "fastq", stream: BinaryIO | None = None, chunk: int = 1 << 20) -> str:
+    """Copy standard input into ``folder`` as a file that all tasks can read; its path. It is the only input, number 0."""
+    stream = stream or sys.stdin.buffer
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"stdin.{kind}")
+    with open(path, "wb") as f:
+        while part := stream.read(chunk):
+            f.write(part)
+    return path
 
 
 def files_table(spark: SparkSession, path: str, pattern: str, ext: str = "_out") -> DataFrame:
@@ -130,8 +203,21 @@ def segments(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int
 
 
 def with_arrival(reads: DataFrame, max_interleave: int = 1) -> DataFrame:
-    """Add arrival: the place of each record in the interleaved stream. One row per file reaches the driver."""
-    counts = {r.file_id: r["n"] for r in reads.groupBy("file_id").agg(F.count("*").alias("n")).collect()}
-    table = reads.sparkSession.createDataFrame(segments(counts, max_interleave), "file_id int, lo long, n long, base long, step long")
-    on = (reads["file_id"] == table["file_id"]) & (F.col("rec_idx") >= F.col("lo")) & (F.col("rec_idx") < F.col("lo") + F.col("n"))
-    return reads.join(F.broadcast(table), on).select(*(reads[c] for c in reads.columns), (F.col("base") + (F.col("rec_idx") - F.col("lo")) * F.col("step")).alias("arrival"))
+    """Add arrival: the place of each record in the interleaved stream; rec_idx becomes the record's number in its file.
+
+    One row per file reaches the driver. The pieces, at most ``max_interleave``
+    for each file that ends, are joined as a table, which Spark broadcasts only
+    if it is small.
+    """
+    stretch = F.shiftright(F.col("rec_idx"), SPLIT_BITS)
+    counts = reads.groupBy("file_id", stretch.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    per_file = {r.file_id: r["n"] for r in counts.groupBy("file_id").agg(F.sum("_n").alias("n")).collect()}
+    parts = counts.select(F.col("file_id").alias("_f"), "_part", "_before")
+    placed = reads.join(parts, (F.col("file_id") == F.col("_f")) & (stretch == F.col("_part")))
+    placed = placed.withColumn("rec_idx", F.col("rec_idx").bitwiseAND((1 << SPLIT_BITS) - 1) + F.col("_before")).drop("_f", "_part", "_before")
+    table = reads.sparkSession.createDataFrame(segments(per_file, max_interleave), "_f int, _lo long, _n long, _base long, _step long")
+    on = (F.col("file_id") == F.col("_f")) & (F.col("rec_idx") >= F.col("_lo")) & (F.col("rec_idx") < F.col("_lo") + F.col("_n"))
+    joined = placed.join(table, on)
+    return joined.select(*reads.columns, (F.col("_base") + (F.col("rec_idx") - F.col("_lo")) * F.col("_step")).alias("arrival"))

@@ -1,20 +1,49 @@
-"""Outputs: a text file's worth of lines per input, metrics, or nothing."""
+"""Outputs: the lines of each input in order, the log of a run, or nothing."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.storage import remove
 
-def write_lines(output: DataFrame, path: str, suppress: bool = False, files: int = 200) -> None:
-    """Write (file_id, pos, line) as text below file_id=...; a file's lines keep the order of pos.
 
-    A file's lines are one partition's, so ``files`` bounds the tasks, not the inputs.
+def write_lines(output: DataFrame, path: str, suppress: bool = False) -> None:
+    """Write (file_id, pos, line) as text below file_id=...; a file's lines keep the order of pos, read by the names of the parts.
+
+    Rows are dealt to ranges of (file_id, pos), so one large file is written by many tasks.
     """
     if suppress:
         output.write.format("noop").mode("overwrite").save()
         return
-    ordered = output.repartition(files, "file_id").sortWithinPartitions("file_id", "pos")
+    ordered = output.repartitionByRange("file_id", "pos").sortWithinPartitions("file_id", "pos")
     ordered.select("file_id", "line").write.partitionBy("file_id").mode("overwrite").text(path)
 
 
+def write_outputs(output: DataFrame, paths: dict[int, str], work: str, suppress: bool = False) -> None:
+    """The same, but each input's lines become the folder that ``paths`` names for it. ``work``: a folder for what isn't complete."""
+    write_lines(output, work, suppress)
+    if suppress:
+        return
+    spark = output.sparkSession
+    for file_id, path in paths.items():
+        _move(spark, f"{work}/file_id={file_id}", path)
+    remove(spark, work)
+
+
+def _move(spark: SparkSession, old: str, new: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place, target = path(old), path(new)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if files.exists(place):
+        files.rename(place, target)
+    else:
+        files.mkdirs(target)  # an input without records
+
+
+def write_text(lines: DataFrame, path: str) -> None:
+    """Lines (n, value) as one text file in the order of n: a log has a line for each bucket."""
+    lines.coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """One CSV file with a header: there is a row per bucket."""
     metrics.coalesce(1).sortWithinPartitions("Batch").write.mode("overwrite").option("header", True).csv(path)

@@ -2,7 +2,9 @@
 
 Files are taken in the order of their times, so they are written one after
 another. The cache's state, its filter and the results that wait for the next
-bucket are Parquet in the cache's folder.
+bucket are Parquet in the cache's folder, a version for each bucket; with the
+stream's own checkpoint they let a stream that was stopped go on as if it
+hadn't been.
 """
 
 from collections.abc import Callable
@@ -10,36 +12,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import dedup
 from palimpsest.operators.cache import CacheStats, MemoCache
 
-Mapper = Callable[[DataFrame], DataFrame]  # rows with key and pos to key, pos and value
+Mapper = Callable[[DataFrame], DataFrame]  # rows with key and pos to pos and value
 
 
-def step(cache: MemoCache, rows: DataFrame, bucket: int, mapping: Mapper) -> DataFrame:
-    """One bucket: probe, map what missed, hold the results. Returns pos and value of every row."""
-    found = cache.probe(rows, bucket)
-    mapped = cache._keep(mapping(found.where("not hit").select("key", "pos")).select("key", "value", "pos"), "mapped")
-    # a cached row's result is written again, where it changes nothing: the first value of a key stays
-    cache.write(mapped, bucket)
-    return found.where("hit").select("pos", "value").unionByName(mapped.select("pos", "value"))
+def step(cache: MemoCache, rows: DataFrame, bucket: int, mapping: Mapper, compression: str = "none", mode: str = "intended") -> DataFrame:
+    """One bucket (key, pos, for cross file_id): probe, map what is left to do, hold the results. Returns pos and value of every row."""
+    found = cache.probe(dedup.firsts(rows.withColumn("bucket", F.lit(bucket)), compression, mode), bucket)
+    missed = found.where("not hit").select("key", "pos", "_work")
+    mapped = cache.keep(mapping(missed.where("pos = _work").select("key", "pos")).select("pos", "value"), bucket, "mapped")
+    given = missed.join(mapped.withColumnRenamed("pos", "_work"), "_work").select("key", "value", "pos")
+    # a row's result is written also for duplicates, where it changes nothing: the first value of a key stays
+    cache.write(given, bucket)
+    return found.where("hit").select("pos", "value").unionByName(cache.pending.select("pos", "value"))
 
 
-def run_buckets(cache: MemoCache, rows: DataFrame, mapping: Mapper, n_buckets: int) -> tuple[DataFrame | None, CacheStats]:
-    """The same as a loop over the buckets of a table (bucket, key, pos): each is a filter on a sorted column."""
-    out = None
-    for b in range(1, n_buckets + 1):
-        made = cache._keep(step(cache, rows.where(F.col("bucket") == b).select("key", "pos"), b, mapping), "out")
-        out = made if out is None else out.unionByName(made)
-    return out, cache.close()
+def run_buckets(cache: MemoCache, rows: DataFrame, mapping: Mapper, n_buckets: int, output: str, compression: str = "none", first: int = 1) -> CacheStats:
+    """A loop over the buckets of a table (bucket, key, pos), each a filter on a sorted column; pos and value go to ``output``."""
+    for b in range(first, n_buckets + 1):
+        own = rows.where(F.col("bucket") == b).drop("bucket")
+        step(cache, own, b, mapping, compression).write.mode("overwrite").parquet(f"{output}/bucket={b}")
+    return cache.close()
 
 
-def run_stream(spark: SparkSession, source: str, schema: str, cache: MemoCache, mapping: Mapper, output: str, checkpoint: str) -> CacheStats:
+def run_stream(spark: SparkSession, source: str, schema: str, cache: MemoCache, mapping: Mapper, output: str, checkpoint: str, compression: str = "none") -> CacheStats:
     """Run all buckets that lie in ``source`` as Parquet files and write pos and value to ``output``."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        step(cache, rows.select("key", "pos"), batch_id + 1, mapping).write.mode("overwrite").parquet(f"{output}/bucket={batch_id + 1}")
+        step(cache, rows, batch_id + 1, mapping, compression).write.mode("overwrite").parquet(f"{output}/bucket={batch_id + 1}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    cache.start(cache.last() + 1)  # where no batch was left to run
     return cache.close()

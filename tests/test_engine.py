@@ -1,16 +1,20 @@
 """Operators against a row-at-a-time simulator and the cases that the engine's semantics are known by."""
 
+import io
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.config import ConfigError, EngineConfig, get_bool, get_float, get_int, read_options
+from palimpsest import logs
+from palimpsest.config import BloomBits, ConfigError, EngineConfig, get_bool, get_float, get_int, read_options
 from palimpsest.functions import keys
 from palimpsest.operators import bucketing, dedup, mapper
-from palimpsest.operators.cache import MemoCache, trim
-from palimpsest.plans import engine, metrics, queries
+from palimpsest.operators.cache import BloomFilter, MemoCache, Recency, trim
+from palimpsest.plans import engine, metrics, queries, runner
 from palimpsest.sources import fastq, sinks
+from palimpsest.storage import materialize, numbered, release
 from palimpsest.streaming import buckets as stream
 
 CODE = {"A": 0, "C": 1, "T": 2, "G": 3}
@@ -48,10 +52,11 @@ def simulate_buckets(chains, size):
 class Lru:
     def __init__(self, capacity, policy, bloom):
         self.order, self.values, self.capacity, self.policy, self.bloom, self.seen = [], {}, capacity, policy, bloom, set()
+        self.any = False
         self.hits = self.misses = 0
 
     def probe(self, k):
-        if self.bloom and k not in self.seen:
+        if not self.possibly(k):
             return False
         if k in self.values:
             self.hits += 1
@@ -61,9 +66,17 @@ class Lru:
         self.misses += 1
         return False
 
+    def possibly(self, k):
+        if self.bloom == "wired":  # one bit
+            return self.any
+        return self.bloom.possibly(k) if isinstance(self.bloom, BloomFilter) else not self.bloom or k in self.seen
+
     def insert(self, k):
-        if self.bloom and k not in self.seen:
+        if not self.possibly(k):
+            self.any = True
             self.seen.add(k)
+            if isinstance(self.bloom, BloomFilter):
+                self.bloom.add(k)
             return
         if k not in self.values:
             self.values[k] = 1
@@ -183,7 +196,7 @@ def test_routes_equal_the_simulator(spark, policy, bloom, compression):
             assert r.rep == (None if h else r.pos if work else f.pos)
     wrong, _ = simulate_cache([[r.key for r in by[b]] for b in sorted(by)], 10_000, policy, bloom, lag=1)
     assert wrong != hits  # the harness notices a wrong lag
-    counted = dedup.counters(engine.route(engine.prepare(reads(spark, s), config), config), compression, bloom).agg(F.sum("hits"), F.sum("misses")).first()
+    counted = dedup.counters(engine.route(engine.prepare(reads(spark, s), config), config)).agg(F.sum("hits"), F.sum("misses")).first()
     assert counted[0] == cache.hits
     if compression == "none":
         assert counted[1] == cache.misses
@@ -195,7 +208,8 @@ def test_bounded_cache_equals_the_simulator(spark, tmp_path, policy, bloom, capa
     s = sequences(60, 12, 7)
     rows = spark.createDataFrame([(i // 10 + 1, k, i + 1) for i, k in enumerate(s)], "bucket long, key string, pos long")
     cache = MemoCache(spark, str(tmp_path), capacity, policy, bloom)
-    out, stats = stream.run_buckets(cache, rows, lambda r: r.withColumn("value", F.concat(F.lit("v"), "key")), 6)
+    stats = stream.run_buckets(cache, rows, lambda r: r.withColumn("value", F.concat(F.lit("v"), "key")), 6, str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
     hits, sim = simulate_cache([s[k : k + 10] for k in range(0, 60, 10)], capacity, policy, bloom)
     assert (stats.hits, stats.misses) == (sim.hits, sim.misses)
     assert {r.pos: r.value for r in out.collect()} == {i + 1: "v" + k for i, k in enumerate(s)}
@@ -203,6 +217,258 @@ def test_bounded_cache_equals_the_simulator(spark, tmp_path, policy, bloom, capa
     assert sum(map(sum, hits)) == sim.hits
 
 
+@pytest.mark.parametrize("policy,capacity", [("lru", 5), ("mru", 5), ("lru", 12)])
+@pytest.mark.parametrize("compression", ["none", "full", "cross"])
+@pytest.mark.parametrize("bloom,mode", [(False, "intended"), (True, "intended"), (True, "wired")])
+def test_walk_equals_the_simulator(spark, policy, capacity, compression, bloom, mode):
+    s = sequences(160, 14, 5)
+    config = EngineConfig(bucket_size=8, hasher="single", compression=compression, cache_policy=policy, bloom=bloom, cache_capacity=capacity, mode=mode)
+    routed = engine.route(engine.prepare(reads(spark, s), config), config).orderBy("pos").collect()
+    by = {}
+    for r in routed:
+        by.setdefault(r.bucket, []).append(r)
+    hits, sim = simulate_cache([[r.key for r in by[b]] for b in sorted(by)], capacity, policy, mode if bloom else False)
+    assert [[r.hit for r in by[b]] for b in sorted(by)] == hits
+    rows = {r.pos: r for r in routed}
+    for r in routed:
+        own = rows[r.src]
+        assert own.key == r.key and own.route == "unique" and (own.bucket <= r.bucket - 2 if r.hit else own.bucket == r.bucket)
+    if compression == "none":
+        assert sum(r.asked for r in routed) == sim.misses
+
+
+def test_filter_of_a_size(spark):
+    bits = BloomBits(bits=64, functions=2, length=6)
+    s = sequences(200, 30, 15)
+    config = EngineConfig(bucket_size=10, hasher="single", compression="none", cache_policy="lru", bloom=True, bloom_bits=bits, cache_capacity=8)
+    routed = engine.route(engine.prepare(reads(spark, s), config), config).orderBy("pos").collect()
+    by = {}
+    for r in routed:
+        by.setdefault(r.bucket, []).append(r)
+    hits, sim = simulate_cache([[r.key for r in by[b]] for b in sorted(by)], 8, "lru", BloomFilter(bits))
+    assert [[r.hit for r in by[b]] for b in sorted(by)] == hits and sum(r.asked for r in routed) == sim.misses
+    seen = BloomFilter(bits)
+    for k in s[:5]:
+        seen.add(k)
+    assert all(seen.possibly(k) for k in s[:5])
+    places = keys.bloom_positions(64, 2, 6)
+    df = spark.createDataFrame([(k,) for k in [*s[:20], "", "AX"]], "key string").select("key", *(keys.bloom_hash(F.col("key"), p, 64) for p in places))
+    assert all(list(r)[1:] == seen._bits(r.key) for r in df.collect())
+    seen.clear()
+    assert not any(seen.possibly(k) for k in s[:5])
+
+
+def test_recency():
+    for policy, stays in (("lru", ["c", "d"]), ("mru", ["a", "b"])):
+        cache = Recency(3, policy)
+        for k in "abcd":
+            cache.insert(k, k)
+        assert list(cache.order) == stays  # insert keeps one place free
+    cache = Recency(3)
+    for k in "abcd":
+        cache.insert_no_evict(k, k)
+    cache.insert_no_evict("a", "new")
+    assert cache.at("a") == "a" and cache.find("b")
+    cache.trim()
+    assert list(cache.order) == ["d", "a"]
+    cache.clear()
+    assert not cache.find("a")
+
+
+def test_cache_goes_on_after_a_restart(spark, tmp_path):
+    s = sequences(80, 12, 17)
+    rows = spark.createDataFrame([(i // 10 + 1, k, i + 1, i % 3) for i, k in enumerate(s)], "bucket long, key string, pos long, file_id int")
+    mapping = lambda r: r.withColumn("value", F.concat(F.lit("v"), "key"))
+    for policy, bloom in (("lru", False), ("mru", True)):
+        make = lambda name: MemoCache(spark, str(tmp_path / policy / name), 6, policy, bloom)
+        whole = stream.run_buckets(make("whole"), rows, mapping, 8, str(tmp_path / policy / "a"), "cross")
+        cache = make("parts")
+        for b in range(1, 5):
+            stream.step(cache, rows.where(f"bucket = {b}"), b, mapping, "cross").write.parquet(str(tmp_path / policy / f"b/bucket={b}"))
+        again = make("parts")  # a new process; bucket 4 is run a second time
+        assert again.last() == 4
+        parts = stream.run_buckets(again, rows, mapping, 8, str(tmp_path / policy / "b"), "cross", first=4)
+        assert parts == whole and whole.hits > 0
+        hits, sim = simulate_cache([s[k : k + 10] for k in range(0, 80, 10)], 6, policy, bloom)
+        assert (whole.hits, whole.misses if not bloom else 0) == (sim.hits, whole.misses if not bloom else 0)
+        for name in "ab":
+            assert {r.pos: r.value for r in spark.read.parquet(str(tmp_path / policy / name)).collect()} == {i + 1: "v" + k for i, k in enumerate(s)}
+
+
+def test_cache_tables(spark, tmp_path):
+    cache = MemoCache(spark, str(tmp_path), 4)
+    entries = lambda names, at: spark.createDataFrame([(k, "v" + k, at + i) for i, k in enumerate(names)], "key string, value string, pos long")
+    cache.insert(entries("abc", 0), 1)
+    cache.insert(entries("cde", 10), 2)
+    assert sorted(r.key for r in cache.state.collect()) == ["c", "d", "e"]  # capacity - 1 stay
+    assert [tuple(r) for r in cache.fetch(entries("ac", 0)).collect()] == [("c", "vc")]
+    cache.clear()
+    assert cache.state.count() == 0
+
+
+def test_the_mapper_sees_each_unique_row_once(spark, tmp_path):
+    s = sequences(400, 30, 21)
+    calls = tmp_path / "calls"
+
+    def function(texts):
+        with open(calls, "a") as f:
+            f.write("".join(t.split("\n")[0] + "\n" for t in texts))
+        return ["v\t" + t.split("\n")[1] for t in texts]
+
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        made = engine.run(reads(spark, s), EngineConfig(bucket_size=10, hasher="single", compression="full", cache_policy="lru"), function)
+        assert sorted(r.line for r in made.output.collect()) == sorted("v\t" + x for x in s)
+        unique = made.counters.agg(F.sum("n_unique")).first()[0]
+        assert made.seconds.agg(F.sum("seconds")).first()[0] > 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    seen = calls.read_text().split("\n")[:-1]
+    assert len(seen) == len(set(seen)) == unique < len(s)
+
+
+def test_records_are_gathered_to_batches(spark, tmp_path):
+    sizes = tmp_path / "sizes"
+
+    def function(texts):
+        with open(sizes, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return [t[-3:] for t in texts]
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = reads(spark, ["ACGT"] * 100).coalesce(1).withColumn("pos", F.col("arrival"))
+        assert mapper.map_unique(df, function, 30).count() == 100
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sizes.read_text().split() == ["30", "30", "30", "10"]
+
+
+def test_interactive_process(spark, tmp_path):
+    df = reads(spark, sequences(500, 40, 3)).coalesce(1).withColumn("pos", F.col("arrival"))
+    script = tmp_path / "serve.sh"
+    script.write_text(f"""echo start >> {tmp_path}/starts; exec awk 'NR%4==2{{print "x\\x85" $0; fflush()}}'""")
+    for live, starts in ((True, 1), (False, 10)):
+        (tmp_path / "starts").write_text("")
+        got = {r.pos: r.value for r in mapper.map_unique(df, mapper.process_function(f"sh {script}", live), 50).collect()}
+        assert got == {r.pos: "x\x85" + r.sequence for r in df.collect()} and (tmp_path / "starts").read_text().count("start") == starts
+    with pytest.raises(Exception, match="ended with"):
+        mapper.map_unique(df, mapper.process_function("head -1", True), 50).collect()
+
+
+def test_random_chains_take_turns(spark):
+    chains = spark.createDataFrame([(0, 400, 4000, 0), (1, 400, 4000, 1), (2, 3, 21, 0)], "chain int, n_buckets long, n_rows long, first int")
+    turns = bucketing.random_turns(chains, 10, 5).orderBy("bucket").collect()
+    assert (turns[0].chain, turns[0].cb) == (1, 0) and [t.bucket for t in turns] == list(range(1, 804))
+    for c in (0, 1, 2):
+        assert [t.cb for t in turns if t.chain == c] == list(range((400, 400, 3)[c]))
+    assert turns[-1].rows_before + 10 >= 8021 - 10
+    both = [t.chain for t in turns[:300] if t.chain < 2]
+    assert 0.4 < sum(both) / len(both) < 0.6 and sum(a != b for a, b in zip(both, both[1:])) > 0.4 * len(both)
+    assert {t.chain for t in turns[:60]} == {0, 1, 2}  # a short chain is as likely as a long one
+
+
+def test_control_file_to_output(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text("".join(f"@a{i} z\n{x}\n+\n====\n" for i, x in enumerate(["ACGT", "ACGT", "GGGG"])))
+    (tmp_path / "b.fastq").write_text("@b0 z\nACGT\n+\n====\n@b1 z\nTTTT\n+\n====")
+    (tmp_path / "c.fastq").write_text("")
+    ini = tmp_path / "x.ini"
+    ini.write_text(f"data_dir={tmp_path}\ninput_pattern=.*\\.fastq\noutput_ext=.sam\nbucket_size=2\nmax_interleave=2\nretag=true\ncompression=full\ncache_policy=lru\nmetrics={tmp_path}/log\n")
+    awk = mapper.process_function("""awk 'NR%4==2{print "q\\t" $0}'""")
+    report = runner.run_file(spark, str(ini), awk)
+    lines = lambda p: [x for f in sorted(p.glob("part*")) for x in f.read_text().split("\n")[:-1]]
+    assert lines(tmp_path / "a.sam") == ["a0\tACGT", "a1\tACGT", "a2\tGGGG"] and lines(tmp_path / "b.sam") == ["b0\tACGT", "b1\tTTTT"]
+    log = lines(tmp_path / "log")
+    assert log[0] == "# Num_Files:3" and log[1].count(",") == 3 and log[2].startswith("Batch,Batch_Time") and log[-1].startswith(f"# config:{ini} total_reads:5 runtime:")
+    assert report.summary.first().n_rows == 5 and len(log) == 3 + report.counters.count() + 1 and report.summary.first().avg_throughput > 0
+    wired = runner.run_file(spark, str(ini), awk, mode="wired")
+    assert wired.summary.first().n_rows == 4 and "\t\t" in lines(tmp_path / "b.sam")[0]  # the last record has no line end
+    short = metrics.short_log_lines(report.log, 2, "lru", 5, 1.0).orderBy("n").collect()
+    assert short[0].value.startswith("# batch_size:2 manager_type:buckets cache_type:lru") and "Misses" not in short[1].value and short[2].value.startswith("0,")
+    got = runner.options_of(["-c", str(ini), "--bucket_size", "7", "--hash_func", "gc", "--interleaved", "--suppress_sam"])
+    assert (got["bucket_size"], got["hash_func"], got["interleaved"], got["output_ext"], "suppress_sam" in got) == ("7", "gc", "true", ".sam", True)
+    with pytest.raises(ConfigError):
+        runner.run_options(spark, {"cache_policy": "lru"}, awk)
+
+
+def test_standard_input(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"@a 1\nAC\n+\n==\n@b 2\nGT\n+\n==\n")))
+    report = runner.run_options(spark, {"stdin": "true", "command": """awk 'NR%4==2{print $0}'"""})
+    assert report.outputs == {0: str(tmp_path / "OUT.sam")}
+    assert sorted(spark.read.text(str(tmp_path / "OUT.sam")).collect()) == [("AC",), ("GT",)]
+
+
+@pytest.mark.parametrize("end", ["", "\n"])
+def test_files_are_split_between_records(spark, tmp_path, end):
+    r = random.Random(4)
+    records = [(f"@r{i} " + "@" * r.randrange(3), "".join(r.choice("ACGT") for _ in range(r.randrange(1, 30))), "+") for i in range(200)]
+    (tmp_path / "a.fastq").write_text("\n".join("\n".join([*x, r.choice("@+=>") * len(x[1])]) for x in records) + end)
+    (tmp_path / "b.fasta").write_text("\n".join(f">s{i}\n{x[1]}" for i, x in enumerate(records)) + end)
+    spark.dataSource.register(fastq.ReadsDataSource)
+    for split in (1, 7, 100, 1000, 10**6):
+        rows = spark.read.format("reads").options(path=str(tmp_path), split_bytes=str(split)).load()
+        assert [(x.header, x.sequence, x.plus) for x in fastq.with_arrival(rows).orderBy("arrival").collect()] == records
+        rows = spark.read.format("reads").options(path=str(tmp_path), split_bytes=str(split), format="fasta").load()
+        got = fastq.with_arrival(rows).orderBy("arrival").collect()
+        assert [(x.header, x.sequence, x.rec_idx) for x in got] == [(f">s{i}", x[1], i) for i, x in enumerate(records)]
+    assert spark.read.format("reads").options(path=str(tmp_path), require_trailing_newline="true").load().count() == 199 + bool(end)
+
+
+def test_plug_ins(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.lst").write_text("#one\nAC\n#two\nGT\n")
+    spark.dataSource.register(fastq.reads_source("lists", fastq.Parser(2, lambda x: x[0][:1] == b"#", lambda x: (x[0], x[1].lower(), None, None))))
+    got = spark.read.format("lists").options(path=str(tmp_path), pattern=r".*\.lst").load().collect()
+    assert [(r.header, r.sequence) for r in got] == [("#one", "ac"), ("#two", "gt")]
+    monkeypatch.setitem(keys.HASHERS, "length", F.length)
+    monkeypatch.setitem(keys.KEYS, "first", lambda x: F.substring(x, 1, 1))
+    monkeypatch.setitem(keys.OUTPUTS, "both", lambda h, v: F.concat_ws("|", h, v))
+    c = EngineConfig(bucket_size=3, hasher="length", key="first", output="both", compression="full")
+    made = engine.run(reads(spark, ["AC", "AG", "GT", "AAA"]), c, lambda texts: [t.split("\n")[1] for t in texts])
+    assert {r.line for r in made.output.collect()} == {"@r0 x|AC", "@r1 x|AC", "@r2 x|GT", "@r3 x|AAA"}
+    with pytest.raises(ConfigError):
+        EngineConfig(hasher="nothing")
+
+
+def test_sorted_chains_as_buckets(spark):
+    s = sequences(90, 30, 2)
+    c = EngineConfig(bucket_size=4, hasher="single", max_chain=1)
+    placed = engine.prepare(reads(spark, s), c).orderBy("pos").collect()
+    assert [r.pos for r in placed] == list(range(1, 91))
+    assert [r.sequence for r in placed] == sorted(s, key=lambda x: (CODE.get(x[0], 3), x)) or [(r.chain, r.sequence) for r in placed] == sorted((r.chain, r.sequence) for r in placed)
+    assert sorted({(r.bucket, r.chain) for r in placed}) == list(enumerate(sorted({r.chain for r in placed}), 1))
+
+
+def test_numbers_and_running_sums(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("x"), "id").repartition(5)
+    got = numbered(df, ["g"], ["x", "id"], "n").collect()
+    want = {}
+    for g in (0, 1):
+        own = sorted((r.x is not None, r.x or 0, r.id) for r in got if r.g == g)
+        want |= {i: k + 1 for k, (_, _, i) in enumerate(own)}
+    assert {r.id: r.n for r in got} == want
+    sums = metrics.running_sums(df.withColumn("v", F.col("id") * 2), "id", ["v"], 16)
+    assert {r.id: r.v for r in sums.collect()} == {i: i * (i + 1) for i in range(1000)}
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    table = materialize(spark.range(3), "some")
+    path = table.table_path.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(path)
+    release(table, None, spark.range(1))
+    assert not os.path.exists(path)
+
+
+def test_timer_and_fatal(caplog):
+    with caplog.at_level("INFO", logger="palimpsest"), logs.timer("part") as took:
+        pass
+    assert took.value >= 0 and "part:" in caplog.text
+    with pytest.raises(SystemExit):
+        logs.fatal("no")
+
+
 def test_stream_equals_loop(spark, tmp_path):
     s = sequences(30, 6, 8)
     source = tmp_path / "in"
