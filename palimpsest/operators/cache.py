@@ -16,6 +16,7 @@ come one after another; a stream that was stopped goes on from them.
 """
 
 import json
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
@@ -35,8 +36,10 @@ STATE = "key string, value string, t long, row long"
 
 def trim(state: DataFrame, capacity: int, policy: str = "lru") -> DataFrame:
     """At most ``capacity - 1`` entries, once there are more than ``capacity``; the cut is found by a top-k, not a global window."""
-    if state.count() <= capacity:
-        return state
+    return state if state.count() <= capacity else _cut(state, capacity, policy)
+
+
+def _cut(state: DataFrame, capacity: int, policy: str) -> DataFrame:
     side = (F.col("t").desc(), F.col("row").desc()) if policy == "lru" else (F.col("t").asc(), F.col("row").asc())
     return state.orderBy(*side).limit(capacity - 1)
 
@@ -299,7 +302,7 @@ class MemoCache:
         """Add entries (key, value, pos) at once, with eviction: at most ``capacity - 1`` stay."""
         first = entries.join(self.state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("pos").alias("row"), F.min_by("value", "pos").alias("value"))
         grown = self.state.unionByName(first.select("key", "value", F.lit(2 * bucket + 1).cast("long").alias("t"), "row"))
-        self.state = self.keep(trim(grown, self.capacity - 1, self.policy) if grown.count() >= self.capacity else grown, bucket, "inserted")
+        self.state = self.keep(_cut(grown, self.capacity, self.policy) if grown.count() >= self.capacity else grown, bucket, f"inserted-{uuid.uuid4().hex}")
         self.stats = replace(self.stats, size=self.state.count())
 
     def fetch(self, keys: DataFrame) -> DataFrame:

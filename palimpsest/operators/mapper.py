@@ -72,11 +72,13 @@ class ProcessFunction:
     """Hands records to a process and reads a line for each; a failed process is an error.
 
     One process for each call, or, ``interactive``, one that lives as long as
-    the task and answers each record with one line before its input ends.
+    the task and answers each record with one line before its input ends. A
+    process that holds its answers back until then would never be done; it is
+    ended, as an error, once a call has taken ``patience`` seconds.
     """
 
-    def __init__(self, command: str, interactive: bool = False, encoding: str = "utf-8"):
-        self.words, self.interactive, self.encoding = shlex.split(command), interactive, encoding
+    def __init__(self, command: str, interactive: bool = False, encoding: str = "utf-8", patience: float = 3600.0):
+        self.words, self.interactive, self.encoding, self.patience = shlex.split(command), interactive, encoding, patience
 
     def __call__(self, texts: list[str]) -> list[str]:
         done = subprocess.run(self.words, input="\n".join([*texts, ""]).encode(self.encoding), capture_output=True, check=False)
@@ -105,8 +107,11 @@ class ProcessFunction:
 
                 writer = threading.Thread(target=give)  # so that neither side waits for a full pipe
                 writer.start()
+                limit = threading.Timer(self.patience, process.kill)
+                limit.start()
                 lines = [line for _ in texts if (line := process.stdout.readline())]
                 writer.join()
+                limit.cancel()
                 if len(lines) < len(texts):
                     self._failed(process.poll(), b"too few lines")
                 return [line.decode(self.encoding).removesuffix("\n") for line in lines]
@@ -119,8 +124,8 @@ class ProcessFunction:
                 self._failed(process.returncode, b"")
 
 
-def process_function(command: str, interactive: bool = False, encoding: str = "utf-8") -> ProcessFunction:
-    return ProcessFunction(command, interactive, encoding)
+def process_function(command: str, interactive: bool = False, encoding: str = "utf-8", patience: float = 3600.0) -> ProcessFunction:
+    return ProcessFunction(command, interactive, encoding, patience)
 
 
 def aligner_command(options: dict[str, str]) -> str:

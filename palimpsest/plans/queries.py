@@ -464,10 +464,12 @@ register(
 )
 _AWK = """awk 'NR%4==2{print "ref\\t" length($0) "\\t" $0; fflush()}'"""
 _awk_sql = "'ref' || chr(9) || length(sequence) || chr(9) || sequence"
+# awk may read ahead of what it answers, a shell's read doesn't
+_SERVE = """sh -c 'while read -r h && read -r s && read -r p && read -r q; do printf "ref\\t%s\\t%s\\n" "${#s}" "$s"; done'"""
 for _name, _live in (("mapper_process", False), ("mapper_interactive", True)):
     register(
         _name,
-        lambda s, d, live=_live: mapper.map_unique(reads(s, d).withColumn("pos", F.col("arrival")), mapper.process_function(_AWK, live), 64).select("pos", "value"),
+        lambda s, d, live=_live: mapper.map_unique(reads(s, d).withColumn("pos", F.col("arrival")), mapper.process_function(_SERVE if live else _AWK, live, patience=600.0), 64).select("pos", "value"),
         f"with {READS_SQL} select arrival as pos, {_awk_sql} as value from reads",
     )
 

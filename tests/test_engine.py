@@ -349,13 +349,15 @@ def test_records_are_gathered_to_batches(spark, tmp_path):
 def test_interactive_process(spark, tmp_path):
     df = reads(spark, sequences(500, 40, 3)).coalesce(1).withColumn("pos", F.col("arrival"))
     script = tmp_path / "serve.sh"
-    script.write_text(f"""echo start >> {tmp_path}/starts; exec awk 'NR%4==2{{print "x\\x85" $0; fflush()}}'""")
+    script.write_text(f"""echo start >> {tmp_path}/starts; while read -r h && read -r s && read -r p && read -r q; do printf 'x\\302\\205%s\\n' "$s"; done""")
     for live, starts in ((True, 1), (False, 10)):
         (tmp_path / "starts").write_text("")
         got = {r.pos: r.value for r in mapper.map_unique(df, mapper.process_function(f"sh {script}", live), 50).collect()}
         assert got == {r.pos: "x\x85" + r.sequence for r in df.collect()} and (tmp_path / "starts").read_text().count("start") == starts
     with pytest.raises(Exception, match="ended with"):
         mapper.map_unique(df, mapper.process_function("head -1", True), 50).collect()
+    with pytest.raises(Exception, match="too few lines"):  # it answers only when its input ends
+        mapper.map_unique(df, mapper.process_function("sort", True, patience=2.0), 50).collect()
 
 
 def test_random_chains_take_turns(spark):
