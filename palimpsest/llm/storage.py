@@ -1,29 +1,5 @@
-"""Where intermediate tables go: the folder that all executors share."""
+"""Where intermediate tables go: the library's shared folder, which a cluster's session has to name."""
 
-import tempfile
-import uuid
+from palimpsest.storage import materialize, release, shared_folder
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else None
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    It cuts the lineage without tying the rows to the executors that made them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/palimpsest-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "release", "shared_folder"]
