@@ -404,7 +404,7 @@ def _fastq_folder(s: SparkSession, d: str, kind: str = "fastq") -> str:
     rows = reads(s, d)
     folder = f"{shared_folder(s)}/inputs-{uuid.uuid4().hex}"
     four = [F.col(c) for c in ("header", "sequence", "plus", "quality")]
-    text = keys.record_text(*(four if kind == "fastq" else four[:2]))
+    text = keys.record_text(*four) if kind == "fastq" else F.concat_ws("\n", *four[:2])
     one = rows.repartition("file_id").sortWithinPartitions("file_id", "arrival").select("file_id", text.alias("line"))  # one part for each file
     one.write.partitionBy("file_id").text(f"{folder}/parts")
     local = folder.removeprefix("file://").removeprefix("file:")  # a folder that all nodes see by one path
