@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, ngram_join, packing, pii, quality, sharding, tokens, toxicity
+from . import chat, embed_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality, sharding, tokens, toxicity
+from .storage import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,9 +107,51 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
+def rebuilt(paths: DataFrame) -> DataFrame:
+    """The contract's conversations: c begins with the first h turns of c - c % 5 and goes on with its own after h; h is crc32(c) % 9."""
+    own = materialize(paths, "paths")
+    base = own.where(F.col("conv_id") % 5 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int")
+    both = own.withColumns({"base": F.col("conv_id") - F.col("conv_id") % 5, "h": h}).join(base, "base", "left")
+    head, tail = F.slice("head", F.lit(1), F.col("h")), F.slice("turns", F.col("h") + 1, F.size("turns"))
+    return both.select("conv_id", F.when(F.col("head").isNull(), tail).otherwise(F.concat(head, tail)).alias("turns"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(rebuilt(prefix_trie.conversation_paths(_table(spark, sf_dir, "conversations")))).drop("turn_key")
+
+
+#: crc32 bit by bit: an item over -1 is a byte that comes in, -1 a step
+OP11_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null
+), o as (
+  select conv_id, list({'r': r, 'x': x} order by turn nulls first, substr(sha256(strlen(r) || ':' || r || x), 1, 32)) as l from t group by conv_id
+), i as (
+  select conv_id, l, conv_id - conv_id % 5 as base, cast(xor(list_reduce(list_concat([4294967295],
+    flatten(list_transform(range(1, length(cast(conv_id as varchar)) + 1), lambda k: [cast(ascii(substr(cast(conv_id as varchar), k, 1)) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, b: case when b >= 0 then xor(s, b) else xor(s >> 1, 3988292384 * (s & 1)) end), 4294967295) % 9 as bigint) as h from o
+), c as (
+  select i.conv_id, list_concat(coalesce(b.l[1:i.h], []), i.l[i.h + 1:]) as l from i left join o b on b.conv_id = i.base
+), p as (
+  select conv_id, len(l) = d as ends, d, l[1:d] as p from (select conv_id, l, unnest(range(len(l) + 1)) as d from c)
+), n as (
+  select d, p, min(conv_id) as conv_id, count(*) as n, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '') as ends from p group by d, p
+), k as (
+  select n.*, coalesce(m.kids, 0) as kids, case when n.d = 0 then 0 else (n.n - 1) * strlen(n.p[n.d].x) end as own
+  from n left join (select d - 1 as d, p[1:d - 1] as p, count(*) as kids from n where d > 0 group by 1, 2) m on n.d = m.d and n.p = m.p
+), s as (
+  select e, q, sum(own) as saved, count(*) filter (where kids = 0) as leaves from (select own, kids, e, p[1:e] as q from (select own, kids, p, unnest(range(d + 1)) as e from k)) group by e, q
+)
+select k.conv_id, cast(k.d as bigint) as depth, u.conv_id as parent_conv_id, cast(k.n as bigint) as n_convs, cast(k.kids as bigint) as n_children,
+  cast(s.leaves as bigint) as n_leaves, cast(s.saved as bigint) as saved_tokens, sha256(k.ends) as ends_sha256
+from k join s on s.e = k.d and s.q = k.p left join n u on u.d = k.d - 1 and u.p = k.p[1:k.d - 1]
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_packing, op3_toxicity, op4_ngram_join, op5_mixing, op6_quality, op7_token_counts, op8_sharding, op9_embedding_dedup, op10_pii)
+    for f in (op1_chat, op2_packing, op3_toxicity, op4_ngram_join, op5_mixing, op6_quality, op7_token_counts, op8_sharding, op9_embedding_dedup, op10_pii, op11_prefix_trie)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op4_ngram_join": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op4_ngram_join": OP4_SQL, "op11_prefix_trie": OP11_SQL}
