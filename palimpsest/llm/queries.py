@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality, sharding, tokens, toxicity
+from . import chat, collocations, embed_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality, sharding, tokens, toxicity
 from .storage import materialize
 
 
@@ -149,9 +149,43 @@ from k join s on s.e = k.d and s.q = k.p left join n u on u.d = k.d - 1 and u.p
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) as piece from documents
+), w as (
+  select lang, [x for x in regexp_split_to_array(piece, '[ 	]+') if x <> ''] as w from p
+), f as (
+  select lang, m, phrase, count(*) as f from (
+    select lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') for i in range(1, len(w) - m + 2)]) as phrase from w, (values (1), (2), (3), (4)) as v(m)
+  ) group by lang, m, phrase
+), n as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang
+), c as (select lang, m, phrase, f as a, string_split(phrase, ' ') as x from f where m > 1 and f >= 30
+), k as (
+  select lang, m, phrase, a, k, array_to_string(x[1:k], ' ') as u, array_to_string(x[k + 1:], ' ') as v from (select *, unnest(range(1, m)) as k from c)
+), s as (
+  select k.lang, k.m, k.phrase, k.a, k.k, u.f as l, v.f as r, cast(cast(k.a as hugeint) * 2000000 // (u.f + v.f) as bigint) as score
+  from k join f u on u.lang = k.lang and u.phrase = k.u join f v on v.lang = k.lang and v.phrase = k.v
+), b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), o as (
+  select lang, phrase, max(a) as longer from (
+    select lang, a, unnest([array_to_string(x[q[1]:q[1] + q[2] - 1], ' ') for q in flatten([[[i, z] for i in range(1, m - z + 2)] for z in range(2, m)])]) as phrase from c
+  ) group by lang, phrase
+), t as (
+  select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from b left join o on o.lang = b.lang and o.phrase = b.phrase where o.longer is null or 100 * o.longer < 80 * b.a
+)
+select t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, t.score from t join n on n.lang = t.lang where t.rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_packing, op3_toxicity, op4_ngram_join, op5_mixing, op6_quality, op7_token_counts, op8_sharding, op9_embedding_dedup, op10_pii, op11_prefix_trie)
+    for f in (op1_chat, op2_packing, op3_toxicity, op4_ngram_join, op5_mixing, op6_quality, op7_token_counts, op8_sharding, op9_embedding_dedup, op10_pii, op11_prefix_trie, op13_collocations)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op4_ngram_join": OP4_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op4_ngram_join": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op13_collocations": OP13_SQL}

@@ -57,11 +57,11 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = 512 << 10) -> Iterat
         row = stop
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row the index of its first word (one entry more than rows)."""
+def words(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, runs of bytes that aren't ``outside``, and for each row the index of its first word (one entry more than rows)."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SPACE[buf]
+    inside = ~outside[buf]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
