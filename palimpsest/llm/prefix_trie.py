@@ -223,13 +223,9 @@ def _summed(rounds: list, total, spent: list[DataFrame]) -> DataFrame:
         out.append(built)
         below = tops.groupBy("prefix").agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
         ended_below = ended
-    one = below.sparkSession.range(1).select(F.lit("").alias("prefix")).join(below, "prefix", "left").join(ended_below, "prefix", "left")
-    root = one.select(
-        F.lit(total[1]).alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.lit(total[2]).cast("long").alias("n_convs"),
-        F.coalesce("children", F.lit(0)).cast("long").alias("n_children"), F.coalesce("leaves", F.lit(1)).cast("long").alias("n_leaves"), F.coalesce("saved", F.lit(0)).cast("long").alias("saved_tokens"),
-        F.coalesce("ends", F.lit(NOTHING)).alias("ends_sha256"), F.lit(None).cast("binary").alias("turn_key"),
-    )
-    result = materialize(root, "trie-root")
+    one, here = below.first(), ended_below.first()  # nothing but the root is left above
+    root = (total[1], 0, None, total[2], one.children if one else 0, one.leaves if one else 1, one.saved if one else 0, here.ends if here else NOTHING, None)
+    result = below.sparkSession.createDataFrame([root], NODE)
     release(*spent)
     for nodes in out:
         result = result.unionByName(nodes.drop("prefix"))

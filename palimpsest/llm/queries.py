@@ -1,12 +1,13 @@
 """The registered queries of this package: thin digests of what the operators return."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collocations, embed_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality, sharding, tokens, toxicity
-from .storage import materialize
+from . import chat, collocations, embed_dedup, mixing, ngram_join, packing, pii, prefix_trie, quality, sharding, stream_dedup, tokens, toxicity
+from .storage import materialize, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,6 +150,22 @@ from k join s on s.e = k.d and s.q = k.p left join n u on u.d = k.d - 1 and u.p
 """
 
 
+def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = stream_dedup.StreamDedup(spark, f"{sf_dir}/documents.parquet", f"{shared_folder(spark)}/stream-dedup-{uuid.uuid4().hex}")
+    seen.absorb()
+    return seen.documents().select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP12_SQL = """
+with t as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents
+)
+select doc_id, max(doc_id) over (partition by x) as keep_id, count(*) over (partition by x) as group_size,
+  row_number() over (partition by x order by doc_id desc nulls last) = 1 as kept, sha256(x) as text_sha256
+from t
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -156,7 +173,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 with p as (
   select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) as piece from documents
+-
+]')) as piece from documents
 ), w as (
   select lang, [x for x in regexp_split_to_array(piece, '[ 	]+') if x <> ''] as w from p
 ), f as (
@@ -185,7 +203,7 @@ select t.lang, t.rank, t.phrase, t.a, t.l, t.r, n.n, t.score from t join n on n.
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat, op2_packing, op3_toxicity, op4_ngram_join, op5_mixing, op6_quality, op7_token_counts, op8_sharding, op9_embedding_dedup, op10_pii, op11_prefix_trie, op13_collocations)
+    for f in (op1_chat, op2_packing, op3_toxicity, op4_ngram_join, op5_mixing, op6_quality, op7_token_counts, op8_sharding, op9_embedding_dedup, op10_pii, op11_prefix_trie, op12_stream_dedup, op13_collocations)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op4_ngram_join": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op13_collocations": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op4_ngram_join": OP4_SQL, "op11_prefix_trie": OP11_SQL, "op12_stream_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
