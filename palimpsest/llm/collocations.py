@@ -32,6 +32,8 @@ BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 OUTSIDE = BREAK.copy()
 OUTSIDE[[0x20, 0x09]] = True
 
+#: a product may pass 64 bits
+SCORE = "cast(cast(a as decimal(20)) * 2000000 div (cast(l as decimal(20)) + r) as long)"
 COUNTS = "lang string, phrase string, f long"
 
 
@@ -164,8 +166,7 @@ def collocations(docs: DataFrame, min_count: int = 30, longest: int = 4, cover_p
         parts = parts.unionByName(t)
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(parts.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), ["lang", side])
-    score = F.expr("cast(a as decimal(20)) * 2000000 div (cast(l as decimal(20)) + r)").cast("long")
-    best = cuts.groupBy("lang", "phrase").agg(F.any_value("a").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    best = cuts.groupBy("lang", "phrase").agg(F.any_value("a").alias("a"), F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("cut"))
 
     spans = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda s: F.array_join(F.slice("w", s, n), " "))))
     inside = long.where(F.size("w") > 2).select("lang", F.explode(spans).alias("phrase"), F.col("a").alias("longer"))
