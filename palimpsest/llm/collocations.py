@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .textscan import LOWER, row_of, slices, words
 
 #: 32 MB for each level that is sent out
 MOST_BITS = 1 << 28
+#: bits by which a phrase's hash is turned for each word
+TURN = 13
 #: bits of one row of Spark's bitmap aggregates
 BUCKET = 32_768
 #: bytes of text that are split at a time
@@ -54,11 +57,16 @@ def levels(docs: DataFrame, min_count: int, longest: int) -> list[DataFrame]:
 
 
 def _bitmap(level: DataFrame) -> np.ndarray:
-    """Bits at the hashes of the level's phrases; the driver gets the bitmap, built by the tasks, never the phrases."""
+    """Bits at the hashes of the level's phrases; the driver gets the bitmap, built by the tasks, never the phrases.
+
+    A phrase's hash turns that of the phrase without its last word and adds the word's, beginning with the lang's.
+    """
     bits = BUCKET
     while bits < min(16 * level.count(), MOST_BITS):
         bits *= 2
-    place = level.where(F.col("phrase").isNotNull()).select((F.xxhash64("lang", "phrase").bitwiseAND(bits - 1) + 1).alias("p"))
+    turned = lambda h: F.shiftleft(h, TURN).bitwiseOR(F.shiftrightunsigned(h, 64 - TURN))
+    hashed = F.aggregate(F.split("phrase", " "), F.xxhash64("lang"), lambda h, w: turned(h).bitwiseXOR(F.xxhash64(w)))
+    place = level.where(F.col("phrase").isNotNull()).select((hashed.bitwiseAND(bits - 1) + 1).alias("p"))
     rows = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in rows:
@@ -66,11 +74,14 @@ def _bitmap(level: DataFrame) -> np.ndarray:
     return out
 
 
-def _known(bitmap: np.ndarray, phrases: list[str], of: np.ndarray, seeds: list[int]) -> np.ndarray:
-    """Which phrases may be frequent: Spark's hash of (lang, phrase) is XXH64 of the phrase, seeded by that of the lang."""
-    h = np.fromiter((xxhash.xxh64_intdigest(p.encode(), seed=seeds[k]) for p, k in zip(phrases, of.tolist(), strict=True)), dtype=np.uint64, count=len(phrases))
-    h &= np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _turned(h: np.ndarray) -> np.ndarray:
+    return (h << np.uint64(TURN)) | (h >> np.uint64(64 - TURN))
+
+
+def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which phrases of these hashes may be frequent."""
+    at = hashes & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _counter(k: int, filters: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -80,12 +91,12 @@ def _counter(k: int, filters: list) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for batch in batches:
             langs = batch.column(0).dictionary_encode()
             names, of_row = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
-            seeds = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in names]
+            seeds = np.array([_hash(x) for x in names], dtype=np.uint64)
             for row, stop, buf, offsets in slices(batch.column(1), SLICE):
                 for part, cuts in _short(buf, offsets):
                     own = of_row[row:stop] if len(cuts) == stop - row + 1 else np.repeat(of_row[row:stop], len(cuts) - 1)
                     phrases, lang, f = _phrases(k, filters, part, cuts, own, seeds)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in lang.tolist()], pa.string()), pa.array(phrases, pa.string()), pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
+                    yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), phrases, pa.array(f, pa.int64())], names=["lang", "phrase", "f"])
 
     return count
 
@@ -103,37 +114,46 @@ def _short(buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
     yield (buf[at:], offsets - at) if not at else (buf[at:], np.array([0, len(buf) - at]))
 
 
-def _phrases(k: int, filters: list, buf: np.ndarray, offsets: np.ndarray, of_row: np.ndarray, seeds: list[int]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+def _hash(text: str) -> int:
+    """Spark's hash of a string."""
+    return xxhash.xxh64_intdigest(text.encode(), seed=42)
+
+
+def _phrases(k: int, filters: list, buf: np.ndarray, offsets: np.ndarray, of_row: np.ndarray, seeds: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Phrases of ``k`` words with their langs and counts; for k = 1 also the number of words of each lang, as phrase null."""
     buf = LOWER[buf]
     starts, ends, bounds = words(buf, offsets, OUTSIDE)
     if not len(starts):
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
     rows = row_of(bounds, len(starts))
     places = np.concatenate(([0], np.cumsum(ends - starts)))
     spelt = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places), pa.py_buffer(buf[~OUTSIDE[buf]])).dictionary_encode()
-    spelling, n_words = spelt.dictionary.to_pylist(), len(spelt.dictionary)
+    spelling, n_words = spelt.dictionary, len(spelt.dictionary)
     units, which = pd.factorize(of_row[rows].astype(np.int64) * n_words + spelt.indices.to_numpy(zero_copy_only=False))
-    single = [spelling[x] for x in (which % n_words).tolist()]
-    grams, phrases, lang = units, single, which // n_words
+    lang, word, n_units = which // n_words, which % n_words, len(which)
     if k == 1:
         f = np.bincount(units)
         total = np.bincount(lang, weights=f, minlength=len(seeds)).astype(np.int64)
         here = np.flatnonzero(total)
-        return phrases + [None] * len(here), np.concatenate((lang, here)), np.concatenate((f, total[here]))
+        phrases = pa.concat_arrays([spelling.take(pa.array(word)), pa.nulls(len(here), pa.large_string())])
+        return phrases.cast(pa.string()), np.concatenate((lang, here)), np.concatenate((f, total[here]))
     piece = np.cumsum(BREAK[buf])[starts]
     same = (piece[1:] == piece[:-1]) & (rows[1:] == rows[:-1])
-    fine = _known(filters[0].value, phrases, lang, seeds)[grams]
+    own = np.fromiter((_hash(x) for x in spelling.to_pylist()), dtype=np.uint64, count=n_words)[word]
+    grams, spelled, hashes = units, [word], _turned(seeds[lang]) ^ own  # each place's phrase, and of each phrase its words and hash
+    fine = _known(filters[0].value, hashes)[grams]
     for size in range(2, k + 1):
         at = np.flatnonzero(fine[:-1] & fine[1:] & same)
-        made, codes = pd.factorize(grams[at] * len(single) + units[at + size - 1])
-        first, last = codes // len(single), codes % len(single)
-        phrases, lang = [f"{phrases[a]} {single[b]}" for a, b in zip(first.tolist(), last.tolist(), strict=True)], lang[first]
+        made, codes = pd.factorize(grams[at] * n_units + units[at + size - 1])
+        first, last = codes // n_units, codes % n_units
+        spelled, lang = [*(x[first] for x in spelled), word[last]], lang[first]
         if size == k:
-            return phrases, lang, np.bincount(made, minlength=len(phrases))
+            phrases = pc.binary_join_element_wise(*(spelling.take(pa.array(x)) for x in spelled), pa.scalar(" ", pa.large_string()))
+            return phrases.cast(pa.string()), lang, np.bincount(made, minlength=len(codes))
+        hashes = _turned(hashes[first]) ^ own[last]
         grams, fine = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
         grams[at] = made
-        fine[at] = _known(filters[size - 1].value, phrases, lang, seeds)[made]
+        fine[at] = _known(filters[size - 1].value, hashes)[made]
     raise AssertionError
 
 
