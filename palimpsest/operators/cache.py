@@ -8,13 +8,14 @@ newest.
 
 Hits and evictions depend on keys alone, not on what they are mapped to. So
 ``walk`` finds for a whole table which keys of which buckets are hits and whose
-results these are: different keys of each bucket come from an aggregate, one
-task takes them in the order of the buckets with the cache's keys as its only
-state, and the mapper can then run on all buckets at once. ``MemoCache`` keeps
+results these are: different keys of each bucket come from an aggregate, tasks
+follow ranges of buckets with the cache's keys as their only state, and the
+mapper can then run on all buckets at once. ``MemoCache`` keeps
 state and values in tables, a version for each bucket, for streams whose buckets
 come one after another; a stream that was stopped goes on from them.
 """
 
+import hashlib
 import json
 import uuid
 from collections import OrderedDict
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import BloomBits
 from palimpsest.functions.keys import BLOOM_CODES, BLOOM_OTHER, bloom_positions
 from palimpsest.operators import dedup
-from palimpsest.storage import remove
+from palimpsest.storage import materialize, release, remove
 
 STATE = "key string, value string, t long, row long"
 
@@ -103,64 +104,186 @@ class Recency:
         self.order.clear()
 
 
-def walk(rows: DataFrame, capacity: int, policy: str = "lru", bloom: bool | BloomBits = False, mode: str = "intended", compression: str = "none") -> DataFrame:
-    """Add to rows (bucket, key, pos, for cross file_id) ``hit``, ``_by`` and ``_asks``, as ``dedup.mark_hits`` does, for a cache that evicts."""
-    bits = bloom if isinstance(bloom, BloomBits) else None
+@dataclass(frozen=True)
+class Replay:
+    """How a bounded cache was followed: in how many ranges of buckets, in how many rounds, and how many ranges were done again."""
+
+    ranges: int = 1
+    rounds: int = 1
+    replayed: int = 0
+
+
+#: a range is warmed up by so many (bucket, key) pairs for each key that the cache holds, and is this many times as long as that
+WARM_UP, LENGTH = 8, 3
+#: more ranges than this aren't made; the driver holds two digests of each
+MOST_RANGES = 10_000
+_ENTRY, _WAIT, _BUCKET = 0, 1, 2
+MARKS = "kind string, range int, bucket long, key string, pos long, work long, flag boolean, asks boolean"
+
+
+def walk(
+    rows: DataFrame, capacity: int, policy: str = "lru", bloom: bool | BloomBits = False, mode: str = "intended", compression: str = "none", known: DataFrame | None = None,
+    warm_up: int = WARM_UP, length: int = LENGTH,
+) -> tuple[DataFrame, Replay]:
+    """Add to rows (bucket, key, pos, for cross file_id) ``hit``, ``_by`` and ``_asks``, as ``dedup.mark_hits`` does, for a cache that evicts.
+
+    Buckets are cut into ranges, which tasks follow at the same time. What an LRU cache
+    holds depends on the keys used last: a range starts from an empty cache and
+    the buckets before it, ``warm_up`` pairs of bucket and key for each key of the
+    capacity. Where its first state isn't the last one of the range before, it is
+    followed again from that one, until all states meet; results are exact in any
+    case. At worst each round puts one range right and the ranges come one after
+    another. An MRU cache keeps its oldest keys for ever, so no later bucket tells
+    what it holds: it is one range, one task with the cache's keys as its state.
+
+    Whose result a hit has doesn't influence what is held, so it is looked up
+    afterwards: it is the key's last insertion before the bucket.
+    """
     rows = dedup.firsts(rows, compression, mode)
     keyed = rows
-    if bloom and not bits:
-        known = rows.groupBy("key").agg(F.min("pos").alias("_p1"), F.min("bucket").alias("_seen")).withColumnRenamed("key", "_key")
-        keyed = rows.join(known, F.col("key").eqNullSafe(F.col("_key")))
-        new, seen = (F.min("pos") == 1, F.lit(1)) if mode == "wired" else (F.min("pos") == F.min("_p1"), F.min("_seen"))
+    if bloom:
+        known = dedup.admissions(rows, compression, bloom, mode) if known is None else known
+        keyed = rows.join(known.select("_key", "_seen", "_out"), F.col("key").eqNullSafe(F.col("_key")))
+        new, seen = F.coalesce(F.min("pos") == F.min("_out"), F.lit(False)), F.min("_seen")
     else:
-        new, seen = F.lit(False), F.lit(0)
+        new, seen = F.lit(False), F.lit(-dedup.LAG)
     # the first two rows of a key in a bucket are all that its write depends on; a bucket's rows are a bounded group
     two = F.slice(F.sort_array(F.collect_list(F.struct("pos", "_work"))), 1, 2)
     each = keyed.groupBy("bucket", "key").agg(two.alias("two"), F.max("pos").alias("last"), new.alias("new"), seen.cast("long").alias("seen"))
-    each = each.select("bucket", "key", F.transform("two", lambda x: x["pos"]).alias("pos"), F.transform("two", lambda x: x["_work"]).alias("work"), "last", "new", "seen")
-    names = ["_bucket", "_key", "hit", "_by", "_asks"]
+    each = each.select(F.col("bucket").cast("long").alias("bucket"), F.col("key").cast("string").alias("key"), F.col("two.pos").alias("pos"), F.col("two._work").alias("work"), "last", "new", "seen")
+    each = materialize(each, "pairs")
+    n, last = each.agg(F.count("*"), F.max("bucket")).first()
+    if not n:
+        release(each)
+        return rows.select("*", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("_by"), F.lit(True).alias("_asks")), Replay()
+    warm = -(-warm_up * capacity * last // n)
+    per_range = last if policy == "mru" else max(length * warm, -(-last // MOST_RANGES))
+    ranges = -(-last // per_range)
+
+    own = F.floor((F.col("bucket") - 1) / per_range).cast("int")
+    warms = (F.pmod(F.col("bucket") - 1, F.lit(per_range)) >= per_range - warm) & (own < ranges - 1)
+    dealt = each.withColumn("range", F.explode(F.when(warms, F.array(own, own + 1)).otherwise(F.array(own))))
+    done: list[tuple[DataFrame, list[int]]] = []
+    first, end, rounds, todo = {}, {}, 0, list(range(ranges))
+    while todo:
+        if rounds:  # from the states that the ranges before them have ended with
+            dealt = each.withColumn("range", own).where(F.col("range").isin(todo)).select("range", *each.columns)
+            dealt = dealt.withColumn("part", F.lit(_BUCKET))
+            for table, has in done:
+                states = table.where(F.col("kind").isin("entry", "wait") & F.col("range").isin([r - 1 for r in todo if r - 1 in has]))
+                dealt = dealt.unionByName(states.select(
+                    (F.col("range") + 1).alias("range"), F.lit(-1).cast("long").alias("bucket"), "key", F.array("pos").alias("pos"), F.array("work").alias("work"), F.col("pos").alias("last"),
+                    F.col("flag").alias("new"), F.lit(0).cast("long").alias("seen"), F.when(F.col("kind") == "entry", _ENTRY).otherwise(_WAIT).alias("part"),
+                ))
+        else:
+            dealt = dealt.withColumn("part", F.lit(_BUCKET))
+        follow = _follow(capacity, policy, bool(bloom), per_range, ranges)
+        ordered = dealt.select("range", "part", "bucket", "key", "pos", "work", "last", "new", "seen").repartitionById(ranges, "range").sortWithinPartitions("range", "part", "bucket", "last")
+        table = materialize(ordered.mapInArrow(follow, MARKS), "ranges", ["kind"])
+        done = [(t, [r for r in has if r not in set(todo)]) for t, has in done] + [(table, todo)]
+        for r in table.where("kind in ('first', 'end')").select("kind", "range", "key").collect():
+            (first if r.kind == "first" else end)[r.range] = r.key
+        rounds += 1
+        again = [r for r in range(1, ranges) if first[r] != end[r - 1]]
+        replay = Replay(ranges, rounds, sum(len(has) for _, has in done[1:])) if not again else None
+        todo = again
+
+    marks = None
+    for table, has in done:
+        mine = table.where(F.col("kind").isin("mark", "stored") & F.col("range").isin(has)) if len(has) < ranges else table.where(F.col("kind").isin("mark", "stored"))
+        marks = mine if marks is None else marks.unionByName(mine)
+    # a stored row is kept under its bucket; no hit of the key is in that one or the next
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    asked = marks.where(F.col("flag") | (F.col("kind") == "stored"))
+    by = asked.withColumn("_by", F.last("work", ignorenulls=True).over(before)).where("kind = 'mark'")
+    by = by.select(F.col("bucket").alias("_bucket"), F.col("key").alias("_key"), "_by")
+    flags = marks.where("kind = 'mark'").select(F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.col("flag").alias("hit"), F.col("asks").alias("_asks"))
+    flags = flags.join(by, (F.col("_b") == F.col("_bucket")) & F.col("_k").eqNullSafe(F.col("_key")), "left").select("_b", "_k", "hit", "_asks", "_by")
+    return rows.join(flags, (F.col("bucket") == F.col("_b")) & F.col("key").eqNullSafe(F.col("_k"))).drop("_b", "_k"), replay
+
+
+def _follow(capacity: int, policy: str, bloom: bool, per_range: int, ranges: int):
+    """Follows ranges of buckets one after another: their marks, what is stored when, and the digests of their first and last states with the last one itself."""
+
+    def state_of(cache: Recency, waiting: list[tuple]) -> str:
+        digest = hashlib.blake2b(digest_size=16)
+        for key in cache.order:
+            digest.update(f"{key!r};".encode())
+        digest.update(repr(sorted(waiting, key=lambda x: x[0])).encode())
+        return digest.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, bloomed = Recency(capacity, policy), BloomFilter(bits) if bits else None
-        waiting: list[tuple] = []  # (pos, key, work, kept out) of the bucket before that missed
+        out: list[tuple] = []  # as MARKS
+        now, cache, waiting, started = None, Recency(capacity, policy), [], False
         bucket, own = None, []
 
-        def closed() -> pa.RecordBatch:
-            nonlocal waiting
-            made, missed, touched = [], [], []
-            for _, key, pos, work, last, new, seen in own:
-                asks = bloomed.possibly(key or "") if bloomed else not bloom or bucket >= seen + dedup.LAG
+        def close() -> None:
+            """Probe a bucket, touch its hits, write the bucket before, trim."""
+            nonlocal waiting, own
+            counts, missed, touched = (bucket - 1) // per_range == now, [], []
+            for key, pos, work, last, new, seen in own:
+                asks = not bloom or bucket >= seen + dedup.LAG
                 hit = asks and cache.find(key)
                 if hit:
                     touched.append((last, key))
                 else:
                     missed += [(p, key, w, new and k == 0) for k, (p, w) in enumerate(zip(pos, work, strict=True))]
-                made.append([bucket, key, hit, cache.order[key] if hit else None, asks])
+                if counts:
+                    out.append(("mark", now, bucket, key, None, None, hit, asks))
             for _, key in sorted(touched, key=lambda x: x[0]):
                 cache.at(key)
-            for _, key, w, out in sorted(waiting, key=lambda x: x[0]):
-                if bloomed and not bloomed.possibly(key or ""):
-                    bloomed.add(key or "")
-                elif not out:
-                    cache.insert_no_evict(key, w)
+            for p, key, w, kept_out in sorted(waiting, key=lambda x: x[0]):
+                if not kept_out and not cache.find(key):
+                    cache.insert_no_evict(key, p)
+                    if counts:
+                        out.append(("stored", now, bucket - 1, key, p, w, None, None))
             cache.trim()
-            waiting = missed
-            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+            waiting, own = missed, []
+
+        def finish() -> None:
+            if own:
+                close()
+            out.append(("end", now, None, state_of(cache, waiting), None, None, None, None))
+            if now < ranges - 1:
+                out.extend(("entry", now, None, key, k, None, None, None) for k, key in enumerate(cache.order))
+                out.extend(("wait", now, None, key, p, w, kept_out, None) for p, key, w, kept_out in waiting)
+
+        def made() -> Iterator[pa.RecordBatch]:
+            nonlocal out
+            for k in range(0, len(out), 100_000):
+                part = out[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _MARKS, strict=True)], schema=_MARKS)
+            out = []
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != bucket:
-                    if own:
-                        yield closed()
-                    bucket, own = row[0], []
-                own.append(row)
-        if own:
-            yield closed()
-
-    marks = each.withColumn("bucket", F.col("bucket").cast("long")).withColumn("key", F.col("key").cast("string"))
-    marks = marks.repartition(1).sortWithinPartitions("bucket").mapInArrow(run, "_bucket long, _key string, hit boolean, _by long, _asks boolean")
-    return rows.join(marks, (F.col("bucket") == F.col("_bucket")) & F.col("key").eqNullSafe(F.col("_key"))).drop("_bucket", "_key")
+            for r, part, b, key, pos, work, last, new, seen in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != now:
+                    if now is not None:
+                        finish()
+                    now, cache, waiting, started, bucket, own = r, Recency(capacity, policy), [], False, None, []
+                if part == _ENTRY:
+                    cache.order[key] = pos[0]
+                elif part == _WAIT:
+                    waiting.append((pos[0], key, work[0], new))
+                else:
+                    if b != bucket:
+                        if own:
+                            close()
+                        if not started and (b - 1) // per_range == now:
+                            started = True
+                            out.append(("first", now, None, state_of(cache, waiting), None, None, None, None))
+                        bucket = b
+                    own.append((key, pos, work, last, new, seen))
+            if len(out) >= 100_000:
+                yield from made()
+        if now is not None:
+            finish()
+        yield from made()
+
+    return run
+
+
+_MARKS = pa.schema([("kind", pa.string()), ("range", pa.int32()), ("bucket", pa.int64()), ("key", pa.string()), ("pos", pa.int64()), ("work", pa.int64()), ("flag", pa.bool_()), ("asks", pa.bool_())])
 
 
 @dataclass

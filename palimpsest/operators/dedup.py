@@ -12,33 +12,76 @@ ways end in the same columns.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.config import BloomBits
+from palimpsest.functions import keys
+from palimpsest.storage import materialize
+
 LAG = 2
+#: bits of a filter whose table of bits, a row of 24 bytes each, may be broadcast
+SMALL_FILTER = 1 << 18
+
+
+def _two_rows(rows: DataFrame) -> DataFrame:
+    """One row for each key: key and of its first two rows _p1, _b1, _f1 and _p2, _b2, _f2 (pos, bucket, file)."""
+    file = "file_id" if "file_id" in rows.columns else "pos"
+    # a limit by rank is taken before the shuffle too: two rows of a key leave each task
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
+    two = rows.select("key", "pos", "bucket", F.col(file).alias("_file")).withColumn("_nth", nth).where("_nth <= 2")
+    of = lambda k, c: F.max(F.when(F.col("_nth") == k, F.col(c))).alias(f"_{c.strip('_')[0]}{k}")
+    return two.groupBy("key").agg(*(of(k, c) for k in (1, 2) for c in ("pos", "bucket", "_file")))
+
+
+def first_set(keyed: DataFrame, size: BloomBits) -> DataFrame:
+    """When a filter of ``size`` knows each key: ``keyed`` (key, _p1, _b1: the first row of a key) with _known and _seen, the pos and bucket at which the last of its bits is set.
+
+    A key's first row is written whatever the cache holds, and after any write of a
+    key all its bits are set. So a bit is set first by the earliest first row among
+    the keys that have it, evictions or not, and no row has to be replayed. A key
+    whose bits all come from others is known too early: a false positive.
+    """
+    places = keys.bloom_positions(size.bits, size.functions, size.length, size.seed)
+    bits = F.array_distinct(F.array(*(keys.bloom_hash(F.coalesce("key", F.lit("")), own, size.bits) for own in places)))
+    each = keyed.select("_p1", "_b1", F.explode(bits).alias("_bit"))
+    first = each.groupBy("_bit").agg(F.min(F.struct("_p1", "_b1")).alias("_set"))  # a row for each bit at most
+    if size.bits <= SMALL_FILTER:
+        first = F.broadcast(first)
+    known = each.join(first, "_bit").groupBy("_p1").agg(F.max("_set").alias("_set"))
+    return keyed.join(known.select("_p1", F.col("_set._p1").alias("_known"), F.col("_set._b1").alias("_seen")), "_p1")
 
 
-def admissions(rows: DataFrame, compression: str = "none", bloom: bool = False, mode: str = "intended") -> DataFrame:
-    """One row for each key: _key, _seen (its first bucket), _from (the bucket whose write stores it) and _by (the pos whose result that is).
+def admissions(rows: DataFrame, compression: str = "none", bloom: bool | BloomBits = False, mode: str = "intended") -> DataFrame:
+    """One row for each key: _key, _seen (the bucket from whose writes on the filter knows it), _from (the bucket whose write stores it), _by (the pos whose result that is) and _out (the pos of a row that the filter keeps out).
 
-    ``bloom``: a key is stored at its second row; wired, the filter swallows the very first row only.
+    ``bloom``: a key is stored at its second row; wired, the filter swallows the very first row only. A filter
+    of a size stores a key at its first row if it takes it for a known one.
     """
+    none = F.lit(None).cast("long")
     if not bloom:
-        out = rows.groupBy("key").agg(F.min("bucket").alias("_seen"), F.min("pos").alias("_by")).withColumn("_from", F.col("_seen"))
-    elif mode == "wired":
+        out = rows.groupBy("key").agg(F.min("bucket").alias("_seen"), F.min("pos").alias("_by")).withColumn("_from", F.col("_seen")).withColumn("_out", none)
+    elif mode == "wired" and bloom is True:
         stored = lambda c: F.min(F.when(F.col("pos") > 1, F.col(c)))
-        out = rows.groupBy("key").agg(F.min("bucket").alias("_seen"), stored("pos").alias("_by"), stored("bucket").alias("_from"))
+        out = rows.groupBy("key").agg(stored("pos").alias("_by"), stored("bucket").alias("_from"), F.min(F.when(F.col("pos") == 1, F.col("pos"))).alias("_out"))
+        out = out.withColumn("_seen", F.lit(1).cast("long"))  # the filter's only bit is set by the first write of all
     else:
-        file = "file_id" if "file_id" in rows.columns else "pos"
-        # a limit by rank is taken before the shuffle too: two rows of a key leave each task
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-        two = rows.select("key", "pos", "bucket", F.col(file).alias("_file")).withColumn("_nth", nth).where("_nth <= 2")
-        of = lambda k, c: F.max(F.when(F.col("_nth") == k, F.col(c)))
-        out = two.groupBy("key").agg(F.min("bucket").alias("_seen"), of(2, "bucket").alias("_from"), of(1, "pos").alias("_p1"), of(2, "pos").alias("_p2"), of(1, "_file").alias("_f1"), of(2, "_file").alias("_f2"))
-        same = F.col("_from") == F.col("_seen")  # a duplicate in its own bucket has the first row's result
+        out = _two_rows(rows)
+        if bloom is True:
+            out = out.withColumns({"_seen": F.col("_b1"), "_known": F.col("_p1")})
+        else:
+            out = first_set(materialize(out, "keys"), bloom)
+        swallowed = F.col("_known") == F.col("_p1")
+        same = F.col("_b2") == F.col("_b1")  # a duplicate in its own bucket has the first row's result
+        if mode == "wired":
+            compression = "none"
         repeated = {"none": F.lit(False), "full": same, "cross": same & (F.col("_f1") != F.col("_f2"))}[compression]
-        out = out.withColumn("_by", F.when(repeated, F.col("_p1")).otherwise(F.col("_p2")))
-    return out.select(F.col("key").alias("_key"), "_seen", "_from", "_by")
+        out = out.withColumns({
+            "_from": F.when(swallowed, F.col("_b2")).otherwise(F.col("_b1")),
+            "_by": F.when(~swallowed | repeated, F.col("_p1")).otherwise(F.col("_p2")),
+            "_out": F.when(swallowed, F.col("_p1")),
+        })
+    return out.select(F.col("key").alias("_key"), "_seen", "_from", "_by", "_out")
 
 
-def mark_hits(rows: DataFrame, policy: str = "lru", bloom: bool = False, mode: str = "intended", compression: str = "none", known: DataFrame | None = None) -> DataFrame:
+def mark_hits(rows: DataFrame, policy: str = "lru", bloom: bool | BloomBits = False, mode: str = "intended", compression: str = "none", known: DataFrame | None = None) -> DataFrame:
     """Add ``hit``, ``_by`` (the pos that a hit's result comes from) and ``_asks`` (whether a miss would be counted).
 
     Valid while the different keys fit the cache: nothing is evicted. ``known``: ``admissions``, where they are made already.
@@ -47,9 +90,8 @@ def mark_hits(rows: DataFrame, policy: str = "lru", bloom: bool = False, mode: s
         return rows.withColumn("hit", F.lit(False)).withColumn("_by", F.lit(None).cast("long")).withColumn("_asks", F.lit(False))
     known = admissions(rows, compression, bloom, mode) if known is None else known
     joined = rows.join(known, F.col("key").eqNullSafe(F.col("_key")), "left")
-    # the filter knows a key from its first write on; wired, its only bit is set by the first write of all
-    asks = F.col("bucket") >= (F.lit(1) if mode == "wired" else F.col("_seen")) + LAG if bloom else F.lit(True)
-    return joined.withColumn("hit", F.coalesce(F.col("bucket") >= F.col("_from") + LAG, F.lit(False))).withColumn("_asks", asks).drop("_key", "_seen", "_from")
+    asks = F.col("bucket") >= F.col("_seen") + LAG if bloom else F.lit(True)
+    return joined.withColumn("hit", F.coalesce(F.col("bucket") >= F.col("_from") + LAG, F.lit(False))).withColumn("_asks", asks).drop("_key", "_seen", "_from", "_out")
 
 
 def firsts(rows: DataFrame, compression: str, mode: str = "intended") -> DataFrame:

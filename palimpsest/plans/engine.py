@@ -48,19 +48,23 @@ def prepare(reads: DataFrame, config: EngineConfig) -> DataFrame:
 
 
 def route(prepared: DataFrame, config: EngineConfig) -> DataFrame:
-    """Add hit, route, rep, src and asked, as ``dedup.mark_routes`` says, for a cache of ``config.cache_capacity`` keys."""
+    """Add hit, route, rep, src and asked, as ``dedup.mark_routes`` says, for a cache of ``config.cache_capacity`` keys.
+
+    ``replay`` of the result says how a cache that evicts was followed.
+    """
+    bloom, replay = config.bloom_bits or config.bloom, None
     if config.cache_policy == "none":
-        return dedup.mark_routes(dedup.mark_hits(prepared, "none"), config.compression, config.mode)
-    prepared = materialize(prepared, "prepared")
-    if config.bloom_bits:
-        marked = cache.walk(prepared, config.cache_capacity, config.cache_policy, config.bloom_bits, config.mode, config.compression)
+        marked = dedup.mark_hits(prepared, "none")
     else:
-        known = materialize(dedup.admissions(prepared, config.compression, config.bloom, config.mode), "keys")
+        prepared = materialize(prepared, "prepared")
+        known = materialize(dedup.admissions(prepared, config.compression, bloom, config.mode), "keys")
         if known.where("_from is not null").count() <= config.cache_capacity:
-            marked = dedup.mark_hits(prepared, config.cache_policy, config.bloom, config.mode, config.compression, known)
+            marked = dedup.mark_hits(prepared, config.cache_policy, bloom, config.mode, config.compression, known)
         else:  # keys will be evicted
-            marked = cache.walk(prepared, config.cache_capacity, config.cache_policy, config.bloom, config.mode, config.compression)
-    return dedup.mark_routes(marked, config.compression, config.mode)
+            marked, replay = cache.walk(prepared, config.cache_capacity, config.cache_policy, bloom, config.mode, config.compression, known)
+    routed = dedup.mark_routes(marked, config.compression, config.mode)
+    routed.replay = replay
+    return routed
 
 
 def run(reads: DataFrame, config: EngineConfig, function: Callable[[list[str]], list[str]] | None = None) -> Run:

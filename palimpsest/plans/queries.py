@@ -354,12 +354,42 @@ select cast(bucket as bigint) as bucket, count(*) as n_rows, count(*) filter (wh
 count(*) filter (where hit) as hits, count(*) filter (where not hit and first) as misses from f group by bucket""",
     )
 PLACES = keys.bloom_positions(1 << 16, 2, 32)
+#: small enough that it takes unknown keys for known ones
+SIZED = conf.BloomBits(bits=1 << 9, functions=2, length=32)
+
+
+def _sized(s: SparkSession, d: str) -> DataFrame:
+    c = EngineConfig(bucket_size=EVENT_B, hasher="double", compression="cross", cache_policy="lru", bloom=True, bloom_bits=SIZED)
+    return engine.route(engine.prepare(event_reads(s, d), c), c)
+
+
 _code_sql = "(case substr(sequence, {}, 1) when 'A' then 0 when 'C' then 1 when 'G' then 2 when 'T' then 3 when 'N' then 4 else 7 end) * cast({} as bigint)"
 register(
     "bloom_hash",
     lambda s, d: reads(s, d).select("arrival", *(keys.bloom_hash(F.col("sequence"), p, 1 << 16).alias(f"bit{k}") for k, p in enumerate(PLACES))),
     f"with {READS_SQL} select arrival, " + ", ".join("(" + " + ".join(_code_sql.format(x + 1, 8**i) for i, x in enumerate(p)) + f") % {1 << 16} as bit{k}" for k, p in enumerate(PLACES)) + " from reads",
 )
+_sized_bits = ", ".join("(" + " + ".join(_code_sql.format(x + 1, 8**i) for i, x in enumerate(p)) + f") % {SIZED.bits}" for p in keys.bloom_positions(SIZED.bits, SIZED.functions, SIZED.length, SIZED.seed))
+_sized_sql = f"""with {buckets_sql(EVENTS_SQL, 'double', EVENT_B)},
+nth as (select *, row_number() over (partition by key order by pos) as nth from bucketed),
+bit as (select key, pos, bucket, unnest([{_sized_bits}]) as bit from nth where nth = 1),
+first as (select bit, min(pos) as pos, min(bucket) as bucket from bit group by bit),
+known as (select b.key, any_value(b.pos) as p1, max(f.pos) as known, max(f.bucket) as seen from bit b join first f using (bit) group by b.key),
+h as (select n.*, k.p1, k.known, k.seen, min(case when n.nth = case when k.known = k.p1 then 2 else 1 end then n.bucket end) over (partition by n.key) as stored from nth n join known k using (key)),
+hits as (select *, coalesce(bucket >= stored + 2, false) as hit from h), {ROUTE_SQL['cross']}"""
+register(
+    "bloom_sized",
+    lambda s, d: _sized(s, d).select("arrival", "bucket", "route", F.coalesce("rep", F.lit(0)).alias("rep"), "asked"),
+    f"""{_sized_sql} select arrival, cast(bucket as bigint) as bucket, route, cast(coalesce(rep, 0) as bigint) as rep,
+not hit and bucket >= seen + 2 and pos = min(pos) over (partition by bucket, key) as asked from routed""",
+)
+register(
+    "bloom_sized_errors",
+    lambda s, d: (k := dedup.admissions(engine.prepare(event_reads(s, d), EngineConfig(bucket_size=EVENT_B, hasher="double")), "none", SIZED)).agg(
+        F.count("*").alias("n_keys"), F.count_if(F.col("_out").isNull()).alias("n_taken_for_known"), F.sum("_seen").alias("seen_from")
+    ),
+    f"{_sized_sql} select count(*) as n_keys, count(*) filter (where known < p1) as n_taken_for_known, cast(sum(seen) as bigint) as seen_from from known",
+)
 register(
     "hit_rate_wired",
     lambda s, d: metrics.summary(dedup.counters(_wired(s, d)), 2.0, "wired").select("hits", "misses", "hit_rate", "avg_throughput"),

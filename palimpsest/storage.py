@@ -21,14 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, with a folder for each value of ``by``, and read it back.
 
     It cuts the lineage without tying the rows to the executors that made them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/palimpsest-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

@@ -11,7 +11,7 @@ from palimpsest import logs
 from palimpsest.config import BloomBits, ConfigError, EngineConfig, get_bool, get_float, get_int, read_options
 from palimpsest.functions import keys
 from palimpsest.operators import bucketing, dedup, mapper
-from palimpsest.operators.cache import BloomFilter, MemoCache, Recency, trim
+from palimpsest.operators.cache import BloomFilter, MemoCache, Recency, trim, walk
 from palimpsest.plans import engine, metrics, queries, runner
 from palimpsest.sources import fastq, sinks
 from palimpsest.storage import materialize, numbered, release
@@ -258,6 +258,49 @@ def test_filter_of_a_size(spark):
     assert not any(seen.possibly(k) for k in s[:5])
 
 
+@pytest.mark.parametrize("warm_up,length", [(1, 1), (2, 1), (8, 3), (8, 10**6)])
+def test_ranges_of_buckets_meet(spark, warm_up, length):
+    """Ranges that start from too little are followed again until all is as one task would have it."""
+    r = random.Random(5)
+    drawn = [f"k{min(r.randrange(1, 90), r.randrange(1, 90)) + i // 40}" for i in range(2400)]
+    df = spark.createDataFrame([(i // 12 + 1, k, i + 1) for i, k in enumerate(drawn)], "bucket long, key string, pos long")
+    marked, replay = walk(df, 30, "lru", warm_up=warm_up, length=length)
+    hits, _ = simulate_cache([drawn[i : i + 12] for i in range(0, 2400, 12)], 30, "lru", False)
+    rows = marked.orderBy("pos").collect()
+    assert [x.hit for x in rows] == [h for own in hits for h in own]
+    assert all(drawn[x._by - 1] == x.key and rows[x._by - 1].bucket <= x.bucket - 2 and not rows[x._by - 1].hit for x in rows if x.hit)
+    assert (replay.replayed > 0) == (replay.rounds > 1) and replay.rounds < max(2, replay.ranges)
+    if length > 1:
+        assert replay.rounds <= 2 and (replay.ranges > 1) == (length == 3)
+
+
+def test_walk_of_no_rows(spark):
+    marked, replay = walk(spark.createDataFrame([], "bucket long, key string, pos long"), 30)
+    assert marked.collect() == [] and replay.ranges == 1 and {"hit", "_by", "_asks"} <= set(marked.columns)
+
+
+@pytest.mark.parametrize("compression", ["none", "full", "cross"])
+def test_filter_of_a_size_without_evictions(spark, monkeypatch, compression):
+    """No bucket is followed; keys that the filter takes for known ones are stored at once."""
+    monkeypatch.setattr(engine.cache, "walk", None)
+    s = sequences(300, 60, 12)
+    df = reads(spark, s)
+    for bits in (BloomBits(bits=64, functions=2, length=6), BloomBits(bits=1 << 20, functions=3, length=6)):
+        config = EngineConfig(bucket_size=10, hasher="single", compression=compression, cache_policy="lru", bloom=True, bloom_bits=bits)
+        routed = engine.route(engine.prepare(df, config), config).orderBy("pos").collect()
+        by = {}
+        for r in routed:
+            by.setdefault(r.bucket, []).append(r)
+        hits, sim = simulate_cache([[r.key for r in by[b]] for b in sorted(by)], 10**6, "lru", BloomFilter(bits))
+        assert [[r.hit for r in by[b]] for b in sorted(by)] == hits
+        if compression == "none":
+            assert sum(r.asked for r in routed) == sim.misses
+        rows = {r.pos: r for r in routed}
+        assert all(rows[r.src].key == r.key and rows[r.src].route == "unique" for r in routed)
+        known = dedup.admissions(engine.prepare(df, config), compression, bits)
+        assert (known.where("_out is null").count() > 0) == (bits.bits == 64)
+
+
 def test_recency():
     for policy, stays in (("lru", ["c", "d"]), ("mru", ["a", "b"])):
         cache = Recency(3, policy)
