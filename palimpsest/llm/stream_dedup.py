@@ -29,6 +29,7 @@ SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # no megabytes of disk laid by for each small store
 }
 #: a group with more than this share of all rows is hot; there are fewer such groups than its inverse
 HOT_SHARE = 10_000
