@@ -26,12 +26,14 @@ and ``seed`` only, so reruns agree.
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -175,7 +177,7 @@ def _mix(sized: DataFrame, rows: DataFrame, p: MixParams) -> DataFrame:
         df = df.alias("d").join(small(plan, shards * len(stats)).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", *(f"p.{c}" for c in plan.columns if c != "source"))
         return df.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", "source", F.lit(p.seed)), F.col("n_blocks")))
 
-    own = planned(rows)
+    own = planned(rows.withColumn("_n", F.monotonically_increasing_id()))
     keys = ["source", "block"]
     blocks = planned(sized).groupBy(*keys).agg(F.sum("size").alias("block_size"), F.first("rest").alias("rest"), F.first("whole").alias("whole"), F.first("ends").alias("ends"), F.first("heads").alias("heads"))
     order = Window.partitionBy("source").orderBy(F.xxhash64("block", F.lit(p.seed + 1)), "block")  # a row for about ``words_per_block`` words
@@ -199,9 +201,17 @@ def _mix(sized: DataFrame, rows: DataFrame, p: MixParams) -> DataFrame:
     joined = own.join(small(blocks, sum(n_blocks)), F.col("source").eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
     at = F.xxhash64("doc_id", "h", F.lit(p.seed + 2))
     cut = (F.col("rest_words") > 0) & (F.col("rest_words") < F.col("block_size"))
-    # only the block in which a source's target lies needs its documents in order: one of a source's blocks
-    inside = Window.partitionBy("source", "block").orderBy(at, "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = joined.where(cut).withColumn("extra", F.greatest(F.least(F.col("rest_words") - (F.sum("size").over(inside) - F.col("size")), F.col("size")), F.lit(0)))
+    # only the block in which a source's target lies needs its documents in order: one of a source's blocks. Equal rows count
+    # as one document in that order and are numbered by tasks that share them
+    same = ["source", "block", "doc_id", "h", "size"]
+    inside = Window.partitionBy("source", "block").orderBy(at, "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    edge = joined.where(cut)
+    ahead = edge.groupBy(*same).agg(F.count("*").alias("copies")).withColumn("ahead", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    ahead = ahead.select(*(F.col(c).alias(f"_a_{c}") for c in same), "ahead")
+    edge = numbered(edge, same, ["_n"], "nth")
+    edge = edge.join(ahead, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in same)))
+    left = F.col("rest_words") - F.col("ahead") - (F.col("nth") - 1) * F.col("size")
+    edge = edge.select(*joined.columns, F.greatest(F.least(left, F.col("size")), F.lit(0)).cast("long").alias("extra"))
     plain = joined.where(~cut).withColumn("extra", F.when(F.col("rest_words") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
     position = lambda c: F.xxhash64("doc_id", "h", c, F.lit(p.seed + 3))
     draw = lambda c, words, shard: F.struct(c.cast("int").alias("copy"), words.alias("words"), shard.cast("int").alias("shard"), position(c.cast("int")).alias("position"))

@@ -2,7 +2,8 @@
 
 Base matchers find mail addresses, IP addresses, payment cards and phone
 numbers with their places. These are the seeds; for a fifth kind, secrets, the
-seeds are long tokens of letters and digits after a label word. A match's
+seeds are long tokens of small letters and digits that something is set to
+(``... =``); what it is that is set isn't listed but learned. A match's
 lexical patterns are the word before it, the two words before it and the word
 after it; a label such as ``key=`` counts as a word. Tokens that hold a digit
 or an @ and lie in no base match are candidates with patterns of the same form.
@@ -11,7 +12,8 @@ trusted for a kind as far as its instances are known to be of that kind, an
 instance as far as trusted patterns hold it. Trust is the lower end of Wilson's
 interval, so that a few instances of one kind by chance make no pattern. After
 ``rounds`` of this, trusted patterns add their candidates: identifiers that no
-base matcher knows, and secrets, which no base matcher looks for. A hot word or
+base matcher and no seed's form knows, and secrets, which no base matcher looks for. A seed
+of the fifth kind is added as well only if a trusted pattern holds it. A hot word or
 token is only ever a key of sums taken before the shuffle.
 
 Time is linear in a text's length, even if it is one long run of characters or
@@ -50,9 +52,9 @@ _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 # a candidate's label and opening marks, and its closing marks
 _HEAD = r"^(?:[\p{L}_-]++[=:])?[^\p{L}\p{N}+]*+"
 _TAIL = r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$"
-# fixed words: labels after which a long token of letters and digits is taken for a secret
-_LABEL = r"(?<!\p{L})(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|bearer|credentials?)(?!\p{L})"
-_SECRET = r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9_+/=.-]{16,}$"
+# the form of a secret's seed, and the pattern that it has if something is set to it
+_SECRET = r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9_+/.-]{24,}$"
+_SET = r"^< .*=$"
 
 
 @dataclass(frozen=True)
@@ -149,8 +151,7 @@ def _candidate(p: PiiParams):
             at, token = start + F.length(x["head"]), F.lower(x["body"])
             end = at + F.length(x["body"])
             patterns = _patterns(F.concat(F.right(before, F.lit(_NEAR)), x["head"]), after)
-            labelled = F.exists(patterns, lambda t: t.rlike(rf"^< .*{_LABEL}"))
-            kind = F.when(token.rlike(_SECRET) & labelled, SECRET)
+            kind = F.when(x["body"].rlike(_SECRET) & F.exists(patterns, lambda t: t.rlike(_SET)), SECRET)
             return F.when((F.length(x["body"]) >= p.least_chars) & token.rlike("[0-9@]"), F.array(_found(at, kind, end, patterns, token))).otherwise(F.array().cast(_FOUND))
 
         return let(F.struct(head.alias("head"), body.alias("body")), one)
@@ -218,7 +219,7 @@ def _text_of(docs: DataFrame) -> Column:
 
 
 def _spans(docs: DataFrame, p: PiiParams) -> DataFrame:
-    """doc_id, h and g (two hashes of the text), base and spans of each row."""
+    """doc_id, h and g (two hashes of the text), base, spans and unseen (how many of the added spans have no form of a seed) of each row."""
     found = _base(docs.select(docs["doc_id"].cast("long").alias("doc_id"), _text_of(docs).alias("_text")), p)
     found = materialize(found.select("doc_id", F.xxhash64("_text").alias("h"), F.hash("_text").alias("g"), "base", "tokens"), "pii-found")
     every = found.where((F.size("tokens") > 0) | (F.size("base") > 0)).select("doc_id", "h", "g", "base", "tokens")
@@ -227,13 +228,16 @@ def _spans(docs: DataFrame, p: PiiParams) -> DataFrame:
     base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end")))
     found = found.select("doc_id", "h", "g", base.alias("base"))
     if patterns.isEmpty():
-        return found.withColumn("spans", F.col("base"))
-    new = every.where(F.size("tokens") > 0).select("doc_id", "h", "g", F.explode("tokens").alias("x")).select("doc_id", "h", "g", "x.start", "x.end", F.explode("x.patterns").alias("pattern"))
-    added = new.join(patterns, "pattern").groupBy("doc_id", "h", "g", "start", "end").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("best"))
-    added = added.select("doc_id", "h", "g", F.struct(F.col("start"), (-F.col("best.k")).cast("int").alias("kind"), F.col("end")).alias("span"))
-    added = added.groupBy("doc_id", "h", "g").agg(F.collect_set("span").alias("added")).select(F.col("doc_id").alias("a_id"), F.col("h").alias("a_h"), F.col("g").alias("a_g"), "added")
+        return found.withColumn("spans", F.col("base")).withColumn("unseen", F.lit(0).cast("long"))
+    new = every.where(F.size("tokens") > 0).select("doc_id", "h", "g", F.explode("tokens").alias("x"))
+    new = new.select("doc_id", "h", "g", "x.start", "x.end", F.col("x.kind").isNull().alias("plain"), F.explode("x.patterns").alias("pattern"))
+    added = new.join(patterns, "pattern").groupBy("doc_id", "h", "g", "start", "end").agg(F.max(F.struct("trust", (-F.col("kind")).alias("k"))).alias("best"), F.min("plain").alias("plain"))
+    added = added.select("doc_id", "h", "g", F.struct(F.col("start"), (-F.col("best.k")).cast("int").alias("kind"), F.col("end")).alias("span"), "plain")
+    added = added.groupBy("doc_id", "h", "g").agg(F.collect_set("span").alias("added"), F.count_if("plain").alias("unseen"))
+    added = added.select(F.col("doc_id").alias("a_id"), F.col("h").alias("a_h"), F.col("g").alias("a_g"), "added", "unseen")
     joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h")) & (F.col("g") == F.col("a_g")), "left")
-    return joined.select("doc_id", "h", "g", "base", F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPAN)))).alias("spans"))
+    spans = F.sort_array(F.concat("base", F.coalesce("added", F.array().cast(_SPAN))))
+    return joined.select("doc_id", "h", "g", "base", spans.alias("spans"), F.coalesce("unseen", F.lit(0)).cast("long").alias("unseen"))
 
 
 def _written(spans: Column) -> Column:
@@ -242,11 +246,11 @@ def _written(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
-    """One row per document: counts of the base kinds, the digest of the base spans, and all spans, written kind:start:end."""
+    """One row per document: counts of the base kinds, the digest of the base spans, all spans, written kind:start:end, and how many were added, also without a seed's form."""
     out = _spans(docs, p)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
-    return out.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return out.select("doc_id", *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.col("unseen").alias("n_unseen"))
 
 
 def _replaced(text: Column, spans: Column) -> Column:

@@ -289,6 +289,25 @@ def test_mixing_by_size(spark, texts):
         mixing.mix(df, dataclasses.replace(p, most_quotas=20))
 
 
+def test_mixing_of_very_many_equal_rows(spark):
+    """Equal rows share a block, but no task has to hold them to say which of them the mix still takes."""
+    rows = [(7, "a b c", "s0")] * 3000 + [(i, "d e", "s0") for i in range(20)] + [(i, "x y z", "s1") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    p = mixing.MixParams(shards=2, blocks=1)
+    out = mixing.mix(df, p)
+    got = out.collect()
+    target = {r.source_size: r.target for r in got}
+    assert len(got) == len(rows) and set(target) == {9040, 1200}
+    taken = Counter()
+    for r in got:
+        taken[r.source_size] += r.taken
+        assert r.taken <= 3 * r.size and sum(d.words for d in r.draws) == r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    assert sorted(map(tuple, mixing.mix(df.repartition(2), p).collect())) == sorted(map(tuple, got))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "sum(size" not in "".join(x for x in plan.splitlines() if "windowspecdefinition" in x)
+
+
 def test_large_draws():
     rng = np.random.default_rng(5)
     for good, bad, need in ((300, 700, 200), (5, 2000, 1500), (40, 3, 20), (1, 1, 1)):
@@ -446,6 +465,27 @@ def test_pii_secrets_by_their_context(spark):
     assert pii.redact(df).where(f"doc_id = {len(rows)}").first().text == 'zz token = "<secret>" q'
 
 
+def test_pii_finds_what_no_seed_looks_like(spark):
+    """Seeds are only long tokens of small letters that something is set to; all else is found by contexts that are learned, also in a second round."""
+    rng = random.Random(9)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    other = lambda: words(rng, 1)[0].replace("w", "v")
+    secrets = [hexed(39) + "a7" for _ in range(70)]
+    rows = [(f"{other()} zugang = {x} {other()}", x) for x in secrets]  # no word that a list would hold
+    rows += [(f"{other()} zugang = KEY-{rng.randrange(100, 999)}-{rng.randrange(100, 999)} {other()}", None) for _ in range(8)]
+    rows += [(f"{other()} handed over {x} {other()}", x) for x in secrets[:50]]  # a context that only known instances lead to
+    later = [(f"{other()} handed over QX{rng.randrange(1000, 9999)}ZZ {other()}", None) for _ in range(5)]
+    clean = [f"{other()} commit {hexed(38)}a1 {other()}" for _ in range(40)] + [f"{other()} width = {rng.randrange(10**6, 10**7)} px" for _ in range(40)]
+    texts = [t for t, _ in rows + later] + clean
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hit = [i for i in found if found[i].n_added]
+    assert hit == list(range(len(rows) + len(later)))  # precision and recall are 1 here
+    assert all(found[i].n_added == 1 for i in hit) and sum(found[i].n_unseen for i in hit) == 8 + 5 + 50
+    for i in range(70, 78):
+        _, a, b = found[i].spans.split(":")
+        assert texts[i][int(a) : int(b)].startswith("KEY-")
+
+
 def test_pii_of_a_long_text_is_linear(spark):
     text = "12:30:59 " * 32_000 + "10.0.0.1 a1@b2.org " * 8_000
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
