@@ -322,12 +322,17 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
             x = [model.features(model.hits(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    found = texts.where((F.col("toxic") == 1) | ~half).mapInArrow(featured, "doc_id long, toxic int, x array<double>").select("doc_id", "toxic", "x").collect()
+    rows = texts.where((F.col("toxic") == 1) | ~half).mapInArrow(featured, "doc_id long, toxic int, x array<double>")
+    means = F.array(*(F.avg(F.get("x", F.lit(k))) for k in range(5)))
+    # a row for each picked id, 2 * sample at most, however often and with whatever texts documents hold it
+    found = rows.groupBy("doc_id", "toxic").agg(means.alias("x"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r.doc_id, r.toxic))
     # each row stands for those of its class that the cap or the vetoes keep from the fit, so that neither moves the scores
-    fitted, chosen = Counter(r.toxic for r in found), Counter(t for _, t in picked)
+    fitted, chosen = Counter(), Counter(t for _, t in picked)
+    for r in found:
+        fitted[r.toxic] += r.n
     worth = {t: labelled[t] / chosen[t] * sizes[t] / n for t, n in fitted.items()}
-    model.weights = _logistic(np.array([r.x for r in found]), np.array([r.toxic for r in found], dtype=float), np.array([worth[r.toxic] for r in found]))
+    model.weights = _logistic(np.array([r.x for r in found]), np.array([r.toxic for r in found], dtype=float), np.array([worth[r.toxic] * r.n for r in found]))
     return model
 
 

@@ -628,6 +628,17 @@ def test_scores_do_not_depend_on_the_cap(spark):
     assert abs(whole.weights[0] - capped.weights[0]) < 0.5
 
 
+def test_one_labelled_id_of_many_rows_is_one_row_of_the_fit(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, worth, f=toxicity._logistic: seen.append(worth) or f(x, y, worth))
+    rng = random.Random(4)
+    rows = [(" ".join([*words(rng, 12), *(["grumblex"] if i < 70 else [])]), 1) for i in range(100)] + [(" ".join(words(rng, 12)), 0) for _ in range(400)]
+    docs, labels = labelled(spark, rows)
+    many = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(3000)).select("doc_id", "text"))
+    once, often = (toxicity.fit(d, labels).weights for d in (docs, many))
+    assert len(seen[0]) == len(seen[1]) < 500 and seen[1].max() > 1000 > seen[0].max() and once[1] > 0 < often[1]
+
+
 def test_logistic_ends_where_classes_are_apart():
     x, y = np.zeros((60, 5)), np.arange(60.0) < 20
     x[:20, 0] = 3
