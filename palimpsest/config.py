@@ -9,6 +9,8 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyarrow import fs
+
 from palimpsest.functions import keys
 
 # fixed values: the names that control files use
@@ -38,7 +40,9 @@ def read_options(text: str, repeat_is_error: bool = False) -> dict[str, str]:
 def read_file(path: str) -> dict[str, str]:
     if not path.endswith(".ini"):
         raise ConfigError(f"{path}: a control file ends in .ini")
-    return read_options(Path(path).read_text()) | {"_this_config": path}
+    system, place = fs.FileSystem.from_uri(path if "://" in path else str(Path(path).absolute()))
+    with system.open_input_stream(place) as f:
+        return read_options(f.read().decode()) | {"_this_config": path}
 
 
 def get_bool(options: dict[str, str], key: str) -> bool:
@@ -108,6 +112,8 @@ class EngineConfig:
     suppress_output: bool = False
     retag: bool = False
     packed_key: bool = False
+    #: threads of the mapper's process, for which its tasks take cores
+    threads: int = 1
     mode: str = "intended"
     options: dict[str, str] = field(default_factory=dict, compare=False)
 
@@ -124,6 +130,8 @@ class EngineConfig:
         ):
             if value not in known:
                 raise ConfigError(f"{name}={value}: one of {', '.join(known)}")
+        if self.threads < 1:
+            raise ConfigError("threads: at least 1")
         if self.bucket_size < 1 or self.cache_capacity < 2 or self.max_interleave < 1:
             raise ConfigError("bucket_size, max_interleave: at least 1; cache_capacity: at least 2")
 
@@ -149,6 +157,7 @@ class EngineConfig:
                 "suppress_output": "suppress_sam" in options,  # present is enough
                 "retag": get_bool(options, "retag"),
                 "packed_key": get_bool(options, "store_bin"),
+                "threads": get_int(options, "threads", 1),
                 "options": options,
             }
             | more

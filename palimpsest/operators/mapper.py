@@ -14,12 +14,15 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.config import ConfigError, get_bool
 from palimpsest.functions.keys import record_text
 
 Function = Callable[[list[str]], list[str]]
+ALIGNERS = {"bowtie2": "bowtie2", "seal": "seal.sh"}
 
 
 def _checked(values: list[str], n: int) -> list[str]:
@@ -44,9 +47,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(waiting)
 
 
-def map_unique(unique: DataFrame, function: Function, batch: int = 50_000) -> DataFrame:
+def map_unique(unique: DataFrame, function: Function, batch: int = 50_000, threads: int = 1) -> DataFrame:
     """pos, value and seconds for each row; ``function`` takes the texts of up to ``batch`` records.
 
+    ``threads``: how many it uses itself; a task of this stage then takes as many of a cluster's cores.
+
     seconds: the row's share of the time of the call that it was in, so that a
     bucket's sum is its map time, whichever calls its rows were in. A function
     that has ``session`` is opened once for each task.
@@ -65,7 +70,8 @@ def map_unique(unique: DataFrame, function: Function, batch: int = 50_000) -> Da
                 yield from pa.table({"pos": own.column(0), "value": pa.array(values, pa.string()), "seconds": pa.array([share] * own.num_rows)}).to_batches(10_000)
 
     text = record_text(*(F.col(c) for c in ("header", "sequence", "plus", "quality")))
-    return unique.select("pos", text.alias("text")).mapInArrow(run, "pos long, value string, seconds double")
+    local = unique.sparkSession.sparkContext.master.startswith("local")  # there are no executors to ask for cores
+    return unique.select("pos", text.alias("text")).mapInArrow(run, "pos long, value string, seconds double", profile=cores(threads) if threads > 1 and not local else None)
 
 
 class ProcessFunction:
@@ -128,18 +134,36 @@ def process_function(command: str, interactive: bool = False, encoding: str = "u
     return ProcessFunction(command, interactive, encoding, patience)
 
 
+# fixed values: the options of the two known aligners; --reorder and ordered=t keep the order that results are matched by
 def aligner_command(options: dict[str, str]) -> str:
-    """The command that a control file asks for: its own, or one of two known aligners."""
+    """The command that a control file asks for: its own, or one of two known aligners, which need a ``reference``. ``aligner_path`` takes the program's place."""
     if command := options.get("command"):
         return command
-    path, reference, threads = options.get("aligner_path", ""), options.get("reference", ""), options.get("threads", "1")
-    interleaved = options.get("interleaved", "").lower() in ("true", "1", "yes")
     kind = options.get("aligner", "bowtie2")
+    if kind not in ALIGNERS:
+        raise ConfigError(f"unknown aligner {kind}")
+    reference, threads = options.get("reference"), options.get("threads", "1")
+    if not reference:
+        raise ConfigError("a run with an aligner needs a reference")
+    program, interleaved = options.get("aligner_path") or ALIGNERS[kind], get_bool(options, "interleaved")
+    fasta = options.get("file_type") == "fasta"
     if kind == "bowtie2":
-        return f"{path}bowtie2 --reorder --mm --no-hd -p {threads} -q -x {reference} {'--interleaved -' if interleaved else '-U -'}"
-    if kind == "seal":
-        return f"{path}seal.sh in=stdin.fq out=stdout.sam ref={reference} threads={threads} ordered=t"
-    raise ValueError(f"unknown aligner {kind}")
+        words = [program, "--reorder", "--mm", "--no-hd", "-p", threads, "-f" if fasta else "-q", "-x", reference, *(["--interleaved"] if interleaved else ["-U"]), "-"]
+    else:
+        suffix = "fa" if fasta else "fq"
+        words = [program, f"threads={threads}", "out=stdout.fq", f"ref={reference}", *(["interleaved=t"] if interleaved else []), f"in=stdin.{suffix}", "prealloc=t", "rskip=3", f"-Xmx{options.get('aligner_memory', '80G')}", "ordered=t"]
+    return shlex.join(words)
+
+
+def aligner_function(options: dict[str, str]) -> "ProcessFunction":
+    """The process that a control file asks for; ``seal`` lives as long as its task, as a command does that is called ``interactive``."""
+    live = get_bool(options, "interactive") or not options.get("command") and options.get("aligner") == "seal"
+    return process_function(aligner_command(options), live)
+
+
+def cores(threads: int) -> ResourceProfile:
+    """What a task of the mapper asks of a cluster: a core for each of its process's threads."""
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(threads)).build
 
 
 def stand_in(sequence: Column) -> Column:

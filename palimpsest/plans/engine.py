@@ -72,7 +72,7 @@ def run(reads: DataFrame, config: EngineConfig, function: Callable[[list[str]],
     routed = materialize(route(prepare(reads, config), config), "routed")
     unique = routed.where("route = 'unique'")
     if function:
-        results = materialize(mapper.map_unique(unique, function, config.bucket_size), "results")
+        results = materialize(mapper.map_unique(unique, function, config.bucket_size, config.threads), "results")
         seconds = routed.select("pos", "bucket").join(results.select("pos", "seconds"), "pos").groupBy("bucket").agg(F.sum("seconds").alias("seconds"))
     else:
         results, seconds = unique.select("pos", mapper.stand_in(F.col("sequence")).alias("value")), None

@@ -1,7 +1,5 @@
 """Registered queries of the engine's own operators, each with the SQL that it has to equal."""
 
-import glob
-import os
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +11,7 @@ from palimpsest.config import EngineConfig
 from palimpsest.functions import keys
 from palimpsest.operators import bucketing, cache, dedup, mapper
 from palimpsest.plans import engine, metrics, runner
-from palimpsest.sources import fastq
+from palimpsest.sources import fastq, sinks
 from palimpsest.sources.fastq import with_arrival
 from palimpsest.storage import numbered, shared_folder
 from palimpsest.streaming import buckets
@@ -433,23 +431,28 @@ def _fastq_folder(s: SparkSession, d: str, kind: str = "fastq") -> str:
     """The documents' reads as a file for each source, named by its number, in a new folder."""
     rows = reads(s, d)
     folder = f"{shared_folder(s)}/inputs-{uuid.uuid4().hex}"
-    four = [F.col(c) for c in ("header", "sequence", "plus", "quality")]
-    text = keys.record_text(*four) if kind == "fastq" else F.concat_ws("\n", *four[:2])
-    one = rows.repartition("file_id").sortWithinPartitions("file_id", "arrival").select("file_id", text.alias("line"))  # one part for each file
-    one.write.partitionBy("file_id").text(f"{folder}/parts")
-    local = folder.removeprefix("file://").removeprefix("file:")  # a folder that all nodes see by one path
-    for part in sorted(glob.glob(f"{local}/parts/file_id=*/part-*")):
-        os.rename(part, f"{local}/f{int(part.split('file_id=')[1].split('/')[0]):03d}.{kind}")
-    return local
+    four = [F.col(c) for c in ("header", "sequence", "plus")]
+    quality = F.repeat(F.lit("="), F.length("sequence"))
+    text = keys.record_text(*four, quality) if kind == "fastq" else F.concat_ws("\n", *four[:2])
+    ids = [r.file_id for r in rows.select("file_id").distinct().collect()]
+    sinks.write_outputs(rows.select("file_id", F.col("arrival").alias("pos"), text.alias("line")), {k: f"{folder}/f{k:03d}.{kind}" for k in ids})
+    return folder
 
 
-def _scan(s: SparkSession, d: str, kind: str = "fastq", **options) -> DataFrame:
+def _scan(s: SparkSession, d: str, kind: str = "fastq") -> DataFrame:
+    return fastq.scan(s, _fastq_folder(s, d, kind), kind=kind)
+
+
+def _source(s: SparkSession, d: str, **options) -> DataFrame:
+    """The same by the data source, which needs a folder that all nodes see by one path."""
     s.dataSource.register(fastq.ReadsDataSource)
-    return s.read.format("reads").options(path=_fastq_folder(s, d, kind), format=kind, **options).load()
+    return s.read.format("reads").options(path=_fastq_folder(s, d).removeprefix("file://").removeprefix("file:"), **options).load()
 
 
 _rec = "cast(row_number() over (partition by file_id order by arrival) - 1 as bigint) as rec_idx"
-register("scan_fastq", _scan, f"with {READS_SQL} select file_id, {_rec}, header, sequence, '+' as plus, '=' as quality from reads")
+_four_sql = "header, sequence, '+' as plus, repeat('=', length(sequence)) as quality"
+register("scan_fastq", _scan, f"with {READS_SQL} select file_id, {_rec}, {_four_sql} from reads")
+register("scan_source", _source, f"with {READS_SQL} select file_id, {_rec}, {_four_sql} from reads")
 register(
     "scan_fasta",
     lambda s, d: _scan(s, d, "fasta").select("file_id", "rec_idx", "header", "sequence", F.col("plus").isNull().alias("no_plus")),
@@ -457,21 +460,49 @@ register(
 )
 register(
     "scan_splits",
-    lambda s, d: with_arrival(_scan(s, d, split_bytes="1000"), 1).select("file_id", "rec_idx", "arrival", "header", "sequence"),
+    lambda s, d: with_arrival(_source(s, d, split_bytes="1000"), 1).select("file_id", "rec_idx", "arrival", "header", "sequence"),
     f"with {READS_SQL} select file_id, {_rec}, row_number() over (order by file_id, arrival) - 1 as arrival, header, sequence from reads",
 )
 
 
 def _stdin(s: SparkSession, d: str) -> DataFrame:
-    """The first file by standard input's way: copied from a stream, then read as the only input."""
+    """All files by standard input's way: one after another through a stream, then read as the only input."""
     folder = _fastq_folder(s, d)
-    with open(f"{folder}/f000.fastq", "rb") as f:
-        fastq.spool(f"{folder}/stdin", "fastq", f)
-    s.dataSource.register(fastq.ReadsDataSource)
-    return s.read.format("reads").option("path", f"{folder}/stdin").load().select("file_id", "rec_idx", "header", "sequence")
+    paths = [x for x, _ in fastq.inputs(s, folder, r".*\.fastq")]
+    with _Joined(paths) as stream:
+        fastq.spool(f"{folder}/stdin", "fastq", stream)
+    return fastq.scan(s, f"{folder}/stdin").select("file_id", "rec_idx", "header", "sequence")
+
+
+class _Joined:
+    """Files read one after another, as from a pipe."""
+
+    def __init__(self, paths: list[str]):
+        self.paths, self.now = list(paths), None
 
+    def __enter__(self):
+        return self
 
-register("scan_stdin", _stdin, f"with {READS_SQL} select 0 as file_id, {_rec}, header, sequence from reads where file_id = 0")
+    def __exit__(self, *_):
+        if self.now:
+            self.now.close()
+
+    def read(self, size: int) -> bytes:
+        while self.now or self.paths:
+            if not self.now:
+                system, place = sinks.file_system(self.paths.pop(0))
+                self.now = system.open_input_stream(place)
+            if part := self.now.read(size):
+                return part
+            self.now = self.now.close()
+        return b""
+
+
+register(
+    "scan_stdin",
+    _stdin,
+    f"with {READS_SQL} select 0 as file_id, cast(row_number() over (order by file_id, arrival) - 1 as bigint) as rec_idx, header, sequence from reads",
+)
 register(
     "list_inputs",
     lambda s, d: fastq.files_table(s, _fastq_folder(s, d), r"f[0-9]+\.fastq", ".sam").select("file_id", F.substring_index("path", "/", -1).alias("name"), F.substring_index("output_path", "/", -1).alias("output")),
@@ -507,18 +538,19 @@ for _name, _live in (("mapper_process", False), ("mapper_interactive", True)):
 def _control_run(s: SparkSession, d: str, **more) -> tuple[runner.Report, str]:
     """A control file for the documents' files, run with a process; the report and the folder."""
     folder = _fastq_folder(s, d)
-    with open(f"{folder}/run.ini", "w") as f:
-        f.write(f"data_dir={folder}\ninput_pattern=(.*)\\.fastq\nbucket_size={B}\nhash_func=double\ncompression=full\ncache_policy=lru\noutput_ext=.sam\nmetrics={folder}/log\n")
-        f.write("".join(f"{k}={v}\n" for k, v in more.items()))
+    text = f"data_dir={folder}\ninput_pattern=(.*)\\.fastq\nbucket_size={B}\nhash_func=double\ncompression=full\ncache_policy=lru\noutput_ext=.sam\nmetrics={folder}/log\n"
+    system, place = sinks.file_system(f"{folder}/run.ini")
+    with system.open_output_stream(place) as f:
+        f.write((text + "".join(f"{k}={v}\n" for k, v in more.items())).encode())
     return runner.run_file(s, f"{folder}/run.ini", mapper.process_function(_AWK)), folder
 
 
 def _control_output(s: SparkSession, d: str) -> DataFrame:
     report, _ = _control_run(s, d)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"f([0-9]+)\.sam/", 1).cast("int")
-    # lines in the order of the parts and in them
-    rows = s.read.text(list(report.outputs.values())).select(name.alias("file_id"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
-    return numbered(rows, ["file_id"], ["path", "id"], "n").select("file_id", "n", "line")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"f([0-9]+)\.sam$", 1).cast("int")
+    # lines in the order of a file's splits and in them
+    rows = s.read.text(list(report.outputs.values())).select(name.alias("file_id"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    return numbered(rows, ["file_id"], ["start", "id"], "n").select("file_id", "n", "line")
 
 
 _FILES_SQL = READS_SQL.replace("reads as", "unordered as") + ", reads as (select file_id, header, sequence, row_number() over (order by file_id, arrival) - 1 as arrival from unordered)"
@@ -559,7 +591,11 @@ register(
 
 def _suppressed(s: SparkSession, d: str) -> DataFrame:
     report, _ = _control_run(s, d, suppress_sam="false")  # that it is there is enough
-    return report.summary.select("n_rows", F.lit(sum(map(os.path.exists, report.outputs.values()))).cast("long").alias("n_outputs"))
+    there = 0
+    for path in report.outputs.values():
+        system, place = sinks.file_system(path)
+        there += system.get_file_info(place).is_file
+    return report.summary.select("n_rows", F.lit(there).cast("long").alias("n_outputs"))
 
 
 register("suppressed_output", _suppressed, "select count(*) as n_rows, cast(0 as bigint) as n_outputs from documents")

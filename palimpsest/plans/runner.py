@@ -3,14 +3,16 @@
     python -m palimpsest --from_config run.ini
 
 Inputs come from ``data_dir`` and ``input_pattern``, or from standard input if
-only ``stdin`` is given. Each input's lines become a folder named like the input
-with ``output_ext`` in the place of its extension, unless ``suppress_sam`` is
-there; ``metrics`` names the folder of the log.
+only ``stdin`` is given. Each input's lines become a file named like the input
+with ``output_ext`` in the place of its extension (``output_file`` names that of a
+single input), unless ``suppress_sam`` is there; ``metrics`` names the folder of the log.
 """
 
 import argparse
+import logging
 import os
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import config as conf
-from palimpsest.functions.keys import output_path
 from palimpsest.logs import fatal, logger, timer
 from palimpsest.operators import mapper
 from palimpsest.plans import engine, metrics
@@ -30,7 +31,7 @@ STDIN_OUTPUT = "OUT.sam"
 
 @dataclass(frozen=True)
 class Report:
-    """What a run leaves: its counters, the one-row summary, the log's rows, the outputs' folders and the seconds that it took."""
+    """What a run leaves: its counters, the one-row summary, the log's rows, the outputs' files and the seconds that it took."""
 
     counters: DataFrame
     summary: DataFrame
@@ -41,22 +42,22 @@ class Report:
 
 def _inputs(spark: SparkSession, options: dict[str, str], c: conf.EngineConfig) -> tuple[DataFrame, dict[int, str], list[str]]:
     """Reads with their arrival, the output of each input and the inputs' paths."""
-    spark.dataSource.register(fastq.ReadsDataSource)
     if folder := options.get("data_dir"):
         pattern = c.input_pattern
-        paths = fastq.list_inputs(folder, pattern)
-        table = spark.createDataFrame(list(enumerate(paths)), "file_id int, path string")
-        outputs = {r.file_id: r.o for r in table.select("file_id", output_path(F.col("path"), c.output_ext).alias("o")).collect()}
     elif conf.get_bool(options, "stdin"):
-        folder = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/stdin"
-        paths, pattern = [fastq.spool(folder, c.file_type)], rf"stdin\.{c.file_type}"
-        outputs = {0: os.path.abspath(STDIN_OUTPUT)}
+        folder, pattern = f"{shared_folder(spark)}/stdin-{uuid.uuid4().hex}", rf"stdin\.{c.file_type}"
+        fastq.spool(folder, c.file_type)
     else:
         raise conf.ConfigError("a run needs data_dir or stdin")
+    files = fastq.files_table(spark, folder, pattern, c.output_ext).collect()
+    outputs = {r.file_id: r.output_path for r in files}
+    if options.get("output_file") and len(files) > 1:
+        raise conf.ConfigError("output_file names one output, but there are several inputs")
+    if not options.get("data_dir") or options.get("output_file"):
+        outputs = {0: os.path.abspath(name) if "://" not in (name := options.get("output_file", STDIN_OUTPUT)) else name}
     # as wired, a last line without its end loses its record
-    read = spark.read.format("reads").options(path=folder, pattern=pattern, format=c.file_type, require_trailing_newline=str(c.mode == "wired").lower())
-    records = materialize(read.load(), "records")  # parsed once
-    return fastq.with_arrival(records, c.max_interleave), outputs, paths
+    records = materialize(fastq.scan(spark, folder, pattern, c.file_type, c.mode == "wired"), "records")  # parsed once
+    return fastq.with_arrival(records, c.max_interleave), outputs, [r.path for r in files]
 
 
 def run_options(spark: SparkSession, options: dict[str, str], function: Callable[[list[str]], list[str]] | None = None, **more) -> Report:
@@ -64,9 +65,9 @@ def run_options(spark: SparkSession, options: dict[str, str], function: Callable
     c = conf.EngineConfig.from_options(options, **more)
     with timer("run") as took:
         reads, outputs, paths = _inputs(spark, options, c)
-        function = function or mapper.process_function(mapper.aligner_command(options), conf.get_bool(options, "interactive"))
+        function = function or mapper.aligner_function(options)
         made = engine.run(reads, c, function)
-        sinks.write_outputs(made.output, outputs, f"{shared_folder(spark)}/outputs-{os.urandom(8).hex()}", c.suppress_output)
+        sinks.write_outputs(made.output, outputs, c.suppress_output)
         counted = materialize(made.counters, "counters")
         log = materialize(metrics.batch_metrics(counted, c.bucket_size, made.seconds), "log")
     mapping = made.seconds.agg(F.sum("seconds")).first()[0]
@@ -74,7 +75,7 @@ def run_options(spark: SparkSession, options: dict[str, str], function: Callable
     seen = total.first()
     if path := options.get("metrics"):
         sinks.write_text(metrics.log_lines(log, paths, options.get("_this_config", ""), seen.n_rows, took.value), path)
-    logger().info("%d reads, %d mapped, %d hits, %d misses, %.1f s of mapping", seen.n_rows, seen.n_unique, seen.hits, seen.misses, mapping or 0.0)
+    logging.getLogger("palimpsest").info("%d reads, %d mapped, %d hits, %d misses, %.1f s of mapping", seen.n_rows, seen.n_unique, seen.hits, seen.misses, mapping or 0.0)
     return Report(counted, total, log, outputs, took.value)
 
 
@@ -84,11 +85,12 @@ def run_file(spark: SparkSession, path: str, function: Callable[[list[str]], lis
 
 #: long options of the command line and what they are called in a control file
 CLI = {
-    "input_file_pattern": "input_pattern", "data_dir": "data_dir", "reference": "reference", "output_ext": "output_ext", "metrics_file": "metrics", "bucket_size": "bucket_size",
-    "threads": "threads", "aligner": "aligner", "aligner_path": "aligner_path", "command": "command", "cache_policy": "cache_policy", "cache_decorator": "cache_decorator",
-    "hash_func": "hash_func", "compression": "compression", "chain_switch": "chain_switch", "max_interleave": "max_interleave", "max_chain": "max_chain", "file_type": "file_type",
+    "input_pattern": "input_pattern", "input_file_pattern": "input_pattern", "data_dir": "data_dir", "reference": "reference", "output_file": "output_file", "output_ext": "output_ext",
+    "metrics_file": "metrics", "bucket_size": "bucket_size", "threads": "threads", "aligner": "aligner", "aligner_path": "aligner_path", "aligner_memory": "aligner_memory", "command": "command",
+    "cache_policy": "cache_policy", "cache_decorator": "cache_decorator", "hash_func": "hash_func", "compression": "compression", "chain_switch": "chain_switch",
+    "max_interleave": "max_interleave", "max_chain": "max_chain", "file_type": "file_type",
 }
-SHORT = {"input_file_pattern": "i", "data_dir": "d", "reference": "x", "output_ext": "s", "metrics_file": "e", "bucket_size": "b", "threads": "p"}
+SHORT = {"input_pattern": "i", "data_dir": "d", "reference": "x", "output_file": "s", "metrics_file": "e", "bucket_size": "b", "threads": "p", "aligner": "a"}
 FLAGS = ("interleaved", "retag", "store_bin", "stdin", "interactive")
 
 
@@ -101,16 +103,19 @@ def options_of(arguments: list[str]) -> dict[str, str]:
     for name in FLAGS:
         parser.add_argument(f"--{name}", action="store_true")
     parser.add_argument("--suppress_sam", action="store_true")
+    parser.add_argument("--verbose", dest="log_level", action="store_const", const="debug")
+    parser.add_argument("--quiet", dest="log_level", action="store_const", const="warn")
     given = vars(parser.parse_args(arguments))
     options = conf.read_file(given["from_config"]) if given["from_config"] else {}
     options |= {CLI[k]: v for k, v in given.items() if k in CLI and v is not None}
     options |= {k: "true" for k in (*FLAGS, "suppress_sam") if given[k]}
-    return options
+    return options | ({"log_level": given["log_level"]} if given["log_level"] else {})
 
 
 def main(arguments: list[str] | None = None) -> None:
     try:
         options = options_of(sys.argv[1:] if arguments is None else arguments)
+        logger(options.get("log_level", "info"))
         spark = SparkSession.builder.appName("palimpsest").getOrCreate()
         run_options(spark, options).summary.show(truncate=False)
     except (conf.ConfigError, FileNotFoundError) as e:

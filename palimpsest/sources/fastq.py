@@ -10,6 +10,10 @@ task for each so many bytes). Files are numbered by name. A task reads the
 records whose first line begins in its stretch of the file; rec_idx holds the
 stretch's number in its upper bits, so it is the record's number in a file of
 one stretch and grows with the file in any. ``with_arrival`` takes both.
+
+``scan`` reads the same records without Python, from any path that Spark reads;
+runs of control files use it. The data source is for formats of one's own and for
+folders that all nodes see.
 """
 
 import os
@@ -17,28 +21,36 @@ import re
 import sys
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
+from urllib.parse import unquote
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from palimpsest.functions.keys import output_path
+from palimpsest.sources.sinks import file_system
+from palimpsest.storage import materialize
+
+#: splits, a row of 28 bytes each, that may be broadcast; more are joined by a shuffle
+MOST_SPLITS = 1_000_000
 SCHEMA = "file_id int, rec_idx long, header string, sequence string, plus string, quality string"
 SPLIT_BITS = 40
 
 
 class Parser:
-    """Records of ``lines`` lines each. ``begins``: whether a record can begin at the first of these lines (without their ends)."""
+    """Records of ``lines`` lines each. ``begins``: whether a record can begin at the first of these lines (without their ends). ``whole``: whether these lines are one."""
 
-    def __init__(self, lines: int, begins: Callable[[list[bytes]], bool], fields: Callable[[list[str]], tuple] | None = None):
-        self.lines, self.begins = lines, begins
+    def __init__(self, lines: int, begins: Callable[[list[bytes]], bool], fields: Callable[[list[str]], tuple] | None = None, whole: Callable[[list[bytes]], bool] | None = None):
+        self.lines, self.begins, self.whole = lines, begins, whole
         self.fields = fields or (lambda own: (*own, *[None] * (4 - len(own))))
 
 
 #: a quality line can begin with @ too, but then the next line but one is a sequence
 PARSERS = {
-    "fastq": Parser(4, lambda x: x[0][:1] == b"@" and len(x) > 2 and x[2][:1] == b"+"),
+    "fastq": Parser(4, lambda x: x[0][:1] == b"@" and len(x) > 2 and x[2][:1] == b"+", whole=lambda x: x[0][:1] == b"@" and x[2][:1] == b"+" and len(x[1]) == len(x[3])),
     "fasta": Parser(2, lambda x: x[0][:1] == b">"),
 }
 
@@ -79,8 +91,10 @@ def parse(f: BinaryIO, kind: str | Parser, require_newline: bool = False, start:
         own = [f.readline() for _ in range(parser.lines)]
         if not own[-1] or require_newline and not own[-1].endswith(b"\n"):
             return
+        if parser.whole and not parser.whole([x.rstrip(b"\r\n") for x in own]):
+            raise ValueError(f"{getattr(f, 'name', 'input')}: no record at byte {at}")
         at += sum(map(len, own))
-        yield parser.fields([x.decode().rstrip("\r\n") if x.endswith(b"\n") else x.decode() for x in own])
+        yield parser.fields([x.decode(errors="replace").rstrip("\r\n") if x.endswith(b"\n") else x.decode(errors="replace") for x in own])
 
 
 class _Stretch(InputPartition):
@@ -155,21 +169,78 @@ def reads_source(source_name: str, own_parser: Parser) -> type[DataSource]:
 
 
 def spool(folder: str, kind: str = "fastq", stream: BinaryIO | None = None, chunk: int = 1 << 20) -> str:
-    """Copy standard input into ``folder`` as a file that all tasks can read; its path. It is the only input, number 0."""
+    """Copy standard input into ``folder``, a path or URI, as a file that all tasks can read; its path. It is the only input, number 0."""
     stream = stream or sys.stdin.buffer
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"stdin.{kind}")
-    with open(path, "wb") as f:
+    path = f"{folder.rstrip('/')}/stdin.{kind}"
+    system, place = file_system(path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place) as f:
         while part := stream.read(chunk):
             f.write(part)
     return path
 
 
+def inputs(spark: SparkSession, path: str, pattern: str) -> list[tuple[str, str]]:
+    """Path and key (the name as paths of its rows end) of each file in the folder ``path`` whose whole name matches ``pattern``, by name.
+
+    The listing is Spark's, so any file system that its readers know will do.
+    """
+    try:
+        listed = [(unquote(x), x.rsplit("/", 1)[1]) for x in spark.read.format("binaryFile").load(path).inputFiles()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"{path} is no folder") from e
+    name = lambda x: x[0].rsplit("/", 1)[1]
+    found = sorted((x for x in listed if re.fullmatch(pattern, name(x))), key=name)
+    if not found:
+        raise FileNotFoundError(f"no file in {path} matches {pattern}")
+    return found
+
+
+def scan(spark: SparkSession, path: str, pattern: str | None = None, kind: str = "fastq", require_newline: bool = False) -> DataFrame:
+    """The records of all inputs (see ``inputs``), in Spark's own operators; rec_idx is the record's number in its file.
+
+    Lines are read by splits of any size. A row for each split says how many lines of its file come before it, so each
+    line knows its number and with it its record, wherever a split ends. A record's lines are put together before
+    they are shuffled. A FASTQ record without its @ and +, or whose sequence and quality differ in length, is an error; an incomplete last one is dropped, with ``require_newline`` also one whose last line isn't ended.
+    """
+    size = {"fastq": 4, "fasta": 2}[kind]
+    files = inputs(spark, path, pattern or rf".*\.{kind}")
+    names = spark.createDataFrame([(key, k) for k, (_, key) in enumerate(files)], "_key string, file_id int")
+    lines = spark.read.option("lineSep", "\n").text([x for x, _ in files])
+    own = F.substring_index("_metadata.file_path", "/", -1).alias("_key")
+    lines = lines.select(own, F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value")
+    lines = lines.join(F.broadcast(names), "_key").drop("_key")
+    splits = lines.groupBy("file_id", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes"))
+    splits = materialize(splits, "splits")
+    before = Window.partitionBy("file_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    places = splits.select("file_id", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if splits.count() <= MOST_SPLITS:
+        places = F.broadcast(places)
+    at = F.col("_before") + F.col("_id") - F.col("_first")
+    value, k = F.regexp_replace("value", "\r+$", ""), F.pmod(at, F.lit(size))
+    fields = ("header", "sequence", "plus", "quality")
+    made = [F.max(F.when(F.col("_k") == i, F.col("value"))).alias(c) if i < size else F.lit(None).cast("string").alias(c) for i, c in enumerate(fields)]
+    placed = lines.join(places, ["file_id", "_start"]).select("file_id", F.floor(at / size).cast("long").alias("rec_idx"), k.alias("_k"), value.alias("value"))
+    records = placed.groupBy("file_id", "rec_idx").agg(*made, F.count("*").alias("_n")).where(F.col("_n") == size)
+    if require_newline:
+        ends = splits.groupBy("file_id").agg(F.sum("_n").alias("n"), F.sum("_bytes").alias("bytes")).collect()
+        sized = spark.read.format("binaryFile").load([x for x, _ in files]).select(own, "length")
+        length = {r.file_id: r.length for r in sized.join(names, "_key").collect()}
+        cut = [(r.file_id, (r.n - 1) // size) for r in ends if r.bytes != length[r.file_id]]
+        if cut:
+            records = records.join(F.broadcast(spark.createDataFrame(cut, "file_id int, rec_idx long")), ["file_id", "rec_idx"], "left_anti")
+    if kind == "fasta":
+        return records.select("file_id", "rec_idx", *fields)
+    fine = F.startswith("header", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.octet_length("sequence") == F.octet_length("quality"))
+    wrong = F.concat(F.lit("record "), F.col("rec_idx").cast("string"), F.lit(" of file "), F.col("file_id").cast("string"), F.lit(f" is no {kind} record"))
+    return records.select("file_id", "rec_idx", F.when(fine, F.col("header")).otherwise(F.raise_error(wrong)).alias("header"), *fields[1:])
+
+
 def files_table(spark: SparkSession, path: str, pattern: str, ext: str = "_out") -> DataFrame:
     """file_id, path and the output's path of each input."""
-    from palimpsest.functions.keys import output_path
-
-    files = spark.createDataFrame(list(enumerate(list_inputs(path, pattern))), "file_id int, path string")
+    files = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(inputs(spark, path, pattern))], "file_id int, path string")
     return files.withColumn("output_path", output_path(F.col("path"), ext))
 
 

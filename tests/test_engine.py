@@ -423,7 +423,8 @@ def test_control_file_to_output(spark, tmp_path):
     ini.write_text(f"data_dir={tmp_path}\ninput_pattern=.*\\.fastq\noutput_ext=.sam\nbucket_size=2\nmax_interleave=2\nretag=true\ncompression=full\ncache_policy=lru\nmetrics={tmp_path}/log\n")
     awk = mapper.process_function("""awk 'NR%4==2{print "q\\t" $0}'""")
     report = runner.run_file(spark, str(ini), awk)
-    lines = lambda p: [x for f in sorted(p.glob("part*")) for x in f.read_text().split("\n")[:-1]]
+    lines = lambda p: [x for f in ([p] if p.is_file() else sorted(p.glob("part*"))) for x in f.read_text().split("\n")[:-1]]
+    assert (tmp_path / "c.sam").read_text() == "" and not list(tmp_path.glob("_writing*"))
     assert lines(tmp_path / "a.sam") == ["a0\tACGT", "a1\tACGT", "a2\tGGGG"] and lines(tmp_path / "b.sam") == ["b0\tACGT", "b1\tTTTT"]
     log = lines(tmp_path / "log")
     assert log[0] == "# Num_Files:3" and log[1].count(",") == 3 and log[2].startswith("Batch,Batch_Time") and log[-1].startswith(f"# config:{ini} total_reads:5 runtime:")
@@ -434,8 +435,84 @@ def test_control_file_to_output(spark, tmp_path):
     assert short[0].value.startswith("# batch_size:2 manager_type:buckets cache_type:lru") and "Misses" not in short[1].value and short[2].value.startswith("0,")
     got = runner.options_of(["-c", str(ini), "--bucket_size", "7", "--hash_func", "gc", "--interleaved", "--suppress_sam"])
     assert (got["bucket_size"], got["hash_func"], got["interleaved"], got["output_ext"], "suppress_sam" in got) == ("7", "gc", "true", ".sam", True)
+    got = runner.options_of(["-i", r".*\.fq", "-a", "seal", "-s", "one.sam", "--verbose", "--quiet", "-x", "ref", "-p", "4", "-b", "9", "-d", "in", "-e", "log"])
+    assert got == {"input_pattern": r".*\.fq", "aligner": "seal", "output_file": "one.sam", "log_level": "warn", "reference": "ref", "threads": "4", "bucket_size": "9", "data_dir": "in", "metrics": "log"}
+    assert runner.options_of(["--input_file_pattern", "x", "--output_ext", ".o"]) == {"input_pattern": "x", "output_ext": ".o"}
     with pytest.raises(ConfigError):
         runner.run_options(spark, {"cache_policy": "lru"}, awk)
+    with pytest.raises(ConfigError):
+        runner.run_options(spark, {"data_dir": str(tmp_path), "output_file": "x"}, awk)
+    one = runner.run_options(spark, {"data_dir": str(tmp_path), "input_pattern": r"a\.fastq", "output_file": f"file://{tmp_path}/one.txt"}, awk)
+    assert lines(tmp_path / "one.txt") == ["q\tACGT", "q\tACGT", "q\tGGGG"] and one.outputs == {0: f"file://{tmp_path}/one.txt"}
+
+
+def test_command_lines():
+    assert mapper.aligner_command({"reference": "r"}) == "bowtie2 --reorder --mm --no-hd -p 1 -q -x r -U -"
+    own = {"reference": "a b", "aligner_path": "/opt/bt2/run", "threads": "4", "interleaved": "true", "file_type": "fasta"}
+    assert mapper.aligner_command(own) == "/opt/bt2/run --reorder --mm --no-hd -p 4 -f -x 'a b' --interleaved -"
+    seal = {"aligner": "seal", "reference": "r", "threads": "8"}
+    assert mapper.aligner_command(seal) == "seal.sh threads=8 out=stdout.fq ref=r in=stdin.fq prealloc=t rskip=3 -Xmx80G ordered=t"
+    assert mapper.aligner_command(seal | {"aligner_path": "/x/s", "interleaved": "1", "aligner_memory": "4G"}) == "/x/s threads=8 out=stdout.fq ref=r interleaved=t in=stdin.fq prealloc=t rskip=3 -Xmx4G ordered=t"
+    assert mapper.aligner_command({"command": "mine -x"}) == "mine -x"
+    assert mapper.aligner_function(seal).interactive and not mapper.aligner_function({"reference": "r"}).interactive
+    assert mapper.aligner_function({"command": "c", "interactive": "yes"}).interactive and not mapper.aligner_function({"command": "c", "aligner": "seal"}).interactive
+    for wrong in ({}, {"aligner": "seal"}, {"aligner": "other", "reference": "r"}):
+        with pytest.raises(ConfigError):
+            mapper.aligner_command(wrong)
+    assert mapper.cores(4).taskResources["cpus"].amount == 4
+    assert EngineConfig.from_options({"threads": "4"}).threads == 4
+
+
+def test_scan_of_any_file_system(spark, tmp_path):
+    """Through a path that only Spark's readers know, in splits that end anywhere."""
+    r = random.Random(7)
+    records = {k: [(f"@{k}{i} é", "".join(r.choice("ACGT") for _ in range(r.randrange(1, 40)))) for i in range(n)] for k, n in (("b", 90), ("a", 400), ("c", 0))}
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    for k, own in records.items():
+        end = "\r\n" if k == "b" else "\n"
+        text = end.join(end.join([h, s, "+", r.choice("@+=>") * len(s)]) for h, s in own) + (end if k == "a" else "")
+        (folder / f"{k}.fastq").write_bytes(text.encode())
+    (folder / "x.other").write_text("no record")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "4000b", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = fastq.scan(spark, "viewfs://store/in/in put")
+            assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+            rows = sorted(tuple(x) for x in got.select("file_id", "rec_idx", "header", "sequence", "plus").collect())
+            assert rows == [(f, i, h, s, "+") for f, k in enumerate("abc") for i, (h, s) in enumerate(records[k])]
+            assert all(len(x.sequence) == len(x.quality) for x in got.collect())
+            assert sorted(x.rec_idx for x in fastq.scan(spark, "viewfs://store/in/in put", r"b\.fastq", require_newline=True).collect()) == list(range(89))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (folder / "bad.fastq").write_text("@a\nACG\n+\n==\n")
+    with pytest.raises(Exception, match="record 0 of file 0"):
+        fastq.scan(spark, str(folder), r"bad\.fastq").collect()
+    with pytest.raises(ValueError), open(folder / "bad.fastq", "rb") as f:
+        list(fastq.parse(f, "fastq"))
+    (folder / "raw.fastq").write_bytes(b"@a\xff\nACG\n+\n===\n")
+    assert fastq.scan(spark, str(folder), r"raw\.fastq").count() == 1
+    with open(folder / "raw.fastq", "rb") as f:
+        assert [x[0] for x in fastq.parse(f, "fastq")] == ["@a\ufffd"]
+    for where, pattern in ((f"{tmp_path}/none", ".*"), (str(folder), "nothing")):
+        with pytest.raises(FileNotFoundError):
+            fastq.inputs(spark, where, pattern)
+
+
+def test_a_failed_write_leaves_no_output(spark, tmp_path):
+    rows = spark.range(40).select((F.col("id") % 3).cast("int").alias("file_id"), F.col("id").alias("pos"), F.concat(F.lit("l"), "id").alias("line"))
+    paths = {k: f"{tmp_path}/o{k}.txt" for k in range(4)}
+    (tmp_path / "o1.txt").write_text("as it was\n")
+    broken = rows.withColumn("line", F.when(F.col("pos") == 31, F.raise_error(F.lit("stopped"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="stopped"):
+        sinks.write_outputs(broken, paths)
+    assert [x.name for x in tmp_path.iterdir()] == ["o1.txt"] and (tmp_path / "o1.txt").read_text() == "as it was\n"
+    sinks.write_outputs(rows, paths)
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["o0.txt", "o1.txt", "o2.txt", "o3.txt"]
+    for k in range(4):
+        assert (tmp_path / f"o{k}.txt").read_text() == "".join(f"l{i}\n" for i in range(40) if i % 3 == k)
 
 
 def test_standard_input(spark, tmp_path, monkeypatch):
@@ -552,7 +629,6 @@ def test_output_and_mapper(spark):
         mapper.map_unique(unique, lambda x: x[:-1]).collect()
     with pytest.raises(RuntimeError, match="ended with"):
         mapper.process_function("false")(["x"])
-    assert "--reorder" in mapper.aligner_command({"reference": "r"})
 
 
 def test_fastq_source(spark, tmp_path):
