@@ -11,7 +11,7 @@ Hits and evictions depend on keys alone, not on what they are mapped to. So
 results these are: different keys of each bucket come from an aggregate, tasks
 follow ranges of buckets with the cache's keys as their only state, and the
 mapper can then run on all buckets at once. ``MemoCache`` keeps
-state and values in tables, a version for each bucket, for streams whose buckets
+state and values in tables, to which each bucket adds its changes, for streams whose buckets
 come one after another; a stream that was stopped goes on from them.
 """
 
@@ -24,6 +24,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ from palimpsest.functions.keys import BLOOM_CODES, BLOOM_OTHER, bloom_positions
 from palimpsest.operators import dedup
 from palimpsest.storage import materialize, release, remove
 
-STATE = "key string, value string, t long, row long"
+#: seq: a later word on a key has a higher one; gone: it was evicted
+CHANGES = "key string, value string, t long, row long, gone boolean, seq long"
 
 
 def trim(state: DataFrame, capacity: int, policy: str = "lru") -> DataFrame:
@@ -305,12 +307,16 @@ class CacheStats:
 
 @dataclass
 class MemoCache:
-    """State, admission filter and results that wait, as Parquet under ``folder`` with a version for each bucket.
+    """State, admission filter and results that wait, as Parquet under ``folder``, for buckets that come one after another.
 
-    Bucket b starts from what version b - 1 holds, whether it was made by this
+    A bucket writes what it changes: entries that are new or were touched, keys that
+    the filter sees for the first time, and which entries were evicted. The state
+    is the last word on each key; it is read once for a bucket's probe, and once more
+    if something has to go, and after ``compact_every`` buckets written anew as one table.
+    Bucket b starts from what version b - 1 refers to, whether that was made by this
     object or before a restart; a bucket that is run again starts from there
     again. A version counts once its manifest is there, which is written last;
-    older ones are deleted when no bucket can start from them any more.
+    tables are deleted when no bucket can start from them any more.
     """
 
     spark: SparkSession
@@ -318,6 +324,7 @@ class MemoCache:
     capacity: int = 4_194_304
     policy: str = "lru"
     bloom: bool = False
+    compact_every: int = 16
     stats: CacheStats = field(default_factory=CacheStats)
 
     def __post_init__(self):
@@ -327,12 +334,30 @@ class MemoCache:
 
     def clear(self, keep_stats: bool = True) -> None:
         """Forget all entries and known keys; the counters stay unless asked otherwise."""
-        self.state = self.spark.createDataFrame([], STATE)
-        self.seen = self.spark.createDataFrame([], "key string")
+        self.segments: list[str] = []  # folders of changes below ``folder``, and of keys that the filter knows
+        self.known: list[str] = []
+        self.referred: dict[int, set[str]] = {}
+        self.size = 0
         self.pending: DataFrame | None = None
         if not keep_stats:
             self.stats = CacheStats()
 
+    def _read(self, segments: list[str], schema: str) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{x}" for x in segments))
+
+    @property
+    def state(self) -> DataFrame:
+        """The entries: key, value, t, row."""
+        last = self._read(self.segments, CHANGES).groupBy("key").agg(F.max_by(F.struct("value", "t", "row", "gone"), "seq").alias("s"))
+        return last.where("not s.gone").select("key", "s.value", "s.t", "s.row")
+
+    @property
+    def seen(self) -> DataFrame:
+        """The keys that the filter knows, each once."""
+        return self._read(self.known, "key string")
+
     def _path(self, bucket: int, name: str = "") -> str:
         return f"{self.folder}/version={bucket}" + f"/{name}" * bool(name)
 
@@ -343,9 +368,13 @@ class MemoCache:
 
     def last(self) -> int:
         """The newest bucket whose version is complete; 0 without any."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/version=*/manifest")
-        found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place)
-        return max((int(x.getPath().getParent().getName().split("=")[1]) for x in found or []), default=0)
+        try:
+            found = self.spark.read.format("binaryFile").load(f"{self.folder}/version=*/manifest").inputFiles()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0
+        return max((int(x.rsplit("/version=", 1)[1].split("/")[0]) for x in found), default=0)
 
     def start(self, bucket: int) -> None:
         """Take up the version before ``bucket``, unless it is the one at hand."""
@@ -359,10 +388,9 @@ class MemoCache:
         if self.policy == "none":
             return
         manifest = json.loads(self.spark.read.text(self._path(bucket - 1, "manifest")).first()[0])
-        read = lambda name, schema: self.spark.read.schema(schema).parquet(self._path(bucket - 1, name))
-        self.state = read("state", STATE)
-        self.seen = read("seen", "key string") if self.bloom else self.seen
-        self.pending = read("pending", "key string, value string, pos long")
+        self.segments, self.known, self.size = manifest["segments"], manifest["known"], manifest["size"]
+        self.referred = {bucket - 1: {*self.segments, *self.known}}
+        self.pending = self.spark.read.schema("key string, value string, pos long").parquet(self._path(bucket - 1, "pending"))
         self.stats = CacheStats(**manifest["stats"])
 
     def probe(self, rows: DataFrame, bucket: int) -> DataFrame:
@@ -370,7 +398,8 @@ class MemoCache:
         self.start(bucket)
         if self.policy == "none":
             return rows.withColumn("hit", F.lit(False)).withColumn("value", F.lit(None).cast("string"))
-        found = rows.join(self.state.select("key", F.col("value")).withColumn("_in", F.lit(True)), "key", "left").withColumn("hit", F.coalesce("_in", F.lit(False))).drop("_in")
+        held = self._held(rows, bucket)
+        found = rows.join(held.select("key", "value").withColumn("_in", F.lit(True)), "key", "left").withColumn("hit", F.coalesce("_in", F.lit(False))).drop("_in")
         if self.bloom:
             found = found.join(self.seen.withColumn("_asks", F.lit(True)), "key", "left").withColumn("_asks", F.coalesce("_asks", F.lit(False)))
         else:
@@ -378,55 +407,74 @@ class MemoCache:
         found = self.keep(found, bucket, "probed")
         hits, misses = found.agg(F.count_if("hit"), F.count_if(~F.col("hit") & F.col("_asks"))).first()
         self.stats = replace(self.stats, hits=self.stats.hits + hits, misses=self.stats.misses + misses)
-        touched = found.where("hit").groupBy("key").agg(F.max("pos").alias("last"))
-        moved = self.state.join(touched, "key", "left").select(
-            "key", "value", F.when(F.col("last").isNotNull(), F.lit(2 * (bucket - 1))).otherwise(F.col("t")).alias("t"), F.coalesce("last", "row").alias("row")
-        )
-        self._write_pending(moved, bucket)
+        touched = found.where("hit").groupBy("key").agg(F.any_value("value").alias("value"), F.max("pos").alias("row"))
+        self._write_pending(touched.select("key", "value", F.lit(2 * (bucket - 1)).cast("long").alias("t"), "row"), held, bucket)
         return found.drop("_asks")
 
+    def _held(self, rows: DataFrame | None, bucket: int) -> DataFrame:
+        """What the state has of the keys that a bucket asks for or that wait to be written: the only part of it that a bucket needs."""
+        asked = [df.select("key") for df in (rows, self.pending) if df is not None]
+        keys = asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1])
+        return self.keep(self.state.join(keys.distinct(), "key", "left_semi"), bucket, "held")
+
     def write(self, results: DataFrame, bucket: int) -> None:
         """Hold a bucket's results (key, value, pos) until the next bucket has been probed; that ends the bucket's version."""
         self.pending = self.keep(results.select("key", "value", "pos"), bucket, "pending")
         self.bucket = bucket
-        text = json.dumps({"stats": asdict(self.stats)})
+        text = json.dumps({"stats": asdict(self.stats), "segments": self.segments, "known": self.known, "size": self.size})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self._path(bucket, "manifest"))
-        remove(self.spark, self._path(bucket - 2))
-
-    def _write_pending(self, state: DataFrame, bucket: int) -> None:
-        """The state after the probe of ``bucket`` and the writes of the bucket before it: one table, and a smaller one where it has to be trimmed."""
+        self.referred[bucket] = {*self.segments, *self.known}
+        old = self.referred.pop(bucket - 2, set()) | self.referred.get(bucket - 1, set())
+        for name in old - self.referred[bucket] - self.referred.get(bucket - 1, set()):
+            remove(self.spark, f"{self.folder}/{name}")
+        for name in ("manifest", "probed", "held", "mapped", "pending"):
+            remove(self.spark, self._path(bucket - 2, name))
+
+    def _change(self, changes: DataFrame, bucket: int, name: str, gone: bool = False) -> DataFrame:
+        """Write changed entries, or evicted ones, as the state's last word on their keys."""
+        made = self.keep(changes.select("key", "value", "t", "row", F.lit(gone).alias("gone"), F.lit(2 * bucket + gone).cast("long").alias("seq")), bucket, name)
+        self.segments = [*self.segments, f"version={bucket}/{name}"]
+        return made
+
+    def _evict(self, bucket: int, name: str) -> None:
+        """Down to ``capacity - 1``: what has to go is found by a top-k of about as many rows as a bucket has added."""
+        side = (F.col("t").asc(), F.col("row").asc()) if self.policy == "lru" else (F.col("t").desc(), F.col("row").desc())
+        self._change(self.state.orderBy(*side).limit(self.size - self.capacity + 1), bucket, name, True)
+        self.size = self.capacity - 1
+
+    def _write_pending(self, changes: DataFrame | None, held: DataFrame, bucket: int) -> None:
+        """The changes of the probe of ``bucket`` and of the writes of the bucket before it, and what has to be evicted then."""
         if self.pending is not None:
             new = self.pending
             if self.bloom:
                 nth = F.row_number().over(Window.partitionBy("key").orderBy("pos"))
-                ranked = new.withColumn("nth", nth).join(self.seen.withColumn("known", F.lit(True)), "key", "left")
-                self.seen = self.keep(self.seen.unionByName(new.select("key")).distinct(), bucket, "seen")
+                ranked = self.keep(new.withColumn("nth", nth).join(self.seen.withColumn("known", F.lit(True)), "key", "left"), bucket, "ranked")
+                self.keep(ranked.where("known is null").select("key").distinct(), bucket, "seen")
+                self.known = [*self.known, f"version={bucket}/seen"]
                 new = ranked.where("known or nth > 1").select("key", "value", "pos")
-            first = new.join(state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("pos").alias("row"), F.min_by("value", "pos").alias("value"))
-            state = state.unionByName(first.select("key", "value", F.lit(2 * (bucket - 1) + 1).cast("long").alias("t"), "row"))
-        elif self.bloom:
-            self.seen = self.keep(self.seen, bucket, "seen")
-        grown = self.keep(state, bucket, "state")
-        size = grown.count()
-        if size > self.capacity:
-            grown = self.keep(trim(grown, self.capacity, self.policy), bucket, "trimmed")
-            size = self.capacity - 1
-            remove(self.spark, self._path(bucket, "state"))
-            self._rename(bucket, "trimmed", "state")
-            grown = self.spark.read.schema(STATE).parquet(self._path(bucket, "state"))
-        self.state, self.stats = grown, replace(self.stats, size=size)
-
-    def _rename(self, bucket: int, old: str, new: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        place = path(self._path(bucket, old))
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).rename(place, path(self._path(bucket, new)))
+            first = new.join(held.select("key"), "key", "left_anti").groupBy("key").agg(F.min("pos").alias("row"), F.min_by("value", "pos").alias("value"))
+            first = first.select("key", "value", F.lit(2 * (bucket - 1) + 1).cast("long").alias("t"), "row")
+            changes = first if changes is None else changes.unionByName(first)
+        if changes is not None:
+            self.size += self._change(changes, bucket, "changed").where(F.col("t") == 2 * (bucket - 1) + 1).count()
+        if self.size > self.capacity:
+            self._evict(bucket, "evicted")
+        if len(self.segments) > 2 * self.compact_every:
+            whole = self.state
+            self.segments = []
+            self._change(whole, bucket, "state")
+        if len(self.known) > self.compact_every:
+            self.keep(self.seen, bucket, "known")
+            self.known = [f"version={bucket}/known"]
+        self.stats = replace(self.stats, size=self.size)
 
     def insert(self, entries: DataFrame, bucket: int) -> None:
         """Add entries (key, value, pos) at once, with eviction: at most ``capacity - 1`` stay."""
         first = entries.join(self.state.select("key"), "key", "left_anti").groupBy("key").agg(F.min("pos").alias("row"), F.min_by("value", "pos").alias("value"))
-        grown = self.state.unionByName(first.select("key", "value", F.lit(2 * bucket + 1).cast("long").alias("t"), "row"))
-        self.state = self.keep(_cut(grown, self.capacity, self.policy) if grown.count() >= self.capacity else grown, bucket, f"inserted-{uuid.uuid4().hex}")
-        self.stats = replace(self.stats, size=self.state.count())
+        self.size += self._change(first.select("key", "value", F.lit(2 * bucket + 1).cast("long").alias("t"), "row"), bucket, f"inserted-{uuid.uuid4().hex}").count()
+        if self.size >= self.capacity:
+            self._evict(bucket, f"evicted-{uuid.uuid4().hex}")
+        self.stats = replace(self.stats, size=self.size)
 
     def fetch(self, keys: DataFrame) -> DataFrame:
         """The entries of the keys that are there; nothing is counted or touched."""
@@ -435,6 +483,6 @@ class MemoCache:
     def close(self) -> CacheStats:
         """Apply the last bucket's writes, in a version of their own that no bucket starts from."""
         if self.pending is not None and self.policy != "none":
-            self._write_pending(self.state, self.bucket + 1)
+            self._write_pending(None, self._held(None, self.bucket + 1), self.bucket + 1)
         self.bucket = -1  # whatever bucket comes next starts from its version
         return self.stats

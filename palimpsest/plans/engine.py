@@ -32,10 +32,11 @@ class Run:
 
 
 def prepare(reads: DataFrame, config: EngineConfig) -> DataFrame:
-    """Add chain, key, cb, bucket and pos to reads (file_id, header, sequence, plus, quality, arrival)."""
+    """Add chain, key, cb, bucket and pos to reads (file_id, header, sequence, plus, quality, arrival). ``n_rows`` of the result is their number."""
     sequence = F.col("sequence")
     key = keys.KEYS[config.key](sequence) if config.key else keys.packed_key(sequence, config.mode) if config.packed_key else sequence
     chained = materialize(reads.withColumn("chain", keys.chain_hash(sequence, config.hasher, mode=config.mode)).withColumn("key", key), "reads")
+    n_rows = chained.count()  # from the footers of what has just been written
     if config.max_chain == 1:
         sorted_rows = bucketing.sorted_chain(chained, config.mode)
         before = sorted_rows.groupBy("chain").agg(F.count("*").alias("n"))  # a row for each of at most 64 chains
@@ -43,8 +44,11 @@ def prepare(reads: DataFrame, config: EngineConfig) -> DataFrame:
         table = [(c, sum(v for k, v in n.items() if k < c), sorted(n).index(c) + 1) for c in n]
         starts = reads.sparkSession.createDataFrame(table, "chain int, before long, turn long")
         placed = sorted_rows.join(F.broadcast(starts), "chain")
-        return placed.select(*chained.columns, F.lit(0).cast("long").alias("cb"), F.col("turn").alias("bucket"), (F.col("before") + F.col("pos")).alias("pos"))
-    return bucketing.assign_buckets(chained, config.bucket_size, config.chain_order, config.seed)
+        out = placed.select(*chained.columns, F.lit(0).cast("long").alias("cb"), F.col("turn").alias("bucket"), (F.col("before") + F.col("pos")).alias("pos"))
+    else:
+        out = bucketing.assign_buckets(chained, config.bucket_size, config.chain_order, config.seed)
+    out.n_rows = n_rows
+    return out
 
 
 def route(prepared: DataFrame, config: EngineConfig) -> DataFrame:
@@ -55,6 +59,9 @@ def route(prepared: DataFrame, config: EngineConfig) -> DataFrame:
     bloom, replay = config.bloom_bits or config.bloom, None
     if config.cache_policy == "none":
         marked = dedup.mark_hits(prepared, "none")
+    elif getattr(prepared, "n_rows", config.cache_capacity + 1) <= config.cache_capacity and not config.bloom_bits:
+        # no more rows than the cache holds: there is nothing to count first
+        marked = dedup.mark_hits(prepared, config.cache_policy, bloom, config.mode, config.compression)
     else:
         prepared = materialize(prepared, "prepared")
         known = materialize(dedup.admissions(prepared, config.compression, bloom, config.mode), "keys")

@@ -323,7 +323,7 @@ def test_cache_goes_on_after_a_restart(spark, tmp_path):
     rows = spark.createDataFrame([(i // 10 + 1, k, i + 1, i % 3) for i, k in enumerate(s)], "bucket long, key string, pos long, file_id int")
     mapping = lambda r: r.withColumn("value", F.concat(F.lit("v"), "key"))
     for policy, bloom in (("lru", False), ("mru", True)):
-        make = lambda name: MemoCache(spark, str(tmp_path / policy / name), 6, policy, bloom)
+        make = lambda name: MemoCache(spark, str(tmp_path / policy / name), 6, policy, bloom, compact_every=2)
         whole = stream.run_buckets(make("whole"), rows, mapping, 8, str(tmp_path / policy / "a"), "cross")
         cache = make("parts")
         for b in range(1, 5):
@@ -338,6 +338,22 @@ def test_cache_goes_on_after_a_restart(spark, tmp_path):
             assert {r.pos: r.value for r in spark.read.parquet(str(tmp_path / policy / name)).collect()} == {i + 1: "v" + k for i, k in enumerate(s)}
 
 
+def test_a_bucket_writes_what_it_changes(spark, tmp_path):
+    """A large state isn't written again for a small bucket; old tables go once no bucket can start from them."""
+    cache = MemoCache(spark, str(tmp_path), 400, "lru", compact_every=3)
+    mapping = lambda r: r.withColumn("value", F.col("key"))
+    sizes = []
+    for b in range(1, 13):
+        names = [f"k{i}" for i in range(300)] if b == 1 else [f"k{b}", f"new{b}", f"new{b}"]
+        stream.step(cache, spark.createDataFrame([(k, b * 1000 + i) for i, k in enumerate(names)], "key string, pos long"), b, mapping)
+        changed = tmp_path / f"version={b}" / "changed"
+        sizes.append(spark.read.parquet(str(changed)).count())
+    assert sizes[0] == 0 and sizes[1] == 300 and all(n == 2 for n in sizes[3:])
+    assert cache.size == 300 + 10 and cache.state.count() == 310
+    assert len(cache.segments) <= 6 and sum(x.is_dir() for v in tmp_path.iterdir() for x in v.iterdir()) < 30
+    assert {r.key: r.t for r in cache.state.where("key in ('k5', 'k200', 'new4')").collect()} == {"k5": 8, "k200": 3, "new4": 9}
+
+
 def test_cache_tables(spark, tmp_path):
     cache = MemoCache(spark, str(tmp_path), 4)
     entries = lambda names, at: spark.createDataFrame([(k, "v" + k, at + i) for i, k in enumerate(names)], "key string, value string, pos long")
