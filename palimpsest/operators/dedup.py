@@ -9,7 +9,7 @@ most. A smaller cache is walked through bucket by bucket (``cache.walk``); both
 ways end in the same columns.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import BloomBits
@@ -133,18 +133,23 @@ def mark_routes(rows: DataFrame, compression: str = "none", mode: str = "intende
     )
 
 
+def totals() -> list[Column]:
+    """rows, unique, dup, hits and misses of routed rows."""
+    return [
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("route") == "unique").alias("n_unique"),
+        F.count_if(F.col("route") == "dup").alias("n_dup"),
+        F.count_if("hit").alias("hits"),
+        F.count_if("asked").alias("misses"),
+    ]
+
+
 def counters(routed: DataFrame) -> DataFrame:
     """Per bucket: rows, unique, dup, hits, misses, ratio. Each row from the cache is a hit; misses are the rows that asked in vain.
 
     A key that the admission filter doesn't know isn't counted; without a cache nothing is.
     """
-    counted = routed.groupBy("bucket").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(F.col("route") == "unique").alias("n_unique"),
-        F.count_if(F.col("route") == "dup").alias("n_dup"),
-        F.count_if("hit").alias("hits"),
-        F.count_if("asked").alias("misses"),
-    )
+    counted = routed.groupBy("bucket").agg(*totals())
     return counted.withColumn("compression_ratio", F.try_divide(F.col("n_rows").cast("double"), F.col("n_unique").cast("double")))
 
 

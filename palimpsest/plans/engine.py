@@ -10,25 +10,36 @@ smaller than the keys that it would hold is walked through bucket by bucket
 """
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palimpsest.config import EngineConfig
 from palimpsest.functions import keys
 from palimpsest.operators import bucketing, cache, dedup, mapper
-from palimpsest.storage import materialize
+from palimpsest.storage import materialize, release, scope
 
 
 @dataclass(frozen=True)
 class Run:
-    """routed: each row with its route. output: file_id, pos, bucket, route, line. counters: a row per bucket. seconds: map time by bucket."""
+    """routed: each row with its route. output: file_id, pos, bucket, route, line. counters: a row per bucket. seconds: map time by bucket.
+
+    totals: the counters' sums, observed while the routes were written. replay: how a cache
+    that evicts was followed. ``close`` deletes the run's tables; what it gave can't be read after that.
+    """
 
     routed: DataFrame
     output: DataFrame
     counters: DataFrame
     seconds: DataFrame | None = None
+    totals: dict[str, int] = field(default_factory=dict)
+    replay: cache.Replay | None = None
+    tables: list[DataFrame] = field(default_factory=list, repr=False)
+
+    def close(self) -> None:
+        release(*self.tables)
+        self.tables.clear()
 
 
 def prepare(reads: DataFrame, config: EngineConfig) -> DataFrame:
@@ -76,13 +87,15 @@ def route(prepared: DataFrame, config: EngineConfig) -> DataFrame:
 
 def run(reads: DataFrame, config: EngineConfig, function: Callable[[list[str]], list[str]] | None = None) -> Run:
     """``function`` maps record texts to lines; without one, the stand-in expression does."""
-    routed = materialize(route(prepare(reads, config), config), "routed")
-    unique = routed.where("route = 'unique'")
-    if function:
-        results = materialize(mapper.map_unique(unique, function, config.bucket_size, config.threads), "results")
-        seconds = routed.select("pos", "bucket").join(results.select("pos", "seconds"), "pos").groupBy("bucket").agg(F.sum("seconds").alias("seconds"))
-    else:
-        results, seconds = unique.select("pos", mapper.stand_in(F.col("sequence")).alias("value")), None
+    with scope() as tables:
+        marked, seen = route(prepare(reads, config), config), Observation()
+        routed = materialize(marked.observe(seen, *dedup.totals()), "routed")
+        unique = routed.where("route = 'unique'")
+        if function:
+            results = materialize(mapper.map_unique(unique, function, config.bucket_size, config.threads), "results")
+            seconds = routed.select("pos", "bucket").join(results.select("pos", "seconds"), "pos").groupBy("bucket").agg(F.sum("seconds").alias("seconds"))
+        else:
+            results, seconds = unique.select("pos", mapper.stand_in(F.col("sequence")).alias("value")), None
     line = keys.OUTPUTS[config.output](F.col("header"), F.col("value")) if config.output else keys.retag(F.col("header"), F.col("value"), config.mode) if config.retag else F.col("value")
     output = dedup.fan_out(routed, results).select("file_id", "pos", "bucket", "route", line.alias("line"))
-    return Run(routed, output, dedup.counters(routed), seconds)
+    return Run(routed, output, dedup.counters(routed), seconds, seen.get, marked.replay, tables)

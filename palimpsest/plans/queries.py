@@ -272,7 +272,21 @@ register(
     lambda s, d: with_arrival(_even(s, d), 5).select("event_id", "arrival"),
     "select event_id, row_number() over (order by event_id // 5, event_id % 5) - 1 as arrival from events",
 )
-register("interleave_general", lambda s, d: with_arrival(_numbered(s, d), 3).select("event_id", "arrival"))
+# one read after another: each open file in turn; a file is seen to have ended when it is read once more, and the files after it move up
+register(
+    "interleave_general",
+    lambda s, d: with_arrival(_numbered(s, d), 3).select("event_id", "arrival"),
+    f"""with recursive {_rec_sql.removeprefix('with ')},
+w as (
+  select cast(0 as bigint) as done, -1 as file_id, cast(-1 as bigint) as rec_idx, 0 as head, list({{'f': file_id, 'n': n, 'k': cast(0 as bigint)}} order by file_id) as s
+  from (select file_id, count(*) as n from n group by file_id)
+  union all
+  select case when s[head + 1].n > 0 then done + 1 else done end, case when s[head + 1].n > 0 then s[head + 1].f else -1 end, s[head + 1].k,
+    case when s[head + 1].n > 0 then (head + 1) % least(3, len(s)) when len(s) > 1 then (head + 1) % least(3, len(s) - 1) else 0 end,
+    list_concat(s[1:head], case when s[head + 1].n > 0 then [{{'f': s[head + 1].f, 'n': s[head + 1].n - 1, 'k': s[head + 1].k + 1}}] else [] end, s[head + 2:])
+  from w where len(s) > 0
+) select n.event_id, w.done - 1 as arrival from w join n using (file_id, rec_idx)""",
+)
 for _policy, _dir in (("lru", "desc"), ("mru", "asc")):
     register(
         f"{_policy}_trim",
@@ -508,12 +522,10 @@ register(
     lambda s, d: fastq.files_table(s, _fastq_folder(s, d), r"f[0-9]+\.fastq", ".sam").select("file_id", F.substring_index("path", "/", -1).alias("name"), F.substring_index("output_path", "/", -1).alias("output")),
     f"with {READS_SQL} select distinct file_id, 'f' || lpad(cast(file_id as varchar), 3, '0') || '.fastq' as name, 'f' || lpad(cast(file_id as varchar), 3, '0') || '.sam' as output from reads",
 )
-_INI = "# a comment\nbucket_size = 20\nhash func=double\nflag\nbucket_size=2 5\nratio=1.5e1x\nretag = YES\n"
-
-
 def _options(s: SparkSession, d: str) -> DataFrame:
-    """What a control file says, as it stands there and as typed values."""
-    found = conf.read_options(_INI)
+    """A control file with a table's figures in it: what it says, as it stands there and as typed values."""
+    n = _table(s, d, "documents").count()
+    found = conf.read_options(f"# a comment\nbucket_size = 20\nhash func=double\nflag\nbucket_size={n} 5\nratio={n}.5e1x\nretag = YES\n")
     typed = {"bucket_size": conf.get_int(found, "bucket_size", -1), "ratio": conf.get_float(found, "ratio", 0.0), "retag": conf.get_bool(found, "retag")}
     return s.createDataFrame([(k, v, str(typed.get(k, v))) for k, v in found.items()], "name string, value string, typed string")
 
@@ -521,7 +533,9 @@ def _options(s: SparkSession, d: str) -> DataFrame:
 register(
     "config_options",
     _options,
-    "select * from (values ('bucket_size', '25', '25'), ('hashfunc', 'double', 'double'), ('flag', 'flag', 'flag'), ('ratio', '1.5e1x', '15.0'), ('retag', 'YES', 'True')) t(name, value, typed)",
+    """with n as (select count(*) as n from documents) select name, value, typed from (
+select 'bucket_size' as name, n || '5' as value, n || '5' as typed from n union all select 'ratio', n || '.5e1x', (10 * n + 5) || '.0' from n
+union all values ('hashfunc', 'double', 'double'), ('flag', 'flag', 'flag'), ('retag', 'YES', 'True'))""",
 )
 _AWK = """awk 'NR%4==2{print "ref\\t" length($0) "\\t" $0; fflush()}'"""
 _awk_sql = "'ref' || chr(9) || length(sequence) || chr(9) || sequence"

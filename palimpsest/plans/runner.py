@@ -24,7 +24,7 @@ from palimpsest.logs import fatal, logger, timer
 from palimpsest.operators import mapper
 from palimpsest.plans import engine, metrics
 from palimpsest.sources import fastq, sinks
-from palimpsest.storage import materialize, shared_folder
+from palimpsest.storage import materialize, release, scope, shared_folder
 
 STDIN_OUTPUT = "OUT.sam"
 
@@ -63,16 +63,18 @@ def _inputs(spark: SparkSession, options: dict[str, str], c: conf.EngineConfig)
 def run_options(spark: SparkSession, options: dict[str, str], function: Callable[[list[str]], list[str]] | None = None, **more) -> Report:
     """Run what ``options`` ask for. ``function`` takes the place of their command; ``more`` are fields of the configuration."""
     c = conf.EngineConfig.from_options(options, **more)
-    with timer("run") as took:
+    with timer("run") as took, scope() as records:
         reads, outputs, paths = _inputs(spark, options, c)
         function = function or mapper.aligner_function(options)
         made = engine.run(reads, c, function)
         sinks.write_outputs(made.output, outputs, c.suppress_output)
-        counted = materialize(made.counters, "counters")
-        log = materialize(metrics.batch_metrics(counted, c.bucket_size, made.seconds), "log")
+    counted = materialize(made.counters, "counters")
+    log = materialize(metrics.batch_metrics(counted, c.bucket_size, made.seconds), "log")
     mapping = made.seconds.agg(F.sum("seconds")).first()[0]
     total = metrics.summary(counted, mapping, c.mode)
     seen = total.first()
+    made.close()
+    release(*records)
     if path := options.get("metrics"):
         sinks.write_text(metrics.log_lines(log, paths, options.get("_this_config", ""), seen.n_rows, took.value), path)
     logging.getLogger("palimpsest").info("%d reads, %d mapped, %d hits, %d misses, %.1f s of mapping", seen.n_rows, seen.n_unique, seen.hits, seen.misses, mapping or 0.0)

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """The tables that ``materialize`` makes inside, for ``release`` once nothing reads them any more."""
+    made: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+
+
 def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, with a folder for each value of ``by``, and read it back.
 
@@ -31,6 +47,8 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 

@@ -14,7 +14,7 @@ from palimpsest.operators import bucketing, dedup, mapper
 from palimpsest.operators.cache import BloomFilter, MemoCache, Recency, trim, walk
 from palimpsest.plans import engine, metrics, queries, runner
 from palimpsest.sources import fastq, sinks
-from palimpsest.storage import materialize, numbered, release
+from palimpsest.storage import materialize, numbered, release, shared_folder
 from palimpsest.streaming import buckets as stream
 
 CODE = {"A": 0, "C": 1, "T": 2, "G": 3}
@@ -605,6 +605,26 @@ def test_intermediate_tables_can_be_removed(spark):
     assert not os.path.exists(path)
 
 
+def test_a_closed_run_leaves_no_tables(spark, tmp_path):
+    def tables():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        return {x.getPath().getName() for x in found}
+
+    shared_folder(spark)
+    before = tables()
+    config = EngineConfig(bucket_size=10, hasher="single", compression="full", cache_policy="lru", cache_capacity=9)
+    run = engine.run(reads(spark, sequences(200, 30, 3)), config)
+    sums = run.counters.selectExpr("sum(n_rows) n_rows", "sum(n_unique) n_unique", "sum(n_dup) n_dup", "sum(hits) hits", "sum(misses) misses").first().asDict()
+    assert run.totals == sums and run.replay.ranges >= 1 and run.output.count() == 200
+    assert len(tables() - before) > 3
+    run.close()
+    assert tables() == before
+    (tmp_path / "a.fastq").write_text("@a z\nACGT\n+\n====\n")
+    report = runner.run_options(spark, {"data_dir": str(tmp_path), "cache_policy": "lru", "metrics": f"{tmp_path}/log"}, mapper.process_function("awk 'NR%4==2'"))
+    assert report.summary.first().n_rows == 1 and len(tables() - before) == 2  # counters and log, which the report has
+
+
 def test_timer_and_fatal(caplog):
     with caplog.at_level("INFO", logger="palimpsest"), logs.timer("part") as took:
         pass
