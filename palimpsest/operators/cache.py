@@ -427,7 +427,7 @@ class MemoCache:
         old = self.referred.pop(bucket - 2, set()) | self.referred.get(bucket - 1, set())
         for name in old - self.referred[bucket] - self.referred.get(bucket - 1, set()):
             remove(self.spark, f"{self.folder}/{name}")
-        for name in ("manifest", "probed", "held", "mapped", "pending"):
+        for name in ("manifest", "records", "probed", "held", "ranked", "mapped", "pending"):
             remove(self.spark, self._path(bucket - 2, name))
 
     def _change(self, changes: DataFrame, bucket: int, name: str, gone: bool = False) -> DataFrame:

@@ -417,27 +417,33 @@ register(
 )
 
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
-    """Six buckets as six files, one micro-batch each, through the cache that lives in tables: its counters at the end."""
-    rows = event_reads(s, d).select(F.col("sequence").alias("key"), (F.col("arrival") + 1).alias("pos"))
+def _stream(s: SparkSession, d: str, raw: bool = False) -> DataFrame:
+    """Six buckets as six files, one micro-batch each, through the cache that lives in tables: its counters at the end. ``raw``: FASTQ files."""
+    rows = event_reads(s, d).withColumns({"key": F.col("sequence"), "pos": F.col("arrival") + 1})
     size = -(-rows.count() // 6)
     folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    line = keys.record_text(F.col("header"), F.col("sequence"), F.col("plus"), F.repeat(F.lit("="), F.length("sequence")))
     for b in range(6):
-        rows.where((F.col("pos") > b * size) & (F.col("pos") <= (b + 1) * size)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        own = rows.where((F.col("pos") > b * size) & (F.col("pos") <= (b + 1) * size))
+        if raw:
+            sinks.write_outputs(own.select(F.lit(0).alias("file_id"), "pos", line.alias("line")), {0: f"{folder}/in/{b}.fastq"})
+        else:
+            own.select("key", "pos").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     cache_ = cache.MemoCache(s, f"{folder}/cache", CAPACITY, "lru")
     mapping = lambda r: r.select("pos", mapper.stand_in(F.col("key")).alias("value"))
-    stats = buckets.run_stream(s, f"{folder}/in", "key string, pos long", cache_, mapping, f"{folder}/out", f"{folder}/checkpoint")
+    places = f"{folder}/out", f"{folder}/checkpoint"
+    stats = buckets.run_files(s, f"{folder}/in", cache_, mapping, *places) if raw else buckets.run_stream(s, f"{folder}/in", "key string, pos long", cache_, mapping, *places)
     done = s.read.parquet(f"{folder}/out").agg(F.count("value").alias("answered"), F.count_distinct("pos").alias("rows"))
     return done.select("answered", "rows", F.lit(stats.hits).cast("long").alias("hits"), F.lit(stats.misses).cast("long").alias("misses"), F.lit(stats.size).cast("long").alias("size"))
 
 
-register(
-    "lru_stream",
-    _stream,
+_stream_sql = (
     bounded_sql(CAPACITY, "lru", "none", EVENT_B).replace(f"(rn - 1) // {EVENT_B}", "(rn - 1) // (select cast(ceil(count(*) / 6) as bigint) from reads)").replace(f"count(*) / {EVENT_B}", "count(*) / (select ceil(count(*) / 6) from reads)")
     + """ select count(*) as answered, count(*) as rows, count(*) filter (where hit) as hits, count(*) filter (where not hit) as misses,
-(select count(*) from st where kind = 'state' and b = (select max(b) from st)) as size from hits""",
+(select count(*) from st where kind = 'state' and b = (select max(b) from st)) as size from hits"""
 )
+register("lru_stream", _stream, _stream_sql)
+register("lru_stream_fastq", lambda s, d: _stream(s, d, True), _stream_sql)
 
 
 # files: written by the query, read again

@@ -205,13 +205,24 @@ def scan(spark: SparkSession, path: str, pattern: str | None = None, kind: str =
     line knows its number and with it its record, wherever a split ends. A record's lines are put together before
     they are shuffled. A FASTQ record without its @ and +, or whose sequence and quality differ in length, is an error; an incomplete last one is dropped, with ``require_newline`` also one whose last line isn't ended.
     """
-    size = {"fastq": 4, "fasta": 2}[kind]
     files = inputs(spark, path, pattern or rf".*\.{kind}")
     names = spark.createDataFrame([(key, k) for k, (_, key) in enumerate(files)], "_key string, file_id int")
-    lines = spark.read.option("lineSep", "\n").text([x for x, _ in files])
-    own = F.substring_index("_metadata.file_path", "/", -1).alias("_key")
-    lines = lines.select(own, F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value")
-    lines = lines.join(F.broadcast(names), "_key").drop("_key")
+    lines = numbered_lines(spark.read.option("lineSep", "\n").text([x for x, _ in files])).join(F.broadcast(names), "_key").drop("_key")
+    length = None
+    if require_newline:
+        sized = spark.read.format("binaryFile").load([x for x, _ in files]).select(F.substring_index("_metadata.file_path", "/", -1).alias("_key"), "length")
+        length = {r.file_id: r.length for r in sized.join(names, "_key").collect()}
+    return records(lines, kind, length)
+
+
+def numbered_lines(text: DataFrame) -> DataFrame:
+    """Lines of Spark's text reader with the name of their file, their split and a number that grows along it."""
+    return text.select(F.substring_index("_metadata.file_path", "/", -1).alias("_key"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"), "value")
+
+
+def records(lines: DataFrame, kind: str = "fastq", length: dict[int, int] | None = None) -> DataFrame:
+    """Records of ``numbered_lines`` with a file_id. ``length``: the files' bytes; then a last record without the end of its line is dropped."""
+    spark, size = lines.sparkSession, {"fastq": 4, "fasta": 2}[kind]
     splits = lines.groupBy("file_id", "_start").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes"))
     splits = materialize(splits, "splits")
     before = Window.partitionBy("file_id").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
@@ -223,19 +234,17 @@ def scan(spark: SparkSession, path: str, pattern: str | None = None, kind: str =
     fields = ("header", "sequence", "plus", "quality")
     made = [F.max(F.when(F.col("_k") == i, F.col("value"))).alias(c) if i < size else F.lit(None).cast("string").alias(c) for i, c in enumerate(fields)]
     placed = lines.join(places, ["file_id", "_start"]).select("file_id", F.floor(at / size).cast("long").alias("rec_idx"), k.alias("_k"), value.alias("value"))
-    records = placed.groupBy("file_id", "rec_idx").agg(*made, F.count("*").alias("_n")).where(F.col("_n") == size)
-    if require_newline:
+    found = placed.groupBy("file_id", "rec_idx").agg(*made, F.count("*").alias("_n")).where(F.col("_n") == size)
+    if length is not None:
         ends = splits.groupBy("file_id").agg(F.sum("_n").alias("n"), F.sum("_bytes").alias("bytes")).collect()
-        sized = spark.read.format("binaryFile").load([x for x, _ in files]).select(own, "length")
-        length = {r.file_id: r.length for r in sized.join(names, "_key").collect()}
         cut = [(r.file_id, (r.n - 1) // size) for r in ends if r.bytes != length[r.file_id]]
         if cut:
-            records = records.join(F.broadcast(spark.createDataFrame(cut, "file_id int, rec_idx long")), ["file_id", "rec_idx"], "left_anti")
+            found = found.join(F.broadcast(spark.createDataFrame(cut, "file_id int, rec_idx long")), ["file_id", "rec_idx"], "left_anti")
     if kind == "fasta":
-        return records.select("file_id", "rec_idx", *fields)
+        return found.select("file_id", "rec_idx", *fields)
     fine = F.startswith("header", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.octet_length("sequence") == F.octet_length("quality"))
     wrong = F.concat(F.lit("record "), F.col("rec_idx").cast("string"), F.lit(" of file "), F.col("file_id").cast("string"), F.lit(f" is no {kind} record"))
-    return records.select("file_id", "rec_idx", F.when(fine, F.col("header")).otherwise(F.raise_error(wrong)).alias("header"), *fields[1:])
+    return found.select("file_id", "rec_idx", F.when(fine, F.col("header")).otherwise(F.raise_error(wrong)).alias("header"), *fields[1:])
 
 
 def files_table(spark: SparkSession, path: str, pattern: str, ext: str = "_out") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import dedup
 from palimpsest.operators.cache import CacheStats, MemoCache
+from palimpsest.sources import fastq
 
 Mapper = Callable[[DataFrame], DataFrame]  # rows with key and pos to pos and value
 
@@ -37,6 +38,23 @@ def run_buckets(cache: MemoCache, rows: DataFrame, mapping: Mapper, n_buckets: i
     return cache.close()
 
 
+def run_files(spark: SparkSession, folder: str, cache: MemoCache, mapping: Mapper, output: str, checkpoint: str, kind: str = "fastq", compression: str = "none") -> CacheStats:
+    """Run all buckets that lie in ``folder`` as FASTQ or FASTA files, one a bucket, and write pos and value to ``output``; the key is the sequence.
+
+    Files are taken once each, in the order of their times, also after a restart. pos is the
+    file's turn, in the bits above ``fastq.SPLIT_BITS``, and the record's number in it, from 1.
+    """
+
+    def batch(lines: DataFrame, batch_id: int) -> None:
+        found = fastq.records(lines.withColumn("_id", F.monotonically_increasing_id()).withColumn("file_id", F.lit(batch_id)), kind)
+        rows = found.select(F.col("sequence").alias("key"), (F.lit(batch_id << fastq.SPLIT_BITS) + F.col("rec_idx") + 1).alias("pos"), "file_id")
+        rows = cache.keep(rows, batch_id + 1, "records")
+        step(cache, rows, batch_id + 1, mapping, compression).write.mode("overwrite").parquet(f"{output}/bucket={batch_id + 1}")
+
+    text = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", 1).option("pathGlobFilter", f"*.{kind}").text(folder)
+    return _run(text.select(F.col("_metadata.file_block_start").alias("_start"), "value"), batch, cache, checkpoint)
+
+
 def run_stream(spark: SparkSession, source: str, schema: str, cache: MemoCache, mapping: Mapper, output: str, checkpoint: str, compression: str = "none") -> CacheStats:
     """Run all buckets that lie in ``source`` as Parquet files and write pos and value to ``output``."""
 
@@ -44,6 +62,10 @@ def run_stream(spark: SparkSession, source: str, schema: str, cache: MemoCache,
         step(cache, rows, batch_id + 1, mapping, compression).write.mode("overwrite").parquet(f"{output}/bucket={batch_id + 1}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return _run(stream, batch, cache, checkpoint)
+
+
+def _run(stream: DataFrame, batch: Callable[[DataFrame, int], None], cache: MemoCache, checkpoint: str) -> CacheStats:
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     cache.start(cache.last() + 1)  # where no batch was left to run

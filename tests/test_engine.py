@@ -646,6 +646,25 @@ def test_stream_equals_loop(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
 
 
+def test_raw_files_as_a_stream(spark, tmp_path):
+    """New files go on from where the stream and its cache stopped; no record comes twice."""
+    s = sequences(60, 12, 18)
+    source = tmp_path / "in"
+    source.mkdir()
+    mapping = lambda r: r.withColumn("value", F.col("key"))
+    for part in (range(0, 3), range(3, 6)):
+        for b in part:
+            text = "".join(f"@r{i}\n{k}\n+\n{'=' * len(k)}\n" for i, k in enumerate(s[b * 10 : b * 10 + 10]))
+            (source / f"{9 - b}.fastq").write_text(text)
+            os.utime(source / f"{9 - b}.fastq", (1000 + b, 1000 + b))
+        cache = MemoCache(spark, str(tmp_path / "state"), 5, "lru")
+        stats = stream.run_files(spark, str(source), cache, mapping, str(tmp_path / "out"), str(tmp_path / "cp"))
+    _, sim = simulate_cache([s[k : k + 10] for k in range(0, 60, 10)], 5, "lru", False)
+    assert (stats.hits, stats.misses) == (sim.hits, sim.misses)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.pos >> fastq.SPLIT_BITS, r.pos & 0xFFFF, r.value) for r in out) == [(i // 10, i % 10 + 1, k) for i, k in enumerate(s)]
+
+
 def test_trim_sizes(spark):
     state = spark.createDataFrame([(f"k{i}", "v", i, i) for i in range(1001)], "key string, value string, t long, row long")
     assert trim(state, 1001).count() == 1001
