@@ -11,6 +11,7 @@ row for each bucket says when it is handed out.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.plans.metrics import running_sums
 from palimpsest.storage import materialize, numbered
 
 BLOCK_BITS = 20  # a block has at most 2 ** 20 arrivals
@@ -64,13 +65,9 @@ def random_turns(chains: DataFrame, bucket_size: int, seed: int) -> DataFrame:
     own = Window.partitionBy("chain").orderBy("cb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     gap = F.when((F.col("first") == 1) & (F.col("cb") == 0), F.lit(0.0)).otherwise(-F.log(draw))
     each = each.withColumn("size", F.least(F.lit(bucket_size).cast("long"), F.col("n_rows") - F.col("cb") * bucket_size)).withColumn("time", F.sum(gap).over(own))
-    turn = Window.orderBy("time", "chain", "cb")
-    return each.select(
-        "chain",
-        "cb",
-        F.row_number().over(turn).cast("long").alias("bucket"),
-        F.coalesce(F.sum("size").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"),
-    )
+    # buckets are numbered by ranges of time and their sizes summed by blocks of turns, so no task sees them all
+    turns = numbered(each.withColumn("all", F.lit(0)), ["all"], ["time", "chain", "cb"], "bucket").select("chain", "cb", "bucket", "size")
+    return running_sums(turns.withColumn("upto", F.col("size")), "bucket", ["upto"]).select("chain", "cb", "bucket", (F.col("upto") - F.col("size")).alias("rows_before"))
 
 
 def assign_buckets(reads: DataFrame, bucket_size: int, order: str = "longest", seed: int = 0, block_bits: int = BLOCK_BITS) -> DataFrame:

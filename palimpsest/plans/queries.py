@@ -172,6 +172,22 @@ register(
     lambda s, d: engine.prepare(reads(s, d), _config()).groupBy("chain").agg(F.count_distinct("bucket").alias("n_buckets"), F.min("bucket").alias("first_bucket")),
     f"with {buckets_sql()} select cast(chain as integer) as chain, count(distinct bucket) as n_buckets, cast(min(bucket) as bigint) as first_bucket from bucketed group by chain",
 )
+
+
+def _random_order(s: SparkSession, d: str) -> DataFrame:
+    """What any random order has to keep: each chain's buckets in their own order and whole, the starting chain first."""
+    p = engine.prepare(reads(s, d), _config(chain_order="random", seed=5))
+    b = p.groupBy("chain", "cb").agg(F.min("bucket").alias("b"), F.max("bucket").alias("last"), F.count("*").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    before = F.lag("b").over(Window.partitionBy("chain").orderBy("cb"))  # a row for each bucket
+    b = b.withColumn("fine", (F.coalesce(before, F.lit(0)) < F.col("b")) & (F.col("b") == F.col("last")) & (F.col("hi") - F.col("lo") + 1 == F.col("n")))
+    return b.groupBy("chain").agg(F.count("*").alias("n_buckets"), F.sum("n").alias("n_rows"), F.bool_and("fine").alias("in_order"), (F.min("b") == 1).alias("starts"))
+
+
+register(
+    "random_order",
+    _random_order,
+    f"with {buckets_sql()} select cast(chain as integer) as chain, count(distinct bucket) as n_buckets, count(*) as n_rows, true as in_order, min(cord) = 1 as starts from bucketed group by chain",
+)
 register(
     "bucket_arrival",
     lambda s, d: bucketing.assign_arrival_buckets(reads(s, d), B).select("arrival", "bucket", "pos"),

@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -657,8 +658,16 @@ def test_raw_files_as_a_stream(spark, tmp_path):
             text = "".join(f"@r{i}\n{k}\n+\n{'=' * len(k)}\n" for i, k in enumerate(s[b * 10 : b * 10 + 10]))
             (source / f"{9 - b}.fastq").write_text(text)
             os.utime(source / f"{9 - b}.fastq", (1000 + b, 1000 + b))
-        cache = MemoCache(spark, str(tmp_path / "state"), 5, "lru")
+        cache, listener = MemoCache(spark, str(tmp_path / "state"), 5, "lru"), logs.BucketListener()
+        spark.streams.addListener(listener)
         stats = stream.run_files(spark, str(source), cache, mapping, str(tmp_path / "out"), str(tmp_path / "cp"))
+        for _ in range(100):
+            if ("ended", None, None, None) in listener.events:
+                break
+            time.sleep(0.1)
+        spark.streams.removeListener(listener)
+        assert listener.events[0][0] == "started" and listener.events[-1][0] == "ended"
+        assert {e[1] for e in listener.events if e[0] == "wrote"} == {b + 1 for b in part} and all(e[3] > 0 for e in listener.events if e[0] == "wrote")
     _, sim = simulate_cache([s[k : k + 10] for k in range(0, 60, 10)], 5, "lru", False)
     assert (stats.hits, stats.misses) == (sim.hits, sim.misses)
     out = spark.read.parquet(str(tmp_path / "out")).collect()
