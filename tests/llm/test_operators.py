@@ -639,6 +639,34 @@ def test_one_labelled_id_of_many_rows_is_one_row_of_the_fit(spark, monkeypatch):
     assert len(seen[0]) == len(seen[1]) < 500 and seen[1].max() > 1000 > seen[0].max() and once[1] > 0 < often[1]
 
 
+def test_what_automaton_and_window_decide(spark):
+    """Misspelt abuse and quoted terms, scored with and without near spellings and without quotation windows."""
+    rng = random.Random(12)
+    bad = ["grumblor", "snarkwit", "foulbeak", "mudlickle"]
+
+    def misspelt(t):
+        k = rng.randrange(1, len(t) - 1)
+        return t[:k] + rng.choice(["", rng.choice("aeiou") + t[k], t[k] * 2 + t[k]][:2]) + t[k + 1 :]
+
+    def text(*own):
+        w = words(rng, 30, 3000)
+        for x in own:
+            w.insert(rng.randrange(len(w)), x)
+        return " ".join(w)
+
+    abuse = lambda f: text(*(f(b) for b in rng.sample(bad, 3)))
+    rows = [(abuse(str), 1) for _ in range(150)] + [(abuse(misspelt), 1) for _ in range(60)]
+    rows += [(text(), 0) for _ in range(1200)] + [(text(f'said "{rng.choice(bad)}"'), 0) for _ in range(4)]
+    model = toxicity.fit(*labelled(spark, rows))
+    assert set(bad) <= set(model.terms)
+    bent, quoting = [abuse(misspelt) for _ in range(60)], [text(f'he said "you {b}" to them') for b in bad * 10]
+    flagged = lambda texts, change: sum(float(model.score(np.array([model.features(change(model.hits(t)))]))[0]) >= 0.3 for t in texts)
+    exact, plain = lambda hits: [h for h in hits if h[1] != 1], lambda hits: [(*h[:3], False) for h in hits]
+    assert flagged(bent, lambda h: h) >= 57 and flagged(bent, exact) <= 6  # 60 misspelt ones: the automaton finds them
+    kept = lambda change: np.mean([model.score(np.array([model.features(change(model.hits(t)))]))[0] for t in quoting])
+    assert kept(lambda h: h) < kept(plain) and flagged(quoting, lambda h: h) < flagged(quoting, plain) == 40
+
+
 def test_logistic_ends_where_classes_are_apart():
     x, y = np.zeros((60, 5)), np.arange(60.0) < 20
     x[:20, 0] = 3
