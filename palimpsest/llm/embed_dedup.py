@@ -11,8 +11,9 @@ separate tasks, so no task holds more than two parts; as every direct link of a
 vector is counted, a group of near copies takes as many comparisons as it has
 pairs.
 
-Bits grow with the logarithm of the number of vectors; the number of tables
-follows from the bits, so that a pair exactly at the threshold is met with the
+Bits grow with the logarithm of the number of vectors, so that a code has
+``per_bucket`` classes on average: fewer make more tables, each of which ships the
+vectors again, more make more comparisons. The number of tables follows from the bits, so that a pair exactly at the threshold is met with the
 chance ``recall``; closer pairs are met more often. Both are the same rule at
 every size.
 
@@ -61,7 +62,7 @@ def _forest(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.98, per_bucket: int = 48, bucket: int = 1024, seed: int = 7) -> DataFrame:
+def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.98, per_bucket: int = 256, bucket: int = 1024, seed: int = 7) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"  # floats are doubles as they are
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(kind).alias("v"))
@@ -77,11 +78,12 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
     tables = tables_for(bits, threshold, recall)
     power = (1 << np.arange(bits, dtype=np.int64)).astype(np.float64)
     names = ["c", "many", "v", "codes"]
+    code, code_type = ("int", np.int32) if bits < 32 else ("long", np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            codes = np.zeros((batch.num_rows, tables), dtype=np.int64)
+            codes = np.zeros((batch.num_rows, tables), dtype=code_type)
             v = batch.column("v")
             lengths = np.diff(v.offsets.to_numpy())
             flat, starts = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate(([0], np.cumsum(lengths)))
@@ -91,17 +93,18 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
                 own = np.flatnonzero(lengths == d)
                 for part in np.array_split(own, -(-len(own) // 2048)):
                     x = _scaled(flat[starts[part][:, None] + np.arange(d)])
-                    codes[part] = ((x @ planes[d] > 0).reshape(len(part), tables, bits) @ power).astype(np.int64)
+                    codes[part] = ((x @ planes[d] > 0).reshape(len(part), tables, bits) @ power).astype(code_type)
             out = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables), pa.int32()), pa.array(codes.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("many"), v, out], names=names)
 
-    coded = materialize(classes.select("c", "many", "v").mapInArrow(encode, f"c long, many long, v {kind}, codes array<long>"), "codes")
+    coded = materialize(classes.select("c", "many", "v").mapInArrow(encode, f"c long, many long, v {kind}, codes array<{code}>"), "codes")
     key = ["t", "code", "d"]
     posted = coded.select("c", F.size("v").alias("d"), F.posexplode("codes").alias("t", "code"))
     shared = posted.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     posted = posted.join(shared, key).join(coded, "c").withColumn("parts", F.ceil(F.col("n") / bucket).cast("int"))
     posted = posted.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    posted = posted.withColumn("codes", F.slice("codes", F.lit(1), F.col("t")))  # a bucket asks only whether a pair has met in a table before its own
     posted = posted.withColumn("other", other).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -111,7 +114,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
         c, many, part = c[order], many[order], part[order]
         d = table.column("d")[0].as_py()
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)[order]
-        codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(-1, tables)[order]
+        codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(c), t)[order]
         x = _scaled(x)
         x = x / np.sqrt((x * x).sum(1))[:, None]
         across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
@@ -126,7 +129,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, recall: float =
             linked[own] = near
             i, j = np.nonzero(near)
             if t and len(i):
-                first = ~(codes[i + k, :t] == codes[j, :t]).any(1)
+                first = ~(codes[i + k] == codes[j]).any(1)
                 i, j = i[first], j[first]
             links[own] += np.bincount(i, weights=many[j], minlength=near.shape[0]).astype(np.int64)
         linked |= linked.T
