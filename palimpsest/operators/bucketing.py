@@ -15,6 +15,7 @@ from palimpsest.plans.metrics import running_sums
 from palimpsest.storage import materialize, numbered
 
 BLOCK_BITS = 20  # a block has at most 2 ** 20 arrivals
+SORTED_BY = {"intended": ["sequence", "file_id", "header"], "wired": ["file_id", "header", "sequence", "plus", "quality"]}
 
 
 def _blocks(reads: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -96,5 +97,4 @@ def assign_arrival_buckets(reads: DataFrame, bucket_size: int) -> DataFrame:
 
 def sorted_chain(reads: DataFrame, mode: str = "intended") -> DataFrame:
     """One bucket per chain, sorted: by sequence, or wired by the whole row. bucket follows the chain, pos the order; a chain is shared by many tasks."""
-    by = ["sequence", "file_id", "header"] if mode == "intended" else ["file_id", "header", "sequence", "plus", "quality"]
-    return numbered(reads, ["chain"], [*by, "arrival"], "pos").withColumn("bucket", F.col("chain").cast("long") + 1)
+    return numbered(reads, ["chain"], [*SORTED_BY[mode], "arrival"], "pos").withColumn("bucket", F.col("chain").cast("long") + 1)

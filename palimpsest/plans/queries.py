@@ -14,7 +14,7 @@ from palimpsest.plans import engine, metrics, runner
 from palimpsest.sources import fastq, sinks
 from palimpsest.sources.fastq import with_arrival
 from palimpsest.storage import numbered, shared_folder
-from palimpsest.streaming import buckets
+from palimpsest.streaming import buckets, chains
 
 Query = Callable[[SparkSession, str], DataFrame]
 B, EVENT_B = 20, 100
@@ -462,6 +462,24 @@ register("lru_stream", _stream, _stream_sql)
 register("lru_stream_fastq", lambda s, d: _stream(s, d, True), _stream_sql)
 
 
+def _chain_stream(s: SparkSession, d: str) -> DataFrame:
+    """The reads as five files, a batch each, into sorted chains; then the buckets of all chains."""
+    rows = reads(s, d).withColumn("chain", keys.chain_hash(F.col("sequence"), "double"))
+    folder = f"{shared_folder(s)}/chains-{uuid.uuid4().hex}"
+    rows.repartition(5).write.parquet(f"{folder}/in")
+    held = chains.SortedChains(s, f"{folder}/held", fan=2)
+    chains.run_stream(s, f"{folder}/in", rows.schema, held, f"{folder}/checkpoint")
+    return held.drain().select("arrival", "chain", "bucket", "pos")
+
+
+register(
+    "sorted_chain_stream",
+    _chain_stream,
+    f"""with {READS_SQL}, c as (select *, cast({CHAIN_SQL["double"]} as integer) as chain from reads)
+select arrival, chain, dense_rank() over (order by chain) as bucket, row_number() over (order by chain, sequence, file_id, header, arrival) as pos from c""",
+)
+
+
 # files: written by the query, read again
 def _fastq_folder(s: SparkSession, d: str, kind: str = "fastq") -> str:
     """The documents' reads as a file for each source, named by its number, in a new folder."""

@@ -17,6 +17,7 @@ from palimpsest.plans import engine, metrics, queries, runner
 from palimpsest.sources import fastq, sinks
 from palimpsest.storage import materialize, numbered, release, shared_folder
 from palimpsest.streaming import buckets as stream
+from palimpsest.streaming import chains
 
 CODE = {"A": 0, "C": 1, "T": 2, "G": 3}
 READ = "file_id int, header string, sequence string, plus string, quality string, arrival long"
@@ -586,6 +587,40 @@ def test_sorted_chains_as_buckets(spark):
     assert sorted({(r.bucket, r.chain) for r in placed}) == list(enumerate(sorted({r.chain for r in placed}), 1))
 
 
+@pytest.mark.parametrize("mode", ("intended", "wired"))
+def test_batches_of_sorted_chains(spark, tmp_path, mode):
+    """Batches give the order of one, buckets taken between them what came before; a restart and a repeated batch change nothing."""
+    rows = reads(spark, sequences(120, 30, 5) + ["", ""]).withColumn("sequence", F.when(F.col("arrival") != 120, F.col("sequence")))
+    rows = rows.withColumn("chain", F.when(F.col("sequence") != "", keys.chain_hash(F.col("sequence"), "single")))
+    part = lambda lo, hi: rows.where(F.col("arrival").between(lo, hi - 1))
+    by = bucketing.SORTED_BY[mode]
+    order = lambda df: [r.arrival for r in sorted(df.collect(), key=lambda r: (*((x is not None, x or 0) for x in (r.chain, *(r[c] for c in by))), r.arrival))]
+    held = chains.SortedChains(spark, str(tmp_path / "a"), mode, fan=2)
+    for b, cut in enumerate(((0, 10), (10, 10), (10, 70), (70, 71), (71, 122)), 1):
+        held.add(part(*cut), b)
+        if b == 3:  # again, from what another object finds
+            held = chains.SortedChains(spark, str(tmp_path / "a"), mode, fan=2)
+            held.add(part(*cut), b)
+    assert len(held.tables) < 4 and sum(held.held.values()) == 122
+    got = held.drain().orderBy("pos").collect()
+    assert [r.arrival for r in got] == order(rows) and [r.pos for r in got] == list(range(1, 123))
+    turn = {c: k + 1 for k, c in enumerate(sorted({r.chain for r in got}, key=lambda c: (c is not None, c)))}
+    assert len(turn) == 5 and all(r.bucket == turn[r.chain] for r in got)
+    assert held.drain() is None and held.next_bucket() is None
+
+    held = chains.SortedChains(spark, str(tmp_path / "b"), mode)
+    held.add(part(0, 60), 1)
+    first = held.next_bucket().orderBy("pos").collect()
+    low = first[0].chain
+    assert [r.arrival for r in first] == order(part(0, 60).where(F.col("chain") == low)) and {r.bucket for r in first} == {1}
+    held = chains.SortedChains(spark, str(tmp_path / "b"), mode)
+    held.add(part(60, 120), 2)
+    rest = held.drain().orderBy("pos").collect()
+    later = part(60, 120).where(F.col("chain") == low).unionByName(part(0, 120).where(F.col("chain") != low))
+    assert [r.arrival for r in rest] == order(later) and [r.pos for r in rest] == list(range(len(first) + 1, 121))
+    assert min(r.bucket for r in rest) == 2
+
+
 def test_numbers_and_running_sums(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("x"), "id").repartition(5)
     got = numbered(df, ["g"], ["x", "id"], "n").collect()
