@@ -453,8 +453,13 @@ def _stream(s: SparkSession, d: str, raw: bool = False) -> DataFrame:
     return done.select("answered", "rows", F.lit(stats.hits).cast("long").alias("hits"), F.lit(stats.misses).cast("long").alias("misses"), F.lit(stats.size).cast("long").alias("size"))
 
 
+def six_buckets_sql(policy: str) -> str:
+    sql = bounded_sql(CAPACITY, policy, "none", EVENT_B).replace(f"(rn - 1) // {EVENT_B}", "(rn - 1) // (select cast(ceil(count(*) / 6) as bigint) from reads)")
+    return sql.replace(f"count(*) / {EVENT_B}", "count(*) / (select ceil(count(*) / 6) from reads)")
+
+
 _stream_sql = (
-    bounded_sql(CAPACITY, "lru", "none", EVENT_B).replace(f"(rn - 1) // {EVENT_B}", "(rn - 1) // (select cast(ceil(count(*) / 6) as bigint) from reads)").replace(f"count(*) / {EVENT_B}", "count(*) / (select ceil(count(*) / 6) from reads)")
+    six_buckets_sql("lru")
     + """ select count(*) as answered, count(*) as rows, count(*) filter (where hit) as hits, count(*) filter (where not hit) as misses,
 (select count(*) from st where kind = 'state' and b = (select max(b) from st)) as size from hits"""
 )
@@ -462,6 +467,50 @@ register("lru_stream", _stream, _stream_sql)
 register("lru_stream_fastq", lambda s, d: _stream(s, d, True), _stream_sql)
 
 
+def _stats(s: SparkSession, d: str) -> DataFrame:
+    """What the counters of an MRU cache in tables say after six buckets of a table."""
+    rows = event_reads(s, d).select(F.col("sequence").alias("key"), (F.col("arrival") + 1).alias("pos"))
+    size = -(-rows.count() // 6)
+    folder = f"{shared_folder(s)}/stats-{uuid.uuid4().hex}"
+    rows = rows.withColumn("bucket", F.floor((F.col("pos") - 1) / size) + 1)
+    cache_ = cache.MemoCache(s, f"{folder}/cache", CAPACITY, "mru")
+    stats = buckets.run_buckets(cache_, rows, lambda r: r.select("pos", mapper.stand_in(F.col("key")).alias("value")), 6, f"{folder}/out")
+    return s.read.parquet(f"{folder}/out").agg(F.count("value").alias("answered"), F.lit(str(stats)).alias("stats"))
+
+
+register(
+    "cache_stats",
+    _stats,
+    six_buckets_sql("mru")
+    + """ select count(*) as answered, 'Hits: ' || count(*) filter (where hit) || ' Misses: ' || count(*) filter (where not hit)
+|| ' Size: ' || (select count(*) from st where kind = 'state' and b = (select max(b) from st)) as stats from hits""",
+)
+
+
+def _insert(s: SparkSession, d: str) -> DataFrame:
+    """Entries put into an LRU cache in three lots, outside of any bucket: each lot adds the keys that aren't there, then the oldest go."""
+    rows = event_reads(s, d).select(F.col("sequence").alias("key"), F.col("header").alias("value"), (F.col("arrival") + 1).alias("pos"))
+    size = -(-rows.count() // 3)
+    cache_ = cache.MemoCache(s, f"{shared_folder(s)}/insert-{uuid.uuid4().hex}", CAPACITY, "lru")
+    for lot in range(3):
+        cache_.insert(rows.where((F.col("pos") > lot * size) & (F.col("pos") <= (lot + 1) * size)), lot + 1)
+    return cache_.state
+
+
+_lots = ["lot0 as (select key, value, t, row from (select '' as key, '' as value, 0 as t, 0 as row) where false)"]
+for _k in (1, 2, 3):
+    _lots.append(f"""new{_k} as (select key, arg_min(value, pos) as value, {2 * _k + 1} as t, min(pos) as row from e where lot = {_k} and key not in (select key from lot{_k - 1}) group by key),
+all{_k} as (select * from lot{_k - 1} union all select * from new{_k}),
+lot{_k} as (select key, value, t, row from (select *, row_number() over (order by t desc, row desc) as rank, count(*) over () as n from all{_k}) where n < {CAPACITY} or rank < {CAPACITY})""")
+register(
+    "cache_insert",
+    _insert,
+    f"""with {EVENTS_SQL}, e as (select sequence as key, header as value, arrival + 1 as pos,
+arrival // (select cast(ceil(count(*) / 3) as bigint) from reads) + 1 as lot from reads), {", ".join(_lots)}
+select key, value, cast(t as bigint) as t, cast(row as bigint) as row from lot3""",
+)
+
+
 def _chain_stream(s: SparkSession, d: str) -> DataFrame:
     """The reads as five files, a batch each, into sorted chains; then the buckets of all chains."""
     rows = reads(s, d).withColumn("chain", keys.chain_hash(F.col("sequence"), "double"))
