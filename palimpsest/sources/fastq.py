@@ -5,9 +5,9 @@
 
 Options: path (a folder that all nodes see), pattern (matched against the whole
 file name), format (fastq or fasta), require_trailing_newline (true drops a
-last record whose last line isn't ended), split_bytes (a file is read by one
-task for each so many bytes). Files are numbered by name. A task reads the
-records whose first line begins in its stretch of the file; rec_idx holds the
+last record whose last line isn't ended), split_bytes (a file is cut into stretches
+of so many bytes; a task reads one, or neighbouring small ones together). Files are numbered by name. A task reads the
+records whose first line begins in its stretches; rec_idx holds the
 stretch's number in its upper bits, so it is the record's number in a file of
 one stretch and grows with the file in any. ``with_arrival`` takes both.
 
@@ -38,6 +38,8 @@ from palimpsest.storage import materialize
 MOST_SPLITS = 1_000_000
 SCHEMA = "file_id int, rec_idx long, header string, sequence string, plus string, quality string"
 SPLIT_BITS = 40
+#: stretches are read together up to so many bytes, so that tasks grow in number with the input's bytes, not with its stretches
+TASK_BYTES = 1 << 20
 
 
 class Parser:
@@ -97,9 +99,11 @@ def parse(f: BinaryIO, kind: str | Parser, require_newline: bool = False, start:
         yield parser.fields([x.decode(errors="replace").rstrip("\r\n") if x.endswith(b"\n") else x.decode(errors="replace") for x in own])
 
 
-class _Stretch(InputPartition):
-    def __init__(self, file_id: int, path: str, number: int, start: int, end: int | None):
-        self.file_id, self.path, self.number, self.start, self.end = file_id, path, number, start, end
+class _Stretches(InputPartition):
+    """Neighbouring stretches of one or more files: runs (file_id, path, numbers of its stretches, how many the file has)."""
+
+    def __init__(self, runs: list[tuple[int, str, range, int]]):
+        self.runs = runs
 
 
 class ReadsReader(DataSourceReader):
@@ -115,11 +119,18 @@ class ReadsReader(DataSourceReader):
         self.paths = list_inputs(options["path"], options.get("pattern", r".*\." + kind))
 
     def partitions(self):
-        out = []
+        most = max(TASK_BYTES // self.split, 1)
+        out, own, room = [], [], most
         for k, path in enumerate(self.paths):
-            starts = range(0, max(os.path.getsize(path), 1), self.split)
-            out += [_Stretch(k, path, n, x, x + self.split if n + 1 < len(starts) else None) for n, x in enumerate(starts)]
-        return out
+            n, at = -(-max(os.path.getsize(path), 1) // self.split), 0
+            while at < n:
+                end = min(at + room, n)
+                own.append((k, path, range(at, end), n))
+                at, room = end, room - (end - at)
+                if not room:
+                    out.append(_Stretches(own))
+                    own, room = [], most
+        return [*out, _Stretches(own)] if own else out
 
     def read(self, partition):
         names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -131,12 +142,14 @@ class ReadsReader(DataSourceReader):
             rows.clear()
             return made
 
-        base = partition.number << SPLIT_BITS
-        with open(partition.path, "rb") as f:
-            for k, record in enumerate(parse(f, self.parser, self.require, partition.start, partition.end)):
-                rows.append((partition.file_id, base + k, *record))
-                if len(rows) == self.batch:
-                    yield out()
+        for file_id, path, numbers, n in partition.runs:
+            with open(path, "rb") as f:
+                for number in numbers:
+                    start, base = number * self.split, number << SPLIT_BITS
+                    for k, record in enumerate(parse(f, self.parser, self.require, start, start + self.split if number + 1 < n else None)):
+                        rows.append((file_id, base + k, *record))
+                        if len(rows) == self.batch:
+                            yield out()
         if rows:
             yield out()
 

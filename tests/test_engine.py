@@ -563,6 +563,25 @@ def test_files_are_split_between_records(spark, tmp_path, end):
     assert spark.read.format("reads").options(path=str(tmp_path), require_trailing_newline="true").load().count() == 199 + bool(end)
 
 
+def test_small_stretches_share_a_task(spark, tmp_path, monkeypatch):
+    """Tasks grow with the bytes, not with the stretches; each stretch of each file is read once."""
+    for name, n in (("a", 30), ("b", 0), ("c", 1), ("d", 300)):
+        (tmp_path / f"{name}.fastq").write_text("".join(f"@{name}{i}\nACGT\n+\n====\n" for i in range(n)))
+    size = sum(x.stat().st_size for x in tmp_path.iterdir())
+    spark.dataSource.register(fastq.ReadsDataSource)
+    rows = spark.read.format("reads").options(path=str(tmp_path), split_bytes="10").load()
+    assert rows.rdd.getNumPartitions() == 1
+    for task_bytes in (10, 100, 1000):
+        monkeypatch.setattr(fastq, "TASK_BYTES", task_bytes)
+        reader = fastq.ReadsReader({"path": str(tmp_path), "split_bytes": "10"})
+        parts = reader.partitions()
+        assert len(parts) <= size // task_bytes + 4
+        assert [(k, x) for p in parts for k, _, numbers, _ in p.runs for x in numbers] == [(k, x) for k, path in enumerate(reader.paths) for x in range(-(-max(os.path.getsize(path), 1) // 10))]
+        got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [(r["file_id"], r["header"]) for r in got] == [(k, f"@{name}{i}") for k, name, n in ((0, "a", 30), (2, "c", 1), (3, "d", 300)) for i in range(n)]
+        assert all(r["rec_idx"] < s["rec_idx"] for r, s in zip(got, got[1:], strict=False) if r["file_id"] == s["file_id"])
+
+
 def test_plug_ins(spark, tmp_path, monkeypatch):
     (tmp_path / "x.lst").write_text("#one\nAC\n#two\nGT\n")
     spark.dataSource.register(fastq.reads_source("lists", fastq.Parser(2, lambda x: x[0][:1] == b"#", lambda x: (x[0], x[1].lower(), None, None))))
