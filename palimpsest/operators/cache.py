@@ -19,13 +19,13 @@ import hashlib
 import json
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import BloomBits
@@ -117,6 +117,8 @@ class Replay:
 
 #: a range is warmed up by so many (bucket, key) pairs for each key that the cache holds, and is this many times as long as that
 WARM_UP, LENGTH = 8, 3
+#: pairs that a task follows of an MRU cache, or the capacity if that is more; at most MOST_CHUNKS times as many where its keys go on changing
+CHUNK, MOST_CHUNKS = 200_000, 4
 #: more ranges than this aren't made; the driver holds two digests of each
 MOST_RANGES = 10_000
 _ENTRY, _WAIT, _BUCKET = 0, 1, 2
@@ -136,7 +138,7 @@ def walk(
     followed again from that one, until all states meet; results are exact in any
     case. At worst each round puts one range right and the ranges come one after
     another. An MRU cache keeps its oldest keys for ever, so no later bucket tells
-    what it holds: it is one range, one task with the cache's keys as its state.
+    what it holds, but once it is full its keys hardly change (``_walk_mru``).
 
     Whose result a hit has doesn't influence what is held, so it is looked up
     afterwards: it is the key's last insertion before the bucket.
@@ -158,8 +160,98 @@ def walk(
     if not n:
         release(each)
         return rows.select("*", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("_by"), F.lit(True).alias("_asks")), Replay()
+    marks, replay = (_walk_mru if policy == "mru" else _walk_lru)(each, n, last, capacity, bool(bloom), warm_up, length)
+    # a stored row is kept under its bucket; no hit of the key is in that one or the next
+    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    asked = marks.where(F.col("flag") | (F.col("kind") == "stored"))
+    by = asked.withColumn("_by", F.last("work", ignorenulls=True).over(before)).where("kind = 'mark'")
+    by = by.select(F.col("bucket").alias("_bucket"), F.col("key").alias("_key"), "_by")
+    flags = marks.where("kind = 'mark'").select(F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.col("flag").alias("hit"), F.col("asks").alias("_asks"))
+    flags = flags.join(by, (F.col("_b") == F.col("_bucket")) & F.col("_k").eqNullSafe(F.col("_key")), "left").select("_b", "_k", "hit", "_asks", "_by")
+    return rows.join(flags, (F.col("bucket") == F.col("_b")) & F.col("key").eqNullSafe(F.col("_k"))).drop("_b", "_k"), replay
+
+
+_DEALT = ("range", "part", "bucket", "key", "pos", "work", "last", "new", "seen")
+
+
+def _followed(dealt: DataFrame, ranges: int, follow: Callable) -> DataFrame:
+    """The marks (see MARKS) of dealt rows, whose ranges are followed by a task each."""
+    ordered = dealt.select(*_DEALT).repartitionById(ranges, "range").sortWithinPartitions("range", "part", "bucket", "last")
+    return materialize(ordered.mapInArrow(follow, MARKS), "ranges", ["kind"])
+
+
+def _walk_mru(each: DataFrame, n: int, last: int, capacity: int, bloom: bool, warm_up: int, length: int) -> tuple[DataFrame, Replay]:
+    """Marks of an MRU cache, for ``n`` pairs (``each``) in buckets up to ``last``.
+
+    A full cache drops what is new, unless it is just one key: with ``capacity - 1`` keys it
+    takes a single new one, with ``capacity`` it drops one of its own for any. So a task follows a
+    chunk of buckets, and from its last state on an aggregate over all later buckets finds the first one whose
+    writes change the set of keys. Up to there a hit is a key of that set, which is a join, and the
+    order of the keys is that of their last hits. From there the next chunk is followed. Chunks grow up to
+    a bound, so a cache whose keys change all the time is followed in tasks of that size one after another.
+    """
+    per_chunk = -(-max(capacity, CHUNK) * last // n)
+    follow = _follow(capacity, "mru", bloom, None, True)
+    asks = F.col("bucket") >= F.col("seen") + dedup.LAG if bloom else F.lit(True)
+    pieces, lo, rounds, leaps, state = [], 1, 0, 0, None
+    while lo <= last:
+        hi = lo + per_chunk * min(1 << rounds, MOST_CHUNKS) - 1
+        dealt = each.where(F.col("bucket").between(lo, hi)).withColumn("part", F.lit(_BUCKET))
+        if state is not None:
+            dealt = dealt.unionByName(state)
+        table = _followed(dealt.withColumn("range", F.lit(0)), 1, follow)
+        pieces.append(table.where(F.col("kind").isin("mark", "stored")))
+        rounds += 1
+        lo = hi + 1
+        if lo > last:
+            break
+        end = table.where("kind = 'end'").select(F.col("pos").alias("held"), F.col("work").alias("n_new")).first()
+        held, n_new = (end.held, end.n_new) if end else (0, 0)
+        changes = lambda n_new: n_new == 1 if held == capacity - 1 else n_new >= 1  # noqa: B023, E731
+        state = _states(table)
+        if changes(n_new):
+            continue
+        holds = materialize(table.where("kind = 'entry'").select(F.col("key").alias("_key"), F.col("pos").alias("_place")), "held")
+        later = each.where(F.col("bucket") >= lo).join(holds, F.col("key").eqNullSafe(F.col("_key")), "left").withColumn("_in", F.col("_place").isNotNull())
+        written = F.count_if(~F.col("_in") & (~F.col("new") | (F.size("pos") > 1)))
+        at = later.groupBy("bucket").agg(written.alias("n_new")).where(changes(F.col("n_new"))).agg(F.min("bucket")).first()[0]
+        if at is None:
+            at = last
+        own = later.where(F.col("bucket") <= at).withColumn("_asks", asks).withColumn("_hit", F.col("_in") & F.col("_asks"))
+        none = F.lit(None).cast("long")
+        pieces.append(own.select(F.lit("mark").alias("kind"), F.lit(0).alias("range"), "bucket", "key", none.alias("pos"), none.alias("work"), F.col("_hit").alias("flag"), F.col("_asks").alias("asks")))
+        leaps += 1
+        lo = at + 1
+        # keys in the order of their last hits, after those without; what the bucket has missed waits
+        hits = own.where("_hit").groupBy("_place").agg(F.max(F.struct("bucket", "last")).alias("_at")).withColumnRenamed("_place", "_p")
+        entries = holds.join(hits, F.col("_place") == F.col("_p"), "left")
+        entries = _state(entries, _ENTRY, F.coalesce("_at.bucket", F.lit(-1).cast("long")), "_key", F.col("_place"), none, F.coalesce("_at.last", "_place"), F.lit(False))
+        waits = own.where((F.col("bucket") == at) & ~F.col("_hit")).select("key", "new", F.posexplode(F.arrays_zip("pos", "work")).alias("_k", "_row"))
+        waits = _state(waits, _WAIT, F.lit(-1).cast("long"), "key", F.col("_row.pos"), F.col("_row.work"), F.col("_row.pos"), F.col("new") & (F.col("_k") == 0))
+        state = entries.unionByName(waits)
+    marks = pieces[0]
+    for piece in pieces[1:]:
+        marks = marks.unionByName(piece.select(*marks.columns))
+    return marks, Replay(rounds + leaps, rounds, 0)
+
+
+def _state(rows: DataFrame, part: int, bucket: Column, key: str, pos: Column, work: Column, last: Column, new: Column) -> DataFrame:
+    """Rows of a state as those that ``_follow`` takes: entries come in the order of bucket and last."""
+    return rows.select(
+        bucket.alias("bucket"), F.col(key).alias("key"), F.array(pos).alias("pos"), F.array(work).alias("work"), last.alias("last"), new.alias("new"), F.lit(0).cast("long").alias("seen"), F.lit(part).alias("part")
+    )
+
+
+def _states(table: DataFrame) -> DataFrame:
+    """The state that a followed range has ended with, for the next one."""
+    of = lambda kind, part: _state(table.where(F.col("kind") == kind), part, F.lit(-1).cast("long"), "key", F.col("pos"), F.col("work"), F.col("pos"), F.col("flag"))
+    return of("entry", _ENTRY).unionByName(of("wait", _WAIT))
+
+
+def _walk_lru(each: DataFrame, n: int, last: int, capacity: int, bloom: bool, warm_up: int, length: int) -> tuple[DataFrame, Replay]:
+    """Marks of an LRU cache, for ``n`` pairs (``each``) in buckets up to ``last``."""
     warm = -(-warm_up * capacity * last // n)
-    per_range = last if policy == "mru" else max(length * warm, -(-last // MOST_RANGES))
+    per_range = max(length * warm, -(-last // MOST_RANGES))
     ranges = -(-last // per_range)
 
     own = F.floor((F.col("bucket") - 1) / per_range).cast("int")
@@ -179,9 +271,7 @@ def walk(
                 ))
         else:
             dealt = dealt.withColumn("part", F.lit(_BUCKET))
-        follow = _follow(capacity, policy, bool(bloom), per_range, ranges)
-        ordered = dealt.select("range", "part", "bucket", "key", "pos", "work", "last", "new", "seen").repartitionById(ranges, "range").sortWithinPartitions("range", "part", "bucket", "last")
-        table = materialize(ordered.mapInArrow(follow, MARKS), "ranges", ["kind"])
+        table = _followed(dealt, ranges, _follow(capacity, "lru", bloom, per_range, ranges > 1))
         done = [(t, [r for r in has if r not in set(todo)]) for t, has in done] + [(table, todo)]
         for r in table.where("kind in ('first', 'end')").select("kind", "range", "key").collect():
             (first if r.kind == "first" else end)[r.range] = r.key
@@ -194,18 +284,15 @@ def walk(
     for table, has in done:
         mine = table.where(F.col("kind").isin("mark", "stored") & F.col("range").isin(has)) if len(has) < ranges else table.where(F.col("kind").isin("mark", "stored"))
         marks = mine if marks is None else marks.unionByName(mine)
-    # a stored row is kept under its bucket; no hit of the key is in that one or the next
-    before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    asked = marks.where(F.col("flag") | (F.col("kind") == "stored"))
-    by = asked.withColumn("_by", F.last("work", ignorenulls=True).over(before)).where("kind = 'mark'")
-    by = by.select(F.col("bucket").alias("_bucket"), F.col("key").alias("_key"), "_by")
-    flags = marks.where("kind = 'mark'").select(F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.col("flag").alias("hit"), F.col("asks").alias("_asks"))
-    flags = flags.join(by, (F.col("_b") == F.col("_bucket")) & F.col("_k").eqNullSafe(F.col("_key")), "left").select("_b", "_k", "hit", "_asks", "_by")
-    return rows.join(flags, (F.col("bucket") == F.col("_b")) & F.col("key").eqNullSafe(F.col("_k"))).drop("_b", "_k"), replay
+    return marks, replay
+
 
+def _follow(capacity: int, policy: str, bloom: bool, per_range: int | None, states: bool) -> Callable:
+    """Follows ranges of buckets one after another: their marks, what is stored when, and the digests of their first and last states, with ``states`` the last one itself.
 
-def _follow(capacity: int, policy: str, bloom: bool, per_range: int, ranges: int):
-    """Follows ranges of buckets one after another: their marks, what is stored when, and the digests of their first and last states with the last one itself."""
+    Buckets that aren't of a range of ``per_range`` buckets warm it up; without that all are its own. The end says how many keys
+    are held and how many more the next writes will add.
+    """
 
     def state_of(cache: Recency, waiting: list[tuple]) -> str:
         digest = hashlib.blake2b(digest_size=16)
@@ -222,7 +309,7 @@ def _follow(capacity: int, policy: str, bloom: bool, per_range: int, ranges: int
         def close() -> None:
             """Probe a bucket, touch its hits, write the bucket before, trim."""
             nonlocal waiting, own
-            counts, missed, touched = (bucket - 1) // per_range == now, [], []
+            counts, missed, touched = per_range is None or (bucket - 1) // per_range == now, [], []
             for key, pos, work, last, new, seen in own:
                 asks = not bloom or bucket >= seen + dedup.LAG
                 hit = asks and cache.find(key)
@@ -245,8 +332,9 @@ def _follow(capacity: int, policy: str, bloom: bool, per_range: int, ranges: int
         def finish() -> None:
             if own:
                 close()
-            out.append(("end", now, None, state_of(cache, waiting), None, None, None, None))
-            if now < ranges - 1:
+            n_new = len({key for _, key, _, kept_out in waiting if not kept_out and not cache.find(key)})
+            out.append(("end", now, None, state_of(cache, waiting), len(cache.order), n_new, None, None))
+            if states:
                 out.extend(("entry", now, None, key, k, None, None, None) for k, key in enumerate(cache.order))
                 out.extend(("wait", now, None, key, p, w, kept_out, None) for p, key, w, kept_out in waiting)
 
@@ -271,7 +359,7 @@ def _follow(capacity: int, policy: str, bloom: bool, per_range: int, ranges: int
                     if b != bucket:
                         if own:
                             close()
-                        if not started and (b - 1) // per_range == now:
+                        if not started and (per_range is None or (b - 1) // per_range == now):
                             started = True
                             out.append(("first", now, None, state_of(cache, waiting), None, None, None, None))
                         bucket = b

@@ -12,6 +12,7 @@ from palimpsest import logs
 from palimpsest.config import BloomBits, ConfigError, EngineConfig, get_bool, get_float, get_int, read_options
 from palimpsest.functions import keys
 from palimpsest.operators import bucketing, dedup, mapper
+from palimpsest.operators import cache as cache_operator
 from palimpsest.operators.cache import BloomFilter, MemoCache, Recency, trim, walk
 from palimpsest.plans import engine, metrics, queries, runner
 from palimpsest.sources import fastq, sinks
@@ -276,6 +277,28 @@ def test_ranges_of_buckets_meet(spark, warm_up, length):
         assert replay.rounds <= 2 and (replay.ranges > 1) == (length == 3)
 
 
+@pytest.mark.parametrize("bloom,pool,capacity", [(False, 60, 20), (True, 24, 12), (False, 13, 12)])
+def test_a_full_mru_cache_is_followed_only_where_its_keys_change(spark, monkeypatch, bloom, pool, capacity):
+    """No task follows the whole table: chunks, and between them what an aggregate finds; the last pool makes the set of keys change again and again."""
+    monkeypatch.setattr(cache_operator, "CHUNK", 40)
+    r = random.Random(9)
+    drawn = [f"k{r.randrange(pool if i % 300 else 10**6)}" for i in range(1200)]
+    rows = [(i // 12 + 1 + 3 * (i > 900), k, i + 1) for i, k in enumerate(drawn)]  # buckets needn't be without gaps
+    df = spark.createDataFrame(rows, "bucket long, key string, pos long")
+    marked, replay = walk(df, capacity, "mru", bloom)
+    buckets = {}
+    for b, k, _ in rows:
+        buckets.setdefault(b, []).append(k)
+    got = marked.orderBy("pos").collect()
+    hits, _ = simulate_cache([buckets[b] for b in sorted(buckets)], capacity, "mru", bloom)
+    if not bloom:
+        assert [x.hit for x in got] == [h for own in hits for h in own]
+    monkeypatch.setattr(cache_operator, "CHUNK", 10**6)
+    whole, alone = walk(df, capacity, "mru", bloom)
+    assert alone.ranges == 1 and [(x.hit, x._by, x._asks) for x in whole.orderBy("pos").collect()] == [(x.hit, x._by, x._asks) for x in got]
+    assert any(x.hit for x in got) and replay.ranges > replay.rounds > 1 or pool == 13 and replay.rounds > 3
+
+
 def test_walk_of_no_rows(spark):
     marked, replay = walk(spark.createDataFrame([], "bucket long, key string, pos long"), 30)
     assert marked.collect() == [] and replay.ranges == 1 and {"hit", "_by", "_asks"} <= set(marked.columns)
