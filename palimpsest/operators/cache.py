@@ -117,6 +117,8 @@ class Replay:
 
 #: a range is warmed up by so many (bucket, key) pairs for each key that the cache holds, and is this many times as long as that
 WARM_UP, LENGTH = 8, 3
+#: pairs that a range has at least, and is warmed up by: below that a task costs more than what it follows, and ranges of few buckets often have to be followed again
+LEAST_RANGE, LEAST_WARM_UP = 200_000, 10_000
 #: pairs that a task follows of an MRU cache, or the capacity if that is more; at most MOST_CHUNKS times as many where its keys go on changing
 CHUNK, MOST_CHUNKS = 200_000, 4
 #: more ranges than this aren't made; the driver holds two digests of each
@@ -127,14 +129,14 @@ MARKS = "kind string, range int, bucket long, key string, pos long, work long, f
 
 def walk(
     rows: DataFrame, capacity: int, policy: str = "lru", bloom: bool | BloomBits = False, mode: str = "intended", compression: str = "none", known: DataFrame | None = None,
-    warm_up: int = WARM_UP, length: int = LENGTH,
+    warm_up: int | None = None, length: int | None = None,
 ) -> tuple[DataFrame, Replay]:
     """Add to rows (bucket, key, pos, for cross file_id) ``hit``, ``_by`` and ``_asks``, as ``dedup.mark_hits`` does, for a cache that evicts.
 
     Buckets are cut into ranges, which tasks follow at the same time. What an LRU cache
     holds depends on the keys used last: a range starts from an empty cache and
     the buckets before it, ``warm_up`` pairs of bucket and key for each key of the
-    capacity. Where its first state isn't the last one of the range before, it is
+    capacity, and has ``length`` times as many; unless these are given, ranges and warm-ups of a small cache are longer. Where its first state isn't the last one of the range before, it is
     followed again from that one, until all states meet; results are exact in any
     case. At worst each round puts one range right and the ranges come one after
     another. An MRU cache keeps its oldest keys for ever, so no later bucket tells
@@ -160,7 +162,10 @@ def walk(
     if not n:
         release(each)
         return rows.select("*", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("_by"), F.lit(True).alias("_asks")), Replay()
-    marks, replay = (_walk_mru if policy == "mru" else _walk_lru)(each, n, last, capacity, bool(bloom), warm_up, length)
+    if policy == "mru":
+        marks, replay = _walk_mru(each, n, last, capacity, bool(bloom))
+    else:
+        marks, replay = _walk_lru(each, n, last, capacity, bool(bloom), warm_up, length)
     # a stored row is kept under its bucket; no hit of the key is in that one or the next
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     asked = marks.where(F.col("flag") | (F.col("kind") == "stored"))
@@ -180,7 +185,7 @@ def _followed(dealt: DataFrame, ranges: int, follow: Callable) -> DataFrame:
     return materialize(ordered.mapInArrow(follow, MARKS), "ranges", ["kind"])
 
 
-def _walk_mru(each: DataFrame, n: int, last: int, capacity: int, bloom: bool, warm_up: int, length: int) -> tuple[DataFrame, Replay]:
+def _walk_mru(each: DataFrame, n: int, last: int, capacity: int, bloom: bool) -> tuple[DataFrame, Replay]:
     """Marks of an MRU cache, for ``n`` pairs (``each``) in buckets up to ``last``.
 
     A full cache drops what is new, unless it is just one key: with ``capacity - 1`` keys it
@@ -248,10 +253,12 @@ def _states(table: DataFrame) -> DataFrame:
     return of("entry", _ENTRY).unionByName(of("wait", _WAIT))
 
 
-def _walk_lru(each: DataFrame, n: int, last: int, capacity: int, bloom: bool, warm_up: int, length: int) -> tuple[DataFrame, Replay]:
+def _walk_lru(each: DataFrame, n: int, last: int, capacity: int, bloom: bool, warm_up: int | None, length: int | None) -> tuple[DataFrame, Replay]:
     """Marks of an LRU cache, for ``n`` pairs (``each``) in buckets up to ``last``."""
-    warm = -(-warm_up * capacity * last // n)
-    per_range = max(length * warm, -(-last // MOST_RANGES))
+    warm_pairs = max(WARM_UP * capacity, LEAST_WARM_UP) if warm_up is None else warm_up * capacity
+    pairs = max(LENGTH * warm_pairs, LEAST_RANGE) if length is None else length * warm_pairs
+    warm = -(-warm_pairs * last // n)
+    per_range = max(-(-pairs * last // n), -(-last // MOST_RANGES)) if length is None else max(length * warm, -(-last // MOST_RANGES))
     ranges = -(-last // per_range)
 
     own = F.floor((F.col("bucket") - 1) / per_range).cast("int")

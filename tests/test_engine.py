@@ -299,6 +299,20 @@ def test_a_full_mru_cache_is_followed_only_where_its_keys_change(spark, monkeypa
     assert any(x.hit for x in got) and replay.ranges > replay.rounds > 1 or pool == 13 and replay.rounds > 3
 
 
+def test_ranges_grow_with_the_pairs_not_with_the_buckets(spark, monkeypatch):
+    """A cache of few keys isn't followed in ranges of some buckets each: a task has work, and its warm-up meets the state before."""
+    r = random.Random(3)
+    drawn = [f"k{r.randrange(60) + i // 400}" for i in range(3000)]
+    df = spark.createDataFrame([(i // 10 + 1, k, i + 1) for i, k in enumerate(drawn)], "bucket long, key string, pos long")
+    hits, _ = simulate_cache([drawn[i : i + 10] for i in range(0, 3000, 10)], 4, "lru", False)
+    for least, warm in ((200_000, 10_000), (1000, 400)):
+        monkeypatch.setattr(cache_operator, "LEAST_RANGE", least)
+        monkeypatch.setattr(cache_operator, "LEAST_WARM_UP", warm)
+        marked, replay = walk(df, 4)
+        assert [x.hit for x in marked.orderBy("pos").collect()] == [h for own in hits for h in own]
+        assert replay.ranges == max(1, -(-3000 // least)) and replay.rounds == 1 and replay.replayed == 0
+
+
 def test_walk_of_no_rows(spark):
     marked, replay = walk(spark.createDataFrame([], "bucket long, key string, pos long"), 30)
     assert marked.collect() == [] and replay.ranges == 1 and {"hit", "_by", "_asks"} <= set(marked.columns)
