@@ -13,7 +13,7 @@ from palimpsest.operators import bucketing, cache, dedup, mapper
 from palimpsest.plans import engine, metrics, runner
 from palimpsest.sources import fastq, sinks
 from palimpsest.sources.fastq import with_arrival
-from palimpsest.storage import numbered, shared_folder
+from palimpsest.storage import numbered, set_times, shared_folder
 from palimpsest.streaming import buckets, chains
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -439,11 +439,13 @@ def _stream(s: SparkSession, d: str, raw: bool = False) -> DataFrame:
     size = -(-rows.count() // 6)
     folder = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
     line = keys.record_text(F.col("header"), F.col("sequence"), F.col("plus"), F.repeat(F.lit("="), F.length("sequence")))
-    for b in range(6):
-        own = rows.where((F.col("pos") > b * size) & (F.col("pos") <= (b + 1) * size))
-        if raw:
-            sinks.write_outputs(own.select(F.lit(0).alias("file_id"), "pos", line.alias("line")), {0: f"{folder}/in/{b}.fastq"})
-        else:
+    if raw:  # all files at once, a task each; their times say in which order they come
+        files = {b: f"{folder}/in/{b}.fastq" for b in range(6)}
+        sinks.write_outputs(rows.select(F.floor((F.col("pos") - 1) / size).cast("int").alias("file_id"), "pos", line.alias("line")), files)
+        set_times(s, list(files.values()))
+    else:
+        for b in range(6):
+            own = rows.where((F.col("pos") > b * size) & (F.col("pos") <= (b + 1) * size))
             own.select("key", "pos").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     cache_ = cache.MemoCache(s, f"{folder}/cache", CAPACITY, "lru")
     mapping = lambda r: r.select("pos", mapper.stand_in(F.col("key")).alias("value"))

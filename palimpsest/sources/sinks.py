@@ -29,6 +29,10 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+#: lines that are put together before they reach the task that writes their file
+BLOCK = 16
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # where it is, and what it is to be called
@@ -118,7 +122,7 @@ def write_lines(output: DataFrame, path: str, suppress: bool = False) -> None:
 def write_outputs(output: DataFrame, paths: dict[int, str], suppress: bool = False) -> None:
     """Each input's lines in the order of pos as one file, at the path that ``paths`` names for it.
 
-    A file is written by one task, from sorted rows and without holding them; ``write_lines`` shares
+    A file is written by one task, from sorted blocks of lines, which many tasks have put together, and without holding them; ``write_lines`` shares
     one input's lines among many tasks, as a folder of parts.
     """
     if suppress:
@@ -127,7 +131,9 @@ def write_outputs(output: DataFrame, paths: dict[int, str], suppress: bool = Fal
     spark = output.sparkSession
     spark.dataSource.register(LinesDataSource)
     named = spark.createDataFrame(list(paths.items()), "file_id int, path string")  # the inputs, a list that the driver has
-    rows = output.join(F.broadcast(named), "file_id").repartition("path").sortWithinPartitions("path", "pos").select("path", "line")
+    own = F.sort_array(F.collect_list(F.struct("pos", F.coalesce("line", F.lit("")).alias("line"))))
+    blocks = output.groupBy("file_id", F.floor(F.col("pos") / BLOCK).alias("_block")).agg(F.array_join(own["line"], "\n").alias("line"))
+    rows = blocks.withColumnRenamed("_block", "pos").join(F.broadcast(named), "file_id").repartition("path").sortWithinPartitions("path", "pos").select("path", "line")
     rows.write.format("lines").mode("append").options(job=uuid.uuid4().hex, paths=json.dumps(list(paths.values()))).save()
 
 

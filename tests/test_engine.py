@@ -16,7 +16,7 @@ from palimpsest.operators import cache as cache_operator
 from palimpsest.operators.cache import BloomFilter, MemoCache, Recency, trim, walk
 from palimpsest.plans import engine, metrics, queries, runner
 from palimpsest.sources import fastq, sinks
-from palimpsest.storage import materialize, numbered, release, shared_folder
+from palimpsest.storage import materialize, numbered, release, set_times, shared_folder
 from palimpsest.streaming import buckets as stream
 from palimpsest.streaming import chains
 
@@ -570,6 +570,18 @@ def test_a_failed_write_leaves_no_output(spark, tmp_path):
         assert (tmp_path / f"o{k}.txt").read_text() == "".join(f"l{i}\n" for i in range(40) if i % 3 == k)
 
 
+def test_lines_reach_their_file_in_blocks(spark, tmp_path):
+    """The one task of a file gets blocks that many tasks have put together, whatever the places; files get times in a given order."""
+    drawn = random.Random(2).sample(range(-500, 5000), 900)
+    rows = spark.createDataFrame([(k % 2, p, None if p % 7 == 0 else f"l{p}") for k, p in enumerate(drawn)], "file_id int, pos long, line string").repartition(5)
+    paths = {k: f"{tmp_path}/o{k}.txt" for k in range(2)}
+    sinks.write_outputs(rows, paths)
+    for k in paths:
+        assert (tmp_path / f"o{k}.txt").read_text() == "".join(("" if p % 7 == 0 else f"l{p}") + "\n" for p in sorted(drawn[k::2]))
+    set_times(spark, [paths[1], paths[0]])
+    assert os.path.getmtime(paths[0]) - os.path.getmtime(paths[1]) == pytest.approx(1, abs=0.01)
+
+
 def test_standard_input(spark, tmp_path, monkeypatch):
     monkeypatch.chdir(tmp_path)
     monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"@a 1\nAC\n+\n==\n@b 2\nGT\n+\n==\n")))
