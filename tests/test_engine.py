@@ -313,6 +313,30 @@ def test_ranges_grow_with_the_pairs_not_with_the_buckets(spark, monkeypatch):
         assert replay.ranges == max(1, -(-3000 // least)) and replay.rounds == 1 and replay.replayed == 0
 
 
+def _followed_in(spark, monkeypatch, tmp_path, policy):
+    """How the registered queries follow 12,000 events, and the pairs of bucket and key of each range that a task follows."""
+    r = random.Random(11)
+    rows = [(i, (r.randrange(600) + i // 30) % 1500, r.choice(("view", "click", "error"))) for i in range(12_000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    sizes, known = [], getattr(cache_operator, "_followed", None)
+
+    def followed(dealt, ranges, follow):
+        sizes.extend(x["count"] for x in dealt.where("part = 2").groupBy("range").count().collect())
+        return known(dealt, ranges, follow)
+
+    monkeypatch.setattr(cache_operator, "_followed", followed, raising=False)
+    replay = queries._bounded(spark, str(tmp_path), policy, "full").replay
+    monkeypatch.undo()
+    return replay, sizes
+
+
+def test_no_task_of_mru_bounded_full_follows_the_whole_table(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(cache_operator, "CHUNK", 500, raising=False)
+    replay, sizes = _followed_in(spark, monkeypatch, tmp_path, "mru")
+    assert replay.ranges > replay.rounds  # what is between the chunks is a join
+    assert sizes and max(sizes) <= 4 * 500 + 100 and sum(sizes) < 6000
+
+
 def test_walk_of_no_rows(spark):
     marked, replay = walk(spark.createDataFrame([], "bucket long, key string, pos long"), 30)
     assert marked.collect() == [] and replay.ranges == 1 and {"hit", "_by", "_asks"} <= set(marked.columns)
