@@ -337,6 +337,15 @@ def test_no_task_of_mru_bounded_full_follows_the_whole_table(spark, monkeypatch,
     assert sizes and max(sizes) <= 4 * 500 + 100 and sum(sizes) < 6000
 
 
+@pytest.mark.parametrize("least,warm", [(200_000, 10_000), (3000, 1000)])
+def test_ranges_of_lru_bounded_full_have_work_for_a_task(spark, monkeypatch, tmp_path, least, warm):
+    monkeypatch.setattr(cache_operator, "LEAST_RANGE", least, raising=False)
+    monkeypatch.setattr(cache_operator, "LEAST_WARM_UP", warm, raising=False)
+    replay, sizes = _followed_in(spark, monkeypatch, tmp_path, "lru")
+    assert replay.ranges <= max(1, 12_000 // least) and replay.rounds == 1 and replay.replayed == 0
+    assert len(sizes) == replay.ranges and max(sizes) <= 1.2 * (least + warm)
+
+
 def test_walk_of_no_rows(spark):
     marked, replay = walk(spark.createDataFrame([], "bucket long, key string, pos long"), 30)
     assert marked.collect() == [] and replay.ranges == 1 and {"hit", "_by", "_asks"} <= set(marked.columns)
