@@ -12,11 +12,13 @@ the sets themselves.
 So that no tree has to hold the corpus, classes are first brought together by
 group signatures: two sets of a bounded difference agree in all but so many
 groups, hence they share the hash of a whole group. For small sets there are
-more groups than differences, so that sharing is certain; large sets use the
+more groups than differences, so that sharing is certain; empty groups count
+only in a set that has no more other groups than differences. Large sets use the
 first 62 groups of a finer division, where the chance to share none is below
 1e-12. Of classes that share a signature, those are joined whose points let
 them link; joined classes form clusters, and all links lie inside clusters. A
-cluster is one cell, or, if it is large, is dealt to many cells; each of these
+large cluster is joined anew with points of more coordinates, which keep apart
+what only shares some passages. A cluster is one cell, or, if it is still large, is dealt to many cells; each of these
 also holds the cluster's central sets, which links most of a group of copies at
 once, and what stays apart is then compared with those other cells of its
 cluster in which a class shares a signature with it. So each link's two ends
@@ -46,10 +48,12 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .columns import own_names
 from .components import connected_components
-from .storage import materialize
+from .storage import materialize, release, scope
 
 GROUPS = 64  # coordinates of the count vectors
+FINE = 1024  # the same in large clusters
 LONG_RUN = 100_000  # rows (signature, class) of one signature whose points one task holds
+FINE_RUN = 10_000  # the same in large clusters
 SMALL_RUN = 64  # the same, up to which all pairs of points are compared without a tree
 MOST_SIGNATURES = 62
 CELL = 192  # classes in a cell
@@ -78,16 +82,17 @@ def class_of(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
     return first >> (64 - bits), second
 
 
-def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+def count_vector(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many shingles fall in each group; ``groups`` is a power of two."""
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
 def packed_vector(v: np.ndarray) -> bytes:
     return v.astype("u1" if v.max() < 256 else "<u4").tobytes()
 
 
-def unpacked_vectors(column: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(x, dtype="u1" if len(x) == GROUPS else "<u4") for x in column.to_pylist()], dtype=np.int32).reshape(-1, GROUPS)
+def unpacked_vectors(column: pa.Array, groups: int = GROUPS) -> np.ndarray:
+    return np.array([np.frombuffer(x, dtype="u1" if len(x) == groups else "<u4") for x in column.to_pylist()], dtype=np.int32).reshape(-1, groups)
 
 
 @lru_cache(maxsize=8)
@@ -104,7 +109,7 @@ def division(band: int, t: Fraction) -> tuple[np.ndarray, bool, np.ndarray]:
     """Group edges, whether the groups cover the whole hash space, and the salts of the signatures of a band."""
     most = int(2 * bands(t)[band] * (1 - t) / (1 + t))  # elements that are in one of two linked sets only
     whole = most + 2 <= MOST_SIGNATURES
-    groups = most + 2 if whole else max(most, MOST_SIGNATURES)
+    groups = most + 4 + most // 16 if whole else max(most, MOST_SIGNATURES)  # some more than it takes, so that empty ones hardly ever count
     count = groups if whole else MOST_SIGNATURES
     edges = np.array([(k << 64) // groups for k in range(count)] + [min((count << 64) // groups, (1 << 64) - 1)], dtype=np.uint64)
     salts = ts.mix(np.arange(count, dtype=np.uint64) + np.uint64((band + 1) << 32))
@@ -123,8 +128,8 @@ def signatures(s: np.ndarray, t: Fraction) -> np.ndarray:
         if whole:
             at[-1] = n
         full = at[1:] > at[:-1]
-        if whole and len(full) - full.sum() > 1:
-            full[:] = True  # with two empty groups, the only ones without a difference could be empty
+        if whole and full.sum() <= (n + min(int(n / t), sizes[k])) * (t.denominator - t.numerator) // (t.denominator + t.numerator):
+            full[:] = True  # as many differences as that set and a partner can have could lie in all groups but empty ones
         out.append(ts.mix((sums[at[1:]] - sums[at[:-1]]) ^ salts)[full])
     return np.concatenate(out)
 
@@ -279,7 +284,7 @@ def _reach(v: np.ndarray, n: np.ndarray, t: Fraction) -> np.ndarray:
     return label
 
 
-def _joined(t: Fraction):
+def _joined(t: Fraction, groups: int = GROUPS):
     """From rows (signature, class, point) sorted by signature: pairs that connect the classes whose points let them link."""
 
     def pairs(c: np.ndarray, v: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,7 +299,7 @@ def _joined(t: Fraction):
             yield c[lo:hi][top[other]], c[lo:hi][other]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, c, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GROUPS), np.int32)
+        a, c, v = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, groups), np.int32)
 
         def closed(a, c, v) -> Iterator[pa.RecordBatch]:
             new = np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])))  # a class comes once for each batch that holds a copy
@@ -311,7 +316,7 @@ def _joined(t: Fraction):
                 continue
             a = np.concatenate((a, batch.column(0).to_numpy()))
             c = np.concatenate((c, batch.column(1).to_numpy()))
-            v = np.concatenate((v, unpacked_vectors(batch.column(2))))
+            v = np.concatenate((v, unpacked_vectors(batch.column(2), groups)))
             last = int(np.searchsorted(a, a[-1]))
             if last:
                 yield from closed(a[:last], c[:last], v[:last])
@@ -329,14 +334,33 @@ def _classes(profile: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """
     classes = profile.where("kind = 0 and b is not null").groupBy("b", "b2").agg(_least("a", "h").alias("least"), F.max("n").alias("n"), F.min("v").alias("v"))
     classes = materialize(classes.select(F.col("b").alias("c0"), F.col("b2").alias("c2"), "least.id", "least.h", "n", "v"), "classes")
-    twice = classes.groupBy("c0").agg(F.min("c2").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    twice = materialize(classes.groupBy("c0").agg(F.min("c2").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many"), "twice")
     if twice.isEmpty():
         return classes.withColumn("c", F.col("c0")), None
-    twice = materialize(twice, "twice")
     c = F.when(F.col("first").isNull() | (F.col("first") == F.col("c2")), F.col("c0")).otherwise(F.xxhash64("c0", "c2"))
     return materialize(classes.join(twice, "c0", "left").withColumn("c", c).drop("first"), "classes"), twice
 
 
+def _dealt(held: DataFrame) -> DataFrame:
+    """Rows (component, c, n, ...) with the number of the cluster's cells and the class's own cell."""
+    sizes = held.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
+    cells = F.greatest(F.ceil(F.col("many") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
+    return held.join(sizes.select("component", cells.alias("cells")), "component").withColumn("cell", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int"))
+
+
+def _cut(large: DataFrame, shared: DataFrame, t: Fraction) -> DataFrame:
+    """The rows of large clusters in the clusters that finer points leave of them; a class that these let link with none goes.
+
+    The classes of a signature of more than ``FINE_RUN`` stay with their cluster.
+    """
+    own = shared.join(large.select("c", "component", "fine"), "c")
+    fine = own.where(F.col("many") <= FINE_RUN).select("a", "c", F.col("fine").alias("v"))
+    met = fine.repartition("a").sortWithinPartitions("a", "c").mapInArrow(_joined(t, FINE), "a long, b long")
+    met = met.unionByName(own.where(F.col("many") > FINE_RUN).select(F.col("component").alias("a"), F.col("c").alias("b")))
+    clusters = connected_components(met).withColumnRenamed("node", "c")
+    return _dealt(large.drop("component", "cells", "cell", "fine").join(clusters, "c"))
+
+
 def _components(docs: DataFrame, n: int, t: Fraction, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, h, c0, c2, n_shingles), the component of each class (c0, c2, top), and the least row of each component (top, id, h)."""
     profile = materialize(_profile(docs, n, t, bits), "profile")
@@ -349,7 +373,7 @@ def _components(docs: DataFrame, n: int, t: Fraction, bits: int = 64) -> tuple[D
     else:
         runs = runs.join(twice.select(F.col("c0").alias("lead"), F.lit(True).alias("more")), "lead", "left").where("lead <> last or more")
     # lead stands for a class: the one that is known by this number itself
-    shared = signed.join(runs.select("a", "lead", "many"), "a")
+    shared = signed.join(materialize(runs.select("a", "lead", "many"), "runs"), "a")
     shared = shared.withColumnRenamed("c0", "c") if twice is None else shared.join(classes.select("c0", "c"), "c0").drop("c0")
     shared = materialize(shared, "shared")
     near = shared.where(F.col("many") <= LONG_RUN).join(classes.select("c", "v"), "c")
@@ -357,30 +381,30 @@ def _components(docs: DataFrame, n: int, t: Fraction, bits: int = 64) -> tuple[D
     met = met.unionByName(shared.where(F.col("many") > LONG_RUN).select(F.col("lead").alias("a"), F.col("c").alias("b")))
     clusters = connected_components(met)
     # one document of each class in a cluster, with its text
-    held = classes.select("c", "c0", "c2", "id", "h", "n").join(clusters.withColumnRenamed("node", "c"), "c")
-    sizes = held.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("shingles"))
-    cells = F.greatest(F.ceil(F.col("many") / CELL), F.ceil(F.col("shingles") / CELL_SHINGLES)).cast("int")
-    held = held.join(sizes.select("component", cells.alias("cells")), "component").withColumn("cell", F.pmod(F.xxhash64("c"), F.col("cells")).cast("int"))
+    held = _dealt(classes.select("c", "c0", "c2", "id", "h", "n").join(clusters.withColumnRenamed("node", "c"), "c"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row can be given several times: keep one for the class. Adds the count vector."""
+        """A row can be given several times: keep one for the class. Adds the points of what is in a large cluster."""
         seen = set()
         for batch in batches:
             c = list(zip(batch.column("c0").to_pylist(), batch.column("c2").to_pylist(), strict=True))
+            large = np.asarray(batch.column("cells")) > 1
             for lo, _, buf, offsets in ts.slices(batch.column("text")):
-                keep, vectors = [], []
+                keep, vectors, fine = [], [], []
                 for k, s in enumerate(shingle_sets(buf, offsets, n)):
                     if len(s) and c[lo + k] not in seen and class_of(s, bits) == c[lo + k]:
                         seen.add(c[lo + k])
                         keep.append(lo + k)
-                        vectors.append(count_vector(s).tolist())
+                        vectors.append(count_vector(s).tolist() if large[lo + k] else None)
+                        fine.append(packed_vector(count_vector(s, FINE)) if large[lo + k] else None)
                 if keep:
-                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, pa.array(vectors, pa.list_(pa.int64()))], names=[*batch.schema.names, "vector"])
+                    points = [pa.array(vectors, pa.list_(pa.int64())), pa.array(fine, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep, pa.int64())).columns, *points], names=[*batch.schema.names, "vector", "fine"])
 
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), text.alias("text"), F.xxhash64(text).alias("own_h"))
-    held = held.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))).select("component", "cells", "cell", "c", "c0", "c2", "text")
-    held = materialize(held.mapInArrow(check, "component long, cells int, cell int, c long, c0 long, c2 long, text string, vector array<long>").drop("c0", "c2"), "held")
+    held = held.join(texts, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("own_h"))).select("component", "cells", "cell", "c", "c0", "c2", "n", "text")
+    held = materialize(held.mapInArrow(check, "component long, cells int, cell int, c long, c0 long, c2 long, n long, text string, vector array<long>, fine binary").drop("c0", "c2"), "held")
 
     def sets_of(table: pa.Table) -> list[np.ndarray]:
         return [s for _, _, buf, offsets in ts.slices(table.column("text")) for s in shingle_sets(buf, offsets, n)]
@@ -394,8 +418,12 @@ def _components(docs: DataFrame, n: int, t: Fraction, bits: int = 64) -> tuple[D
         every = np.ones(table.num_rows, dtype=bool)
         return links(table, every, every, table.column("c").to_pylist())
 
-    inside = held.select("component", "cell", "c", "text")
+    inside = held.where("cells = 1").select("component", "cell", "c", "text")
     large = held.where("cells > 1")
+    if not large.isEmpty():
+        large = materialize(_cut(large, shared, t), "large")
+        inside = inside.unionByName(large.select("component", "cell", "c", "text"))
+        large = large.where("cells > 1")
     any_large = not large.isEmpty()
     if any_large:
         # the sets nearest to a large cluster's mean point go to all of its cells
@@ -419,8 +447,10 @@ def components(docs: DataFrame, n: int = 5, threshold: str = "0.8", bits: int =
 
     ``bits`` of a digest's first half are used to tell classes apart at first; it never changes the result.
     """
-    rows, tops, least = _components(docs, n, Fraction(threshold), bits)
-    named = materialize(tops.join(least, "top").select("c0", "c2", F.col("id").alias("component_id")), "named")
+    with scope() as made:
+        rows, tops, least = _components(docs, n, Fraction(threshold), bits)
+        named = materialize(tops.join(least, "top").select("c0", "c2", F.col("id").alias("component_id")), "named")
+    release(*made[1:-1])  # rows reads the first
     return rows.join(named, ["c0", "c2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -455,12 +485,14 @@ def _across(large: DataFrame, shared: DataFrame, edges: DataFrame, links) -> Dat
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: str = "0.8") -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest doc_id and then hash of its text; empty texts all stay."""
-    rows, _, least = _components(docs, n, Fraction(threshold))
-    given = rows.where("c0 is not null").groupBy("doc_id", "h").agg(F.count("*").alias("many"))
-    least = least.select(F.col("id").alias("l_id"), F.col("h").alias("l_h"))
-    own_id, own_h, many = own_names(docs, "id", "h", "rows")
-    kept = given.join(least, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")))
-    kept = materialize(kept.select(F.col("l_id").alias(own_id), F.col("l_h").alias(own_h), F.col("many").alias(many)), "kept")
+    with scope() as made:
+        rows, _, least = _components(docs, n, Fraction(threshold))
+        given = rows.where("c0 is not null").groupBy("doc_id", "h").agg(F.count("*").alias("many"))
+        least = least.select(F.col("id").alias("l_id"), F.col("h").alias("l_h"))
+        own_id, own_h, many = own_names(docs, "id", "h", "rows")
+        kept = given.join(least, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("h") == F.col("l_h")))
+        kept = materialize(kept.select(F.col("l_id").alias(own_id), F.col("l_h").alias(own_h), F.col("many").alias(many)), "kept")
+    release(*made[:-1])
     text = docs["text"].cast("string")
     empty = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[own_id]) & (F.xxhash64(text) == kept[own_h]), "left")

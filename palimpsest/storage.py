@@ -24,6 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Spark deletes a query's shuffle files when it ends; otherwise they stay until the driver happens to collect its garbage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scopes: list[list[DataFrame]] = []
 
 
@@ -42,10 +45,16 @@ def materialize(df: DataFrame, name: str, by: list[str] | None = None) -> DataFr
     """Write ``df`` as Parquet in the shared folder, with a folder for each value of ``by``, and read it back.
 
     It cuts the lineage without tying the rows to the executors that made them.
+    What was shuffled for it is deleted, so that of a chain of tables only one's shuffles are on disk at a time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/palimpsest-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path, partitionBy=by)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, partitionBy=by)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     if _scopes:

@@ -150,6 +150,72 @@ def test_signatures_meet_and_tree_finds():
                 assert len(ngram_join.CountVectorTree(v, n).search(ngram_join.count_vector(a), len(a), t)) == 40
 
 
+def test_small_sets_share_no_signature_by_empty_groups():
+    rng = np.random.default_rng(4)
+    for t in (Fraction("0.9"), Fraction("0.8")):
+        shared = Counter()
+        for _ in range(400):
+            shared.update(set(ngram_join.signatures(np.sort(rng.integers(0, 2**64, int(rng.integers(60, 240)), dtype=np.uint64)), t).tolist()))
+        assert max(shared.values()) < 8
+
+
+def test_empty_groups_still_lead_to_partners():
+    """Sets that crowd into few groups, where a difference may lie in each that isn't empty."""
+    rng = np.random.default_rng(6)
+    for t in (Fraction("0.9"), Fraction("0.8")):
+        for _ in range(300):
+            n = int(rng.integers(20, 230))
+            groups = rng.integers(0, 64, int(rng.integers(1, 12)), dtype=np.uint64) << np.uint64(58)
+            a = np.unique(rng.choice(groups, n) + rng.integers(0, 2**58, n, dtype=np.uint64))
+            k = n // 20 if t > Fraction("0.85") else n // 9
+            b = np.unique(np.concatenate((rng.permutation(a)[k:], rng.choice(groups, k) + rng.integers(0, 2**58, k, dtype=np.uint64))))
+            if ngram_join.linked(a, b, t):
+                assert len(np.intersect1d(ngram_join.signatures(a, t), ngram_join.signatures(b, t)))
+
+
+def test_large_cluster_of_texts_that_share_a_passage_is_cut(spark, monkeypatch):
+    rng = random.Random(9)
+    passage = " ".join(words(rng, 280, 10**6))
+    texts = [passage + " " + " ".join(words(rng, 60, 10**6)) for _ in range(60)]  # similar by 0.7
+    texts += [texts[7] + " end", texts[8] + " end"]
+    dealt = []
+    across = ngram_join._across
+    monkeypatch.setattr(ngram_join, "CELL", 12)
+    monkeypatch.setattr(ngram_join, "_across", lambda large, *more: dealt.append(large.count()) or across(large, *more))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_join.components(df, 5, "0.8").collect()), key=repr)
+    assert got == brute.ngram_components(list(enumerate(texts)), 5, 80)
+    assert not dealt
+    # where signatures are too many for a look, the cluster stays and its cells are compared
+    monkeypatch.setattr(ngram_join, "FINE_RUN", 2)
+    assert got == sorted((tuple(r) for r in ngram_join.components(df, 5, "0.8").collect()), key=repr)
+    assert dealt
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(disk.getAllFiles().apply(k).getName().startswith("shuffle_") for k in range(disk.getAllFiles().size()))
+
+    before, setting = files(), spark.conf.get(storage.CLEANUP)
+    table = storage.materialize(spark.range(1000).groupBy(F.col("id") % 7).count(), "cleaned")
+    end = time.time() + 10
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and table.count() == 7 and spark.conf.get(storage.CLEANUP) == setting
+
+
+def test_keep_one_leaves_only_what_it_reads(spark, texts, monkeypatch):
+    df, _ = odd_docs(spark, texts)
+    made = []
+    real = ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda *x: made.append(real(*x)) or made[-1])
+    kept = ngram_join.keep_one(df, 5, "0.8")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    there = [x for x in made if place(x.table_path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(place(x.table_path))]
+    assert len(made) > 3 and there == made[-1:] and kept.count() > 0
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(1)
     ids = rng.sample(range(10**6), 120)
